@@ -5,18 +5,69 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import language_id, line_dedup, matroska, mixing, ngram_join, packing, quality_gam, substring_dedup, topk, warc
+from .common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = language_id.predict(docs.select("doc_id", "text"), language_id.learn(docs))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_features(matroska.media_column(_table(spark, sf_dir, "documents")))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("th")
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = quality_gam.score(docs, quality_gam.learn(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lines, lines deleted, and the SHA-256 of the text that is left."""
+    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -25,6 +76,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        g AS (SELECT h, max(page_id) AS response FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+        SELECT p.page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
+               CASE WHEN response > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN response > p.page_id THEN response END AS refers_to
+        FROM p LEFT JOIN g ON p.h = g.h""",
+    "op9_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM
+          (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op8_line_dedup": r"""
+        WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        line AS (SELECT doc_id, pos, ls[pos + 1] AS line FROM raw, unnest(range(0, len(ls))) t(pos)),
+        full_line AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM line WHERE trim(line) <> ''),
+        win AS (SELECT doc_id, i, pos AS s, lead(pos, 2) OVER w AS e, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run
+                FROM full_line WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS r FROM win WHERE e IS NOT NULL) WHERE r > 1),
+        island AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM
+                   (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 3 THEN 0 ELSE 1 END AS apart FROM later)),
+        span AS (SELECT doc_id, isle, min(s) AS s, max(e) AS e FROM island GROUP BY doc_id, isle),
+        gone AS (SELECT DISTINCT doc_id, pos FROM span, unnest(range(s, e + 1)) u(pos)),
+        kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+                        coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS t
+                 FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+        SELECT raw.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(t) END AS kept_sha256
+        FROM raw LEFT JOIN kept USING (doc_id)""",
+    "op6_ngram_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT doc_id, {_WORDS} AS ws FROM d),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) t(i) WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY x, y),
+        link AS (SELECT x, y FROM both_ JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 90 * (p.n + q.n - c)),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.m AS component_id
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON r.x = d.doc_id""",
     "op4_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM d, unnest(range(1, len(ws) - 18)) t(i)),
