@@ -1,11 +1,284 @@
-"""Queries of the log operators."""
+"""Queries of the log operators over the driver's tables, and the DuckDB SQL that gives the same rows.
+
+Log lines come from the lines of `documents`, from `events` (one line each) and from `conversations`.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .functions import text
+from .functions.patterns import CLASSES, CORE, EXTRA, Mask, canonical_masks
+from .operators import alignment, clustering, metrics, online, sampling, synthesis
+from .plans import evaluation, reports
+from .sources import lines as sources
+
+_LINE_TABLES = {"documents": ("doc_id", "text"), "pages": ("page_id", "url")}
+LEVELS = ("INFO", "WARN", "ERROR", "DEBUG")
+OFFLINE = [Mask(c, CLASSES.get(c) or EXTRA[c]) for c in (*CORE, "HEX", "PATH")]
+EVENT_TEMPLATE = "<*> <*> <*> user <*> value <*>"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.lines_of(_table(spark, sf_dir, "documents"), "doc_id", dataset="documents")
+
+
+def _event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`ts LEVEL type user N value X` for each event; the level follows the event's number."""
+    e = _table(spark, sf_dir, "events")
+    level = F.element_at(F.array(*map(F.lit, LEVELS)), (F.col("event_id") % 4 + 1).cast("int"))
+    parts = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), level, F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("value"), F.col("value").cast("decimal(12,2)").cast("string")]
+    return e.select(F.lit("events").alias("dataset"), F.col("event_id").alias("line_no"), F.concat_ws(" ", *parts).alias("line"))
+
+
+def _talk_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of each conversation as a dataset."""
+    t = _table(spark, sf_dir, "conversations").where("trim(text) <> ''")
+    return t.select(F.col("conv_id").cast("string").alias("dataset"), F.col("turn").alias("line_no"), F.col("text").alias("line"))
+
+
+def _event_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event lines grouped by type as their truth, and by level as a prediction of it."""
+    e = _event_lines(spark, sf_dir)
+    part = lambda i: F.element_at(F.split("line", " "), i)
+    return e.select("line_no", F.concat(F.lit("u"), (part(6).cast("long") % 10).cast("string")).alias("dataset"), part(4).alias("kind"), F.when(part(3) == "WARN", "ERROR").otherwise(part(3)).alias("level"))
+
+
+def lines_split(spark, sf_dir):
+    return _doc_lines(spark, sf_dir).select("line_no", "line")
+
+
+def tokenize(spark, sf_dir):
+    return _doc_lines(spark, sf_dir).select("line_no", F.posexplode(text.tokens(F.col("line"))).alias("pos", "token")).select("line_no", F.col("pos").cast("long"), "token")
+
+
+def token_stats(spark, sf_dir):
+    found = _doc_lines(spark, sf_dir).select(F.explode(text.tokens(F.col("line"))).alias("token"), "line_no")
+    return found.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("n_lines"))
+
+
+def mask_canonical(spark, sf_dir):
+    return _doc_lines(spark, sf_dir).select("line_no", text.apply_masks(F.col("line"), canonical_masks()).alias("masked"))
+
+
+def mask_offline(spark, sf_dir):
+    return _event_lines(spark, sf_dir).select("line_no", text.apply_masks(F.col("line"), OFFLINE).alias("masked"))
+
+
+def bucket_keys(spark, sf_dir):
+    keyed = clustering.bucketed(_doc_lines(spark, sf_dir), canonical_masks())
+    return keyed.groupBy("key", F.col("n_tokens").cast("long").alias("n_tokens")).agg(F.count("*").alias("n_lines"))
+
+
+def template_mine_events(spark, sf_dir):
+    return clustering.clusters(_event_lines(spark, sf_dir), OFFLINE).select("cluster_id", "template", "template_typed", F.col("size").alias("n_lines"))
+
+
+def cluster_sizes(spark, sf_dir):
+    return clustering.clusters(_event_lines(spark, sf_dir), canonical_masks()).select("cluster_id", "first_line", "size")
+
+
+def num_clusters(spark, sf_dir):
+    return clustering.clusters(_event_lines(spark, sf_dir), canonical_masks()).groupBy("dataset").agg(F.countDistinct("cluster_id").alias("n_clusters"))
+
+
+def drain_parse_events(spark, sf_dir):
+    return clustering.parse(_event_lines(spark, sf_dir), OFFLINE).select("line_no", "cluster_id", "template")
+
+
+def typed_templates(spark, sf_dir):
+    return clustering.parse(_event_lines(spark, sf_dir), canonical_masks()).groupBy("template_typed").agg(F.count("*").alias("n_lines"))
+
+
+def drain_parse_documents(spark, sf_dir):
+    return clustering.parse(_doc_lines(spark, sf_dir), OFFLINE).select("line_no", "cluster_id", "template")
+
+
+def drain_slow_path(spark, sf_dir):
+    """Order lines of digits alone: one bucket without a common token, parsed line by line."""
+    o = _table(spark, sf_dir, "orders")
+    digits = [(F.col("o_orderkey") % m).cast("string") for m in (7, 5, 3, 11, 2)]
+    rows = o.select((F.col("o_custkey") % 40).cast("string").alias("dataset"), F.col("o_orderkey").alias("line_no"), F.concat_ws(" ", *digits).alias("line"))
+    return clustering.parse(rows, []).select("dataset", "line_no", "cluster_id", "template")
+
+
+def classify_tokens(spark, sf_dir):
+    found = _doc_lines(spark, sf_dir).select(F.explode(text.tokens(F.col("line"))).alias("token"))
+    return found.groupBy("token").count().select("token", text.classify(F.col("token")).alias("class"))
+
+
+def mask_tokens(spark, sf_dir):
+    return _event_lines(spark, sf_dir).select("line_no", F.array_join(text.mask_tokens(text.tokens(F.col("line"))), " ").alias("masked"))
+
+
+def normalise_lines(spark, sf_dir):
+    return _doc_lines(spark, sf_dir).select("line_no", text.normalise(F.col("line")).alias("normal"), F.array_join(text.sampling_tokens(F.col("line")), " ").alias("tokens"))
+
+
+def line_entropy(spark, sf_dir):
+    return sampling.scored(_talk_lines(spark, sf_dir)).select("dataset", "line_no", F.round("entropy", 6).alias("entropy"))
+
+
+def entropy_topk(spark, sf_dir):
+    """The five lines of most entropy of each conversation."""
+    rank = F.row_number().over(W.partitionBy("dataset").orderBy(F.desc(F.round("entropy", 6)), "line_no"))
+    return sampling.scored(_talk_lines(spark, sf_dir)).select("dataset", rank.cast("long").alias("rank"), "line_no").where("rank <= 5")
+
+
+def jaccard_pairs(spark, sf_dir):
+    """Each turn and the next of its conversation."""
+    found = _talk_lines(spark, sf_dir).withColumn("t", text.sampling_tokens(F.col("line")))
+    after = F.lead("t").over(W.partitionBy("dataset").orderBy("line_no"))
+    return found.withColumn("u", after).where("u is not null").select("dataset", "line_no", F.round(text.jaccard(F.col("t"), F.col("u")), 9).alias("jaccard"))
+
+
+def entropy_greedy_sample(spark, sf_dir):
+    return sampling.entropy_greedy_sample(_event_lines(spark, sf_dir), 20).select("rank", "line_no", "line")
+
+
+def synth_offline_masks(spark, sf_dir):
+    masks = synthesis.synthesize_offline(_doc_lines(spark, sf_dir))
+    return spark.createDataFrame([(i, m.label, m.pattern) for i, m in enumerate(masks)], "ord long, label string, pattern string")
+
+
+def canonical_bundle(spark, sf_dir):
+    return spark.createDataFrame([(i, m.label, m.pattern) for i, m in enumerate(canonical_masks())], "ord long, label string, pattern string")
+
+
+def _truth_and_prediction(spark, sf_dir):
+    rows = _event_truth(spark, sf_dir)
+    truth = rows.select("dataset", "line_no", F.hash("kind").alias("cluster_id"), F.col("kind").alias("template"))
+    return truth, rows.select("dataset", "line_no", F.hash("level").alias("cluster_id"), F.when(F.col("line_no") % 3 == 0, F.col("kind")).otherwise(F.col("level")).alias("template"))
+
+
+def grouping_accuracy(spark, sf_dir):
+    """Truth: event type. Prediction: event type, but for users ending in 3, whose lines are one group by level."""
+    rows = _event_truth(spark, sf_dir)
+    truth = rows.select("dataset", "line_no", F.hash("kind").alias("cluster_id"))
+    mixed = F.when((F.col("kind") == "click") | (F.col("dataset") == "u3"), F.col("level")).otherwise(F.col("kind"))
+    return metrics.grouping_accuracy(truth, rows.select("dataset", "line_no", F.hash(mixed).alias("cluster_id"))).select("dataset", F.round("GA", 9).alias("GA"))
+
+
+def parsing_accuracy(spark, sf_dir):
+    return metrics.parsing_accuracy(*_truth_and_prediction(spark, sf_dir)).select("dataset", F.round("PA", 9).alias("PA"))
+
+
+def macro_avg(spark, sf_dir):
+    truth, predicted = _truth_and_prediction(spark, sf_dir)
+    return metrics.with_macro_average(metrics.scores(truth, predicted, "level"))
+
+
+def truth_from_templates(spark, sf_dir):
+    """Types of events numbered in the order in which each group of users shows them."""
+    rows = _event_truth(spark, sf_dir).select("dataset", "line_no", F.col("kind").alias("template"))
+    return metrics.first_appearance_ids(rows, "template").select("dataset", "line_no", "cluster_id", "template")
+
+
+def length_mismatch_fallback(spark, sf_dir):
+    rows = _event_truth(spark, sf_dir)
+    corpus = rows.select("dataset", "line_no")
+    truth = rows.where("dataset <> 'u5' OR line_no % 2 = 0").select("dataset", "line_no", F.lit(1).cast("long").alias("cluster_id"), F.col("kind").alias("template"))
+    fallback = rows.select("dataset", "line_no", F.lit(0).cast("long").alias("cluster_id"), F.col("level").alias("template"))
+    return metrics.truth_or_fallback(corpus, truth, fallback).groupBy("dataset", "from_file", "template").agg(F.count("*").alias("n"))
+
+
+def dataset_manifest(spark, sf_dir):
+    talk = _talk_lines(spark, sf_dir)
+    return sources.manifest(talk, talk.select("dataset", F.lower("line").alias("template"))).select("name", "logs", "templates", "checksum")
+
+
+def align_template(spark, sf_dir):
+    lines = _event_lines(spark, sf_dir).withColumn("template", F.lit(EVENT_TEMPLATE))
+    return alignment.aligned(lines).select("line_no", F.array_join("values", "|").alias("slots"))
+
+
+def classify_values(spark, sf_dir):
+    found = _doc_lines(spark, sf_dir).select(F.explode(text.tokens(F.col("line"))).alias("value")).distinct()
+    return found.select("value", alignment.value_pattern(F.col("value")).alias("pattern"))
+
+
+def training_examples(spark, sf_dir):
+    lines = _event_lines(spark, sf_dir).withColumn("template", F.lit(EVENT_TEMPLATE))
+    return alignment.training_examples(lines).select("line_no", "input", "output")
+
+
+def max_per_system(spark, sf_dir):
+    rows = _event_truth(spark, sf_dir).select("dataset", "line_no", F.concat_ws(" ", "kind", "level").alias("line"), F.when(F.col("level") != "INFO", F.concat("kind", F.lit(" <*>"))).otherwise("never <*>").alias("template"))
+    return alignment.training_examples(rows, max_per_dataset=10).select("dataset", "line_no", "input")
+
+
+def raw_literals(spark, sf_dir):
+    html = _table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, 120).alias("p"))
+    return html.select("page_id", alignment.raw_literal(F.col("p")).alias("literal"), alignment.literal_list(F.array(F.lit("a\\"), F.col("p"))).alias("list"))
+
+
+def scrub(spark, sf_dir):
+    docs = _doc_lines(spark, sf_dir).select("line_no", text.scrub(F.col("line")).alias("scrubbed"), F.lit("document").alias("kind"))
+    urls = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("line_no"), text.scrub(F.concat(F.col("url"), F.lit(" hostname=h-"), F.col("page_id"), F.lit(",x"))).alias("scrubbed"), F.lit("page").alias("kind"))
+    return docs.unionByName(urls)
+
+
+def ts_prefix_groups(spark, sf_dir):
+    return online.prefix_groups(_event_lines(spark, sf_dir))
+
+
+def cache_keys(spark, sf_dir):
+    key = online.cache_key(text.tokens(F.col("line")))
+    return _doc_lines(spark, sf_dir).select(key.alias("k")).groupBy("k.first_token", "k.n_tokens").agg(F.count("*").alias("n_lines"))
+
+
+def pair_merge_template(spark, sf_dir):
+    """Template of each event line and the next of the same user."""
+    found = _event_lines(spark, sf_dir).withColumn("t", text.tokens(F.col("line"))).withColumn("user", F.element_at("t", 6))
+    after = F.lead("t").over(W.partitionBy("user").orderBy("line_no"))
+    return found.withColumn("u", after).where("u is not null").select("line_no", F.array_join(text.pair_template(F.col("t"), F.col("u")), " ").alias("template"))
+
+
+def pair_jaccard(spark, sf_dir):
+    found = _event_lines(spark, sf_dir).withColumn("t", text.tokens(F.col("line"))).withColumn("user", F.element_at("t", 6))
+    after = F.lead("t").over(W.partitionBy("user").orderBy("line_no"))
+    return found.withColumn("u", after).where("u is not null").select("line_no", F.round(text.jaccard(F.col("t"), F.col("u")), 9).alias("jaccard"), F.round(text.similarity(F.col("t"), F.col("u")), 9).alias("similarity"))
+
+
+def online_parse(spark, sf_dir):
+    records = _talk_lines(spark, sf_dir).select(F.col("dataset").alias("source"), "line_no", "line")
+    return online.online_parse(records).select("source", "line_no", "group_id", "size", F.array_join("template", " ").alias("template"))
+
+
+def format_report(spark, sf_dir):
+    truth, predicted = _truth_and_prediction(spark, sf_dir)
+    rows = metrics.scores(truth, predicted, "level")
+    return reports.body_rows(rows.withColumn("at", F.col("dataset")), "at")
+
+
+def record_rows(spark, sf_dir):
+    """Pages' addresses as records, with their short descriptions."""
+    at = _table(spark, sf_dir, "pages").select(F.sha2(F.concat_ws(":", "url", F.col("page_id").cast("string")), 256).alias("record_id"), F.col("url").alias("source"), F.substring("html", 1, 200).alias("text"))
+    return sources.described(at).select("record_id", "description")
+
+
+def evaluate_events(spark, sf_dir):
+    """Synthesis, parsing and scores against the canonical truth, for each group of users."""
+    e = _event_lines(spark, sf_dir).withColumn("dataset", F.concat(F.lit("u"), F.element_at(F.split("line", " "), 6).cast("long") % 2))
+    return evaluation.evaluate(e, settings=evaluation.Settings(k=20))
+
+
+_NOT_QUERIES = {"queries", "oracle_sql"}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in _NOT_QUERIES}
 
-def queries() -> dict:
-    return {}
 
+def oracle_sql() -> dict[str, str]:
+    from .oracle import ORACLE
 
-def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
