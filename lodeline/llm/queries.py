@@ -59,13 +59,14 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_files())
 
 
-def tokenizer_path() -> str:
+def tokenizer_files() -> tuple[str, str, str]:
+    """The tokenizer, and the same vocabulary as ranks with its pattern."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
