@@ -182,12 +182,15 @@ def members(source) -> Iterator[bytes]:
             rest, d, parts = d.unused_data, zlib.decompressobj(31), []
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (names in lower case) and block of one record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
-    return fields, rest[: int(fields["content-length"])]
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record; a member holds one as a rule."""
+    at = 0
+    while at < len(data):
+        body = data.index(b"\r\n\r\n", at) + 4
+        lines = data[at : body - 4].decode().split("\r\n")
+        fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
+        at = body + int(fields["content-length"]) + 4
+        yield fields, data[body : at - 4]
 
 
 def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id") -> DataFrame:
@@ -206,8 +209,7 @@ def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id") -> Dat
                 store, path = fs.FileSystem.from_uri(f"{uri}/{name}")
                 rows, held = [], 0
                 with store.open_input_stream(path, compression=None) as source:
-                    for data in members(source):
-                        head, block = parse(data)
+                    for head, block in (r for data in members(source) for r in parse(data)):
                         if head["warc-type"] == "warcinfo":
                             continue
                         http, _, payload = block.partition(b"\r\n\r\n")
@@ -219,7 +221,7 @@ def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id") -> Dat
                         if not revisit and hashlib.sha1(payload).hexdigest() != hex_digest:
                             raise ValueError(f"{name}: the payload of {head['warc-record-id']} doesn't match its digest")
                         rows.append((number(head.get("x-page")), length, hex_digest, head["warc-type"], number(head.get("x-refers-to-page")), head.get("warc-target-uri"), None if revisit else payload))
-                        held += len(data)
+                        held += len(block)
                         if held > 4 << 20:
                             yield table(rows)
                             rows, held = [], 0
