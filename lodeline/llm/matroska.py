@@ -53,7 +53,7 @@ def lace(frames: list[bytes], kind: int) -> bytes:
     head = bytes([len(frames) - 1])
     if kind == XIPH:
         head += b"".join(b"\xff" * (s // 255) + bytes([s % 255]) for s in sizes[:-1])
-    elif kind == EBML_LACING:
+    elif kind == EBML_LACING and len(sizes) > 1:
         head += vint(sizes[0])
         for before, s in zip(sizes, sizes[1:-1], strict=False):
             step = s - before
