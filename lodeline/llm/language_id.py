@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, text_runs
 
-SAMPLE, BUCKETS, UNDETERMINED = 4000, 1 << 13, "und"
+SAMPLE, BUCKETS, UNDETERMINED = 2000, 1 << 13, "und"
 _SHRINK = 5.0
 
 
@@ -80,18 +80,19 @@ class Model:
 
 
 def fit(languages: list[str], counts: np.ndarray, total: np.ndarray, label: np.ndarray) -> Model:
-    """Ridge regression of every bit on scaled frequencies, in the dual (texts x texts)."""
-    x = counts.astype(np.float32) / (total + _SHRINK)[:, None].astype(np.float32)
-    mean = x.mean(0)
-    scale = x.std(0) + 1e-4
-    z = (x - mean) / scale
+    """Ridge regression of every bit on scaled frequencies, in the dual (texts x texts). counts is used up."""
+    z = counts
+    z /= (total + _SHRINK)[:, None].astype(np.float32)
+    mean = z.mean(0)
+    scale = z.std(0) + 1e-4
+    z -= mean
+    z /= scale
     code = codewords(len(languages))
     y = code[label].astype(np.float64)
     share = np.bincount(label, minlength=len(languages))[label]
     root = np.sqrt(len(label) / (len(languages) * share))  # languages weigh the same
     kernel = (z @ z.T).astype(np.float64) / z.shape[1]
-    weighted = kernel * root[:, None] * root[None] + 0.05 * np.eye(len(z))
-    alpha = np.linalg.solve(weighted, y * root[:, None]) * root[:, None]
+    alpha = np.linalg.solve(kernel * root[:, None] * root[None] + 0.05 * np.eye(len(z)), y * root[:, None]) * root[:, None]
     table = (z.T @ alpha.astype(np.float32)) / z.shape[1] / scale[:, None]
     bias = -(mean @ table)
     right = (np.sign(kernel @ alpha) == y).mean(0)
@@ -122,11 +123,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     got = chosen.select("lang", "text").mapInArrow(sparse, "lang string, grams binary").collect()
     got.sort(key=lambda r: (r[0].encode(), bytes(r[1])))
+    label = np.array([languages.index(r[0]) for r in got])
     x = np.zeros((len(got), BUCKETS), np.float32)
-    for i, (_, grams) in enumerate(got):
-        at, number = np.frombuffer(grams, "<u4").reshape(2, -1)
+    for i in range(len(got)):
+        at, number = np.frombuffer(got[i][1], "<u4").reshape(2, -1)
         x[i, at] = number
-    return fit(languages, x, x.sum(1), np.array([languages.index(r[0]) for r in got])) if got else None
+        got[i] = None
+    return fit(languages, x, x.sum(1), label) if got else None
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
