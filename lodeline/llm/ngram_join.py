@@ -10,10 +10,10 @@ little, that would have to be used.
 Segment subsets. A set that can differ from its partners in h shingles indexes only h + 1 of its segments, the first in an order that
 depends on a segment's content alone, small ones last: of two sets that share m - h segments, the first h + 1 of each hold a common one.
 
-Verification. Sets that share a segment meet in its bucket. Only components are asked for, so a bucket doesn't write out all its pairs:
-its members are compared with one pivot, exactly, by their texts; links merge components, and only buckets that still hold several
-components go on to the next pivot. After `stars` turns what is left, pairs of different components that share a bucket and were not yet
-compared, is compared in full. Nothing is dropped: a pair is left unverified only if it is already known to be in one component.
+Verification. Sets that share a segment meet in its bucket. Linked sets share a bucket, so they lie in one component of the sets and buckets,
+a canopy; a bucket gives its members' edges to one of them, not its pairs. The members of a canopy are dealt into blocks of bounded size, each
+two blocks meet in a task, and there all intersections are counted exactly as one product of 0/1 matrices. A task returns for each set
+the least of its component in the task, so what is written follows the members and not the pairs. Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from .common import NULL_ID, id_key, keep, own_exchange, text_runs
 from .words import Prefix, grams, mix, split_words
 
 _SEEN_MOST = 1 << 20
+_COLUMNS = 2048
+BLOCK, GROUP = 256, 1024
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +151,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, stars: int = 3) -> DataFrame:
+def block_components(values: list[np.ndarray], left: np.ndarray, percent: int) -> np.ndarray:
+    """For each of the sets in values (distinct hashes) the first position of its component, by links between those in left and the others,
+    or among all if left holds for all."""
+    n = len(values)
+    size = np.array([len(v) for v in values])
+    every, owner = np.concatenate(values), np.repeat(np.arange(n), size)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    token = np.cumsum(new) - 1
+    several = np.bincount(token)[token] > 1
+    token, owner = np.unique(token[several], return_inverse=True)[1], owner[several]
+    rows, columns = (np.arange(n), np.arange(n)) if left.all() else (np.flatnonzero(left), np.flatnonzero(~left))
+    both = np.zeros((len(rows), len(columns)), np.float32)
+    for start in range(0, int(token.max(initial=-1)) + 1, _COLUMNS):
+        here = (token >= start) & (token < start + _COLUMNS)
+        part = np.zeros((n, _COLUMNS), np.float32)
+        part[owner[here], token[here] - start] = 1
+        both += part[rows] @ part[columns].T
+    linked = np.zeros((n, n), bool)
+    linked[np.ix_(rows, columns)] = 100 * both >= percent * (size[rows, None] + size[columns] - both)
+    linked |= linked.T
+    np.fill_diagonal(linked, True)
+    label = np.arange(n)
+    while True:
+        least = np.where(linked, label[None], n).min(1)
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """id, n_shingles, component_id for each row of docs: the smallest id reachable by links of Jaccard similarity >= percent / 100.
 
     Words are lower-cased (A-Z) runs of non-space bytes, shingles `size` of them. A null or empty text has no shingles and is linked with
@@ -183,57 +218,38 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 row, key = segment_keys(text[own], value[own], n, bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c[row])], names=["seg", "c"])
 
-    def verify(batches):
-        for batch in batches:
-            sets: list[list[np.ndarray]] = [[], []]
-            for found, name in zip(sets, ("text", "other"), strict=True):
-                for _, n, data, offsets in text_runs(batch.column(name)):
-                    text, value = shingles(data, offsets, size)
-                    found += np.split(value, np.searchsorted(text, np.arange(1, n)))
-            linked = []
-            for x, y in zip(*sets, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("canopy", "ascending"), ("i", "ascending"), ("j", "ascending"), ("block", "ascending"), ("a", "ascending")]).combine_chunks()
+        key = np.array([table.column(c).to_numpy() for c in ("canopy", "i", "j")]).T
+        ids, block = table.column("a").to_numpy(), table.column("block").to_numpy()
+        values: list[np.ndarray] = []
+        for _, n, data, offsets in text_runs(table.column("text")):
+            text, value = shingles(data, offsets, size)
+            values += np.split(value, np.searchsorted(text, np.arange(1, n)))
+        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+        out = np.arange(len(ids))
+        for first, last in zip(edge, [*edge[1:], len(ids)], strict=True):
+            if last - first > 1:
+                left = block[first:last] == key[first, 1]
+                out[first:last] = first + block_components(values[first:last], left, percent)
+        return pa.table({"a": ids[out != np.arange(len(ids))], "b": ids[out[out != np.arange(len(ids))]]})
 
     sets = keep(texts.mapInArrow(describe, "k long, n long, c long, c2 long"), "sets")
     classes = keep(sets.where("n > 0").groupBy("n", "c", "c2").agg(F.min("k").alias("rep")), "classes")
     rows = texts.mapInArrow(index, "seg long, c long")
     shared = rows.groupBy("seg").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("seg", "p")
-    members = keep(rows.join(own_exchange(shared, "seg"), "seg"), "members")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs of representatives (a, b) whose texts are linked."""
-        left = texts.withColumnRenamed("k", "a").join(pairs, "a")
-        right = texts.select(F.col("k").alias("a"), F.col("text")).select(F.col("a").alias("b"), F.col("text").alias("other"))
-        return left.join(right, "b").select("a", "b", "text", "other").mapInArrow(verify, "a long, b long").distinct()
-
-    def as_pairs(found: DataFrame) -> DataFrame:
-        """Pairs of representatives from pairs of classes (c, p) whose sizes allow a link."""
-        side = lambda name, end: classes.select(F.col("c").alias(name), F.col("n").alias(f"n_{name}"), F.col("rep").alias(end))
-        sized = found.join(side("c", "x"), "c").join(side("p", "y"), "p").where(F.least("n_c", "n_p") * 100 >= F.greatest("n_c", "n_p") * percent)
-        return sized.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    done = keep(as_pairs(members.where("c <> p").select("c", "p").distinct()), "pairs")
-    links = keep(linked(done), "links")
-    labels = components(links)
-    for turn in range(1, stars + 1):
-        label = F.coalesce("label", "rep")
-        own = keep(classes.join(labels, classes.rep == labels.v, "left").select("c", "n", label.alias("label")), "own")
-        at = members.select("seg", "c").join(own, "c")
-        split = at.groupBy("seg").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.min(F.struct(F.xxhash64("c", F.lit(turn)), "c", "label")).alias("pivot")).where("one <> other")
-        members = keep(at.join(own_exchange(split, "seg"), "seg").select("seg", "c", "n", "label", F.col("pivot.c").alias("p"), F.col("pivot.label").alias("p_label")), "members")
-        if turn == stars:
-            there = members.select("seg", F.col("c").alias("p"), F.col("label").alias("p_label"), F.col("n").alias("p_n"))
-            near = (F.col("c") < F.col("p")) & (F.col("label") != F.col("p_label")) & (F.least("n", "p_n") * 100 >= F.greatest("n", "p_n") * percent)
-            found = members.select("seg", "c", "label", "n").join(there, "seg").where(near)
-        else:
-            found = members.where("label <> p_label")
-        fresh = keep(as_pairs(found.select("c", "p").distinct()).join(done, ["a", "b"], "left_anti"), "pairs")
-        if fresh.limit(1).count():
-            done = done.union(fresh)
-            links = links.union(keep(linked(fresh), "links"))
-            labels = components(links)
+    meet = rows.join(own_exchange(shared, "seg"), "seg").where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
+    canopy = components(meet)
+    of = classes.join(canopy, classes.c == canopy.v).select(F.col("rep").alias("k"), F.col("label").alias("canopy"))
+    counts = of.groupBy("canopy").agg(F.count("*").alias("members")).where("members > 1")
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    placed = keep(of.join(own_exchange(counts, "canopy"), "canopy").select("k", "canopy", blocks.alias("blocks"), F.pmod(F.xxhash64("k"), blocks).cast("int").alias("block")), "canopies")
+    groups = max(1, -(-(placed.agg(F.sum("blocks")).first()[0] or 0) // group))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = texts.join(placed, "k").select(F.col("k").alias("a"), "text", "canopy", "block", other.alias("j"))
+    met = met.select("a", "text", "canopy", "block", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"))
+    linked = met.groupBy(F.pmod(F.xxhash64("canopy", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(compare, "a long, b long")
+    labels = components(linked)
     component = classes.join(labels, classes.rep == labels.v, "left").select("n", "c", "c2", F.coalesce("label", "rep").alias("component"))
     back = lambda column: F.when(F.col(column) != NULL_ID, F.col(column))
     return sets.join(component, ["n", "c", "c2"], "left").select(back("k").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, back("component")).otherwise(back("k")).alias("component_id"))
