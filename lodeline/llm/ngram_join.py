@@ -11,18 +11,20 @@ Segment subsets. A set that can differ from its partners in h shingles indexes o
 depends on a segment's content alone, small ones last: of two sets that share m - h segments, the first h + 1 of each hold a common one.
 
 Verification. Sets that share a segment meet in its bucket. Linked sets share a bucket, so they lie in one component of the sets and buckets,
-a canopy; a bucket gives its members' edges to one of them, not its pairs. The members of a canopy are dealt into blocks of bounded size, each
-two blocks meet in a task, and there all intersections are counted exactly as one product of 0/1 matrices. A task returns for each set
+a canopy; a bucket gives its members' edges to one of them, not its pairs. The members of a large canopy are parted into levels of size, of which only
+neighbouring ones can be linked, and dealt into blocks of bounded size; each two blocks that can be linked meet in a task, and there all intersections are counted exactly as one product of 0/1 matrices. A task returns for each set
 the least of its component in the task, so what is written follows the members and not the pairs. Nothing is dropped.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_key, keep, own_exchange, text_runs
@@ -240,14 +242,27 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = rows.groupBy("seg").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("seg", "p")
     meet = rows.join(own_exchange(shared, "seg"), "seg").where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
     canopy = components(meet)
-    of = classes.join(canopy, classes.c == canopy.v).select(F.col("rep").alias("k"), F.col("label").alias("canopy"))
+    of = classes.join(canopy, classes.c == canopy.v).select(F.col("rep").alias("k"), "n", F.col("label").alias("canopy"))
     counts = of.groupBy("canopy").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    placed = keep(of.join(own_exchange(counts, "canopy"), "canopy").select("k", "canopy", blocks.alias("blocks"), F.pmod(F.xxhash64("k"), blocks).cast("int").alias("block")), "canopies")
-    groups = max(1, -(-(placed.agg(F.sum("blocks")).first()[0] or 0) // group))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = texts.join(placed, "k").select(F.col("k").alias("a"), "text", "canopy", "block", other.alias("j"))
-    met = met.select("a", "text", "canopy", "block", F.least("block", "j").alias("i"), F.greatest("block", "j").alias("j"))
+    level = F.when(F.col("members") > block, F.floor(F.log("n") / math.log(100.1 / percent))).otherwise(0).cast("int")
+    leveled = of.join(own_exchange(counts, "canopy"), "canopy").select("k", "canopy", level.alias("level"), F.xxhash64("canopy", level).alias("cell"))
+    cells = leveled.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.first("canopy").alias("canopy"), F.first("level").alias("level"))
+    by_level = W.partitionBy("canopy").orderBy("level")
+    beside = lambda step: F.when(F.lag("level", -step).over(by_level) == F.col("level") + step, F.lag("blocks", -step).over(by_level)).otherwise(0)
+    cells = cells.select("cell", "blocks", beside(-1).alias("below"), beside(1).alias("above"))
+    placed = leveled.join(own_exchange(cells, "cell"), "cell").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    placed = keep(placed, "canopies")
+    groups = max(1, -(-(placed.agg(F.sum(F.col("blocks") + F.col("below") + F.col("above"))).first()[0] or 0) // group))
+    place = lambda level, b: F.col("level").cast("long") * F.lit(1 << 32) + F.lit(level << 32) + b
+
+    def across(step: int, blocks: str):
+        """Pairs of the own block with each block of the level `step` further."""
+        other = F.transform(F.sequence(F.lit(1), F.col(blocks)), lambda b: place(step, b - 1))
+        mine = place(0, F.col("own"))
+        return F.when(F.col(blocks) > 0, F.transform(other, lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
+
+    pairs = F.concat(across(0, "blocks"), across(1, "above"), across(-1, "below"))
+    met = texts.join(placed, "k").select(F.col("k").alias("a"), "text", "canopy", place(0, F.col("own")).alias("block"), F.explode(pairs).alias("p")).select("a", "text", "canopy", "block", "p.i", "p.j")
     linked = met.groupBy(F.pmod(F.xxhash64("canopy", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(compare, "a long, b long")
     labels = components(linked)
     component = classes.join(labels, classes.rep == labels.v, "left").select("n", "c", "c2", F.coalesce("label", "rep").alias("component"))

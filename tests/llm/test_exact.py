@@ -91,8 +91,9 @@ def plain_components(rows, size, percent):
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 60)])
-def test_ngram_join(docs, size, percent):
-    got = ngram_join.join_components(docs, size=size, percent=percent).collect()
+@pytest.mark.parametrize("block", [256, 9])
+def test_ngram_join(docs, size, percent, block):
+    got = ngram_join.join_components(docs, size=size, percent=percent, block=block, group=64).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components([(r[0], r[1]) for r in corpus()], size, percent)
 
 
