@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import held_out, text_runs
 
@@ -156,5 +157,5 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     kept = docs.columns
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
     return docs.select("*", F.coalesce(F.lower(text_col), F.lit("")).alias("__lower"), lettered.alias("__lettered")).mapInArrow(decode, schema)
