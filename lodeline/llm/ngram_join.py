@@ -33,6 +33,7 @@ from .words import Prefix, grams, mix, split_words
 _SEEN_MOST = 1 << 20
 _COLUMNS = 2048
 BLOCK, GROUP = 256, 1024
+_FEW = 250_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,13 +140,16 @@ def _classes(text: np.ndarray, value: np.ndarray, n_texts: int) -> tuple[np.ndar
 
 def components(links: DataFrame) -> DataFrame:
     """v, label for every end of the links (a, b): the least id of its component. Labels are passed to neighbours and then followed to the
-    label's own label, so long chains end after few turns."""
+    label's own label, so long chains end after few turns. Up to `_FEW` edges, by count, a turn is one task and needs no exchange."""
     edges = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = keep(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
+    few = edges.count() <= _FEW
+    near_by = lambda df: df.coalesce(1) if few else df
+    labels = keep(near_by(edges).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
     while True:
-        near = edges.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
-        least = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = least.join(labels.select(F.col("v").alias("label"), F.col("label").alias("further")), "label", "left")
+        now = near_by(labels)
+        near = near_by(edges).join(now.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
+        least = now.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        jump = least.join(now.select(F.col("v").alias("label"), F.col("label").alias("further")), "label", "left")
         after = keep(jump.select("v", "old", F.least("label", "further").alias("label")), "labels")
         moved = after.where("old <> label").limit(1).count()
         labels = after.select("v", "label")
