@@ -160,7 +160,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     places = placed.mapInArrow(blocks, "a int, block long, k long")
     index = places.groupBy("a", "block").agg(F.min("k").alias("k"))
-    several = index.select(F.col("a").cast("long").alias("a")).groupBy("a").count().where("count > 1").select("a", F.lit(True).alias("many"))
+    ends = places.groupBy(F.col("a").cast("long").alias("a")).agg(F.min("block").alias("one"), F.max("block").alias("other"))
+    several = ends.where("one <> other").select("a", F.lit(True).alias("many"))
     marked = index.select(F.col("a").cast("long").alias("a"), "block", "k").join(own_exchange(several, "a"), "a", "left")
     marks = marked.groupBy("k").agg(F.collect_list("block").alias("owned"), F.collect_list(F.when(F.col("many"), F.col("block"))).alias("many"))
     parsed = placed.join(marks, "k", "left")
