@@ -265,8 +265,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         mine = place(0, F.col("own"))
         return F.when(F.col(blocks) > 0, F.transform(other, lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
 
+    # placed grows with the corpus: it is never broadcast, however small it is now
     pairs = F.concat(across(0, "blocks"), across(1, "above"), across(-1, "below"))
-    met = texts.join(placed, "k").select(F.col("k").alias("a"), "text", "canopy", place(0, F.col("own")).alias("block"), F.explode(pairs).alias("p")).select("a", "text", "canopy", "block", "p.i", "p.j")
+    met = texts.join(placed.hint("merge"), "k").select(F.col("k").alias("a"), "text", "canopy", place(0, F.col("own")).alias("block"), F.explode(pairs).alias("p")).select("a", "text", "canopy", "block", "p.i", "p.j")
     linked = met.groupBy(F.pmod(F.xxhash64("canopy", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(compare, "a long, b long")
     labels = components(linked)
     component = classes.join(labels, classes.rep == labels.v, "left").select("n", "c", "c2", F.coalesce("label", "rep").alias("component"))
