@@ -105,8 +105,8 @@ ORACLE = {
     "entropy_topk": f"WITH {_TALK}, {_ENTROPY} SELECT * FROM (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY entropy DESC, line_no) AS rank, line_no FROM e) WHERE rank <= 5",
     "jaccard_pairs": f"WITH {_TALK}, s AS (SELECT dataset, line_no, {_SAMPLE_TOKENS} AS t FROM talk), p AS (SELECT *, lead(t) OVER (PARTITION BY dataset ORDER BY line_no) AS u FROM s) SELECT dataset, line_no, round({_jaccard('t', 'u')}, 9) AS jaccard FROM p WHERE u IS NOT NULL",
     "synth_offline_masks": f"WITH {_DOC}, tok AS (SELECT unnest({_tokens('line')}) AS token FROM docl), m AS ("
-    + " UNION ALL ".join([f"SELECT {i} AS at, '{c}' AS label, {_q(CLASSES[c])} AS pattern" for i, c in enumerate(CORE)] + [f"SELECT {4 + i}, '{c}', {_q(_PATTERNS[c])} WHERE EXISTS (SELECT 1 FROM tok WHERE regexp_full_match(token, {_q(_OPTIONAL_WHOLE[c])}))" for i, c in enumerate(OPTIONAL)])
-    + ") SELECT row_number() OVER (ORDER BY at) - 1 AS ord, label, pattern FROM m",
+    + " UNION ALL ".join([f"SELECT {i} AS place, '{c}' AS label, {_q(CLASSES[c])} AS pattern" for i, c in enumerate(CORE)] + [f"SELECT {4 + i}, '{c}', {_q(_PATTERNS[c])} WHERE EXISTS (SELECT 1 FROM tok WHERE regexp_full_match(token, {_q(_OPTIONAL_WHOLE[c])}))" for i, c in enumerate(OPTIONAL)])
+    + ") SELECT row_number() OVER (ORDER BY place) - 1 AS ord, label, pattern FROM m",
     "canonical_bundle": " UNION ALL ".join(f"SELECT {i}::BIGINT AS ord, '{c}' AS label, {_q(p)} AS pattern" for i, (c, p) in enumerate(CLASSES.items())),
     "grouping_accuracy": f"WITH {_TRUTH}, {_ga('''CASE WHEN kind = 'click' OR dataset = 'u3' THEN level ELSE kind END''')} SELECT dataset, round(g, 9) AS \"GA\" FROM ga",
     "parsing_accuracy": f"WITH {_PREDICTED} SELECT dataset, round(avg(right_template::INT)::DOUBLE, 9) AS \"PA\" FROM pp GROUP BY dataset",
