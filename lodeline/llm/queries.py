@@ -54,6 +54,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_line_dedup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op8_line_dedup, but every repeated line goes, however short its run or its document."""
+    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=1, width=1)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -125,6 +131,19 @@ ORACLE = {
                  FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
         SELECT raw.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(t) END AS kept_sha256
         FROM raw LEFT JOIN kept USING (doc_id)""",
+    "op8_line_dedup_single": r"""
+        WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        line AS (SELECT doc_id, pos, ls[pos + 1] AS line FROM raw, unnest(range(0, len(ls))) t(pos)),
+        full_line AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM line WHERE trim(line) <> ''),
+        later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS r FROM full_line) WHERE r > 1),
+        island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM later),
+        span AS (SELECT doc_id, isle, min(pos) AS s, max(pos) AS e FROM island GROUP BY doc_id, isle),
+        gone AS (SELECT DISTINCT doc_id, pos FROM span, unnest(range(s, e + 1)) u(pos)),
+        kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,
+                        coalesce(string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos), '') AS t
+                 FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+        SELECT raw.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(t) END AS kept_sha256
+        FROM raw LEFT JOIN kept USING (doc_id)""",
     "op6_ngram_jaccard_join": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
         w AS (SELECT doc_id, {_WORDS} AS ws FROM d),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeline.llm import line_dedup, mixing, ngram_join, packing, substring_dedup, topk
-from lodeline.llm.queries import tokenizer_files
+from lodeline.llm.queries import queries, tokenizer_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, k long, n_words long, size long, th string"
@@ -163,6 +163,16 @@ def test_line_dedup_edges(spark):
     assert sorted(got, key=str) == sorted([(None, "a\nb\nc"), (1, "d"), (1, "d"), (2, "q"), (3, None)], key=str)
 
 
+def test_line_dedup_single(spark, tmp_path):
+    """Repeated single lines and pairs, and documents of one or two lines, which runs of three lines don't reach."""
+    long = "a line of more than ten words that stands in several documents alone"
+    rows = [(1, long), (2, long), (3, "p\nq"), (4, "p\n \nq"), (5, f"x\n{long}\ny\nz"), (6, "r\nr\ns"), (7, None), (8, ""), *((i + 10, t) for i, t, *_ in corpus())]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_sha256) for r in queries()["op8_line_dedup_single"](spark, str(tmp_path)).collect()}
+    expected = {i: (n, gone, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, (n, gone, t) in plain_lines(rows, 1).items()}
+    assert got == expected and [got[i][1] for i in range(1, 9)] == [0, 1, 0, 3, 1, 1, 0, 0]
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs, block=4, shard_docs=20).collect()
     again = mixing.mix(docs, block=4, shard_docs=20).collect()
