@@ -220,6 +220,12 @@ def raw_literals(spark, sf_dir):
     return html.select("page_id", alignment.raw_literal(F.col("p")).alias("literal"), alignment.literal_list(F.array(F.lit("a\\"), F.col("p"))).alias("list"))
 
 
+def raw_literals_whole(spark, sf_dir):
+    """As raw_literals, over whole pages."""
+    html = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("p"))
+    return html.select("page_id", alignment.raw_literal(F.col("p")).alias("literal"), alignment.literal_list(F.array(F.lit("a\\"), F.col("p"))).alias("list"))
+
+
 def scrub(spark, sf_dir):
     docs = _doc_lines(spark, sf_dir).select("line_no", text.scrub(F.col("line")).alias("scrubbed"), F.lit("document").alias("kind"))
     urls = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("line_no"), text.scrub(F.concat(F.col("url"), F.lit(" hostname=h-"), F.col("page_id"), F.lit(",x"))).alias("scrubbed"), F.lit("page").alias("kind"))
@@ -261,7 +267,7 @@ def format_report(spark, sf_dir):
 
 def record_rows(spark, sf_dir):
     """Pages' addresses as records, with their short descriptions."""
-    at = _table(spark, sf_dir, "pages").select(F.sha2(F.concat_ws(":", "url", F.col("page_id").cast("string")), 256).alias("record_id"), F.col("url").alias("source"), F.substring("html", 1, 200).alias("text"))
+    at = _table(spark, sf_dir, "pages").select(F.sha2(F.concat_ws(":", "url", F.col("page_id").cast("string")), 256).alias("record_id"), F.col("url").alias("source"), F.col("html").alias("text"))
     return sources.described(at).select("record_id", "description")
 
 

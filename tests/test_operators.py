@@ -1,3 +1,4 @@
+import ast
 import json
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from lodeline.functions.patterns import CLASSES, Mask
 from lodeline.operators import alignment, metrics, online, sampling, synthesis
 from lodeline.plans import evaluation, reports
+from lodeline.queries import queries
 from lodeline.sources import lines as sources
 from lodeline.sources import sinks
 
@@ -97,6 +99,15 @@ def test_training_examples(spark):
     assert alignment.training_examples(lines.where("line_no < 3"), entropy_k=1).count() == 1
 
 
+def test_literals_of_whole_pages(spark, tmp_path):
+    pages = ["a" * 300 + '"', "b" * 300 + "\\", "c" * 119 + "\\" + "d", "", 'e"']
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.literal, r.list) for r in queries()["raw_literals_whole"](spark, str(tmp_path)).collect()}
+    assert {i: ast.literal_eval(x) for i, (x, _) in got.items()} == dict(enumerate(pages))
+    assert {i: ast.literal_eval(x) for i, (_, x) in got.items()} == {i: ["a\\", p] for i, p in enumerate(pages)}
+    assert [got[i][0][0] for i in range(5)] == ['"', '"', "r", "r", '"']
+
+
 def test_online(spark):
     lines = ["a b c", "a x c", "d b c", "", "d q r"]
     rows = online.online_parse(frame(spark, lines).withColumnRenamed("dataset", "source")).orderBy("line_no").collect()
