@@ -69,14 +69,15 @@ def top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id"
 
     Components x count as floor(256 x). Rows with a null id, a null vector, or a null or non-finite component take no part; vectors of
     different lengths are not compared. A query's own id is left out, with all rows that repeat it. A row that repeats id and vector counts
-    once. With fewer than k other rows all are given; an empty table gives none. Other columns are not read.
+    once. An id with several vectors asks with each: its result is the k highest products of any of them with any other row, so a vec_id
+    may stand in it more than once. With fewer than k other rows all are given; an empty table gives none. Other columns are not read.
     """
     sound = F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(sound)
     whole = rows.select("id", "q", F.transform("v", lambda x: F.floor(x * 256)).alias("v"), F.size("v").alias("d"))
     counts = whole.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("int")), F.lit(0))).first()
     blocks, query_blocks = max(1, -(-counts[0] // candidates)), max(1, -(-counts[1] // queries))
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n))
+    block = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     given = whole.select("d", "id", "v", block(blocks, "c").alias("c"), every(query_blocks).alias("qb"), F.lit(False).alias("q"))
     asked = whole.where("q").select("d", "id", "v", every(blocks).alias("c"), block(query_blocks, "q").alias("qb"), F.lit(True).alias("q"))
@@ -95,8 +96,9 @@ def top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id"
         from_, own, new = from_[once], own[once], new[once]
         start = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
         few = np.arange(len(new)) - start <= k
-        q_ids, first = np.unique(ids[asking], return_index=True)
-        found = threshold_search(v[asking][first], q_ids, own[few], from_[few], k) if len(q_ids) and len(from_) else []
+        wanted = np.unique(np.column_stack([ids[asking], v[asking]]), axis=0)
+        q_ids = wanted[:, 0]
+        found = threshold_search(wanted[:, 1:], q_ids, own[few], from_[few], k) if len(q_ids) and len(from_) else []
         sizes = [len(i) for i, _ in found]
         get = lambda j: np.concatenate([f[j] for f in found]) if found else np.zeros(0, np.int64)
         return pa.table({"query_id": np.repeat(q_ids[: len(sizes)], sizes), "vec_id": get(0), "score": get(1)})

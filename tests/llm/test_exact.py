@@ -286,3 +286,17 @@ def test_top_k(spark):
     few = topk.top_k(table.where("vec_id < 3"), F.col("vec_id") == 0).collect()
     assert [r.rank for r in few] == [1, 2]
     assert topk.top_k(table.where("vec_id = -1"), F.lit(True)).count() == 0
+
+
+def test_top_k_of_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 80, rng.integers(-40, 40, 4).tolist()) for i in range(400)] + [(25, rng.integers(-40, 40, 4).tolist()) for _ in range(60)]
+    rows += rows[:30]
+    table = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in rows], "vec_id long, embedding array<double>").repartition(7)
+    once = sorted({(i, tuple(v)) for i, v in rows})
+    expected = []
+    for q in (0, 25, 50, 75):
+        scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for p, a in once if p == q for i, b in once if i != q)
+        expected += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1)]
+    for blocks in ({}, {"candidates": 64, "queries": 4}):
+        assert sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 25 == 0, **blocks).collect())) == expected
