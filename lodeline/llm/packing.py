@@ -6,8 +6,9 @@ tokens the rests go to k = ceil(T / window) windows: every piece starts as a par
 spread are merged largest against smallest until one is left, whose sums are as good as equal. If a sum exceeds the window, k rises and the
 differencing starts again. A piece of a full window is a window of its own.
 
-Scale: the text is tokenised once and never shuffled; pieces are rows of a few numbers. The number of groups follows the tokens, groups are
-dealt by (id, start), so a very long or repeated document spreads over all of them, and a group's size is bounded by its tokens.
+Scale: the text is tokenised once and never shuffled; pieces are rows of a few numbers. The number of groups follows the tokens. Equal
+pieces are counted, and their counts cut into portions of a small share of a group; portions are dealt by a hash of the whole piece and the
+portion's number, so long documents, rows that share an id (or have none) and repeated rows all spread over the groups.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from .common import keep
 
 WINDOW, LEAST_CUT, GROUP_TOKENS, END = 2048, 16, 1 << 19, 1
 _TEXTS = 256
+_PORTIONS = 16  # of equal pieces, to a group
 
 
 def piece_lengths(n: int, window: int = WINDOW, least_cut: int = LEAST_CUT) -> list[int]:
@@ -155,6 +157,7 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", window: int = WINDOW,
     names = pieces.columns
 
     def place(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.repeat(np.arange(table.num_rows), table.column("__copies").to_numpy()))).drop_columns(["__copies"])
         table = table.sort_by([("length", "descending"), (id_col, "ascending"), ("start", "ascending"), *((c, "ascending") for c in names if c not in (id_col, "start", "length"))])
         sizes, group = table.column("length").to_numpy(), int(table.column("__group")[0].as_py())
         sequence, offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
@@ -168,7 +171,11 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", window: int = WINDOW,
         table = table.drop_columns(["__group"])
         return table.append_column("sequence_id", pa.array((group << 32) + sequence)).append_column("offset", pa.array(offset))
 
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(id_col, "start"), F.lit(groups)))
+    counted = pieces.groupBy(*names).agg(F.count("*").alias("__n"))
+    most = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(group_tokens / _PORTIONS) / F.col("length")))
+    portions = counted.withColumn("__most", most).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / F.col("__most")))).alias("__portion"))
+    group = F.pmod(F.xxhash64(*names, "__portion"), F.lit(groups))
+    dealt = portions.select(*names, F.least(F.col("__most"), F.col("__n") - F.col("__portion") * F.col("__most")).alias("__copies"), group.alias("__group"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
     return dealt.groupBy("__group").applyInArrow(place, f"{fields}, sequence_id long, offset long")
 

@@ -264,6 +264,18 @@ def test_packing_edges(spark):
     assert packing.pack(odd.where("doc_id = 9"), tokenizer_files()).count() == 0
 
 
+def test_packing_spreads_shared_ids(spark):
+    rows = [(None, 0, 256, i, 256) for i in range(400)] + [(7, 0, 256, 1, 256)] * 400 + [(9, 256, 3, 5, 259)] * 500
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").repartition(3)
+    got = packing.pack_pieces(pieces, window=256, group_tokens=4096).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(rows, key=str)
+    tokens, window = {}, {}
+    for r in got:
+        tokens[r.sequence_id >> 32] = tokens.get(r.sequence_id >> 32, 0) + r.length
+        window[r.sequence_id] = window.get(r.sequence_id, 0) + r.length
+    assert max(tokens.values()) <= 3 * 4096 and max(window.values()) <= 256
+
+
 def plain_top(rows, k, every):
     out, sound = [], [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     for q, a in sound:
