@@ -1,12 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every block of the corpus.
+"""Substring dedup by content-defined blocks and exact window hashes, in place of relative Lempel-Ziv parsing: no factors are made.
 
-Reference blocks: in each window of `window` words the least hash of `anchor` consecutive words is its anchor; the longest run of
+Blocks: in each window of `window` words the least hash of `anchor` consecutive words is its anchor; the longest run of
 windows with one anchor makes a block, so blocks depend on their words alone and every window lies in one block. The index keeps for each
-distinct block the document where it first stands. A document is parsed greedily along its blocks: a block that stands earlier copies from
-the reference, neighbouring copies join into one factor, and a factor covers whole windows, so it is long enough to count. At factor
-boundaries the words around an anchor differ from those that the reference has there: the blocks of an anchor that is known with several
-surroundings are checked window by window, among the first places of each such block. What is copied, by block or by window, is a
-duplicate span.
+distinct block the document where it first stands; all windows of a block that stands earlier are repeats. Where the words around an anchor
+differ from those that it has elsewhere, blocks differ though some of their windows are equal: the blocks of an anchor that is known with
+several surroundings are checked window by window, among the first places of each such block. The windows found, by block or one by one,
+are the duplicate spans.
 
 Exact up to equal 64-bit hashes: equal windows have equal anchors; if their blocks are equal, the block's first place tells; if not, the
 anchor has several blocks, and the first place of a window lies in the first place of one of those.
