@@ -277,10 +277,11 @@ def test_packing_spreads_shared_ids(spark):
 
 
 def plain_top(rows, k, every):
-    out, sound = [], [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    sound = {(i, tuple(int(np.floor(256 * float(x))) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    out = []
     for q, a in sound:
         if q % every == 0:
-            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in set((i, tuple(v)) for i, v in sound) if i != q)
+            scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in sound if i != q)
             out += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:k], 1)]
     return sorted(out)
 
@@ -289,8 +290,8 @@ def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(300)]
     hot = rng.normal(size=6).round(2).tolist()
-    rows += [(300 + i, hot) for i in range(150)] + [(450, None), (451, [1.0, None, 0, 0, 0, 0]), (452, [float("nan")] * 6), (453, [float("inf")] * 6), (None, hot), (300, hot)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score long")
+    rows += [(300 + i, hot) for i in range(150)] + [(450, None), (451, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (452, [float("nan")] * 6), (453, [float("inf")] * 6), (None, hot), (300, hot)]
+    table = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, score long")
     exact = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     for blocks in ({}, {"candidates": 64, "queries": 4}):
         got = sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 25 == 0, **blocks).collect()))
