@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside the operators; it sorts before every other id.
 NULL_ID = -(2**63)
 _OWN_DIR: list[str] = []
+_FEW_SHARED = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and the master is local.
+
+    Elsewhere a folder of our own would be another one on every machine, so an unset spark.checkpoint.dir is a ValueError there.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="lodeline-"))
     return _OWN_DIR[0]
@@ -32,10 +39,34 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table made by keep() that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def id_key(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(NULL_ID))
 
 
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k, t, text, copies: a row for each distinct pair of id and text; k and t together are its key and its place in the order of documents.
+
+    k is the id (NULL_ID for null), t the hash of the text where rows with this id have several texts, else 0. So rows without an id, or
+    with a repeated one, are documents of their own that spread by their texts, while t costs nothing to shuffle where ids are unique.
+    The ids with several texts are counted first: up to _FEW_SHARED they are broadcast, more are joined by a shuffle.
+    """
+    rows = docs.select(id_key(id_col).cast("long").alias("k"), F.col(text_col).alias("text"))
+    h = F.xxhash64("text")
+    shared = keep(rows.groupBy("k").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("k", F.lit(True).alias("shared")), "shared-ids")
+    n = shared.count()
+    if n:
+        rows = rows.join(F.broadcast(shared) if n <= _FEW_SHARED else shared, "k", "left")
+    t = F.when(F.col("shared"), h).otherwise(F.lit(0).cast("long")) if n else F.lit(0).cast("long")
+    return rows.select("k", t.alias("t"), "text").groupBy("k", "t").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+
+
 def own_exchange(df: DataFrame, key: str) -> DataFrame:
     """df, aggregated by its long column key, as a join input that is dealt out anew.
 
@@ -67,13 +98,12 @@ def text_runs(column: pa.Array, most: int = 1 << 20):
         first = last
 
 
-def ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Values of an array<long> column and the row of each."""
+def ragged(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Elements of an array column and the row of each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False)
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return values.astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+    return column.flatten(), np.repeat(np.arange(len(lengths)), lengths)
 
 
 def held_out(column: str) -> Column:

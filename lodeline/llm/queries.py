@@ -31,7 +31,7 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("spans", "factors")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,25 @@
-"""Substring dedup by content-defined blocks and exact window hashes, in place of relative Lempel-Ziv parsing: no factors are made.
+"""Substring dedup by relative Lempel-Ziv parsing: texts are factored greedily against the reference blocks of the whole corpus.
 
-Blocks: in each window of `window` words the least hash of `anchor` consecutive words is its anchor; the longest run of
-windows with one anchor makes a block, so blocks depend on their words alone and every window lies in one block. The index keeps for each
-distinct block the document where it first stands; all windows of a block that stands earlier are repeats. Where the words around an anchor
-differ from those that it has elsewhere, blocks differ though some of their windows are equal: the blocks of an anchor that is known with
-several surroundings are checked window by window, among the first places of each such block. The windows found, by block or one by one,
-are the duplicate spans.
+Blocks. In each window of `window` words the least hash of `anchor` consecutive words is its anchor; the longest run of windows with one
+anchor is a block, so blocks depend on their words alone and every window lies in one block.
 
-Exact up to equal 64-bit hashes: equal windows have equal anchors; if their blocks are equal, the block's first place tells; if not, the
-anchor has several blocks, and the first place of a window lies in the first place of one of those.
+Reference. The reference holds each distinct block once, at its first place in the corpus (document, first word). Where an anchor has
+several blocks, their edges differ though windows inside them may be equal, so each window of their first places is looked up among all of
+these for its own first place. So a window of a text either is new, and part of the reference itself, or has one place there: that of its
+block, or its own.
 
-Scale: the text is shuffled once (one exchange serves all uses); else what moves is one small row for each block, about one in eight
-words, aggregated before the shuffle, so hot passages and copies meet as one row for each task. No group is collected.
+Parse. A text is read from its first window. At a window that is new, one word is literal. Else a factor starts at the window's place in the
+reference and takes words as long as the next window of the text has the next place of the same reference document: as a window has one
+place, this is the longest match that the reference gives. The next factor begins behind it. Windows across a factor's edge are judged like all
+others, so a factor may start within the words of the one before and then gives only what follows. Factors have at least `window` words
+before that cut; they are the duplicate spans: a word is in one if and only if a window over it starts earlier in the corpus.
+
+Exact up to equal 64-bit hashes of different runs of words.
+
+Scale: the text is shuffled once (one exchange serves all uses); else what moves is a small row for each block, about one in eight words. A
+task sends only its first place of each block to where the first of all is found, so hot passages and copies meet as one row for each
+batch; a batch's other places are joined to the answer, and adaptive execution can split that join's hot keys. No group is collected but
+a text's own marks.
 """
 
 from __future__ import annotations
@@ -21,12 +29,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_key, own_exchange, ragged, text_runs
+from .common import NULL_ID, distinct_texts, own_exchange, ragged, text_runs
 from .words import Prefix, grams, mix, split_words, window_minima
 
 WINDOW, ANCHOR = 20, 5
+_ROWS = 1 << 20  # of places that a task looks at together
+_PLACES = "a int, key long, k long, t long, s int, first boolean, more boolean"
+_MARK = "struct<s:int,hk:bigint,ht:bigint,hs:int>"
+FACTORS = "array<struct<start:bigint,length:bigint,ref_id:bigint,ref_start:bigint>>"
 
 
 class _Blocks:
@@ -47,6 +60,7 @@ class _Blocks:
         begin = np.flatnonzero(new)
         last = np.append(begin[1:], len(at))[: len(begin)] - 1
         self.text = np.searchsorted(w.first, self.windows[begin], "right") - 1 if len(begin) else begin
+        self.start = self.windows[begin] - w.first[self.text]  # word of the text
         self.anchor = (gram[at[begin]] >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(begin) else np.zeros(0, np.int32)
         self.hash = self.prefix.run(self.windows[begin], self.windows[last] + window).view(np.int64) if len(begin) else np.zeros(0, np.int64)
 
@@ -55,71 +69,167 @@ class _Blocks:
         return self.prefix.run(at, at + self.window).view(np.int64)
 
 
-def _among(text: np.ndarray, value: np.ndarray, of_text: np.ndarray, of_value: np.ndarray) -> np.ndarray:
-    """Whether (text, value) is among the pairs (of_text, of_value)."""
-    salt = lambda t, v: mix(v.view(np.uint64) ^ mix(t.astype(np.uint64)))
-    return np.isin(salt(text, value), salt(of_text, of_value))
+def _first_like(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """For each element the first one with the same text and value."""
+    _, first, group = np.unique(mix(value.view(np.uint64) ^ mix(text.astype(np.uint64))), return_index=True, return_inverse=True)
+    return first[group]
+
+
+def _place(text: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return (text.astype(np.int64) << 32) + start
+
+
+class _Marks:
+    """Places in the reference of some starts of some texts, from a column of marks."""
+
+    def __init__(self, column: pa.Array):
+        marks, row = ragged(column)
+        s, self.k, self.t, self.s = (x.to_numpy(zero_copy_only=False) for x in marks.flatten())
+        place = _place(row, s)
+        self.order = np.argsort(place, kind="stable")
+        self.place = place[self.order]
+
+    def find(self, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the mark of each (text, start), and whether there is one."""
+        if not len(self.place):
+            return np.zeros(len(text), np.int64), np.zeros(len(text), bool)
+        wanted = _place(text, start)
+        at = np.minimum(np.searchsorted(self.place, wanted), len(self.place) - 1)
+        return self.order[at], self.place[at] == wanted
+
+
+class _Homes:
+    """Reference places (k, t, s) of the windows of a run of texts, and whether they have one."""
+
+    def __init__(self, n: int):
+        self.known = np.zeros(n, bool)
+        self.k, self.t, self.s = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
 
+    def put(self, at: np.ndarray, k: np.ndarray, t: np.ndarray, s: np.ndarray) -> None:
+        self.known[at], self.k[at], self.t[at], self.s[at] = True, k, t, s
 
-def _first_here(text: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Whether no earlier element has the same text and value."""
-    _, first = np.unique(mix(value.view(np.uint64) ^ mix(text.astype(np.uint64))), return_index=True)
-    out = np.zeros(len(text), bool)
-    out[first] = True
-    return out
+    def resolve(self, at: np.ndarray, text: np.ndarray, start: np.ndarray, value: np.ndarray, marks: _Marks, first: int, own_k: np.ndarray, own_t: np.ndarray) -> None:
+        """Homes of the elements `at`: by their mark, or, for later copies in a text, as their first copy or at it."""
+        copy_of = _first_like(text, value)
+        mark, marked = marks.find(text[copy_of] + first, start[copy_of])
+        self.put(at[marked], marks.k[mark[marked]], marks.t[mark[marked]], marks.s[mark[marked]])
+        here = ~marked & (copy_of != np.arange(len(at)))
+        self.put(at[here], own_k[text[here]], own_t[text[here]], start[copy_of[here]])
 
 
-def _long(values: np.ndarray) -> pa.Array:
-    return pa.array(values, pa.int64())
+def _places(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows of _PLACES: of the places with one key the first is marked, and whether there are more."""
+    a, key, k, t, s = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((s, t, k, key))
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    first, more = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    first[order] = new
+    more[order[:-1]] = ~new[1:]
+    return pa.RecordBatch.from_arrays([pa.array(a), *(pa.array(x.astype(np.int64)) for x in (key, k, t)), pa.array(s.astype(np.int32)), pa.array(first), pa.array(more)], names=["a", "key", "k", "t", "s", "first", "more"])
+
+
+def _reference(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first place of each key (a, key, k, t, s), and for all other places k, t and their mark."""
+    every = W.partitionBy("key")
+    firsts = places.where("first").withColumn("home", F.min(F.struct("k", "t", "s")).over(every)).withColumn("more", F.max("more").over(every))
+    is_home = F.struct("k", "t", "s") == F.col("home")
+    index = firsts.where(is_home)
+    others = places.where("NOT first").select("key", "k", "t", "s").join(own_exchange(index.where("more").select("key", "home"), "key"), "key")
+    mark = F.struct("s", F.col("home.k").alias("hk"), F.col("home.t").alias("ht"), F.col("home.s").alias("hs"))
+    return index.select("a", "key", "k", "t", "s"), firsts.where(~is_home).select("k", "t", mark.alias("mark")).unionByName(others.select("k", "t", mark.alias("mark")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = False) -> DataFrame:
     """Remove each word that a window covers whose words also start earlier (smaller id, or same text further left).
 
-    Returns id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), spans (array of removed word ranges [start, end))
-    and with keep_text the kept words as kept_text. A null or empty text has no words. A null id comes before all others. Rows with equal
-    ids count as one document: none of them is earlier than another, repeats inside each are still removed. Other columns are not read.
+    Returns id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), spans (array of removed word ranges [start, end)),
+    factors (the parse: words [start, start + length) stand at word ref_start of document ref_id; what is between factors is literal) and
+    with keep_text the kept words as kept_text. A null or empty text has no words. A null id comes before all others. Rows with equal ids
+    and texts are alike; rows with equal ids (or without) and other texts are documents of their own, in the order of a hash of their texts. An
+    empty table gives no rows. Other columns are not read.
     """
-    placed = docs.select(id_key(id_col).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartition("k")
+    placed = distinct_texts(docs, id_col, text_col)
+
+    def owners(batch):
+        return batch.column("k").to_numpy(), batch.column("t").to_numpy()
 
-    def blocks(batches):
+    def block_places(batches):
         for batch in batches:
-            keys = batch.column("k").to_numpy()
-            for first, n, data, offsets in text_runs(batch.column("text")):
+            (k, t), found, held = owners(batch), [], 0
+            for first, _, data, offsets in text_runs(batch.column("text")):
                 b = _Blocks(data, offsets, window, anchor)
-                own = _first_here(b.text, b.hash)
-                yield pa.RecordBatch.from_arrays([pa.array(b.anchor[own]), _long(b.hash[own]), _long(keys[first : first + n][b.text[own]])], names=["a", "block", "k"])
+                own = np.flatnonzero(_first_like(b.text, b.hash) == np.arange(len(b.hash)))
+                text = b.text[own] + first
+                found.append((b.anchor[own], b.hash[own], k[text], t[text], b.start[own]))
+                held += len(own)
+                if held > _ROWS:
+                    yield _places(found)
+                    found, held = [], 0
+            if found:
+                yield _places(found)
+
+    def chosen_windows(b: _Blocks, first: int, marks: _Marks, branched: _Marks) -> np.ndarray:
+        """Windows of blocks that stand first here and whose anchor has several blocks."""
+        own = _first_like(b.text, b.hash) == np.arange(len(b.hash))
+        new = own & ~marks.find(b.text + first, b.start)[1] & branched.find(b.text + first, b.start)[1]
+        return np.flatnonzero(new[b.block]) if len(new) else b.block
 
-    def boundary_windows(batches):
+    def window_places(batches):
         for batch in batches:
-            keys, many, many_row = batch.column("k").to_numpy(), *ragged(batch.column("many"))
-            for first, n, data, offsets in text_runs(batch.column("text")):
+            (k, t), found, held = owners(batch), [], 0
+            marks, branched = _Marks(batch.column("marks")), _Marks(batch.column("branched"))
+            if not len(branched.place):
+                continue
+            for first, _, data, offsets in text_runs(batch.column("text")):
                 b = _Blocks(data, offsets, window, anchor)
-                branched = _among(b.text + first, b.hash, many_row, many) & _first_here(b.text, b.hash)
-                chosen = np.flatnonzero(branched[b.block]) if len(b.block) else b.block
+                chosen = chosen_windows(b, first, marks, branched)
                 value, text = b.window_hash(chosen), b.text[b.block[chosen]]
-                own = _first_here(text, value)
-                yield pa.RecordBatch.from_arrays([pa.array(b.anchor[b.block[chosen]][own]), _long(value[own]), _long(keys[first : first + n][text[own]])], names=["a", "window", "k"])
+                own = np.flatnonzero(_first_like(text, value) == np.arange(len(text)))
+                at, text = chosen[own], text[own]
+                found.append((b.anchor[b.block[at]], value[own], k[text + first], t[text + first], b.windows[at] - b.words.first[text]))
+                held += len(own)
+                if held > _ROWS:
+                    yield _places(found)
+                    found, held = [], 0
+            if found:
+                yield _places(found)
+
+    def homes(b: _Blocks, first: int, k: np.ndarray, t: np.ndarray, marks: _Marks, branched: _Marks, wmarks: _Marks) -> _Homes:
+        """The reference place of every window of a run."""
+        of_block, out = _Homes(len(b.hash)), _Homes(len(b.windows))
+        of_block.resolve(np.arange(len(b.hash)), b.text, b.start, b.hash, marks, first, k, t)
+        if len(b.block):
+            begin = b.windows - (b.words.first[b.text] + b.start)[b.block]
+            out.known, out.k, out.t, out.s = of_block.known[b.block], of_block.k[b.block], of_block.t[b.block], of_block.s[b.block] + begin
+        chosen = chosen_windows(b, first, marks, branched)
+        text = b.text[b.block[chosen]]
+        out.resolve(chosen, text, b.windows[chosen] - b.words.first[text], b.window_hash(chosen), wmarks, first, k, t)
+        return out
 
     def cut(batches):
         for batch in batches:
-            owned, owned_row = ragged(batch.column("owned"))
-            many, many_row = ragged(batch.column("many"))
-            wins, wins_row = ragged(batch.column("wins"))
+            keys, ties = owners(batch)
+            marks, branched, wmarks = (_Marks(batch.column(c)) for c in ("marks", "branched", "wmarks"))
             out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "spans": [], "kept_text": []}
-            for first, _, data, offsets in text_runs(batch.column("text")):
+            factors: list[np.ndarray] = [np.zeros((5, 0), np.int64)]  # text, start, length, ref_id, ref_start
+            for first, n, data, offsets in text_runs(batch.column("text")):
                 b = _Blocks(data, offsets, window, anchor)
-                w, here = b.words, b.text + first
-                new = _among(here, b.hash, owned_row, owned) & _first_here(b.text, b.hash)
-                dup = ~new[b.block] if len(b.block) else np.zeros(0, bool)
-                branched = new & _among(here, b.hash, many_row, many)
-                chosen = np.flatnonzero(branched[b.block]) if len(b.block) else b.block
-                if len(chosen):
-                    value, text = b.window_hash(chosen), b.text[b.block[chosen]]
-                    dup[chosen] = ~(_among(text + first, value, wins_row, wins) & _first_here(text, value))
+                w, h = b.words, homes(b, first, keys[first : first + n], ties[first : first + n], marks, branched, wmarks)
+                copied = np.flatnonzero(h.known)
+                begins = np.ones(len(copied), bool)
+                x, y = copied[1:], copied[:-1]
+                begins[1:] = (b.windows[x] != b.windows[y] + 1) | (h.k[x] != h.k[y]) | (h.t[x] != h.t[y]) | (h.s[x] != h.s[y] + 1)
+                head = copied[begins]
+                lo, hi = b.windows[head], b.windows[copied[np.append(begins[1:], True)[: len(begins)]]] + window
+                text = b.text[b.block[head]] if len(head) else head
+                behind = np.zeros(len(head), np.int64)
+                behind[1:] = np.where(text[1:] == text[:-1], hi[:-1], 0)
+                start = np.maximum(lo, behind)
+                factors.append(np.array([text + first, start - w.first[text], hi - start, h.k[head], h.s[head] + start - lo]))
                 step = np.zeros(len(w.hash) + 1, np.int64)
-                np.add.at(step, b.windows[dup], 1)
-                np.add.at(step, b.windows[dup] + window, -1)
+                np.add.at(step, start, 1)
+                np.add.at(step, hi, -1)
                 gone = np.cumsum(step[:-1]) > 0
                 kept = np.flatnonzero(~gone)
                 text = w.text
@@ -150,20 +260,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     edge = turn[np.searchsorted(turn, lo, "right") : np.searchsorted(turn, hi)]
                     edge = np.concatenate([[lo] if gone[lo] else [], edge, [hi] if gone[hi - 1] else []]).astype(np.int64) - lo
                     out["spans"].append(edge.tolist())
-            count = lambda x: _long(np.concatenate(x)) if x else pa.array([], pa.int64())
-            columns = [batch.column("id"), count(out["n_words"]), count(out["n_removed"]), pa.array(out["kept_sha256"], pa.string()), pa.array(out["spans"], pa.list_(pa.int64()))]
-            names = [id_col, "n_words", "n_removed", "kept_sha256", "spans"]
+            count = lambda x: pa.array(np.concatenate(x), pa.int64()) if x else pa.array([], pa.int64())
+            of, start, length, ref, ref_start = np.concatenate(factors, 1)
+            ref = pa.array(ref, mask=ref == NULL_ID)
+            listed = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(batch.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(start), pa.array(length), ref, pa.array(ref_start)], ["start", "length", "ref_id", "ref_start"]))
+            ids = pa.array(keys, mask=keys == NULL_ID)
+            columns = [ids, batch.column("copies"), count(out["n_words"]), count(out["n_removed"]), pa.array(out["kept_sha256"], pa.string()), pa.array(out["spans"], pa.list_(pa.int64())), listed]
+            names = [id_col, "copies", "n_words", "n_removed", "kept_sha256", "spans", "factors"]
             if keep_text:
                 columns, names = [*columns, pa.array(out["kept_text"], pa.string())], [*names, "kept_text"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    places = placed.mapInArrow(blocks, "a int, block long, k long")
-    index = places.groupBy("a", "block").agg(F.min("k").alias("k"))
-    ends = places.groupBy(F.col("a").cast("long").alias("a")).agg(F.min("block").alias("one"), F.max("block").alias("other"))
-    several = ends.where("one <> other").select("a", F.lit(True).alias("many"))
-    marked = index.select(F.col("a").cast("long").alias("a"), "block", "k").join(own_exchange(several, "a"), "a", "left")
-    marks = marked.groupBy("k").agg(F.collect_list("block").alias("owned"), F.collect_list(F.when(F.col("many"), F.col("block"))).alias("many"))
-    parsed = placed.join(marks, "k", "left")
-    edges = parsed.mapInArrow(boundary_windows, "a int, window long, k long").groupBy("a", "window").agg(F.min("k").alias("k"))
-    wins = edges.groupBy("k").agg(F.collect_list("window").alias("wins"))
-    return parsed.join(wins, "k", "left").mapInArrow(cut, f"{id_col} long, n_words long, n_removed long, kept_sha256 string, spans array<long>" + ", kept_text string" * keep_text)
+    index, repeats = _reference(placed.mapInArrow(block_places, _PLACES))
+    several = index.groupBy(F.col("a").cast("long").alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a")
+    branching = index.select(F.col("a").cast("long").alias("a"), "k", "t", "s").join(own_exchange(several, "a"), "a")
+    none = F.lit(None).cast(_MARK)
+    branched = F.struct("s", F.lit(0).cast("long").alias("hk"), F.lit(0).cast("long").alias("ht"), F.lit(0).alias("hs"))
+    either = repeats.select("k", "t", "mark", none.alias("b")).unionByName(branching.select("k", "t", none.alias("mark"), branched.alias("b")))
+    marks = either.groupBy("k", "t").agg(F.collect_list("mark").alias("marks"), F.collect_list("b").alias("branched"))
+    parsed = placed.join(marks, ["k", "t"], "left")
+    wmarks = _reference(parsed.mapInArrow(window_places, _PLACES))[1].groupBy("k", "t").agg(F.collect_list("mark").alias("wmarks"))
+    fields = f"`{id_col}` long, copies long, n_words long, n_removed long, kept_sha256 string, spans array<long>, factors {FACTORS}" + ", kept_text string" * keep_text
+    found = parsed.join(wmarks, ["k", "t"], "left").mapInArrow(cut, fields)
+    return found.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")

@@ -63,11 +63,30 @@ def test_substring_dedup(docs):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_factors_rebuild_the_texts(docs):
+    """Each factor stands at its earlier place in the reference, factors don't overlap, none goes on where the one before ends there."""
+    words, n = {r[0]: WORD.findall(r[1] or "") for r in corpus()}, 0
+    for r in substring_dedup.remove_repeats(docs).collect():
+        own, at, reference, copied = words[r.doc_id], 0, None, []
+        for f in r.factors:
+            assert f.length > 0 and f.start >= at and (f.ref_id, f.ref_start) < (r.doc_id, f.start)
+            assert words[f.ref_id][f.ref_start : f.ref_start + f.length] == own[f.start : f.start + f.length]
+            assert f.start > at or (f.ref_id, f.ref_start) != reference
+            at, reference = f.start + f.length, (f.ref_id, f.ref_start + f.length)
+            copied += range(f.start, at)
+            n += f.length >= 20
+        assert copied == [j for a, b in zip(r.spans[::2], r.spans[1::2]) for j in range(a, b)]
+    assert n > 60
+
+
 def test_substring_dedup_edges(spark):
     text = " ".join(f"t{i}" for i in range(30))
     rows = [(None, text), (1, text), (1, text), (2, text + " more"), (3, None)]
     got = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([(None, 30, 0), (1, 30, 30), (1, 30, 30), (2, 31, 30), (3, 0, 0)], key=str)
+    one = "a " * 40 + text
+    again = substring_dedup.remove_repeats(spark.createDataFrame([(5, one), (5, text), (5, "b " + text), (None, one), (None, text)], "doc_id long, text string")).collect()
+    assert sum(r.n_words - r.n_removed for r in again) == 1 + 30 + 1 and sorted(r.n_words for r in again) == [30, 30, 31, 70, 70]  # one a, text once, b
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
