@@ -63,7 +63,8 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = shared.count()
     if n:
         rows = rows.join(F.broadcast(shared) if n <= _FEW_SHARED else shared, "k", "left")
-    t = F.when(F.col("shared"), h).otherwise(F.lit(0).cast("long")) if n else F.lit(0).cast("long")
+    none = F.col("k").bitwiseAND(0)  # not a literal, which would be left out of the partitioning
+    t = F.when(F.col("shared"), h).otherwise(none) if n else none
     return rows.select("k", t.alias("t"), "text").groupBy("k", "t").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
 

@@ -28,7 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -37,8 +37,9 @@ from .words import Prefix, grams, mix, split_words, window_minima
 
 WINDOW, ANCHOR = 20, 5
 _ROWS = 1 << 20  # of places that a task looks at together
-_PLACES = "a int, key long, k long, t long, s int, first boolean, more boolean"
-_MARK = "struct<s:int,hk:bigint,ht:bigint,hs:int>"
+#: at: 32 bits of the anchor, 31 of the first word, and whether the batch has more places of the key.
+_PLACES = "t long, k long, key long, at long, first boolean"
+_ANCHOR, _START, _MORE = "shiftright(at, 32)", "shiftright(at & 4294967295, 1)", "at & 1"
 FACTORS = "array<struct<start:bigint,length:bigint,ref_id:bigint,ref_start:bigint>>"
 
 
@@ -84,8 +85,9 @@ class _Marks:
 
     def __init__(self, column: pa.Array):
         marks, row = ragged(column)
-        s, self.k, self.t, self.s = (x.to_numpy(zero_copy_only=False) for x in marks.flatten())
-        place = _place(row, s)
+        starts, self.t, self.k = (x.to_numpy(zero_copy_only=False) for x in marks.flatten())
+        self.s = starts & 0xFFFFFFFF
+        place = _place(row, starts >> 32)
         self.order = np.argsort(place, kind="stable")
         self.place = place[self.order]
 
@@ -118,26 +120,32 @@ class _Homes:
 
 
 def _places(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    """Rows of _PLACES: of the places with one key the first is marked, and whether there are more."""
+    """Rows of _PLACES; of the places with one key the first is marked."""
     a, key, k, t, s = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.lexsort((s, t, k, key))
     new = np.ones(len(order), bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
-    first, more = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    first, more = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
     first[order] = new
     more[order[:-1]] = ~new[1:]
-    return pa.RecordBatch.from_arrays([pa.array(a), *(pa.array(x.astype(np.int64)) for x in (key, k, t)), pa.array(s.astype(np.int32)), pa.array(first), pa.array(more)], names=["a", "key", "k", "t", "s", "first", "more"])
+    at = (a.astype(np.int64) << 32) | (s.astype(np.int64) << 1) | more
+    return pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int64)) for x in (t, k, key, at)), pa.array(first)], names=["t", "k", "key", "at", "first"])
 
 
 def _reference(places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first place of each key (a, key, k, t, s), and for all other places k, t and their mark."""
+    """The first place of each key (never null; said so that all uses share one exchange) as a, t, k, s, and a mark (t, k, starts, ht, hk; starts: the first words here and there) for all others."""
     every = W.partitionBy("key")
-    firsts = places.where("first").withColumn("home", F.min(F.struct("k", "t", "s")).over(every)).withColumn("more", F.max("more").over(every))
-    is_home = F.struct("k", "t", "s") == F.col("home")
-    index = firsts.where(is_home)
-    others = places.where("NOT first").select("key", "k", "t", "s").join(own_exchange(index.where("more").select("key", "home"), "key"), "key")
-    mark = F.struct("s", F.col("home.k").alias("hk"), F.col("home.t").alias("ht"), F.col("home.s").alias("hs"))
-    return index.select("a", "key", "k", "t", "s"), firsts.where(~is_home).select("k", "t", mark.alias("mark")).unionByName(others.select("k", "t", mark.alias("mark")))
+    place = F.struct("k", "t", F.expr(_START).alias("s"))
+    firsts = places.where("first AND key IS NOT NULL").select("t", "k", "key", "at").withColumn("home", F.min(place).over(every)).withColumn("more", F.max(F.expr(_MORE)).over(every))
+    index = firsts.where(place == F.col("home"))
+    others = places.where("NOT first").select("t", "k", "key", "at").join(own_exchange(index.where("more = 1").select("key", "home"), "key"), "key")
+    mark = ["t", "k", F.expr(f"shiftleft({_START}, 32) | home.s AS starts"), F.col("home.t").alias("ht"), F.col("home.k").alias("hk")]
+    return index.selectExpr(f"{_ANCHOR} AS a", "t", "k", f"{_START} AS s"), firsts.where(place != F.col("home")).select(*mark).unionByName(others.select(*mark))
+
+
+def _gathered(marks: DataFrame, *lists: Column) -> DataFrame:
+    """Lists of marks for each text. The marks are dealt as flat rows, which are smaller than lists of some of them."""
+    return marks.repartition("k", "t").groupBy("k", "t").agg(*lists)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, keep_text: bool = False) -> DataFrame:
@@ -272,14 +280,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     index, repeats = _reference(placed.mapInArrow(block_places, _PLACES))
-    several = index.groupBy(F.col("a").cast("long").alias("a")).agg(F.count("*").alias("n")).where("n > 1").select("a")
-    branching = index.select(F.col("a").cast("long").alias("a"), "k", "t", "s").join(own_exchange(several, "a"), "a")
-    none = F.lit(None).cast(_MARK)
-    branched = F.struct("s", F.lit(0).cast("long").alias("hk"), F.lit(0).cast("long").alias("ht"), F.lit(0).alias("hs"))
-    either = repeats.select("k", "t", "mark", none.alias("b")).unionByName(branching.select("k", "t", none.alias("mark"), branched.alias("b")))
-    marks = either.groupBy("k", "t").agg(F.collect_list("mark").alias("marks"), F.collect_list("b").alias("branched"))
+    several = index.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    branching = index.join(own_exchange(several, "a"), "a").selectExpr("t", "k", "shiftleft(s, 32) AS starts", "0L AS ht", "0L AS hk")
+    either = repeats.withColumn("b", F.lit(False)).unionByName(branching.withColumn("b", F.lit(True)))
+    mark = F.struct("starts", "ht", "hk")
+    marks = _gathered(either, F.collect_list(F.when(~F.col("b"), mark)).alias("marks"), F.collect_list(F.when(F.col("b"), mark)).alias("branched"))
     parsed = placed.join(marks, ["k", "t"], "left")
-    wmarks = _reference(parsed.mapInArrow(window_places, _PLACES))[1].groupBy("k", "t").agg(F.collect_list("mark").alias("wmarks"))
+    wmarks = _gathered(_reference(parsed.mapInArrow(window_places, _PLACES))[1], F.collect_list(mark).alias("wmarks"))
     fields = f"`{id_col}` long, copies long, n_words long, n_removed long, kept_sha256 string, spans array<long>, factors {FACTORS}" + ", kept_text string" * keep_text
     found = parsed.join(wmarks, ["k", "t"], "left").mapInArrow(cut, fields)
     return found.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
