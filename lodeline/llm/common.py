@@ -69,12 +69,13 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def own_exchange(df: DataFrame, key: str) -> DataFrame:
-    """df, aggregated by its long column key, as a join input that is dealt out anew.
+    """df, aggregated by its long column key (never null), as a join input that is dealt out anew.
 
     An aggregate is already partitioned by its key, so a join on that key would use it as it is, and adaptive execution could not
-    split a hot key of the other side. Complementing the key twice hides the partitioning: both inputs get an exchange of the join.
+    split a hot key of the other side. An expression in the key's place hides the partitioning: both inputs get an exchange of the join. As the
+    expression is never null, the join adds no filter of its own below, and an exchange there can be shared with other uses of df.
     """
-    return df.withColumn(key, F.bitwise_not(F.bitwise_not(F.col(key))))
+    return df.withColumn(key, F.coalesce(F.col(key), F.lit(NULL_ID)))
 
 
 def text_runs(column: pa.Array, most: int = 1 << 20):
