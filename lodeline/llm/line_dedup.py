@@ -1,14 +1,16 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions alone.
 
-Lines are the parts of a text between newlines; blank ones (nothing but spaces) take no part. Each run of `shingle` consecutive lines is
-hashed; of every `width` consecutive hashes the least (the rightmost of equals) is a fingerprint, so each run of
-width + shingle - 1 lines holds one, chosen by its lines alone. Positions of fingerprints that stand at several places are joined, and
-each is extended over the runs on both sides that it stands for, compared line by line (by hash). A run that starts earlier elsewhere
-(smaller id, or same text further up) is deleted; neighbouring and overlapping ones join into longer runs, with blank lines inside.
+Lines are the parts of a text between newlines; blank ones (nothing but spaces) take no part. Each `shingle` consecutive lines are hashed; of
+every `width` consecutive hashes the least (the rightmost of equals) is a fingerprint, so each run of width + shingle - 1 lines holds one,
+chosen by its lines alone: two equal runs have the same fingerprint at the same offset. A fingerprint's row lists the runs that it was chosen for.
+
+Only the positions of fingerprints are joined, those that stand at several places: a position is extended to the left and right by the lines
+of its runs, compared by hash, and meets the first place with these lines (smaller id, or same text further up). Matches with one earlier text at equal
+offsets that follow each other are extended into one, as far as the lines of both agree. Every line of a match is deleted; neighbouring
+and overlapping matches join, with blank lines inside.
 
 Scale: text is shuffled once, in the last join; all else moves hashes of lines. Hot lines meet only in aggregates, which are summed before
-the shuffle, and in one join whose hot keys adaptive execution can split. The first place of a run is told to its document by an anti
-join on the place, which no two rows share.
+the shuffle, and in joins whose hot keys adaptive execution can split; a text's own matches are the only group that is sorted.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import id_key, own_exchange
 
-SHINGLE, WIDTH = 2, 2
+SHINGLE, WIDTH = 1, 3
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH) -> DataFrame:
-    """Runs of lines to delete: k (the id, NULL_ID for null), th (hash of the text), runs (array of {s, e}: first and last line, from 0)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH) -> DataFrame:
+    """k (the id, NULL_ID for null), th (hash of the text), at (number of a line that isn't blank, from 1), g (its hash), and runs: first line
+    i of each run that chose it, places s and e of its first and last line among all lines (from 0), and two hashes of its lines."""
     length = shingle + width - 1
     lines = (
         docs.select(id_key(id_col).alias("k"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
@@ -45,15 +48,36 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.hash(*ahead).alias("run2"),
     )
     least = F.min(F.struct("g", (-F.col("i")).alias("at"))).over(W.partitionBy("k", "th").orderBy("i").rowsBetween(0, width - 1))
-    runs = hashed.withColumn("f", least).where("e is not null").select("k", "th", "i", "s", "e", "run", "run2", F.col("f.g").alias("g"), (-F.col("f.at")).alias("at"))
+    chosen = hashed.withColumn("f", least).where("e is not null")
+    return chosen.groupBy("k", "th", (-F.col("f.at")).alias("at"), F.col("f.g").alias("g")).agg(F.collect_list(F.struct("i", "s", "e", "run", "run2")).alias("runs"))
+
+
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH) -> DataFrame:
+    """Matches with earlier lines, extended as far as they go: k, th, i and n (its lines that aren't blank, the first and how many), s, e (its
+    lines among all), and ref (k, th, i: where these lines stand first)."""
+    prints = fingerprints(docs, id_col, text_col, shingle, width)
     place = F.xxhash64("k", "th", "at")
-    several = runs.groupBy("g").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("g")
-    found = runs.join(own_exchange(several, "g"), "g")
-    first = found.groupBy("run", "run2").agg(F.min(F.struct("k", "th", "i")).alias("p")).select("p.k", "p.th", "p.i")
-    later = found.select("k", "th", "i", "s", "e").join(first, ["k", "th", "i"], "left_anti")
-    by_i = W.partitionBy("k", "th").orderBy("i")
+    several = prints.groupBy("g").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("g")
+    sides = prints.join(own_exchange(several, "g"), "g").select("k", "th", F.inline("runs"))
+    here = F.struct("k", "th", "i")
+    first = sides.groupBy("run", "run2").agg(F.min(here).alias("ref"))
+    joined = sides.join(own_exchange(first, "run"), ["run", "run2"]).where(here != F.col("ref")).select("k", "th", "i", "s", "e", "ref")
+    offset = W.partitionBy("k", "th", "ref.k", "ref.th", F.col("ref.i") - F.col("i")).orderBy("i")
+    extended = joined.repartition("k", "th").withColumn("piece", F.col("i") - F.row_number().over(offset))
+    return (
+        extended.groupBy("k", "th", F.col("ref.k").alias("rk"), F.col("ref.th").alias("rth"), (F.col("ref.i") - F.col("i")).alias("d"), "piece")
+        .agg(F.min("i").alias("i"), (F.max("i") - F.min("i") + shingle + width - 1).alias("n"), F.min("s").alias("s"), F.max("e").alias("e"))
+        .select("k", "th", "i", "n", "s", "e", F.struct(F.col("rk").alias("k"), F.col("rth").alias("th"), (F.col("i") + F.col("d")).alias("i")).alias("ref"))
+    )
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH) -> DataFrame:
+    """Runs of lines to delete: k (the id, NULL_ID for null), th (hash of the text), runs (array of {s, e}: first and last line, from 0)."""
+    by_i = W.partitionBy("k", "th").orderBy("i", "n", "ref")
+    before = F.max(F.col("i") + F.col("n")).over(by_i.rowsBetween(W.unboundedPreceding, -1))
     return (
-        later.withColumn("apart", F.when(F.col("i") - F.lag("i").over(by_i) <= length, 0).otherwise(1))
+        matches(docs, id_col, text_col, shingle, width)
+        .withColumn("apart", F.when(F.col("i") <= before, 0).otherwise(1))
         .withColumn("island", F.sum("apart").over(by_i))
         .groupBy("k", "th", "island")
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))
@@ -70,9 +94,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     they are; columns named n_lines, n_removed or removed_runs are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "removed_runs")
-    found = repeated_runs(docs, id_col, text_col, shingle, width).select(F.col("k").alias("__k"), F.col("th").alias("__th"), F.col("runs").alias("__runs"))
-    joined = docs.withColumns({"__k": id_key(id_col), "__th": F.xxhash64(text_col)}).join(found, ["__k", "__th"], "left")
-    runs = F.col("__runs")
+    joined = docs.select(id_key(id_col).alias("k"), F.xxhash64(text_col).alias("th"), F.struct(*docs.columns).alias("row")).join(repeated_runs(docs, id_col, text_col, shingle, width), ["k", "th"], "left")
+    text, runs = F.col("row").getField(text_col), F.col("runs")
 
     def between(lines, r):
         """Lines after run r - 1 and before run r."""
@@ -80,8 +103,8 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
         end = F.when(r == F.size(runs), F.size(lines)).otherwise(F.get(runs, r)["s"])
         return F.slice(lines, begin + 1, end - begin)
 
-    kept = F.get(F.transform(F.array(F.split(text_col, "\n")), lambda lines: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda r: between(lines, r))), "\n")), F.lit(0))
+    kept = F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs)), lambda r: between(lines, r))), "\n")), F.lit(0))
     removed = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + (r["e"] - r["s"] + 1).cast("long"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(text_col, "\n"))).cast("long")
-    columns = [F.when(runs.isNull(), F.col(text_col)).otherwise(kept).alias(text_col) if c == text_col else F.col(c) for c in docs.columns]
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    columns = [F.when(runs.isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
     return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"), runs.alias("removed_runs"))

@@ -170,9 +170,38 @@ def test_line_dedup(docs):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got.collect()} == plain_lines(rows)
 
 
+def test_line_matches_are_the_longest(docs):
+    """Lines of a match equal those of its reference, and the match goes on in neither direction."""
+    lines = {r[0]: [x for x in (r[1] or "").split("\n") if x.strip(" ")] for r in corpus()}
+    first = {}
+    for i in sorted(lines):
+        for at in range(len(lines[i]) - 2):
+            first.setdefault(tuple(lines[i][at : at + 3]), (i, at))
+    found = line_dedup.matches(docs).collect()
+    for m in found:
+        own, there, at, ref = lines[m.k], lines[m.ref.k], m.i - 1, m.ref.i - 1
+        assert m.n >= 3 and (m.ref.k, ref) < (m.k, at) and own[at : at + m.n] == there[ref : ref + m.n]
+        assert all(first[tuple(own[at + j : at + j + 3])] == (m.ref.k, ref + j) for j in range(m.n - 2))
+        assert at == 0 or first[tuple(own[at - 1 : at + 2])] != (m.ref.k, ref - 1)
+        assert at + m.n == len(own) or first[tuple(own[at + m.n - 2 : at + m.n + 1])] != (m.ref.k, ref + m.n - 2)
+    assert len(found) > 5
+
+
+@pytest.mark.parametrize(("shingle", "width"), [(1, 3), (2, 2), (3, 4)])
+def test_equal_runs_share_a_fingerprint(docs, shingle, width):
+    lines, length = {r[0]: [x for x in (r[1] or "").split("\n") if x.strip(" ")] for r in corpus()}, shingle + width - 1
+    chosen, runs = {}, 0
+    for r in line_dedup.fingerprints(docs, shingle=shingle, width=width).collect():
+        for run in r.runs:
+            own = tuple(lines[r.k][run.i - 1 : run.i - 1 + length])
+            assert 0 <= r.at - run.i < width and chosen.setdefault(own, (r.g, r.at - run.i)) == (r.g, r.at - run.i)
+            runs += 1
+    assert runs == sum(max(0, len(x) - length + 1) for x in lines.values())
+
+
 def test_line_dedup_other_widths(docs):
     rows = [(r[0], r[1]) for r in corpus()]
-    got = line_dedup.remove_repeated_lines(docs, shingle=1, width=3).collect()
+    got = line_dedup.remove_repeated_lines(docs, shingle=2, width=2).collect()
     assert {r.doc_id: r.text for r in got} == {i: x[2] for i, x in plain_lines(rows).items()}
 
 
