@@ -11,9 +11,13 @@ Segment subsets. A set that can differ from its partners in h shingles indexes o
 depends on a segment's content alone, small ones last: of two sets that share m - h segments, the first h + 1 of each hold a common one.
 
 Verification. Sets that share a segment meet in its bucket. Linked sets share a bucket, so they lie in one component of the sets and buckets,
-a canopy; a bucket gives its members' edges to one of them, not its pairs. The members of a large canopy are parted into levels of size, of which only
-neighbouring ones can be linked, and dealt into blocks of bounded size; each two blocks that can be linked meet in a task, and there all intersections are counted exactly as one product of 0/1 matrices. A task returns for each set
-the least of its component in the task, so what is written follows the members and not the pairs. Nothing is dropped.
+a canopy; a bucket gives its members' edges to one of them, not its pairs. A canopy is parted into cells of similar size: a set lies in one,
+and also in the next one up if it can be linked with sets there. A cell is dealt into blocks of bounded members and bytes, mostly one, and
+a task counts the intersections of a block exactly, as products of 0/1 matrices of the shingles that its tiles share.
+
+Cells of several blocks. A few pivots of each cell are also sent to all its blocks, so most of a large group of near copies is one component
+after the first round. A link still unseen has an end outside of the cell's largest component; those sets, and only those, are sent to
+all blocks in a second round. So text moves once, and what is copied grows with what isn't linked to the rest. Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -24,16 +28,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_key, keep, own_exchange, text_runs
+from .common import NULL_ID, discard, id_key, keep, own_exchange, text_runs
 from .words import Prefix, grams, mix, split_words
 
 _SEEN_MOST = 1 << 20
-_COLUMNS = 2048
-BLOCK, GROUP = 256, 1024
-_FEW = 250_000
+_TILE, _COLUMNS = 256, 2048
+MEMBERS, BYTES, PIVOTS, GROUP = 2048, 16 << 20, 16, 1024
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,26 +142,25 @@ def _classes(text: np.ndarray, value: np.ndarray, n_texts: int) -> tuple[np.ndar
 
 def components(links: DataFrame) -> DataFrame:
     """v, label for every end of the links (a, b): the least id of its component. Labels are passed to neighbours and then followed to the
-    label's own label, so long chains end after few turns. Up to `_FEW` edges, by count, a turn is one task and needs no exchange."""
+    label's own label, so long chains end after few turns. Adaptive execution merges the partitions of small turns."""
     edges = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    few = edges.count() <= _FEW
-    near_by = lambda df: df.coalesce(1) if few else df
-    labels = keep(near_by(edges).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
+    labels = keep(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.lit(0).cast("long").alias("old"), F.least("v", "m").alias("label")), "labels")
     while True:
-        now = near_by(labels)
-        near = near_by(edges).join(now.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
+        now = labels.select("v", "label")
+        near = edges.join(now.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
         least = now.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = least.join(now.select(F.col("v").alias("label"), F.col("label").alias("further")), "label", "left")
         after = keep(jump.select("v", "old", F.least("label", "further").alias("label")), "labels")
-        moved = after.where("old <> label").limit(1).count()
-        labels = after.select("v", "label")
-        if not moved:
-            return labels
+        discard(labels)
+        labels = after
+        if not after.where("old <> label").limit(1).count():
+            discard(edges)
+            return labels.select("v", "label")
 
 
-def block_components(values: list[np.ndarray], left: np.ndarray, percent: int) -> np.ndarray:
-    """For each of the sets in values (distinct hashes) the first position of its component, by links between those in left and the others,
-    or among all if left holds for all."""
+def block_components(values: list[np.ndarray], guest: np.ndarray, percent: int) -> np.ndarray:
+    """For each of the sets in values (distinct hashes) the first position of its component, by links between sets that aren't guests, or, if there
+    are guests, between those and the others. Tiles of sets that are one component already are not compared."""
     n = len(values)
     size = np.array([len(v) for v in values])
     every, owner = np.concatenate(values), np.repeat(np.arange(n), size)
@@ -170,42 +171,66 @@ def block_components(values: list[np.ndarray], left: np.ndarray, percent: int) -
     token = np.cumsum(new) - 1
     several = np.bincount(token)[token] > 1
     token, owner = np.unique(token[several], return_inverse=True)[1], owner[several]
-    rows, columns = (np.arange(n), np.arange(n)) if left.all() else (np.flatnonzero(left), np.flatnonzero(~left))
-    both = np.zeros((len(rows), len(columns)), np.float32)
-    for start in range(0, int(token.max(initial=-1)) + 1, _COLUMNS):
-        here = (token >= start) & (token < start + _COLUMNS)
-        part = np.zeros((n, _COLUMNS), np.float32)
-        part[owner[here], token[here] - start] = 1
-        both += part[rows] @ part[columns].T
-    linked = np.zeros((n, n), bool)
-    linked[np.ix_(rows, columns)] = 100 * both >= percent * (size[rows, None] + size[columns] - both)
-    linked |= linked.T
-    np.fill_diagonal(linked, True)
+    by_owner = np.argsort(owner, kind="stable")
+    token, first = token[by_owner], np.searchsorted(owner[by_owner], np.arange(n + 1))
+    n_tokens = int(token.max(initial=-1)) + 1
+    homes, guests = np.flatnonzero(~guest), np.flatnonzero(guest)
     label = np.arange(n)
-    while True:
-        least = np.where(linked, label[None], n).min(1)
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
-
 
-def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """id, n_shingles, component_id for each row of docs: the smallest id reachable by links of Jaccard similarity >= percent / 100.
-
-    Words are lower-cased (A-Z) runs of non-space bytes, shingles `size` of them. A null or empty text has no shingles and is linked with
-    nothing; its component is its own id. Rows with equal ids and texts are alike; rows with equal ids and other texts are separate
-    members that share an id. A null id counts as the smallest and is given back as null. Other columns are not read.
-    """
+    def incidence(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(sets)), first[sets + 1] - first[sets]), np.concatenate([token[first[i] : first[i + 1]] for i in sets])
+
+    def matrix(rows: np.ndarray, columns: np.ndarray, n_rows: int, start: int) -> np.ndarray:
+        here = (columns >= start) & (columns < start + _COLUMNS)
+        out = np.zeros((n_rows, _COLUMNS), np.float32)
+        out[rows[here], columns[here] - start] = 1
+        return out
+
+    for i in range(0, len(homes), _TILE):
+        left = homes[i : i + _TILE]
+        l_row, l_token = incidence(left)
+        l_has = np.zeros(n_tokens, bool)
+        l_has[l_token] = True
+        others = guests if len(guests) else homes[i:]
+        for j in range(0, len(others), _TILE):
+            right = others[j : j + _TILE]
+            if (label[left] == label[left[0]]).all() and (label[right] == label[left[0]]).all():
+                continue
+            r_row, r_token = incidence(right)
+            has = np.zeros(n_tokens, bool)
+            has[r_token] = True
+            has &= l_has
+            number = np.where(has, np.cumsum(has) - 1, -1)
+            both = np.zeros((len(left), len(right)), np.float32)
+            for start in range(0, int(has.sum()), _COLUMNS):
+                both += matrix(l_row, number[l_token], len(left), start) @ matrix(r_row, number[r_token], len(right), start).T
+            linked = 100 * both >= percent * (size[left, None] + size[right] - both)
+            a, b = np.nonzero(linked & (label[left, None] != label[right]))
+            parent = label  # every set points to the first of its component
+            for x, y in np.unique(np.sort(np.column_stack([label[left[a]], label[right[b]]]), 1), axis=0).tolist():
+                while parent[x] != x:
+                    x = int(parent[x])
+                while parent[y] != y:
+                    y = int(parent[y])
+                parent[max(x, y)] = min(x, y)
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            label = parent
+    return label
+
+
+def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, members: int = MEMBERS, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
+    """For each row its key (k: the id, NULL_ID for null; th: the hash of the text), n (its shingles), and ck, cth: the least key of its component."""
     bands = Bands(percent)
-    texts = docs.select(id_key(id_col).alias("k"), F.col(text_col).alias("text"))
+    rows = docs.select(id_key(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
 
     def describe(batches):
         for batch in batches:
-            out = [np.zeros(0, np.int64)] * 3
+            out = [np.zeros(0, np.int64)] * 4
             for _, n, data, offsets in text_runs(batch.column("text")):
-                out = [np.concatenate(x) for x in zip(out, _classes(*shingles(data, offsets, size), n), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), *(pa.array(x.astype(np.int64)) for x in out)], names=["k", "n", "c", "c2"])
+                found = [*_classes(*shingles(data, offsets, size), n), np.diff(offsets)]
+                out = [np.concatenate(x) for x in zip(out, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), *(pa.array(x.astype(np.int64)) for x in out)], names=["k", "th", "n", "c", "c2", "bytes"])
 
     def index(batches):
         seen: set[int] = set()
@@ -225,9 +250,9 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c[row])], names=["seg", "c"])
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("canopy", "ascending"), ("i", "ascending"), ("j", "ascending"), ("block", "ascending"), ("a", "ascending")]).combine_chunks()
-        key = np.array([table.column(c).to_numpy() for c in ("canopy", "i", "j")]).T
-        ids, block = table.column("a").to_numpy(), table.column("block").to_numpy()
+        table = table.sort_by([("cell", "ascending"), ("block", "ascending"), ("guest", "ascending"), ("c", "ascending")]).combine_chunks()
+        key = np.array([table.column(c).to_numpy() for c in ("cell", "block")]).T
+        ids, guest = table.column("c").to_numpy(), table.column("guest").to_numpy()
         values: list[np.ndarray] = []
         for _, n, data, offsets in text_runs(table.column("text")):
             text, value = shingles(data, offsets, size)
@@ -236,40 +261,58 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = np.arange(len(ids))
         for first, last in zip(edge, [*edge[1:], len(ids)], strict=True):
             if last - first > 1:
-                left = block[first:last] == key[first, 1]
-                out[first:last] = first + block_components(values[first:last], left, percent)
+                out[first:last] = first + block_components(values[first:last], guest[first:last], percent)
         return pa.table({"a": ids[out != np.arange(len(ids))], "b": ids[out[out != np.arange(len(ids))]]})
 
-    sets = keep(texts.mapInArrow(describe, "k long, n long, c long, c2 long"), "sets")
-    classes = keep(sets.where("n > 0").groupBy("n", "c", "c2").agg(F.min("k").alias("rep")), "classes")
-    rows = texts.mapInArrow(index, "seg long, c long")
-    shared = rows.groupBy("seg").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("seg", "p")
-    meet = rows.join(own_exchange(shared, "seg"), "seg").where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
-    canopy = components(meet)
-    of = classes.join(canopy, classes.c == canopy.v).select(F.col("rep").alias("k"), "n", F.col("label").alias("canopy"))
-    counts = of.groupBy("canopy").agg(F.count("*").alias("members")).where("members > 1")
-    level = F.when(F.col("members") > block, F.floor(F.log("n") / math.log(100.1 / percent))).otherwise(0).cast("int")
-    leveled = of.join(own_exchange(counts, "canopy"), "canopy").select("k", "canopy", level.alias("level"), F.xxhash64("canopy", level).alias("cell"))
-    cells = leveled.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.first("canopy").alias("canopy"), F.first("level").alias("level"))
-    by_level = W.partitionBy("canopy").orderBy("level")
-    beside = lambda step: F.when(F.lag("level", -step).over(by_level) == F.col("level") + step, F.lag("blocks", -step).over(by_level)).otherwise(0)
-    cells = cells.select("cell", "blocks", beside(-1).alias("below"), beside(1).alias("above"))
-    placed = leveled.join(own_exchange(cells, "cell"), "cell").withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
-    placed = keep(placed, "canopies")
-    groups = max(1, -(-(placed.agg(F.sum(F.col("blocks") + F.col("below") + F.col("above"))).first()[0] or 0) // group))
-    place = lambda level, b: F.col("level").cast("long") * F.lit(1 << 32) + F.lit(level << 32) + b
-
-    def across(step: int, blocks: str):
-        """Pairs of the own block with each block of the level `step` further."""
-        other = F.transform(F.sequence(F.lit(1), F.col(blocks)), lambda b: place(step, b - 1))
-        mine = place(0, F.col("own"))
-        return F.when(F.col(blocks) > 0, F.transform(other, lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))
-
-    # placed grows with the corpus: it is never broadcast, however small it is now
-    pairs = F.concat(across(0, "blocks"), across(1, "above"), across(-1, "below"))
-    met = texts.join(placed.hint("merge"), "k").select(F.col("k").alias("a"), "text", "canopy", place(0, F.col("own")).alias("block"), F.explode(pairs).alias("p")).select("a", "text", "canopy", "block", "p.i", "p.j")
-    linked = met.groupBy(F.pmod(F.xxhash64("canopy", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(compare, "a long, b long")
-    labels = components(linked)
-    component = classes.join(labels, classes.rep == labels.v, "left").select("n", "c", "c2", F.coalesce("label", "rep").alias("component"))
+    def links(members: DataFrame) -> DataFrame:
+        """Links found in the blocks of members (k, th, c, bytes, cell, block, guest), a kept table, which is never broadcast: it grows with the corpus."""
+        n, total = members.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+        groups = max(1, -(-n // group), -(-total // BYTES))
+        once = rows.groupBy("k", "th").agg(F.first("text").alias("text"))
+        met = once.join(members.drop("bytes").hint("merge"), ["k", "th"]).select("c", "cell", "block", "guest", "text")
+        return met.groupBy(F.pmod(F.xxhash64("cell", "block"), F.lit(groups)).alias("g")).applyInArrow(compare, "a long, b long")
+
+    sets = keep(rows.mapInArrow(describe, "k long, th long, n long, c long, c2 long, bytes long"), "sets")
+    classes = keep(sets.where("n > 0").groupBy("n", "c", "c2").agg(F.min(F.struct("k", "th", "bytes")).alias("rep")), "classes")
+    keys = rows.mapInArrow(index, "seg long, c long")
+    shared = keys.groupBy("seg").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("seg", "p")
+    meet = keys.join(own_exchange(shared, "seg"), "seg").where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
+    canopy = components(meet).withColumnRenamed("label", "canopy")
+    width = 4 * math.log(100 / percent)
+    level = lambda n: F.floor(F.log(n) / width).cast("long")
+    cells = F.transform(F.array_distinct(F.array(level(F.col("n")), level(F.col("n") * (100.1 / percent)))), lambda x: F.xxhash64("canopy", x))
+    in_cell = classes.join(canopy, classes.c == canopy.v).select("c", "rep.*", F.explode(cells).alias("cell"))
+    counts = in_cell.groupBy("cell").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / members, F.sum("bytes") / BYTES)).alias("blocks")).where("n > 1")
+    placed = keep(in_cell.join(own_exchange(counts, "cell"), "cell").withColumn("own", F.pmod(F.xxhash64("c"), "blocks")), "cells")
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("c", F.lit("pivot")), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / pivots))) == 0)
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    in_block = placed.withColumn("block", F.explode(F.when(pivot, every).otherwise(F.array("own")))).withColumn("guest", F.lit(False))
+    found = keep(links(keep(in_block.drop("own", "n", "blocks"), "blocks")), "links")
+    if placed.where("blocks > 1").limit(1).count():
+        of = placed.where("blocks > 1").join(components(found), F.col("c") == F.col("v"), "left").withColumn("label", F.coalesce("label", "c")).drop("v")
+        part = of.groupBy("cell", "label").agg(F.count("*").alias("many"))
+        largest = part.groupBy("cell").agg(F.max(F.struct("many", "label")).alias("x")).select("cell", F.col("x.label").alias("largest"))
+        apart = keep(of.join(own_exchange(largest, "cell"), "cell").withColumn("left_out", F.col("label") != F.col("largest")), "apart")
+        guests = apart.where("left_out").withColumn("block", F.explode(every)).where("block <> own").withColumn("guest", F.lit(True))
+        hosts = apart.join(own_exchange(apart.where("left_out").select("cell").distinct(), "cell"), "cell", "left_semi").select(*apart.columns, F.col("own").alias("block"), F.lit(False).alias("guest"))
+        second = guests.unionByName(hosts).select("k", "th", "c", "bytes", "cell", "block", "guest")
+        found = found.union(links(keep(second, "second-round")))
+    labels = components(found)
+    linked = classes.join(labels, F.col("c") == F.col("v")).select("n", "c", "c2", "label", "rep")
+    least = linked.groupBy("label").agg(F.min(F.struct("rep.k", "rep.th")).alias("least"))
+    component = linked.join(own_exchange(least, "label"), "label").select("n", "c", "c2", "least")
+    alone = F.struct(F.col("rep.k"), F.col("rep.th"))
+    of_class = classes.join(component, ["n", "c", "c2"], "left").select("n", "c", "c2", F.coalesce("least", alone).alias("least"))
+    each = sets.join(of_class, ["n", "c", "c2"], "left")
+    return each.select("k", "th", "n", F.coalesce("least.k", "k").alias("ck"), F.coalesce("least.th", "th").alias("cth"))
+
+
+def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, **options) -> DataFrame:
+    """id, n_shingles, component_id for each row of docs: the smallest id reachable by links of Jaccard similarity >= percent / 100.
+
+    Words are lower-cased (A-Z) runs of non-space bytes, shingles `size` of them. A null or empty text has no shingles and is linked with
+    nothing; its component is its own id. Rows with equal ids and texts are alike; rows with equal ids (or without) and other texts are separate
+    members. A null id counts as the smallest and is given back as null. An empty table gives no rows. Other columns are not read.
+    """
     back = lambda column: F.when(F.col(column) != NULL_ID, F.col(column))
-    return sets.join(component, ["n", "c", "c2"], "left").select(back("k").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, back("component")).otherwise(back("k")).alias("component_id"))
+    return row_components(docs, id_col, text_col, size, percent, **options).select(back("k").alias(id_col), F.col("n").alias("n_shingles"), back("ck").alias("component_id"))

@@ -110,9 +110,9 @@ def plain_components(rows, size, percent):
 
 
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (1, 60)])
-@pytest.mark.parametrize("block", [256, 9])
-def test_ngram_join(docs, size, percent, block):
-    got = ngram_join.join_components(docs, size=size, percent=percent, block=block, group=64).collect()
+@pytest.mark.parametrize("members", [2048, 9])
+def test_ngram_join(docs, size, percent, members):
+    got = ngram_join.join_components(docs, size=size, percent=percent, members=members, group=64, pivots=2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components([(r[0], r[1]) for r in corpus()], size, percent)
 
 
@@ -124,6 +124,55 @@ def test_ngram_join_edges(spark):
     assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def near_copies(n, words=120, seed=5):
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    for i in range(n):
+        own = list(base)
+        for _ in range(rng.randint(1, 2)):
+            own[rng.randrange(words)] = f"x{i}-{rng.randrange(10**6)}"
+        yield " ".join(own)
+
+
+def kept_rows(monkeypatch):
+    """Rows of the texts that ngram_join deals out, by the tables it keeps."""
+    found = {}
+
+    def keep(df, tag, plain=ngram_join.keep):
+        out = plain(df, tag)
+        if tag in ("blocks", "second-round"):
+            found[tag] = found.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "keep", keep)
+    return found
+
+
+def test_rows_follow_near_copies(spark, monkeypatch):
+    """Twice as many near copies of one text, in cells of many blocks, are twice as many rows, not four times."""
+    rows = []
+    for n in (600, 1200, 2400):
+        docs = spark.createDataFrame(list(enumerate(near_copies(n))), "doc_id long, text string")
+        found = kept_rows(monkeypatch)
+        got = ngram_join.join_components(docs, members=128, pivots=8).collect()
+        assert len(got) == n and {r.component_id for r in got} == {0}
+        rows.append(sum(found.values()))
+        monkeypatch.undo()
+    assert rows[1] < 2.3 * rows[0] and rows[2] < 2.3 * rows[1] and rows[2] < 4 * 2400
+
+
+def test_shared_ids_are_rows_of_their_own(spark, monkeypatch):
+    """Rows without an id and rows that share one: each text meets its own class only."""
+    texts = list(near_copies(300)) + [f"own {i} {i * 7} " + " ".join(f"q{i}-{j}" for j in range(30)) for i in range(1200)]
+    for number in (None, 7):
+        docs = spark.createDataFrame([(number, t) for t in texts] + [(number, texts[0])] * 500, "doc_id long, text string")
+        found = kept_rows(monkeypatch)
+        rows = ngram_join.row_components(docs).collect()
+        assert len(rows) == 2000 and len({(r.ck, r.cth) for r in rows}) == 1201 and found["blocks"] < 2 * 300
+        assert sum((r.k, r.th) == (r.ck, r.cth) for r in rows) in (1201, 1701)  # the repeated row may be its component's least
+        monkeypatch.undo()
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_linked_sets_share_a_segment(percent):
     rng, bands = np.random.default_rng(percent), ngram_join.Bands(percent)
