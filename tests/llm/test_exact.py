@@ -124,7 +124,7 @@ def test_ngram_join_edges(spark):
     assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def near_copies(n, words=120, seed=5):
+def near_copies(n, words=300, seed=5):
     rng = random.Random(seed)
     base = [f"b{i}" for i in range(words)]
     for i in range(n):
