@@ -1,7 +1,7 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Writer. Records are range-sorted by id: a sample chosen by a hash of the ids (so the same ids give the same sample) cuts the ids into ranges
-of about equal payload, each range is a shard, sorted by id. A task streams its shard into files that are rolled by their compressed size,
+Writer. Records are range-sorted by id and then by a hash of the record, which parts records without an id or with the same: a sample of
+these keys chosen by a hash (so the same records give the same sample) cuts them into ranges of about equal payload, each range is a shard. A task streams its shard into files that are rolled by their compressed size,
 one gzip member for each record; headers, record ids and digests are made anew from the payload. A file is written under a temporary name of
 its attempt and moved to its final name when it is complete; the manifest, a Spark table of file names with sizes and digests, lists the
 files that count. A task that runs again writes the same bytes to the same names.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -24,13 +25,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, id_key, shared_dir
 
-SHARD_BYTES, MOST_SHARDS, ROLL_BYTES, REVISIT_BYTES = 32 << 20, 4096, 16 << 20, 1000
-_SAMPLE = 20_000
+SHARD_BYTES, ROLL_BYTES, REVISIT_BYTES = 32 << 20, 16 << 20, 1000
+_SAMPLE, _MOST_SAMPLE = 16, 1 << 20  # keys for each shard, and in all: beyond 65536 shards' worth of them shards grow with the input
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard int, number int, name string, bytes long, records long, sha1 string"
@@ -103,20 +104,41 @@ class _Roll:
         self.number, self.out = self.number + 1, None
 
 
-def _shard_of(records: DataFrame, shard_bytes: int) -> tuple[int, list[int]]:
-    """Number of shards, and the first id of each but the first."""
+def _shard_bounds(records: DataFrame, shard_bytes: int) -> list[tuple[int, int]]:
+    """First key (k, h) of each shard but the first."""
     n, total = records.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    shards = max(1, min(MOST_SHARDS, -(-(total + 500 * n) // shard_bytes)))
+    shards = max(1, min(-(-(total + 500 * n) // shard_bytes), _MOST_SAMPLE // _SAMPLE))
     if shards == 1:
-        return 1, []
-    every = max(1, n // _SAMPLE)
-    sample = sorted(map(tuple, records.where(F.pmod(F.xxhash64("k"), F.lit(every)) == 0).select("k", "bytes").collect()))
-    whole, so_far, bounds = sum(b + 500 for _, b in sample), 0, []
-    for k, size in sample:
-        if so_far >= whole * (len(bounds) + 1) / shards and (not bounds or k > bounds[-1]):
-            bounds.append(k)
-        so_far += size + 500
-    return len(bounds) + 1, bounds
+        return []
+    every = max(1, n // max(20_000, _SAMPLE * shards))
+    chosen = records.where(F.pmod(F.xxhash64("k", "h"), F.lit(every)) == 0).groupBy("k", "h").agg(F.sum(F.col("bytes") + 500).alias("bytes"))
+    sample = sorted(map(tuple, chosen.collect()))
+    whole, so_far, bounds = sum(b for _, _, b in sample), 0, []
+    for k, h, size in sample:
+        if so_far >= whole * (len(bounds) + 1) / shards:
+            bounds.append((k, h))
+        so_far += size
+    return bounds
+
+
+def _shard(bounds: list[tuple[int, int]]) -> Column:
+    """Number of the bounds up to the key (k, h): among every `step`-th of them first, then among those that follow it."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    listed = lambda own: F.from_json(F.lit(json.dumps([{"k": k, "h": h} for k, h in own])), "array<struct<k:bigint,h:bigint>>")
+    runs = F.from_json(F.lit(json.dumps([[{"k": k, "h": h} for k, h in bounds[i : i + step]] for i in range(0, len(bounds), step)])), "array<array<struct<k:bigint,h:bigint>>>")
+    up_to = lambda own: F.size(F.filter(own, lambda b: b <= F.struct("k", "h")))
+    run = up_to(listed(bounds[::step])) - 1
+    return F.when(run < 0, 0).otherwise(run * step + up_to(F.get(runs, run)))
+
+
+def _qualified(spark: SparkSession, uri: str) -> str:
+    """uri with a scheme: that of Spark's default file system where it has none, so that the archives lie where Spark's tables do."""
+    if "://" in uri or uri.startswith("file:"):
+        return uri
+    default = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return ("file://" if default.startswith("file:") else default.rstrip("/")) + uri
 
 
 def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -125,16 +147,17 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     A null payload is empty. A null id sorts first and is left out of the headers; a null url too. Rows with equal ids and payloads are
     all written, none revisits another of the same id. An empty table gives an empty manifest. Other columns are not read.
     """
-    records = pages.select(id_key(id_col).alias("k"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    sizes = records.select("k", F.octet_length("payload").cast("long").alias("bytes"))
-    shards, bounds = _shard_of(sizes, shard_bytes)
-    digests = records.select("k", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes")).where(F.col("bytes") >= revisit_bytes)
+    uri = _qualified(pages.sparkSession, uri)
+    payload, url = F.coalesce(F.col(payload_col), F.lit("")), F.col(url_col).cast("string")
+    records = pages.select(id_key(id_col).alias("k"), F.xxhash64(url, payload).alias("h"), url.alias("url"), payload.alias("payload"))
+    sizes = records.select("k", "h", F.octet_length("payload").cast("long").alias("bytes"))
+    bounds = _shard_bounds(sizes, shard_bytes)
+    digests = records.select("k", "h", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("bytes")).where(F.col("bytes") >= revisit_bytes)
     responses = digests.groupBy("digest", "bytes").agg(F.max("k").alias("response"), F.min("k").alias("least")).where("least < response")
-    joined = digests.withColumn("h", F.xxhash64("digest", "bytes")).join(responses.select(F.xxhash64("digest", "bytes").alias("h"), "digest", "response"), ["h", "digest"])
-    notes = joined.where("k < response").select("k", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "response").distinct()
-    rows = notes.unionByName(records.select("k", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("response")))
-    shard = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("k"))) if bounds else F.lit(0)
-    dealt = rows.withColumn("shard", shard.cast("int")).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "k", "kind", "url", "payload")
+    joined = digests.withColumn("d", F.xxhash64("digest", "bytes")).join(responses.select(F.xxhash64("digest", "bytes").alias("d"), "digest", "response"), ["d", "digest"])
+    notes = joined.where("k < response").select("k", "h", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "response").distinct()
+    rows = notes.unionByName(records.select("k", "h", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("response")))
+    dealt = rows.withColumn("shard", _shard(bounds).cast("int")).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "k", "h", "kind", "url", "payload")
     target, _ = fs.FileSystem.from_uri(uri)
     target.create_dir(fs.FileSystem.from_uri(uri)[1], recursive=True)
 
@@ -142,15 +165,15 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
         roll, at, notes = None, None, {}
         done: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("shard", "k", "kind", "url", "payload", "digest", "response")), strict=True):
-                number, k, kind, url, payload, digest, response = (x.as_py() for x in row)
+            for row in zip(*(batch.column(c) for c in ("shard", "k", "h", "kind", "url", "payload", "digest", "response")), strict=True):
+                number, k, h, kind, url, payload, digest, response = (x.as_py() for x in row)
                 if roll is None or roll.shard != number:
                     if roll:
                         roll.close()
                         done += roll.done
                     roll = _Roll(uri, number, roll_bytes)
-                if k != at:
-                    at, notes = k, {}
+                if (k, h) != at:
+                    at, notes = (k, h), {}
                 if kind == 0:
                     notes[digest] = response
                     continue
@@ -198,6 +221,7 @@ def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id") -> Dat
 
     Digests of stored blocks and payloads are checked as they are read; a mismatch raises ValueError.
     """
+    uri = _qualified(manifest.sparkSession, uri)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
@@ -235,5 +259,4 @@ def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id") -> Dat
 def round_trip(pages: DataFrame, uri: str | None = None, **options) -> DataFrame:
     """Write pages to archives (by default in a new folder of the shared one) and read them back."""
     uri = uri or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    uri = uri if "://" in uri or uri.startswith("file:") else f"file://{uri}"
     return read_archives(write_archives(pages, uri, **options), uri, options.get("id_col", "page_id"))
