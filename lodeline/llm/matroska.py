@@ -101,9 +101,11 @@ class Media:
 
 def read_vint(data: bytes, at: int, marked: bool = False) -> tuple[int, int]:
     """Value and width; marked: with the marker bit, as ids are. All ones in a size: -1, unknown."""
-    width = 9 - data[at].bit_length()
+    width = 9 - data[at].bit_length() if at < len(data) else 9
     if width > 8:
         raise ValueError(f"no variable-length integer at {at}")
+    if at + width > len(data):
+        raise ValueError(f"the variable-length integer at {at} exceeds the file")
     value = int.from_bytes(data[at : at + width], "big")
     if marked:
         return value, width
@@ -128,6 +130,8 @@ def frames(data: bytes, start: int, stop: int, kind: int) -> list[tuple[int, int
     """Start and length of each frame of a block."""
     if kind == NO_LACING:
         return [(start, stop - start)]
+    if start >= stop:
+        raise ValueError(f"no lace sizes in the block at {start}")
     n, at = data[start] + 1, start + 1
     sizes: list[int] = []
     if kind == FIXED:
@@ -135,8 +139,10 @@ def frames(data: bytes, start: int, stop: int, kind: int) -> list[tuple[int, int
     elif kind == XIPH:
         for _ in range(n - 1):
             size = 0
-            while data[at] == 255:
+            while at < stop and data[at] == 255:
                 size, at = size + 255, at + 1
+            if at >= stop:
+                raise ValueError(f"lace sizes exceed the block at {start}")
             sizes.append(size + data[at])
             at += 1
     elif n > 1:
@@ -157,6 +163,8 @@ def frames(data: bytes, start: int, stop: int, kind: int) -> list[tuple[int, int
 def _block(media: Media, data: bytes, start: int, stop: int, base: int, simple: bool) -> None:
     track, width = read_vint(data, start)
     at = start + width
+    if at + 3 > stop:
+        raise ValueError(f"no block header at {start}")
     time, flags = base + int.from_bytes(data[at : at + 2], "big", signed=True), data[at + 2]
     for i, (first, length) in enumerate(frames(data, at + 3, stop, flags & 6)):
         media.packets.append((track, time, i, first, length, bool(flags & 0x80) if simple else True))
@@ -172,6 +180,8 @@ def _cluster(media: Media, data: bytes, start: int, stop: int) -> int:
         size, more = read_vint(data, at + width)
         first = at + width + more
         last = first + size
+        if size < 0 or last > stop:
+            raise ValueError(f"element {name:#x} at {at} exceeds its cluster")
         if name == TIMESTAMP:
             base = int.from_bytes(data[first:last], "big")
         elif name == SIMPLE_BLOCK:
@@ -208,7 +218,7 @@ def parse(data: bytes) -> Media:
                 for _, c, d in elements(data, a, b):
                     entry = {x: (e, f) for x, e, f in elements(data, c, d)}
                     if TRACK_NUMBER in entry:
-                        media.tracks[value(*entry[TRACK_NUMBER])] = data[slice(*entry.get(CODEC_ID, (0, 0)))].decode()
+                        media.tracks[value(*entry[TRACK_NUMBER])] = data[slice(*entry.get(CODEC_ID, (0, 0)))].decode("ascii", "replace")
             elif inner == CUES:
                 for _, c, d in elements(data, a, b):
                     time, where = 0, []
