@@ -3,16 +3,17 @@
 Targets: sources in the order of their names (code points, null last) weigh `weights`, repeating, and share `share` times all words; no
 target exceeds `most` times its source's size, and what is above is shared again by weight until none is.
 
-Apportionment: the mix has round(all targets / block) blocks. The parties are the shards of the sources: each source is dealt by a seeded
-hash into shards of about `shard_docs` documents, and a shard's claim is its part of the source's target. The quota of a shard is its claim
+Apportionment: documents are dealt by a seeded hash into shards of about `shard_docs` documents of all sources. In a shard the parties are the
+sources, and a source's claim is its words there times its target over its size. The shard has round(sum of claims / block) blocks. A quota is the claim
 over the block size, rounded; blocks still missing go one by one to the highest quotients claim / (2 quota + 1), blocks too many come from
-the lowest claim / (2 quota - 1): the divisor method of odd numbers.
+the lowest claim / (2 quota - 1), of equal ones to the first name and from the last: the divisor method of odd numbers, in every shard by itself.
 
-Selection: the documents of a shard in seeded order make a stream of words, cut in equal blocks; the shard takes its quota of blocks from
+Selection: the documents of a source in a shard, in seeded order, make a stream of words, cut in equal blocks; the source takes its quota of blocks from
 the start, going around again where the quota exceeds the stream. So a document is taken whole as often as the stream goes around it, and
-at most one document of each shard is taken in part.
+at most one document of each source and shard is taken in part.
 
-Scale: the text is read once to count words; what is shuffled is a few numbers for each document. A source of any size is many shards.
+Scale: the text is read once to count words; what is shuffled is a few numbers for each document, equal rows as one with their count. A
+source of any size is spread over all shards; the only table in one task has a row for each source.
 """
 
 from __future__ import annotations
@@ -33,69 +34,68 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """sizes (source, source_size, ...; one row for each source) with weight and target."""
+    """sizes (source, name, source_size, ...; one row for each source) with weight and target.
+
+    Sources stop at their cap in the order of cap / weight; the rate at which the rest is shared is that of the first source that it doesn't fill.
+    """
     rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int"))
-    table = keep(sizes.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most))), "mix-sources")
-    goal = share * (table.agg(F.sum("source_size")).first()[0] or 0)
-    rate, stopped = 0.0, -1
-    while True:  # each turn stops one source at least
-        full = F.col("cap") <= rate * F.col("weight")
-        now, taken, open_weight = table.agg(F.coalesce(F.sum(full.cast("long")), F.lit(0)), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
-        if now == stopped or not open_weight:
-            break
-        stopped, rate = now, (goal - taken) / open_weight
-    return table.withColumn("target", F.when(F.col("cap") <= rate * F.col("weight"), F.col("cap")).otherwise(rate * F.col("weight"))).drop("cap")
-
-
-def apportion(parties: DataFrame, claim: str, block: int) -> DataFrame:
-    """parties (a kept table) with `quota`: blocks for each by Sainte-Lague, round(sum of claims / block) of them in all."""
-    names = [c for c in parties.columns if c != claim]
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((rank - 1) % len(weights) + 1).cast("int")).cast("double")
+    by_fill = W.orderBy("fill", "name")
+    capped = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("fill", F.col("cap") / F.col("weight"))
+    stopped = F.coalesce(F.sum("cap").over(by_fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    open_weight = F.sum("weight").over(by_fill.rowsBetween(0, W.unboundedFollowing))
+    goal = F.lit(float(share)) * F.sum("source_size").over(W.partitionBy())
+    filled = capped.withColumn("rate", (goal - stopped) / open_weight)
+    rate = F.coalesce(F.min(F.when(F.col("fill") > F.col("rate"), F.struct("fill", "name", "rate"))).over(W.partitionBy())["rate"], F.lit(0.0))
+    return filled.withColumn("target", F.least(F.col("cap"), rate * F.col("weight"))).drop("cap", "fill", "rate")
+
+
+def apportion(parties: DataFrame, claim: str, block: int, shard: str = "shard") -> DataFrame:
+    """parties (shard, name, claim, ...) with `quota`: blocks for each by Sainte-Lague, round(sum of claims / block) of them in each shard."""
+    of_shard = W.partitionBy(shard)
     quota = parties.withColumn("quota", F.floor(F.col(claim) / block + 0.5))
-    total, given = quota.agg(F.coalesce(F.sum(claim), F.lit(0.0)), F.coalesce(F.sum("quota"), F.lit(0))).first()
-    missing = int(total / block + 0.5) - given
-    if not missing or not total:
-        return quota
-    turns = F.lit(1) + F.ceil(abs(missing) * F.col(claim) / total).cast("int")
-    turn = quota.where(F.col(claim) > 0).withColumn("j", F.explode(F.sequence(F.lit(0), turns)))
-    if missing > 0:
-        turn = turn.withColumn("quotient", F.col(claim) / (2 * (F.col("quota") + F.col("j")) + 1)).orderBy(F.desc("quotient"), *names, "j")
-    else:
-        turn = turn.where("quota > j").withColumn("quotient", F.col(claim) / (2 * (F.col("quota") - F.col("j")) - 1)).orderBy("quotient", *names, "j")
-    change = turn.limit(abs(missing)).groupBy(*names).agg(F.count("*").alias("change"))
-    sign = 1 if missing > 0 else -1
-    return quota.join(change, names, "left").withColumn("quota", F.col("quota") + sign * F.coalesce("change", F.lit(0))).drop("change")
+    quota = quota.withColumn("total", F.sum(claim).over(of_shard)).withColumn("missing", F.floor(F.col("total") / block + 0.5) - F.sum("quota").over(of_shard))
+    turns = F.when(F.col(claim) > 0, F.sequence(F.lit(0), F.lit(1) + F.ceil(F.abs("missing") * F.col(claim) / F.col("total")).cast("int"))).otherwise(F.array().cast("array<int>"))
+    more = F.col("missing") > 0
+    turn = quota.where("missing <> 0").withColumn("j", F.explode(turns)).where(more | (F.col("quota") > F.col("j")))
+    quotient = F.when(more, -F.col(claim) / (2 * (F.col("quota") + F.col("j")) + 1)).otherwise(F.col(claim) / (2 * (F.col("quota") - F.col("j")) - 1))
+    given = turn.withColumn("rank", F.row_number().over(of_shard.orderBy(quotient, F.when(more, F.col("name")), F.desc("name"), "j"))).where(F.col("rank") <= F.abs("missing"))
+    change = given.groupBy(shard, "name").agg(F.count("*").alias("change"))
+    changed = quota.join(change, [shard, "name"], "left")
+    return changed.withColumn("quota", F.col("quota") + F.signum("missing").cast("long") * F.coalesce("change", F.lit(0))).drop("change", "total", "missing")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: str = SEED) -> DataFrame:
     """For each document: id, size (words), source_size, target (its source's), taken (words the mix takes, repeats counted), th.
 
-    A null text has no words, and nothing is taken of it. A null source is a source of its own. Null ids are dealt like others. Equal rows
-    are dealt together; which of them is taken in part does not matter. Empty input gives no rows. Other columns are not read.
-    th is a hash of the text, which tells rows with equal ids apart.
+    A null text has no words, and nothing is taken of it. A null source is a source of its own. Rows without an id, or with a repeated one, are
+    dealt by their texts as well. Equal rows follow each other; which of them is taken in part does not matter. Empty input gives no rows. Other
+    columns are not read. th is a hash of the text, which tells rows with equal ids apart.
     """
-    counted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("th"))
+    counted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("th"), F.md5(text_col).alias("digest"))
     name = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    sized = keep(counted.withColumn("name", name).withColumn("u", F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")))), "mix-sizes")
-    by_source = sized.groupBy("name", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    dealt_by = F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.col("digest")))
+    alike = counted.withColumn("name", name).withColumn("u", dealt_by).groupBy("id", "name", "source", "size", "th", "u").agg(F.count("*").alias("copies"))
+    sized = keep(alike, "mix-sizes")
+    by_source = sized.groupBy("name", "source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     targets = keep(source_targets(by_source, weights, share, most), "mix-targets")
-    shards = F.greatest(F.lit(1), F.ceil(F.col("n") / shard_docs)).cast("long")
-    dealt = sized.join(targets.select("name", "source_size", "n", "target"), "name").withColumn("shard", F.conv(F.substring("u", 1, 7), 16, 10).cast("long") % shards)
-    claims = dealt.groupBy("name", "shard").agg(F.sum("size").alias("stream"), F.max(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).alias("rate"))
-    parties = keep(claims.select("name", "shard", (F.col("stream") * F.col("rate")).alias("claim")), "mix-parties")
-    quotas = keep(apportion(parties, "claim", block).select("name", "shard", (F.col("quota") * block).alias("words")), "mix-quotas")
+    shards = max(1, -(-(sized.agg(F.sum("copies")).first()[0] or 0) // shard_docs))
+    dealt = sized.join(targets.select("name", "source_size", "target"), "name").withColumn("shard", F.conv(F.substring("u", 1, 12), 16, 10).cast("long") % shards)
+    claims = dealt.groupBy("name", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("stream"), F.max(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).alias("rate"))
+    parties = keep(claims.withColumn("claim", F.col("stream") * F.col("rate")), "mix-parties")
+    quotas = apportion(parties, "claim", block).select("name", "shard", "stream", (F.col("quota") * block).alias("words"))
     order = W.partitionBy("name", "shard").orderBy("u", "id", "size", "th")
-    stream = W.partitionBy("name", "shard")
-    placed = dealt.withColumn("before", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("stream", F.sum("size").over(stream))
+    before = F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    each = dealt.withColumn("before", before).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("before", F.col("before") + F.col("copy") * F.col("size"))
     around = F.floor(F.col("words") / F.greatest(F.col("stream"), F.lit(1)))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - around * F.col("stream") - F.coalesce("before", F.lit(0))))
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - around * F.col("stream") - F.col("before")))
     taken = F.least(F.col("size") * around + part, F.floor(F.col("size") * F.lit(most)).cast("long"))
-    return placed.join(quotas, ["name", "shard"]).select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), "th")
+    return each.join(quotas, ["name", "shard"]).select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), "th")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents of the mix, each as many times as its taken words make it whole, rounded; documents without words are left out."""
     plan = mix(docs, id_col, text_col, **options).where("size > 0")
-    copies = plan.groupBy(F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("__k"), F.col("th").alias("__th")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__copies"))
-    joined = docs.withColumns({"__k": id_key(id_col), "__th": F.xxhash64(text_col)}).join(copies.where("__copies > 0"), ["__k", "__th"])
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = plan.groupBy(id_key(id_col).alias("k"), "th").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0")
+    joined = docs.select(id_key(id_col).alias("k"), F.xxhash64(text_col).alias("th"), F.struct(*docs.columns).alias("row")).join(copies, ["k", "th"])
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -98,20 +98,20 @@ ORACLE = {
         SELECT query_id, rank::INT AS rank, vec_id, score FROM
           (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "op5_mixing": rf"""
-        WITH sized AS (SELECT doc_id, source, coalesce('=' || source, '-') AS name, len({_WORDS}) AS size, md5(concat_ws(':', 'mix-1', doc_id)) AS u FROM documents),
-        src AS (SELECT name, sum(size)::BIGINT AS source_size, count(*) AS n, [3, 1, 2][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM sized GROUP BY name, source),
+        WITH sized AS (SELECT doc_id, source, coalesce('=' || source, '-') AS name, len({_WORDS}) AS size, md5(concat_ws(':', 'mix-1', doc_id, md5(text))) AS u FROM documents),
+        src AS (SELECT name, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM sized GROUP BY name, source),
         ranked AS (SELECT *, 2.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / w, name) AS k FROM src),
         level AS (SELECT k, cap / w AS own, (1.5::DOUBLE * (SELECT sum(source_size) FROM src) - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                          / sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM ranked),
         final AS (SELECT rate FROM level WHERE own > rate ORDER BY k LIMIT 1),
         tgt AS (SELECT *, least(cap, coalesce((SELECT rate FROM final), 0) * w) AS target FROM ranked),
-        dealt AS (SELECT s.*, t.source_size, t.target, ('0x' || u[1:7])::BIGINT % greatest(1, ceil(t.n / 512.0)::BIGINT) AS shard FROM sized s JOIN tgt t USING (name)),
+        dealt AS (SELECT s.*, t.source_size, t.target, ('0x' || u[1:12])::BIGINT % (SELECT greatest(1, ceil(count(*) / 512.0)::BIGINT) FROM sized) AS shard FROM sized s JOIN tgt t USING (name)),
         party AS (SELECT name, shard, sum(size)::BIGINT AS stream, sum(size)::BIGINT * (any_value(target) / greatest(any_value(source_size), 1)) AS claim FROM dealt GROUP BY name, shard),
         quota AS (SELECT *, floor(claim / 8 + 0.5)::BIGINT AS q FROM party),
-        gap AS (SELECT floor(sum(claim) / 8 + 0.5)::BIGINT - sum(q)::BIGINT AS missing, sum(claim) AS total FROM quota),
-        turn AS (SELECT name, shard, CASE WHEN missing > 0 THEN -claim / (2 * (q + j) + 1) ELSE claim / (2 * (q - j) - 1) END AS o, j, missing FROM quota, gap, unnest(range(0, 2 + ceil(abs(missing) * claim / total)::BIGINT)) t(j) WHERE claim > 0 AND (missing > 0 OR q > j)),
-        change AS (SELECT name, shard, count(*) AS c FROM (SELECT *, row_number() OVER (ORDER BY o, name, shard, j) AS r FROM turn) WHERE r <= abs(missing) GROUP BY name, shard),
-        given AS (SELECT q.name, q.shard, q.stream, 8 * (q + CASE WHEN missing > 0 THEN 1 ELSE -1 END * coalesce(c, 0)) AS words FROM quota q LEFT JOIN change USING (name, shard), gap),
+        gap AS (SELECT *, floor(sum(claim) OVER (PARTITION BY shard) / 8 + 0.5)::BIGINT - (sum(q) OVER (PARTITION BY shard))::BIGINT AS missing, sum(claim) OVER (PARTITION BY shard) AS total FROM quota),
+        turn AS (SELECT name, shard, CASE WHEN missing > 0 THEN -claim / (2 * (q + j) + 1) ELSE claim / (2 * (q - j) - 1) END AS o, j, missing FROM gap, unnest(range(0, 2 + ceil(abs(missing) * claim / greatest(total, 1))::BIGINT)) t(j) WHERE missing <> 0 AND claim > 0 AND (missing > 0 OR q > j)),
+        change AS (SELECT name, shard, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY o, CASE WHEN missing > 0 THEN name END, name DESC, j) AS r FROM turn) WHERE r <= abs(missing) GROUP BY name, shard),
+        given AS (SELECT q.name, q.shard, q.stream, 8 * (q + sign(missing) * coalesce(c, 0))::BIGINT AS words FROM gap q LEFT JOIN change USING (name, shard)),
         placed AS (SELECT d.*, g.stream, words, words // greatest(g.stream, 1) AS around, coalesce(sum(size) OVER (PARTITION BY d.name, d.shard ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
                    FROM dealt d JOIN given g ON d.name = g.name AND d.shard = g.shard)
         SELECT doc_id, size, source_size, target, least(size * around + greatest(0, least(size, words - around * stream - before)), 2 * size)::BIGINT AS taken FROM placed""",

@@ -298,14 +298,15 @@ def test_mixing(docs):
 
 
 def test_apportionment_is_sainte_lague(spark):
-    claims = [50.0, 1.3, 7.7, 23.0, 0.0, 18.0]
+    shards = [[50.0, 1.3, 7.7, 23.0, 0.0, 18.0], [1.5, 1.5, 1.5, 1.4], [0.4] * 7, [0.0]]
     for block in (1, 3, 7):
-        table = spark.createDataFrame([(str(i), 0, c) for i, c in enumerate(claims)], "name string, shard int, claim double")
-        got = {r.name: r.quota for r in mixing.apportion(table, "claim", block).collect()}
-        seats = [0] * len(claims)
-        for _ in range(int(sum(claims) / block + 0.5)):
-            seats[max(range(len(claims)), key=lambda i: claims[i] / (2 * seats[i] + 1))] += 1
-        assert [got[str(i)] for i in range(len(claims))] == seats
+        table = spark.createDataFrame([(str(i), n, c) for n, claims in enumerate(shards) for i, c in enumerate(claims)], "name string, shard int, claim double")
+        got = {(r.shard, r.name): r.quota for r in mixing.apportion(table, "claim", block).collect()}
+        for n, claims in enumerate(shards):
+            seats = [0] * len(claims)
+            for _ in range(int(sum(claims) / block + 0.5)):
+                seats[max(range(len(claims)), key=lambda i: (claims[i] / (2 * seats[i] + 1), -i))] += 1
+            assert [got[n, str(i)] for i in range(len(claims))] == seats
 
 
 def test_mixing_edges(spark):
@@ -316,6 +317,16 @@ def test_mixing_edges(spark):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_mixing_shared_ids(spark):
+    """Rows without an id, or with one id, spread over the shards by their texts."""
+    for number in (None, 3):
+        docs = spark.createDataFrame([(number, f"a{i} b c", "s") for i in range(2000)] + [(number, "same text", "s")] * 300, "doc_id long, text string, source string")
+        rows = mixing.mix(docs, shard_docs=50).collect()
+        assert len(rows) == 2300 and sum(r.size for r in rows) == 6600 and 9700 <= sum(r.taken for r in rows) <= 10100
+        part = sum(0 < r.taken % r.size for r in rows)
+        assert 20 <= part <= 46  # at most one of each shard
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
