@@ -74,7 +74,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id"
     """
     sound = F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where(sound)
-    whole = rows.select("id", "q", F.transform("v", lambda x: F.floor(x * 256)).alias("v"), F.size("v").alias("d"))
+    whole = rows.select("id", "q", F.transform("v", lambda x: F.floor(x * 256)).alias("v"), F.size("v").alias("d")).distinct()  # repeated rows meet before they are dealt
     counts = whole.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("int")), F.lit(0))).first()
     blocks, query_blocks = max(1, -(-counts[0] // candidates)), max(1, -(-counts[1] // queries))
     block = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n))
