@@ -303,7 +303,7 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component = linked.join(own_exchange(least, "label"), "label").select("n", "c", "c2", "least")
     alone = F.struct(F.col("rep.k"), F.col("rep.th"))
     of_class = classes.join(component, ["n", "c", "c2"], "left").select("n", "c", "c2", F.coalesce("least", alone).alias("least"))
-    each = sets.join(of_class, ["n", "c", "c2"], "left")
+    each = sets.join(own_exchange(of_class, "c"), ["n", "c", "c2"], "left")
     return each.select("k", "th", "n", F.coalesce("least.k", "k").alias("ck"), F.coalesce("least.th", "th").alias("cth"))
 
 
