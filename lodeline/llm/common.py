@@ -78,8 +78,16 @@ def own_exchange(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn(key, F.coalesce(F.col(key), F.lit(NULL_ID)))
 
 
-def text_runs(column: pa.Array, most: int = 1 << 20):
-    """Yield (first row, rows, bytes, offsets): runs of whole texts of about `most` bytes, offsets from 0; a null text is empty."""
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def text_runs(column: pa.Array, most: int = 1 << 20, texts: int = 1 << 20):
+    """Yield (first row, rows, bytes, offsets): runs of whole texts, up to `texts` of about `most` bytes, offsets from 0; a null text is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_string(column.type):
@@ -95,7 +103,7 @@ def text_runs(column: pa.Array, most: int = 1 << 20):
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        last = min(last, n)
+        last = min(last, n, first + texts)
         yield first, last - first, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
         first = last
 

@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, text_runs
+from .common import free_name, held_out, text_runs
 
 SAMPLE, BUCKETS, UNDETERMINED = 2000, 1 << 13, "und"
 _SHRINK = 5.0
+_RUN = 1 << 19, 128  # bytes and texts that are counted together: a text's counts take 8 bytes for each bucket
 
 
 def histograms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +117,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def sparse(batches):
         for batch in batches:
-            for first, n, data, offsets in text_runs(batch.column("text"), 1 << 19):
+            for first, n, data, offsets in text_runs(batch.column("text"), *_RUN):
                 found, total = histograms(data, offsets)
                 at = [np.flatnonzero(row) for row in found]
                 pack = [np.concatenate([i, row[i]]).astype("<u4").tobytes() for i, row in zip(at, found, strict=True)]
@@ -146,16 +147,16 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     def decode(batches):
         for batch in batches:
             out = []
-            for _, _, data, offsets in text_runs(batch.column("__lower"), 1 << 19):
+            for _, _, data, offsets in text_runs(batch.column(lower), *_RUN):
                 out.append(model.decode(*histograms(data, offsets)))
             best, score, unsure = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
-            lettered = batch.column("__lettered").to_numpy(zero_copy_only=False).astype(bool)
-            lang = pa.array(np.where(lettered, best, -1), mask=~lettered)
+            sound = batch.column(lettered).to_numpy(zero_copy_only=False).astype(bool)
+            lang = pa.array(np.where(sound, best, -1), mask=~sound)
             columns = [batch.column(c) for c in kept]
-            columns += [names.take(lang).fill_null(UNDETERMINED), pa.array(np.where(lettered, score, 0.0)), pa.array(unsure | ~lettered)]
+            columns += [names.take(lang).fill_null(UNDETERMINED), pa.array(np.where(sound, score, 0.0)), pa.array(unsure | ~sound)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score", "ambiguous"])
 
-    kept = docs.columns
-    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    kept, lower, lettered = docs.columns, free_name(docs, "lower"), free_name(docs, "lettered")
+    has_letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    return docs.select("*", F.coalesce(F.lower(text_col), F.lit("")).alias("__lower"), lettered.alias("__lettered")).mapInArrow(decode, schema)
+    return docs.select("*", F.coalesce(F.lower(text_col), F.lit("")).alias(lower), has_letter.alias(lettered)).mapInArrow(decode, schema)

@@ -168,19 +168,21 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """A model of labels whose rows are not held out; None without any. Of labels that repeat an id the mean counts, at least a half being 1."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("__y"))
+    """A model of labels whose rows are not held out; None without any. Of labels that repeat an id the mean counts, at least a half being 1;
+    of texts that share an id the one with the least hash."""
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("y")).withColumnRenamed(id_col, "id")
     n = known.count()
-    chosen = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000)) < F.lit(min(1.0, sample / max(n, 1)) * 1_000_000))
+    chosen = known.where(F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1_000_000)) < F.lit(min(1.0, sample / max(n, 1)) * 1_000_000))
 
     def describe(batches):
         for batch in batches:
             for first, m, data, offsets in text_runs(batch.column("text")):
                 found = features(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, m), batch.column("y").slice(first, m), pa.array([r.tobytes() for r in found], pa.binary())], names=["id", "y", "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, m) for c in ("id", "y", "h")), pa.array([r.tobytes() for r in found], pa.binary())], names=["id", "y", "h", "x"])
 
-    rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), F.col("__y").alias("y"), F.col(text_col).alias("text"))
-    got = rows.mapInArrow(describe, "id long, y int, x binary").dropDuplicates(["id"]).collect()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    found = texts.join(F.broadcast(chosen), "id").select("id", "y", "h", "text").mapInArrow(describe, "id long, y int, h long, x binary")
+    got = found.groupBy("id").agg(F.min(F.struct("h", "y", "x")).alias("r")).select("id", "r.y", "r.x").collect()
     if not got:
         return None
     got.sort(key=lambda r: r[0])
