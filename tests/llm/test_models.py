@@ -1,7 +1,10 @@
 """Operators that SQL can't express: round trips, and accuracy on rows that were held out."""
 
+import bisect
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -139,3 +142,203 @@ def test_media_columns(spark):
     m = matroska.parse(media.where("doc_id = 5").first().media)
     assert len(m.clusters) == 5 and {p for _, _, p in m.cues} == set(m.clusters) and m.tracks == {1: "A_PCM/INT/LIT"}
     assert matroska.media_features(matroska.media_column(docs.where("doc_id = 99"))).count() == 0
+
+
+def plain_languages(model, text):
+    """Loss-weighted decoding in loops: counts in a dict, a sum for each bit, a loss for each language."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    data, counts = text.lower().encode(), {}
+    for k in (2, 3):
+        for at in range(len(data) - k + 1):
+            h = k
+            for b in data[at : at + k]:
+                h = (h ^ b) * 0x01000193 % 2**32
+            slot = (h * 0x9E3779B1 % 2**32) >> (32 - 13)
+            counts[slot] = counts.get(slot, 0) + 1
+    n, bits = sum(counts.values()), []
+    for bit in range(model.code.shape[1]):
+        bits.append(sum(c * float(model.table[slot, bit]) for slot, c in counts.items()) / (n + 5.0) + float(model.bias[bit]))
+    losses = [sum(float(w) * max(0.0, 1 - x * int(c)) for w, x, c in zip(model.weight, bits, row, strict=True)) for row in model.code]
+    best = min(range(len(losses)), key=lambda i: losses[i])
+    return model.languages[best], 1 / sum(np.exp(-8 * (x - losses[best])) for x in losses)
+
+
+def test_language_id_is_the_plain_decoding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.learn(docs)
+    rows = language_id.predict(docs, model).collect()
+    assert len(rows) >= 200
+    for r in rows:
+        lang, score = plain_languages(model, r.text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=2e-3)
+
+
+def test_language_id_empty_and_clashing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.learn(docs)
+    empty = docs.where("doc_id < 0")
+    assert language_id.predict(empty, model).count() == 0 and language_id.learn(empty) is None
+    odd = docs.select("doc_id", "text", F.lit(1).alias("lower"), F.lit(2).alias("lettered"), F.lit("q").alias("lang_pred"))
+    got = language_id.predict(odd, model)
+    assert got.columns == ["doc_id", "text", "lower", "lettered", "lang_pred", "score", "ambiguous"] and {(r.lower, r.lettered) for r in got.collect()} == {(1, 2)}
+
+
+def test_tiny_texts_take_little_memory():
+    from tracemalloc import get_traced_memory, start, stop
+
+    import pyarrow as pa
+    from lodeline.llm.common import text_runs
+
+    start()
+    for _, n, data, offsets in text_runs(pa.array(["abcd"] * 10_000), *language_id._RUN):
+        assert n <= language_id._RUN[1] and language_id.histograms(data, offsets)[0].shape[0] == n
+    peak = get_traced_memory()[1]
+    stop()
+    assert peak < 100 << 20
+
+
+def plain_features(text):
+    """The features of one text, counted one by one."""
+    data, words = text.encode(), re.findall(r"[^\x20\x09-\x0D]+", text)
+    words = [w.encode() for w in words]
+    n, count = len(data), len(words)
+    share = lambda x: x / max(count, 1)
+    out = [sum(b in bytes(members) for b in data) / max(n, 1) for members in quality_gam._CLASSES.values()]
+    lines = sum(b in b"\n\r" for b in data)
+    out += [np.log1p(count), np.log1p(n), share(sum(map(len, words))), share(sum(len(w) >= 16 for w in words)), share(sum(len(w) == 1 for w in words)), share(len(set(words)))]
+    out += [len(set(zip(words, words[1:], strict=False))) / max(count - 1, 1), share(sum(a == b for a, b in zip(words, words[1:], strict=False))), count / (1 + lines)]
+    return [*out, share(sum(0x41 <= w[0] <= 0x5A for w in words)), share(sum(w[-1:] in b".,;:!?" for w in words))]
+
+
+def test_quality_is_the_plain_sum_of_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality_gam.learn(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = quality_gam.score(docs, model).collect()
+    assert len(rows) >= 200
+    for r in rows:
+        x = plain_features(texts[r.doc_id])
+        logit = model.intercept + sum(float(t[bisect.bisect_right(e.tolist(), v)]) for e, t, v in zip(model.edges, model.tables, x, strict=True))
+        logit += sum(float(t[bisect.bisect_right(model.coarse[a].tolist(), x[a]), bisect.bisect_right(model.coarse[b].tolist(), x[b])]) for a, b, t in model.pairs)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit)), abs=1e-9) and r.predicted == (r.score >= 0.3)
+
+
+def test_quality_sample_does_not_hang_on_the_order(spark):
+    docs = spark.createDataFrame([(i % 60, f"text {i} " * (i % 9 + 1)) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    models = [quality_gam.learn(docs.repartition(n), labels) for n in (1, 5)]
+    assert all((a == b).all() for a, b in zip(models[0].tables, models[1].tables, strict=True))
+
+
+def plain_media(data):
+    """Tracks, packets, clusters, cue targets of a file, by an own walk over its elements."""
+
+    def walk(at, end):
+        while at < end:
+            start, wide = at, 1
+            while not data[at] >> (8 - wide):
+                wide += 1
+            name, at = data[at : at + wide].hex(), at + wide
+            wide = 1
+            while not data[at] >> (8 - wide):
+                wide += 1
+            size = int.from_bytes(data[at : at + wide], "big") - (1 << 7 * wide)
+            yield name, start, at + wide, at + wide + size
+            at += wide + size
+
+    tracks, packets, clusters, targets = 0, [], set(), set()
+    for top, _, a, b in walk(0, len(data)):
+        for name, start, c, d in walk(a, b) if top == "18538067" else ():
+            if name == "1654ae6b":
+                tracks = sum(x == "ae" for x, *_ in walk(c, d))
+            elif name == "1c53bb6b":
+                targets |= {int.from_bytes(data[g:h], "big") for _, _, e, f in walk(c, d) for x, _, p, q in walk(e, f) if x == "b7" for y, _, g, h in walk(p, q) if y == "f1"}
+            elif name == "1f43b675":
+                clusters.add(start - a)
+                base = 0
+                for x, _, e, f in walk(c, d):
+                    if x == "e7":
+                        base = int.from_bytes(data[e:f], "big")
+                    elif x == "a3":
+                        time, flags, at = base + int.from_bytes(data[e + 1 : e + 3], "big", signed=True), data[e + 3] & 6, e + 4
+                        n = data[at] + 1 if flags else 1
+                        at += bool(flags)
+                        sizes = []
+                        if flags == 4:
+                            sizes = [(f - at) // n] * (n - 1)
+                        while flags == 2 and len(sizes) < n - 1:
+                            size = 0
+                            while data[at] == 255:
+                                size, at = size + 255, at + 1
+                            sizes, at = [*sizes, size + data[at]], at + 1
+                        while flags == 6 and len(sizes) < n - 1:
+                            wide = 9 - data[at].bit_length()
+                            v = int.from_bytes(data[at : at + wide], "big") - (1 << 7 * wide)
+                            sizes.append(v if not sizes else sizes[-1] + v - (1 << (7 * wide - 1)) + 1)
+                            at += wide
+                        for i, size in enumerate([*sizes, f - at - sum(sizes)]):
+                            packets.append((data[e] - 128, time, i, at, size))
+                            at += size
+    return tracks, packets, clusters, targets
+
+
+def test_media_feature_is_that_of_a_plain_parse(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    media = matroska.media_column(docs)
+    files = {r.doc_id: bytes(r.media) for r in media.collect()}
+    rows = matroska.media_features(media).collect()
+    assert len(rows) >= 200
+    for r in rows:
+        data = files[r.doc_id]
+        tracks, packets, clusters, targets = plain_media(data)
+        payload = b"".join(data[a : a + n] for *_, a, n in packets)
+        table = zlib.crc32(b"".join(x.to_bytes(8, "little", signed=True) for p in packets for x in p))
+        mean = sum(payload) / len(payload)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in payload) / len(payload))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_bytes == len(data)
+        head, _, tail = r.feature.partition(";mean=")
+        assert head == f"tracks={tracks};packets={len(packets)};clusters={len(clusters)};cues={len(clusters & targets)};ms={len(payload) // 8};table={table:08x}"
+        assert [float(x) for x in tail.split(";spread=")] == pytest.approx([mean, spread], abs=1e-3)
+
+
+def test_damaged_media_raise_value_errors():
+    rng, whole = random.Random(4), matroska.write(b"0123456789" * 800)
+    for _ in range(1500):
+        data = bytearray(whole[: rng.randrange(1, len(whole))] if rng.random() < 0.4 else whole)
+        for _ in range(rng.randint(0, 4)):
+            data[rng.randrange(min(len(data), 400) if rng.random() < 0.8 else len(data))] = rng.randrange(256)
+        try:
+            matroska.parse(bytes(data))
+        except ValueError:
+            pass
+
+
+def test_warc_parts_pages_without_an_id(spark, tmp_path):
+    """Pages that share an id spread over shards and files; long payloads pass; every page is read back."""
+    rows = [(None if i % 2 else 5, f"u{i}", f"{i} " * 200) for i in range(400)] + [(9, "long", "x" * 5_000_000), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/n", shard_bytes=20_000).collect()
+    assert len({f.shard for f in manifest}) > 10 and max(f.records for f in manifest) < 100
+    got = warc.read_archives(spark.createDataFrame(manifest), f"file://{tmp_path}/n").collect()
+    assert sorted((str(r.page_id), r.payload_digest) for r in got) == sorted((str(i), hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in rows)
+
+
+def test_archives_lie_where_tables_do(spark, tmp_path):
+    assert warc._qualified(spark, "s3://b/x") == "s3://b/x" and warc._qualified(spark, f"{tmp_path}/q") == f"file://{tmp_path}/q"
+    pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
+    assert warc.round_trip(pages, f"{tmp_path}/q").first().page_id == 1
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from lodeline.llm.common import shared_dir
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = conf
+
+    assert shared_dir(Session(**{"spark.checkpoint.dir": "hdfs://x/c/", "spark.master": "yarn"})) == "hdfs://x/c"
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(Session(**{"spark.master": master}))
