@@ -365,6 +365,19 @@ def test_differencing():
     assert packing.windows([]) == []
 
 
+def test_ranks_give_the_ids_of_the_tokenizer():
+    """Random strings over all characters that the fast path takes, of every class, and mixes of them."""
+    tokens = packing.Tokens(*tokenizer_files())
+    plain = packing.Tokens(tokenizer_files()[0])
+    rng = random.Random(6)
+    admitted = [chr(c) for c in [*range(0x530), *range(0x2000, 0x2070), *range(0x20A0, 0x20C0)]]
+    classes = [admitted, list(" \t\n\r\x0b\x0c\x85\xa0\u2003\u2028"), list("'sStTrReEvVmMlLdD ’"), list("0123456789²½٠"[:12]), list("abcXYZéß ÀŁж "), list("!?.,-_#@(){}[]<>/\\\"'`~^|=+*&%$€₿…—")]
+    for n in range(6000):
+        pick = [rng.choice(classes) for _ in range(rng.randint(1, 3))]
+        text = "".join(rng.choice(rng.choice(pick)) for _ in range(rng.randint(0, 60)))
+        assert tokens.encode(text) == plain.encode(text), repr(text)
+
+
 def test_packing_edges(spark):
     odd = spark.createDataFrame([(None, None), (1, ""), (1, "a <|endoftext|> b"), (1, "a <|endoftext|> b")], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.doc_tokens) for r in packing.pack(odd, tokenizer_files()).where("start = 0").collect())
