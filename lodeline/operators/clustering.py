@@ -18,15 +18,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.patterns import WILDCARD, Mask, usable
+from ..functions.tables import keep
 
 DEPTH, THRESHOLD, MOST = 5, 0.4, 100
+CELL = 1 << 20  # clusters that are numbered in one task
 BUCKET = ["dataset", "n_tokens", "key"]
 
 
@@ -42,25 +45,35 @@ def similarity(template: Sequence[str], tokens: Sequence[str]) -> float:
     return sum(t == x or t == WILDCARD for t, x in zip(template, tokens, strict=False)) / len(template)
 
 
-def parse_bucket(rows: Sequence[Sequence[str]], threshold: float, most: int) -> tuple[list[int], list[list[str]]]:
-    """Number of the cluster of each token list, in order, and the templates at the end."""
-    templates: list[list[str]] = []
+def parse_bucket(rows: Sequence[Sequence[str]], threshold: float, most: int, templates: Sequence[Sequence[str]] = ()) -> tuple[list[int], list[list[str]]]:
+    """Number of the cluster of each token list (all of one length), in order, and the templates at the end. templates: those to start with.
+
+    Tokens are numbers, so that a line meets all templates of its bucket in one comparison of arrays.
+    """
+    if not rows:
+        return [], [list(t) for t in templates]
+    names, code = np.unique(np.array([*(x for t in templates for x in t), *(x for r in rows for x in r), WILDCARD], object).astype(str), return_inverse=True)
+    any_, width = int(code[-1]), len(rows[0])
+    table = code[:-1].reshape(-1, width)
+    now = np.empty((max(most, len(templates)), width), code.dtype)
+    n = len(templates)
+    now[:n] = table[:n]
     numbers = []
-    for tokens in rows:
-        best, at = -1.0, 0
-        for i, template in enumerate(templates):
-            s = similarity(template, tokens)
-            if s > best:
-                best, at = s, i
-        if best < threshold:
-            if len(templates) < most:
-                templates.append(list(tokens))
-                numbers.append(len(templates) - 1)
+    for x in table[n:]:
+        at = 0
+        if n:
+            same = ((now[:n] == x) | (now[:n] == any_)).sum(1)
+            at = int(same.argmax())
+        if not n or same[at] / width < threshold:
+            if n < most:
+                now[n] = x
+                numbers.append(n)
+                n += 1
                 continue
             at = 0
-        templates[at] = [t if t == x else WILDCARD for t, x in zip(templates[at], tokens, strict=True)]
+        now[at] = np.where(now[at] == x, x, any_)
         numbers.append(at)
-    return numbers, templates
+    return numbers, [names[t].tolist() for t in now[:n]]
 
 
 def _buckets(keyed: DataFrame, threshold: float) -> DataFrame:
@@ -84,8 +97,8 @@ def _buckets(keyed: DataFrame, threshold: float) -> DataFrame:
 
 
 def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) -> DataFrame:
-    """line_no, number and the cluster's typed template and first line for each line of the buckets that are not fast."""
-    rows = keyed.join(buckets.where(~F.col("fast")).select(*BUCKET), BUCKET, "left_semi").select(*BUCKET, "line_no", "masked")
+    """dataset, line_no, line, first_line and the cluster's typed template for each line of the buckets that are not fast."""
+    rows = keyed.join(buckets.where(~F.col("fast")).select(*BUCKET), BUCKET, "left_semi").select(*BUCKET, "line_no", "line", "masked")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("line_no")
@@ -95,64 +108,129 @@ def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) ->
         for number, n in zip(numbers, line_no, strict=True):
             first.setdefault(number, n)
         typed = [" ".join(t) for t in templates]
-        return table.select([*BUCKET, "line_no"]).append_column("first_line", pa.array([first[i] for i in numbers], pa.int64())).append_column("template_typed", pa.array([typed[i] for i in numbers]))
+        return table.select(["dataset", "line_no", "line"]).append_column("first_line", pa.array([first[i] for i in numbers], pa.int64())).append_column("template_typed", pa.array([typed[i] for i in numbers]))
+
+    return rows.groupBy(*BUCKET).applyInArrow(run, "dataset string, line_no long, line string, first_line long, template_typed string")
+
 
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.groupBy(*BUCKET).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in [*BUCKET, "line_no"]) + ", first_line long, template_typed string")
+def numbered(clusters: DataFrame, most: int = CELL) -> DataFrame:
+    """clusters (dataset, first_line, ...) with cluster_id: dense, from 0, by first line.
 
+    The first lines are cut into cells of about `most` at quantiles; ids are numbered in each cell and start after those of the cells before it,
+    so no task sorts a whole dataset.
+    """
+    n = clusters.groupBy("dataset").agg(F.count("*").alias("n"))
+    parts = max([1, *(-(-r.n // most) for r in n.select("n").distinct().collect())])
+    cuts = F.percentile_approx("first_line", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(100 * parts)) if parts > 1 else F.array().cast("array<bigint>")
+    cut = clusters.join(clusters.groupBy("dataset").agg(cuts.alias("cuts")), "dataset").withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col("first_line")))).drop("cuts")
+    cells = cut.groupBy("dataset", "cell").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("dataset").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(W.partitionBy("dataset", "cell").orderBy("first_line"))
+    return cut.withColumn("rank", rank).join(cells.select("dataset", "cell", before.alias("before")), ["dataset", "cell"]).withColumn("cluster_id", F.col("before") + F.col("rank") - 1).drop("cell", "rank", "before")
 
-def numbered(clusters: DataFrame) -> DataFrame:
-    """clusters (dataset, first_line, ...) with cluster_id: dense, from 0, by first line."""
-    return clusters.withColumn("cluster_id", F.row_number().over(W.partitionBy("dataset").orderBy("first_line")).cast("long") - 1)
+
+def _mined(lines: DataFrame, masks: Sequence[Mask], depth: int, threshold: float, most: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Keyed lines, lines of slow buckets (None without any), and numbered clusters with their bucket (null for slow ones). Lines are masked once."""
+    keyed = keep(bucketed(lines.select("dataset", "line_no", "line"), masks, depth), "keyed")
+    buckets = keep(_buckets(keyed, threshold), "buckets")
+    both, slow = buckets.where("fast").select(*BUCKET, "first_line", "size", "template_typed"), None
+    if buckets.where("NOT fast").limit(1).count():
+        slow = keep(_slow(keyed, buckets, threshold, most), "slow")
+        both = both.unionByName(slow.groupBy("dataset", "first_line", "template_typed").agg(F.count("*").alias("size")), allowMissingColumns=True)
+    return keyed, slow, numbered(both)
 
 
 def clusters(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
     """dataset, cluster_id, first_line, size, template, template_typed."""
-    keyed = bucketed(lines, masks, depth)
-    buckets = _buckets(keyed, threshold)
-    slow = _slow(keyed, buckets, threshold, most).groupBy("dataset", "first_line", "template_typed").agg(F.count("*").alias("size"))
-    both = buckets.where("fast").select("dataset", "first_line", "size", "template_typed").unionByName(slow)
-    return numbered(both).select("dataset", "cluster_id", "first_line", "size", text.wildcards(F.col("template_typed")).alias("template"), "template_typed")
+    found = _mined(lines, masks, depth, threshold, most)[2]
+    return found.select("dataset", "cluster_id", "first_line", "size", text.wildcards(F.col("template_typed")).alias("template"), "template_typed")
 
 
 def parse(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
-    """dataset, line_no, line, cluster_id, template, template_typed for each line, with the templates as they are in the end."""
-    keyed = bucketed(lines, masks, depth)
-    buckets = _buckets(keyed, threshold)
-    slow = _slow(keyed, buckets, threshold, most)
-    fast = keyed.join(buckets.where("fast").select(*BUCKET, "first_line", "template_typed"), BUCKET).select("dataset", "line_no", "first_line", "template_typed")
-    of = fast.unionByName(slow.select("dataset", "line_no", "first_line", "template_typed"))
-    ids = numbered(of.select("dataset", "first_line").distinct())
-    out = lines.select("dataset", "line_no", "line").join(of, ["dataset", "line_no"]).join(ids, ["dataset", "first_line"])
-    return out.select("dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("template_typed")).alias("template"), "template_typed")
+    """dataset, line_no, line, cluster_id, template, template_typed for each line, with the templates as they are in the end.
+
+    Lines are joined to clusters by bucket; those of slow buckets bring their cluster's first line with them.
+    """
+    keyed, slow, found = _mined(lines, masks, depth, threshold, most)
+    columns = ["dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("template_typed")).alias("template"), "template_typed"]
+    out = keyed.select(*BUCKET, "line_no", "line").join(found.where("key IS NOT NULL").select(*BUCKET, "cluster_id", "template_typed"), BUCKET).select(*columns)
+    if slow is not None:
+        ids = found.where("key IS NULL").select("dataset", "first_line", "cluster_id")
+        out = out.unionByName(slow.join(ids, ["dataset", "first_line"]).select(*columns))
+    return out
 
 
 def similarity_to(template: Column, found: Column) -> Column:
     return text.similarity(template, found)
 
 
+_STATE = "n_tokens int, key string, at int, cluster_id long, first_line long, typed string"
+
+
 class Miner:
-    """Masks and parameters, and the lines so far: parsing more lines takes up the clusters where they were left."""
+    """Masks, parameters and the clusters so far, of one stream of lines whose dataset does not count.
+
+    Parsing more lines takes up the clusters where they were left: the state is a kept table with a row for each cluster, which meets the new lines bucket by
+    bucket; lines parsed before are not read again. Templates are those after the last line of the call.
+    """
 
     def __init__(self, depth: int = DEPTH, threshold: float = THRESHOLD, most: int = MOST):
         self.depth, self.threshold, self.most = depth, threshold, most
         self.masks: list[Mask] = []
-        self.lines: DataFrame | None = None
-        self._next = 0
-
-    def load_masks(self, masks: Sequence[Mask | Mapping[str, str]], lines: DataFrame) -> Miner:
-        """New masks; what was parsed before is forgotten. lines: any DataFrame, for its session."""
-        self.masks, self.lines, self._next = usable(lines.sparkSession, masks), None, 0
+        self.state: DataFrame | None = None
+        self._next = self._lines = 0
+        self._spark: SparkSession | None = None
+
+    def load_masks(self, masks: Sequence[Mask | Mapping[str, str]], spark: SparkSession | DataFrame) -> Miner:
+        """New masks; what was parsed before is forgotten. spark: the session, or any DataFrame of it."""
+        self._spark = spark.sparkSession if isinstance(spark, DataFrame) else spark
+        self.masks, self._next, self._lines = usable(self._spark, masks), 0, 0
+        self.state = self._spark.createDataFrame([], _STATE)
         return self
 
     def parse(self, lines: DataFrame) -> DataFrame:
-        """parse() over all lines given so far, narrowed to these. line_no must rise from one call to the next."""
-        self.lines = lines if self.lines is None else self.lines.unionByName(lines)
-        every = parse(self.lines, self.masks, self.depth, self.threshold, self.most)
-        return every.join(lines.select("dataset", "line_no"), ["dataset", "line_no"], "left_semi")
+        """dataset, line_no, line, cluster_id, template, template_typed; new ids count on from those of earlier calls. Lines are taken in the order of line_no."""
+        threshold, most, before = self.threshold, self.most, self._next
+        keyed = keep(bucketed(lines.select("dataset", "line_no", "line"), self.masks, self.depth), "batch")
+
+        def run(known: pa.Table, new: pa.Table) -> pa.Table:
+            known, new = known.sort_by("at"), new.sort_by("line_no")
+            ids, line_no = known.column("cluster_id").to_pylist(), new.column("line_no").to_pylist()
+            numbers, templates = parse_bucket([m.split(" ") for m in new.column("masked").to_pylist()], threshold, most, [t.split(" ") for t in known.column("typed").to_pylist()])
+            first = dict(zip(reversed(numbers), reversed(line_no), strict=True))
+            n, m = len(templates), len(numbers)
+            some = new if m else known
+            once = lambda name: [some.column(name)[0].as_py()] * (n + m)
+            columns = {
+                "n_tokens": pa.array(once("n_tokens"), pa.int32()),
+                "key": pa.array(once("key"), pa.string()),
+                "at": pa.array([*range(n), *numbers], pa.int32()),
+                "cluster_id": pa.array([*ids, *[None] * (n - len(ids) + m)], pa.int64()),
+                "first_line": pa.array([*known.column("first_line").to_pylist(), *(first[i] for i in range(len(ids), n)), *[None] * m], pa.int64()),
+                "typed": pa.array([*(" ".join(t) for t in templates), *[None] * m], pa.string()),
+                "dataset": pa.array([*[None] * n, *new.column("dataset").to_pylist()], pa.string()),
+                "line_no": pa.array([*[None] * n, *line_no], pa.int64()),
+                "line": pa.array([*[None] * n, *new.column("line").to_pylist()], pa.string()),
+            }
+            return pa.table(columns)
+
+        bucket = ["n_tokens", "key"]
+        both = self.state.groupBy(*bucket).cogroup(keyed.select(*bucket, "dataset", "line_no", "line", "masked").groupBy(*bucket))
+        out = keep(both.applyInArrow(run, f"{_STATE}, dataset string, line_no long, line string"), "mined")
+        clusters = out.where("typed IS NOT NULL").select(*_STATE.replace(",", " ").split()[::2])
+        fresh = numbered(clusters.where("cluster_id IS NULL").drop("cluster_id").withColumn("dataset", F.lit(""))).withColumn("cluster_id", F.col("cluster_id") + before)
+        self.state = keep(clusters.where("cluster_id IS NOT NULL").unionByName(fresh.drop("dataset")), "state")
+        self._next, self._lines = self.state.count(), max(self._lines, (keyed.agg(F.max("line_no")).first()[0] or 0) + 1)
+        found = out.where("typed IS NULL").select(*bucket, "at", "dataset", "line_no", "line").join(self.state.select(*bucket, "at", "cluster_id", "typed"), [*bucket, "at"])
+        return found.select("dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("typed")).alias("template"), F.col("typed").alias("template_typed"))
+
+    def add_log(self, line: str) -> tuple[int, str]:
+        """Cluster id and template of one more line, as they are after it. For many lines use parse()."""
+        row = self.parse(self._spark.createDataFrame([("", self._lines, line)], "dataset string, line_no long, line string")).first()
+        return row.cluster_id, row.template
 
     def templates(self, lines: DataFrame) -> DataFrame:
         return self.parse(lines).select("dataset", "line_no", "template")
 
     def n_clusters(self) -> int:
-        return 0 if self.lines is None else clusters(self.lines, self.masks, self.depth, self.threshold, self.most).count()
+        return self._next
