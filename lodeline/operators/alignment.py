@@ -28,6 +28,12 @@ OTHER = r"[^\s]+"
 INSTRUCTION = "Write a list of Python regular expressions, one for each kind of variable part of this log line."
 
 
+def prompt(line: Column, output: Column | None = None, instruction: str = INSTRUCTION) -> Column:
+    """What a model is asked for a line, and with an output the whole training example: three headed parts."""
+    parts = [F.lit("### Instruction:"), F.lit(instruction), F.lit(""), F.lit("### Input:"), line, F.lit(""), F.lit("### Output:"), F.lit("") if output is None else output]
+    return F.concat_ws("\n", *parts)
+
+
 def template_pattern(template: Column) -> Column:
     """A pattern with a group for each slot; each takes as little as it can, and at least one character."""
     literal = F.transform(F.split(template, r"<\*>"), lambda part: F.concat(F.lit("\\Q"), F.replace(part, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))

@@ -28,11 +28,17 @@ def cache_key(found: Column) -> Column:
 
 
 def prefix_groups(lines: DataFrame) -> DataFrame:
-    """length, prefix, lines: lines gathered by the length and the first three characters of what follows the time of day."""
+    """length, prefix, n_lines, first: how many lines share the length and the first three characters of what follows the time of day, and the least."""
     rest = text.after_time(F.col("line"))
     return lines.groupBy(F.length(rest).cast("long").alias("length"), F.substring(rest, 1, 3).alias("prefix")).agg(F.count("*").alias("n_lines"), F.min("line").alias("first"))
 
 
+def prefix_members(lines: DataFrame) -> DataFrame:
+    """dataset, line_no, line with the length and prefix of its group of prefix_groups(): a row for each line, so a group may be of any size."""
+    rest = text.after_time(F.col("line"))
+    return lines.select("dataset", "line_no", "line", F.length(rest).cast("long").alias("length"), F.substring(rest, 1, 3).alias("prefix"))
+
+
 class Groups:
     """State of one source. Group ids are hashes of the source and the line that started the group."""
 

@@ -7,9 +7,12 @@ a sentinel that ends in a word character, and the sentinel by the placeholder.
 from __future__ import annotations
 
 from .functions.patterns import CLASSES, CORE, EXTRA, OPTIONAL, WHOLE
-from .operators.alignment import OTHER, SHAPES
+from .operators.alignment import INSTRUCTION, OTHER, SHAPES
+from .operators.synthesis import _ORDINARY, EXAMPLES
 
 _OFFLINE = (*CORE, "HEX", "PATH")
+# The patterns of the query pattern_labels.
+PATTERNS = [r"\d+", r"\d+", "", r"(\d{1,3}\.){3}\d{1,3}", r"0x[0-9a-fA-F]+", "(", r"/[\w./-]+", r"blk_-?\d+", r"\w+", r"[A-Z]+", r".+", r"\d{4}[-/]\d\d[-/]\d\d[ T][\d:.]+", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"zz+", r"-?\d+\.\d\d"]
 
 
 def _q(x: str) -> str:
@@ -86,7 +89,112 @@ def _literal(p: str) -> str:
     return f"""CASE WHEN contains({p}, '"') OR ends_with({p}, {back}) THEN '"' || replace(replace({p}, {back}, {back} || {back}), '"', {back} || '"') || '"' ELSE 'r"' || {p} || '"' END"""
 
 
+_BLANK_TOKENS = "CASE WHEN len({0}) = 0 THEN [''] ELSE {0} END"
+
+
+def _drained(source: str) -> str:
+    """The ordered parser, bucket by bucket and line by line, over src (dataset, line_no, t): res (dataset, line_no, cluster_id, template).
+
+    A recursion carries the templates of every bucket from one line to the next.
+    """
+    like = "list_sum(list_transform(range(1, n + 1), lambda p: (x[p] = t[p] OR x[p] = '<*>')::INT))"
+    merged = "list_transform(ts[slot], lambda x, p: CASE WHEN x = t[p] THEN x ELSE '<*>' END)"
+    return f"""WITH RECURSIVE {source}, k AS (SELECT *, len(t) AS n, {_KEY} AS key FROM src),
+    o AS (SELECT *, row_number() OVER (PARTITION BY dataset, n, key ORDER BY line_no) AS i, dense_rank() OVER (ORDER BY dataset, n, key) AS b FROM k),
+    st(b, i, ts, slot) AS (SELECT b, i, [t], 1::BIGINT FROM o WHERE i = 1 UNION ALL
+        SELECT b, i, CASE WHEN fresh THEN list_append(ts, t) ELSE list_concat(list_concat(ts[1:slot - 1], [{merged}]), ts[slot + 1:]) END, CASE WHEN fresh THEN len(ts) + 1 ELSE slot END
+        FROM (SELECT *, most::DOUBLE / n < 0.4 AND len(ts) < 100 AS fresh, CASE WHEN most::DOUBLE / n >= 0.4 THEN list_position(same, most) ELSE 1 END AS slot
+              FROM (SELECT *, list_max(same) AS most FROM (SELECT st.b, o.i, t, n, ts, list_transform(ts, lambda x: {like}) AS same FROM st JOIN o ON o.b = st.b AND o.i = st.i + 1)))),
+    lineat AS (SELECT o.dataset, o.line_no, o.b, st.slot FROM st JOIN o ON o.b = st.b AND o.i = st.i),
+    ids AS (SELECT b, slot, row_number() OVER (PARTITION BY dataset ORDER BY first_line) - 1 AS cluster_id FROM (SELECT dataset, b, slot, min(line_no) AS first_line FROM lineat GROUP BY ALL)),
+    last AS (SELECT b, arg_max(ts, i) AS ts FROM st GROUP BY b),
+    res AS (SELECT dataset, line_no, cluster_id, {_WILD.format("array_to_string(ts[slot], ' ')")} AS template FROM lineat JOIN ids USING (b, slot) JOIN last USING (b))"""
+
+
+def _lines(column: str, labels, table: str, dataset: str, cte: str) -> str:
+    found = _tokens(_masked(column, labels))
+    return f"{cte}, src AS (SELECT {dataset} AS dataset, line_no, {_BLANK_TOKENS.format(found)} AS t FROM {table})"
+
+
+_NUMBERS = ", ".join(f"o_orderkey * {p} % 997" for p in (1, 7, 31, 101, 211, 307, 401, 503))
+_TURN_LINES = """turnl AS (SELECT conv_id * 4096 + turn * 64 + i - 1 AS line_no, ls[i] AS line FROM (SELECT conv_id, turn, string_split(text || chr(10) || chr(10) || ' ' || chr(10) || text, chr(10)) AS ls FROM conversations), unnest(range(1, len(ls) + 1)) u(i))"""
+_ONLINE = f"""WITH RECURSIVE {_TALK}, o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line_no) AS i FROM (SELECT dataset AS source, line_no, {_tokens('line')} AS t FROM talk) WHERE len(t) > 0),
+    st(source, i, line_no, ts, sizes, ids, keys, vals, slot) AS (
+        SELECT source, i, line_no, [t], [2::BIGINT], [sha1(source || ':' || line_no)], [t[1] || chr(0) || len(t)], [1::BIGINT], 1::BIGINT FROM o WHERE i = 1 UNION ALL
+        SELECT source, i, line_no,
+            CASE WHEN fresh THEN list_append(ts, t) ELSE list_concat(list_concat(ts[1:slot - 1], [list_transform(ts[slot][1:len(t)], lambda x, p: CASE WHEN x = t[p] THEN x ELSE '<*>' END)]), ts[slot + 1:]) END,
+            CASE WHEN fresh THEN list_append(sizes, 2::BIGINT) ELSE list_transform(sizes, lambda x, p: CASE WHEN p = slot THEN x + 1 ELSE x END) END,
+            CASE WHEN fresh THEN list_append(ids, sha1(source || ':' || line_no)) ELSE ids END,
+            CASE WHEN hit IS NULL THEN list_append(keys, key) ELSE keys END, CASE WHEN hit IS NULL THEN list_append(vals, CASE WHEN fresh THEN len(ts) + 1 ELSE slot END) ELSE vals END,
+            CASE WHEN fresh THEN len(ts) + 1 ELSE slot END
+        FROM (SELECT *, hit IS NULL AND most <= 0.6 AS fresh, coalesce(vals[hit], CASE WHEN most > 0.6 THEN list_position(same, most) END) AS slot
+              FROM (SELECT *, list_max(same) AS most, list_position(keys, key) AS hit
+                    FROM (SELECT o.source, o.i, o.line_no, t, ts, sizes, ids, keys, vals, t[1] || chr(0) || len(t) AS key,
+                                 list_transform(ts, lambda x: coalesce(list_sum(list_transform(range(1, least(len(x), len(t)) + 1), lambda p: (x[p] = t[p] OR x[p] = '<*>')::INT)), 0)::DOUBLE / len(x)) AS same FROM st JOIN o ON o.source = st.source AND o.i = st.i + 1)))),
+    res AS (SELECT source, line_no, ids[slot] AS group_id, sizes[slot] AS size, array_to_string(ts[slot], ' ') AS template FROM st)
+    SELECT * FROM res"""
+_EVENT_ENTROPY = f"""{_EVENT}, ent AS (SELECT line_no, line, {_SAMPLE_TOKENS} AS t FROM ev), freq AS (SELECT line_no, x, count(*)::DOUBLE AS f, any_value(len(t)) AS n FROM ent, unnest(t) u(x) GROUP BY line_no, x),
+    e AS (SELECT line_no, any_value(line) AS line, any_value(list_distinct(t)) AS s, round(-sum(f / n * log2(f / n)), 12) AS h FROM ent JOIN freq USING (line_no) GROUP BY line_no)"""
+_GREEDY = f"""WITH RECURSIVE {_EVENT_ENTROPY}, c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY h DESC, line_no) AS r FROM e),
+    pick(n, r, chosen) AS (SELECT 1, 1::BIGINT, [s] FROM c WHERE r = 1 UNION ALL
+        SELECT n + 1, r, list_append(chosen, s) FROM (SELECT p.n, p.chosen, min_by(c.s, c.r) AS s, min(c.r) AS r FROM pick p JOIN c ON c.r > p.r
+            WHERE len(list_filter(p.chosen, lambda x: len(list_intersect(x, c.s))::DOUBLE / len(list_distinct(list_concat(x, c.s))) >= 0.8)) = 0 AND p.n < 20 GROUP BY p.n, p.chosen))
+    SELECT n - 1 AS rank, line_no, line FROM pick JOIN c USING (r)"""
+
+
+def _evaluated() -> str:
+    """Both parses of the two groups of users; every bucket of event lines is one cluster."""
+
+    def parsed(name: str, labels) -> str:
+        return f"""{name}l AS (SELECT d, line_no, {_tokens(_masked('line', labels))} AS t FROM evd), {name}k AS (SELECT *, {_KEY} AS key, len(t) AS n FROM {name}l),
+        {name}p AS (SELECT d, key, n, i, min(t[i]) AS a, max(t[i]) AS z FROM {name}k, unnest(range(1, n + 1)) u(i) GROUP BY ALL),
+        {name}t AS (SELECT d, key, n, string_agg(CASE WHEN a = z THEN a ELSE '<*>' END, ' ' ORDER BY i) AS typed FROM {name}p GROUP BY ALL),
+        {name}r AS (SELECT d, line_no, key || '#' || n AS c, {_WILD.format('typed')} AS template FROM {name}k JOIN {name}t USING (d, key, n))"""
+
+    return f"""WITH {_EVENT}, evd AS (SELECT 'u' || (user_id % 2) AS d, line_no, line FROM ev), {parsed('m', CORE)}, {parsed('g', CLASSES)},
+    q AS (SELECT d, g.c AS t, m.c AS p, count(*) AS n FROM mr m JOIN gr g USING (d, line_no) GROUP BY ALL),
+    w AS (SELECT *, sum(n) OVER (PARTITION BY d, t) AS nt, sum(n) OVER (PARTITION BY d, p) AS np FROM q),
+    sc AS (SELECT d, round(sum(CASE WHEN n = nt AND n = np THEN n ELSE 0 END)::DOUBLE / sum(n), 4) AS ga, pa FROM w JOIN (SELECT d, round(avg((m.template = g.template)::INT), 4) AS pa FROM mr m JOIN gr g USING (d, line_no) GROUP BY d) USING (d) GROUP BY d, pa)
+    SELECT d AS dataset, 'lodeline' AS method, ga AS "GA", pa AS "PA" FROM sc UNION ALL SELECT 'MacroAvg', 'lodeline', round(avg(ga), 4), round(avg(pa), 4) FROM sc"""
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(x if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+def _labelled(patterns) -> str:
+    """Labels of patterns by the share of each class's examples that they take whole, and the core classes left out."""
+    examples = _values((i, _q(label), _q(v)) for i, (label, values) in enumerate(EXAMPLES.items()) for v in values)
+    return f"""WITH pat(slot, p) AS (VALUES {_values((i, _q(p)) for i, p in enumerate(patterns) if p and p != "(")}), once AS (SELECT min(slot) AS slot, p FROM pat GROUP BY p),
+    ex(place, label, v) AS (VALUES {examples}), wide(v) AS (VALUES {_values([_q(x)] for x in _ORDINARY)}),
+    share AS (SELECT slot, p, place, label, avg(regexp_full_match(v, p)::INT) AS s FROM once, ex GROUP BY ALL),
+    best AS (SELECT slot, p, arg_max(label, s - place / 1000) AS label, max(s) AS s FROM share GROUP BY slot, p),
+    named AS (SELECT slot, p, CASE WHEN s >= 0.5 AND NOT EXISTS (SELECT 1 FROM wide WHERE regexp_full_match(wide.v, best.p)) THEN label ELSE 'VAR' || slot END AS label FROM best),
+    core(slot, label, p) AS (VALUES {_values((1000 + i, _q(c), _q(CLASSES[c])) for i, c in enumerate(CORE))}),
+    every AS (SELECT slot, label, p FROM named UNION ALL SELECT * FROM core WHERE label NOT IN (SELECT label FROM named))
+    SELECT row_number() OVER (ORDER BY slot) - 1 AS ord, label, p AS pattern FROM every"""
+
+
+_HEADED = "'### Instruction:' || chr(10) || " + _q(INSTRUCTION) + " || chr(10) || chr(10) || '### Input:' || chr(10) || line || chr(10) || chr(10) || '### Output:' || chr(10)"
+
 ORACLE = {
+    "drain_slow_path": _drained("src AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS dataset, o_orderkey AS line_no, list_transform([o_orderkey % 7, o_orderkey % 5, o_orderkey % 3, o_orderkey % 11, o_orderkey % 2], lambda x: CAST(x AS VARCHAR)) AS t FROM orders)") + " SELECT * FROM res",
+    "overflowing_bucket": _drained(f"src AS (SELECT 'orders' AS dataset, o_orderkey AS line_no, list_transform([{_NUMBERS}], lambda x: CAST(x AS VARCHAR)) AS t FROM orders WHERE o_orderkey <= 600)") + " SELECT line_no, cluster_id, template FROM res",
+    "drain_parse_documents": _drained(_lines("line", _OFFLINE, "docl", "'documents'", _DOC)) + " SELECT line_no, cluster_id, template FROM res",
+    "blank_lines": _drained(_lines("line", _OFFLINE, "turnl", "'turns'", _TURN_LINES)) + " SELECT line_no, cluster_id, template FROM res",
+    "online_parse": _ONLINE,
+    "streamed_groups": _ONLINE,
+    "entropy_greedy_sample": _GREEDY,
+    "evaluate_events": _evaluated(),
+    "streamed_clusters": f"WITH {_mined(_OFFLINE)} SELECT line_no, sha1('events:' || n || ':' || key || ':0') AS cluster FROM keyed",
+    "pattern_labels": _labelled(PATTERNS),
+    "read_answers": "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, chr(92) || 'd+'), (0, 1, 'a b'), (1, 0, chr(92) || 'w+'), (1, 1, 'x''y'), (4, 0, 'a'), (4, 1, 'b')) t(answer, ord, pattern)",
+    "prompts": f"WITH {_TALK} SELECT dataset, line_no, {_HEADED} AS question, {_HEADED} || md5(line) AS example FROM talk",
+    "strict_patterns": f"SELECT ord::BIGINT AS ord, pattern, pattern NOT IN ('(', '[a') AS loose, pattern NOT IN ('(', '[a') AND NOT contains(pattern, '.*') AS strict FROM (VALUES {_values((i, _q(p)) for i, p in enumerate([*CLASSES.values(), 'a.*b', '(', chr(92) + 'd+', '.*', '[a']))}) t(ord, pattern)",
+    "structured_csv": f"WITH {_EVENT}, c AS (SELECT line_no, line, kind FROM ev WHERE line_no % 7 <> 3), f AS (SELECT kind, row_number() OVER (ORDER BY min(line_no)) - 1 AS cluster_id FROM c GROUP BY kind) SELECT line, kind AS template, cluster_id FROM c JOIN f USING (kind)",
+    "corpus_files": r"""WITH l AS (SELECT lang AS dataset, doc_id, i, ls[i] AS line FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(i) WHERE regexp_matches(ls[i], '[^\s\x1c-\x1f]'))
+        SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY doc_id, i) - 1 AS line_no, line FROM l""",
+    "ts_prefix_members": f"WITH {_EVENT}, r AS (SELECT line_no, line, regexp_replace(line, '^.*?[0-9][0-9]:[0-9][0-9]:[0-9][0-9]', '') AS rest FROM ev) SELECT line_no, line, length(rest) AS length, rest[1:3] AS prefix FROM r",
     "lines_split": f"WITH {_DOC} SELECT line_no, line FROM docl",
     "tokenize": f"WITH {_DOC}, t AS (SELECT line_no, {_tokens('line')} AS ts FROM docl) SELECT line_no, i - 1 AS pos, ts[i] AS token FROM t, unnest(range(1, len(ts) + 1)) u(i)",
     "token_stats": f"WITH {_DOC} SELECT token, count(*) AS n, count(DISTINCT line_no) AS n_lines FROM (SELECT line_no, unnest({_tokens('line')}) AS token FROM docl) GROUP BY token",
@@ -119,7 +227,7 @@ ORACLE = {
     "classify_values": f"WITH {_DOC} SELECT DISTINCT value, {_case(SHAPES, 'value', _q(OTHER))} AS pattern FROM (SELECT unnest({_tokens('line')}) AS value FROM docl)",
     "training_examples": rf"WITH {_EVENT}, g AS (SELECT line_no, line, regexp_extract(line, '^(\S+) (\S+) (.+?) user (.+?) value (.+)$', ['a', 'b', 'c', 'd', 'e']) AS x FROM ev), v AS (SELECT line_no, line, list_transform([x.a, x.b, x.c, x.d, x.e], lambda w: {_case(SHAPES, 'w', _q(OTHER))}) AS ps FROM g), d AS (SELECT line_no, line, list_filter(ps, lambda p, i: list_position(ps, p) = i) AS ps FROM v) SELECT line_no, line AS input, '[' || chr(10) || '    ' || array_to_string(list_transform(ps, lambda p: {_literal('p')}), ',' || chr(10) || '    ') || ',' || chr(10) || ']' AS output FROM d",
     "max_per_system": f"WITH {_TRUTH}, r AS (SELECT dataset, line_no, kind || ' ' || level AS input, row_number() OVER (PARTITION BY dataset ORDER BY line_no) AS n FROM tp WHERE level <> 'INFO') SELECT dataset, line_no, input FROM r WHERE n <= 10",
-    "raw_literals": f"""WITH p AS (SELECT page_id, html[1:120] AS p FROM pages) SELECT page_id, {_literal('p')} AS literal, '[' || chr(10) || '    "a' || chr(92) || chr(92) || '",' || chr(10) || '    ' || {_literal('p')} || ',' || chr(10) || ']' AS list FROM p""",
+    "raw_literals": f"""WITH p AS (SELECT page_id, html AS p FROM pages) SELECT page_id, {_literal('p')} AS literal, '[' || chr(10) || '    "a' || chr(92) || chr(92) || '",' || chr(10) || '    ' || {_literal('p')} || ',' || chr(10) || ']' AS list FROM p""",
     "raw_literals_whole": f"""SELECT page_id, {_literal('html')} AS literal, '[' || chr(10) || '    "a' || chr(92) || chr(92) || '",' || chr(10) || '    ' || {_literal('html')} || ',' || chr(10) || ']' AS list FROM pages""",
     "scrub": rf"""WITH {_DOC}, s AS (SELECT line_no, line, 'document' AS kind FROM docl UNION ALL SELECT page_id, url || ' hostname=h-' || page_id || ',x', 'page' FROM pages)
         SELECT line_no, regexp_replace(regexp_replace(regexp_replace(line, '/[\w\-_/]+', '/anon/path', 'g'), '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+', 'anon@example.com', 'g'), 'hostname=[^,\s]+', 'hostname=anon', 'g') AS scrubbed, kind FROM s""",

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.patterns import Mask, canonical_masks, usable
 from ..operators import clustering, metrics
 from ..operators.synthesis import MaskProvider, synth_masks
+from ..sources import lines as sources
+from ..sources import sinks
 
 
 @dataclass(frozen=True)
@@ -54,6 +56,12 @@ def evaluate(lines: DataFrame, truth: DataFrame | None = None, settings: Setting
     return metrics.with_macro_average(metrics.scores(expected, parsed, settings.method))
 
 
+def write_demo(spark: SparkSession, root: str) -> str:
+    """The demo corpus under root, with its truth by the canonical masks and its manifest; its name."""
+    lines = sources.demo_lines(spark)
+    return sinks.write_datasets(lines, root, canonical_truth(lines))[0]
+
+
 def timing(lines: DataFrame, masks: Sequence[Mask], n: int, settings: Settings = Settings()) -> DataFrame:
     """dataset, seconds, n_logs: wall time of parsing the first n lines of each dataset, one after the other."""
     spark, rows, own = lines.sparkSession, [], usable(lines.sparkSession, masks)

@@ -5,6 +5,7 @@ Log lines come from the lines of `documents`, from `events` (one line each) and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text
-from .functions.patterns import CLASSES, CORE, EXTRA, Mask, canonical_masks
+from .functions.patterns import CLASSES, CORE, EXTRA, Mask, canonical_masks, usable, validate_patterns
+from .functions.tables import shared_dir
+from .oracle import PATTERNS as _PATTERNS
 from .operators import alignment, clustering, metrics, online, sampling, synthesis
 from .plans import evaluation, reports
 from .sources import lines as sources
+from .sources import sinks
+from .streaming import templates
 
 _LINE_TABLES = {"documents": ("doc_id", "text"), "pages": ("page_id", "url")}
 LEVELS = ("INFO", "WARN", "ERROR", "DEBUG")
@@ -61,8 +66,10 @@ def tokenize(spark, sf_dir):
 
 
 def token_stats(spark, sf_dir):
-    found = _doc_lines(spark, sf_dir).select(F.explode(text.tokens(F.col("line"))).alias("token"), "line_no")
-    return found.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("line_no").alias("n_lines"))
+    """Each line gives its distinct tokens once, with their counts."""
+    own = text.tokens(F.col("line"))
+    found = _doc_lines(spark, sf_dir).select(own.alias("t")).select(F.explode(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.size(F.filter("t", lambda y: y == x)).alias("n")))).alias("x"))
+    return found.groupBy("x.token").agg(F.sum("x.n").alias("n"), F.count("*").alias("n_lines"))
 
 
 def mask_canonical(spark, sf_dir):
@@ -110,6 +117,22 @@ def drain_slow_path(spark, sf_dir):
     return clustering.parse(rows, []).select("dataset", "line_no", "cluster_id", "template")
 
 
+def blank_lines(spark, sf_dir):
+    """Texts of the turns and their lines, blank ones too, with a mask that doesn't compile between the others."""
+    t = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("k"), F.posexplode(F.split(F.concat("text", F.lit("\n\n \n"), "text"), "\n")).alias("n", "line"), "turn")
+    rows = t.select(F.lit("turns").alias("dataset"), (F.col("k") * 4096 + F.col("turn") * 64 + F.col("n")).alias("line_no"), "line")
+    masks = usable(spark, [OFFLINE[0], Mask("BAD", r"\d+("), *OFFLINE[1:], Mask("WORSE", "[a")])
+    return clustering.parse(rows, masks).select("line_no", "cluster_id", "template")
+
+
+def overflowing_bucket(spark, sf_dir):
+    """Lines of eight numbers that are seldom alike: one bucket with more than a hundred unlike lines."""
+    o = _table(spark, sf_dir, "orders").where("o_orderkey <= 600")
+    parts = [(F.col("o_orderkey") * p % 997).cast("string") for p in (1, 7, 31, 101, 211, 307, 401, 503)]
+    rows = o.select(F.lit("orders").alias("dataset"), F.col("o_orderkey").alias("line_no"), F.concat_ws(" ", *parts).alias("line"))
+    return clustering.parse(rows, []).select("line_no", "cluster_id", "template")
+
+
 def classify_tokens(spark, sf_dir):
     found = _doc_lines(spark, sf_dir).select(F.explode(text.tokens(F.col("line"))).alias("token"))
     return found.groupBy("token").count().select("token", text.classify(F.col("token")).alias("class"))
@@ -216,16 +239,85 @@ def max_per_system(spark, sf_dir):
 
 
 def raw_literals(spark, sf_dir):
-    html = _table(spark, sf_dir, "pages").select("page_id", F.substring("html", 1, 120).alias("p"))
+    html = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("p"))
     return html.select("page_id", alignment.raw_literal(F.col("p")).alias("literal"), alignment.literal_list(F.array(F.lit("a\\"), F.col("p"))).alias("list"))
 
 
 def raw_literals_whole(spark, sf_dir):
-    """As raw_literals, over whole pages."""
+    """As raw_literals."""
     html = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("p"))
     return html.select("page_id", alignment.raw_literal(F.col("p")).alias("literal"), alignment.literal_list(F.array(F.lit("a\\"), F.col("p"))).alias("list"))
 
 
+def pattern_labels(spark, sf_dir):
+    """Masks of a model's patterns with their labels, and the core classes that they leave out."""
+    masks = synthesis.with_core(synthesis.masks_of_patterns(_PATTERNS))
+    return spark.createDataFrame([(i, m.label, m.pattern) for i, m in enumerate(masks)], "ord long, label string, pattern string")
+
+
+def read_answers(spark, sf_dir):
+    """Patterns read from answers: a list, raw strings in both quotes, nothing."""
+    answers = ['Sure: [r"\\d+", "a b", 3] ok', "use r'\\w+' or r\"x'y\" [", "none", "[]", "[r'a', r\"b\"]"]
+    return spark.createDataFrame([(i, n, p) for i, x in enumerate(answers) for n, p in enumerate(synthesis.read_pattern_list(x))], "answer long, ord long, pattern string")
+
+
+def prompts(spark, sf_dir):
+    """The question and the training example of each turn."""
+    t = _talk_lines(spark, sf_dir)
+    return t.select("dataset", "line_no", alignment.prompt(F.col("line")).alias("question"), alignment.prompt(F.col("line"), F.md5("line")).alias("example"))
+
+
+def strict_patterns(spark, sf_dir):
+    """Which patterns validation takes, loosely and strictly."""
+    def takes(p, strict):
+        try:
+            return bool(validate_patterns([p], strict))
+        except ValueError:
+            return False
+
+    listed = [*CLASSES.values(), "a.*b", "(", r"\d+", ".*", "[a"]
+    return spark.createDataFrame([(i, p, takes(p, False), takes(p, True)) for i, p in enumerate(listed)], "ord long, pattern string, loose boolean, strict boolean")
+
+
+def structured_csv(spark, sf_dir):
+    """Events written as a structured CSV, some without Content, read back with ids by first appearance; and joined to their lines."""
+    e = _event_lines(spark, sf_dir).select("line_no", F.when(F.col("line_no") % 7 == 3, "").otherwise(F.col("line")).alias("Content"), F.element_at(F.split("line", " "), 4).alias("EventTemplate"))
+    path = f"{shared_dir(spark)}/structured-{uuid.uuid4().hex}"
+    e.repartition(1).sortWithinPartitions("line_no").select("Content", "EventTemplate").write.option("escape", '"').csv(path, header=True)
+    return sources.structured(spark, path, "events").select("line", "template", "cluster_id")
+
+
+def corpus_files(spark, sf_dir):
+    """Documents' lines as datasets of their languages, written to folders and read back with their numbers."""
+    d = _table(spark, sf_dir, "documents").where("lang IS NOT NULL AND text IS NOT NULL")
+    at = d.select(F.col("lang").alias("dataset"), F.col("doc_id").alias("k"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = at.select("dataset", (F.col("k") * F.lit(1 << 32) + F.col("n")).alias("line_no"), "line")
+    root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    sinks.write_datasets(lines, root)
+    return sources.corpus(spark, root)
+
+
+def _streamed(spark, rows: DataFrame, name: str, run: Callable[[DataFrame], DataFrame], files: int = 1) -> DataFrame:
+    """What run makes of rows as a stream, one micro-batch for each of the files, drained into a table."""
+    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.repartitionByRange(files, "line_no").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    query = run(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+def streamed_clusters(spark, sf_dir):
+    """Event lines as a stream of two micro-batches: the cluster of each line."""
+    return _streamed(spark, _event_lines(spark, sf_dir), "clusters", lambda s: templates.parse_stream(s, OFFLINE), 2).select("line_no", "cluster")
+
+
+def streamed_groups(spark, sf_dir):
+    """The online parser on a stream of turns."""
+    rows = _talk_lines(spark, sf_dir).select(F.col("dataset").alias("source"), "line_no", "line")
+    return _streamed(spark, rows, "groups", templates.online_stream).select("source", "line_no", "group_id", "size", "template")
+
+
 def scrub(spark, sf_dir):
     docs = _doc_lines(spark, sf_dir).select("line_no", text.scrub(F.col("line")).alias("scrubbed"), F.lit("document").alias("kind"))
     urls = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("line_no"), text.scrub(F.concat(F.col("url"), F.lit(" hostname=h-"), F.col("page_id"), F.lit(",x"))).alias("scrubbed"), F.lit("page").alias("kind"))
@@ -236,6 +328,10 @@ def ts_prefix_groups(spark, sf_dir):
     return online.prefix_groups(_event_lines(spark, sf_dir))
 
 
+def ts_prefix_members(spark, sf_dir):
+    return online.prefix_members(_event_lines(spark, sf_dir)).select("line_no", "line", "length", "prefix")
+
+
 def cache_keys(spark, sf_dir):
     key = online.cache_key(text.tokens(F.col("line")))
     return _doc_lines(spark, sf_dir).select(key.alias("k")).groupBy("k.first_token", "k.n_tokens").agg(F.count("*").alias("n_lines"))

@@ -6,9 +6,11 @@ import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.patterns import Mask
+from .lines import manifest
 
 
 def write_parsed_csv(parsed: DataFrame, path: str) -> None:
@@ -40,6 +42,26 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("dataset", "line_no", "line").repartition("dataset").sortWithinPartitions("dataset", "line_no").select("dataset", "line").write.mode("overwrite").partitionBy("dataset").text(path)
 
 
+def write_datasets(lines: DataFrame, root: str, truth: DataFrame | None = None) -> list[str]:
+    """root/<dataset>/raw.log (a folder of part files in the order of line_no), templates.json (with a truth: dataset, line_no, cluster_id, template)
+    and manifest.json for each dataset, as corpus() and ground_truth() read them; the names."""
+    names = sorted(r[0] for r in lines.select("dataset").distinct().collect())
+    about = manifest(lines, truth)
+    for name in names:
+        own = lines.where(F.col("dataset") == name)
+        own.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(f"{root}/{name}/raw.log")
+        about.where(F.col("name") == name).coalesce(1).write.mode("overwrite").json(f"{root}/{name}/manifest.json")
+        if truth is not None:
+            entries = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "cluster_id", "template"))), lambda x: F.struct(x["cluster_id"].alias("cluster_id"), x["template"].alias("template")))
+            truth.where(F.col("dataset") == name).agg(F.to_json(entries).alias("value")).coalesce(1).write.mode("overwrite").text(f"{root}/{name}/templates.json")
+    return names
+
+
+def show(rows: DataFrame, n: int = 20) -> None:
+    """The first rows on standard output, whole."""
+    rows.show(n, truncate=False)
+
+
 def scrub_files(spark: SparkSession, source: str, path: str) -> None:
     """Text files with paths, mail addresses and host names replaced."""
     rows = spark.read.text(source)
