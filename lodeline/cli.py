@@ -1,4 +1,4 @@
-"""Command line: synth, parse, eval, table, time, examples, scrub."""
+"""Command line: demo, synth, parse, eval, table, time, examples, scrub."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.patterns import usable
+from .functions.tables import keep
 from .operators import alignment, clustering
 from .operators.synthesis import synth_masks
 from .plans import evaluation, reports
@@ -33,7 +34,8 @@ def main(argv: list[str] | None = None) -> int:
     data = [("--root", {"default": "datasets"}), ("--dataset", {"nargs": "+", "default": [sources.DEMO]})]
     out, masks = ("--out", {"required": True}), ("--masks", {"required": True})
     command("synth", *data, out, ("--k", {"type": int, "default": 50}), ("--strict", {"action": "store_true"}))
-    command("parse", *data, out, masks)
+    command("parse", *data, out, masks, ("--show", {"type": int, "default": 0}))
+    command("demo", ("root", {}))
     command("eval", *data, out, ("--k", {"type": int, "default": 50}), ("--truth", {"action": "store_true"}))
     command("table", out, ("csv", {"nargs": "+"}))
     command("time", *data, out, masks, ("--n", {"type": int, "default": 100}))
@@ -47,7 +49,12 @@ def main(argv: list[str] | None = None) -> int:
             n = sinks.write_masks(spark, synth_masks(_corpus(spark, one), args.k, strict=args.strict), f"{args.out}/{name}")
             print(f"{name}: {n} masks")
     elif args.command == "parse":
-        sinks.write_parsed_csv(clustering.parse(_corpus(spark, args), usable(spark, sources.read_masks(spark, args.masks, strict=True))), args.out)
+        parsed = keep(clustering.parse(_corpus(spark, args), usable(spark, sources.read_masks(spark, args.masks, strict=True))), "parsed")
+        sinks.write_parsed_csv(parsed, args.out)
+        if args.show:
+            sinks.show(parsed.orderBy("dataset", "line_no").select("line", "template"), args.show)
+    elif args.command == "demo":
+        print(evaluation.write_demo(spark, args.root))
     elif args.command == "eval":
         truth = sources.ground_truth(spark, args.root, args.dataset) if args.truth else None
         rows = evaluation.evaluate(_corpus(spark, args), truth, evaluation.Settings(k=args.k))

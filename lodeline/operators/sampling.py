@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.tables import keep
 
 LEAST_UNLIKE, WAVE = 0.8, 64
 
@@ -36,30 +37,40 @@ def _greedy(rows: list, chosen: list, k: int, least: float) -> None:
 def entropy_greedy_sample(lines: DataFrame, k: int, dataset: str | None = None, least: float = LEAST_UNLIKE) -> DataFrame:
     """rank, dataset, line_no, line: up to k lines of each dataset in the order of selection; all lines in order if there are no more than k.
 
-    Ranked candidates come to the driver in waves of a few times k; between waves those too like a selected line are filtered out by the
-    executors, so the driver never holds more than a wave.
+    Ranked candidates come to the driver in waves of a few times k for each dataset, all datasets in one job; between waves the executors leave out
+    those too like a selected line, so the driver never holds more than a wave. Lines are scored once.
     """
     spark = lines.sparkSession
     schema = "rank long, dataset string, line_no long, line string"
     if k <= 0:
         return spark.createDataFrame([], schema)
-    counts = {r[0]: r[1] for r in lines.groupBy("dataset").count().collect() if dataset is None or r[0] == dataset}
+    if dataset is not None:
+        lines = lines.where(F.col("dataset") == dataset)
+    counts = {r[0]: r[1] for r in lines.groupBy("dataset").count().collect()}
     short = [name for name, n in counts.items() if n <= k]
     rank = F.row_number().over(W.partitionBy("dataset").orderBy("line_no")).cast("long") - 1
     out = lines.where(F.col("dataset").isin(short)).select(rank.alias("rank"), "dataset", "line_no", "line")
-    ranked = candidates(lines)
-    for name in sorted(set(counts) - set(short)):
-        chosen: list = []
-        left = ranked.where(F.col("dataset") == name)
-        after = None
-        while len(chosen) < k:
-            rest = left if after is None else left.where((F.col("entropy") < after[0]) | ((F.col("entropy") == after[0]) & (F.col("line_no") > after[1])))
-            for _, s in chosen:
-                rest = rest.where(text.jaccard(F.col("tokens"), F.array(*map(F.lit, sorted(s))).cast("array<string>")) < least)
-            wave = rest.orderBy(F.desc("entropy"), "line_no").limit(max(WAVE, 4 * k)).collect()
-            if not wave:
-                break
-            _greedy(wave, chosen, k, least)
-            after = wave[-1].entropy, wave[-1].line_no
-        out = out.unionByName(spark.createDataFrame([(i, name, r.line_no, r.line) for i, (r, _) in enumerate(chosen)], schema))
-    return out
+    chosen: dict[str, list] = {name: [] for name in counts if name not in short}
+    if not chosen:
+        return out
+    ranked = keep(candidates(lines.where(~F.col("dataset").isin(short))), "candidates")
+    after: dict[str, tuple] = dict.fromkeys(chosen, (None, None))
+    by_rank = W.partitionBy("dataset").orderBy(F.desc("entropy"), "line_no")
+    while after:
+        so_far = [(name, [sorted(s) for _, s in chosen[name]], *after[name]) for name in after]
+        state = F.broadcast(spark.createDataFrame(so_far, "dataset string, chosen array<array<string>>, last_entropy double, last_line long"))
+        behind = F.col("last_entropy").isNull() | (F.col("entropy") < F.col("last_entropy")) | ((F.col("entropy") == F.col("last_entropy")) & (F.col("line_no") > F.col("last_line")))
+        rest = ranked.join(state, "dataset").where(behind & F.forall("chosen", lambda s: text.jaccard(F.col("tokens"), s) < least))
+        wave = rest.select("dataset", "line_no", "line", "tokens", "entropy").withColumn("place", F.row_number().over(by_rank)).where(F.col("place") <= max(WAVE, 4 * k)).collect()
+        found: dict[str, list] = {}
+        for row in sorted(wave, key=lambda r: r.place):
+            found.setdefault(row.dataset, []).append(row)
+        for name in list(after):
+            rows = found.get(name, [])
+            _greedy(rows, chosen[name], k, least)
+            if not rows or len(chosen[name]) == k:
+                del after[name]
+            else:
+                after[name] = rows[-1].entropy, rows[-1].line_no
+    rows = [(i, name, r.line_no, r.line) for name, own in chosen.items() for i, (r, _) in enumerate(own)]
+    return out.unionByName(spark.createDataFrame(rows, schema))

@@ -10,9 +10,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import Mask, canonical_masks, usable
+from ..functions.patterns import Mask, canonical_masks, usable, validate_patterns
 from ..operators import clustering, metrics
-from ..operators.synthesis import MaskProvider, synth_masks
+from ..operators.synthesis import MaskProvider, synth_masks, synth_masks_by_dataset
 from ..sources import lines as sources
 from ..sources import sinks
 
@@ -29,6 +29,11 @@ class Settings:
 
 
 def masks_by_dataset(lines: DataFrame, settings: Settings = Settings(), provider: MaskProvider | None = None) -> dict[str, list[Mask]]:
+    if settings.mode == "offline":
+        found = synth_masks_by_dataset(lines, settings.k)
+        for own in found.values():
+            validate_patterns([m.pattern for m in own], settings.strict)
+        return found
     names = sorted(r[0] for r in lines.select("dataset").distinct().collect())
     return {n: synth_masks(lines.where(F.col("dataset") == n), settings.k, settings.mode, settings.strict, provider) for n in names}
 

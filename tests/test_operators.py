@@ -75,6 +75,9 @@ def test_synthesis(spark):
 def test_model_answers():
     assert synthesis.read_pattern_list('text [r"\\d+", "a"] more') == ["\\d+", "a"]
     assert synthesis.read_pattern_list('r"\\d+", and r"b" [oops') == ["\\d+", "b"]
+    assert synthesis.read_pattern_list("r'a\"b' or r\"c'd\"") == ['a"b', "c'd"] and synthesis.read_pattern_list("nothing") == []
+    labels = {p: synthesis.label_of(p, 3) for p in [*CLASSES.values(), r"\S+", "cat", r"\d+\.\d+", r"(?P<h>0x[a-f0-9]+)"]}
+    assert list(labels.values()) == [*CLASSES, "VAR3", "VAR3", "VAR3", "VAR3"][: len(CLASSES)] + ["VAR3", "VAR3", "VAR3", "HEX"]
     masks = synthesis.masks_of_patterns(["", r"\d+", r"\d+", "(", "0x[0-9a-f]+", "zz"])
     assert [(m.label, m.pattern) for m in masks] == [("NUMBER", r"\d+"), ("HEX", "0x[0-9a-f]+"), ("VAR5", "zz")]
     calls = []
@@ -83,9 +86,9 @@ def test_model_answers():
 
 
 def test_alignment(spark):
-    rows = [("PacketResponder 1 for block blk_38865049064139660 terminating", "PacketResponder <*> for block <*> terminating"), ("x", "y <*>"), (" a ", "a"), ("q.$^\\E z", "q.$^\\E <*>")]
+    rows = [("Node 1 drops block blk_271828182845 now", "Node <*> drops block <*> now"), ("x", "y <*>"), (" a ", "a"), ("q.$^\\E z", "q.$^\\E <*>")]
     got = spark.createDataFrame(rows, "line string, template string").select(alignment.slot_values(F.col("line"), F.col("template")).alias("v")).collect()
-    assert [r.v for r in got] == [["1", "blk_38865049064139660"], None, [], ["z"]]
+    assert [r.v for r in got] == [["1", "blk_271828182845"], None, [], ["z"]]
     values = {"081109": r"\d{6}", "081109 203518": r"\d{6}\s+\d{6}", "blk_-7": r"blk_-?\d+", "a1": r"[\w.\-:/]+", "abc": r"[^\s]+", "10.0.0.1:80": CLASSES["IPV4"]}
     got = spark.createDataFrame([(v,) for v in values], "v string").select("v", alignment.value_pattern(F.col("v")).alias("p")).collect()
     assert {r.v: r.p for r in got} == values
