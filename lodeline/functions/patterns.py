@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import SparkSession
 
 WILDCARD = "<*>"
@@ -82,7 +82,7 @@ def compiles(spark: SparkSession, pattern: str) -> bool:
     """Whether Spark's regular expressions, which are the JVM's, take the pattern. No job runs."""
     try:
         spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except IllegalArgumentException:
         return False
     return True
 
