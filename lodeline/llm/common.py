@@ -2,43 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import keep, shared_dir  # noqa: F401
+
 #: Stands for a null id inside the operators; it sorts before every other id.
 NULL_ID = -(2**63)
-_OWN_DIR: list[str] = []
 _FEW_SHARED = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset and the master is local.
-
-    Elsewhere a folder of our own would be another one on every machine, so an unset spark.checkpoint.dir is a ValueError there.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="lodeline-"))
-    return _OWN_DIR[0]
-
-
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete the folder of a table made by keep() that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
