@@ -66,10 +66,9 @@ def tokenize(spark, sf_dir):
 
 
 def token_stats(spark, sf_dir):
-    """Each line gives its distinct tokens once, with their counts."""
-    own = text.tokens(F.col("line"))
-    found = _doc_lines(spark, sf_dir).select(own.alias("t")).select(F.explode(F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("token"), F.size(F.filter("t", lambda y: y == x)).alias("n")))).alias("x"))
-    return found.groupBy("x.token").agg(F.sum("x.n").alias("n"), F.count("*").alias("n_lines"))
+    """Tokens are counted in their lines first, mostly before the shuffle, since a line's tokens are in one task."""
+    found = _doc_lines(spark, sf_dir).select("line_no", F.explode(text.tokens(F.col("line"))).alias("token"))
+    return found.groupBy("token", "line_no").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_lines"))
 
 
 def mask_canonical(spark, sf_dir):
