@@ -22,12 +22,10 @@ K, CANDIDATES, QUERIES = 5, 4096, 4096
 _FIRST_RUN = 16
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products; in doubles where those are exact."""
+def _number(a: np.ndarray, b: np.ndarray) -> type:
+    """Double where inner products of rows of a and b are exact in it, else a 64-bit integer."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[-1])
-    if most < 2**52:
-        return np.rint(a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return np.float64 if most < 2**52 else np.int64
 
 
 def threshold_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -38,26 +36,34 @@ def threshold_search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.nda
     order = np.argsort(vectors, axis=0, kind="stable")  # ranks x dimensions, ascending
     n, width = vectors.shape
     ordered = np.take_along_axis(vectors, order, 0)
+    number = _number(queries, vectors)
+    asked, given = queries.astype(number), vectors.astype(number)
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
     seen = np.zeros((len(queries), n), bool)
     open_, at, run = np.arange(len(queries)), 0, _FIRST_RUN
     while len(open_) and at < n:
         stop = min(n, at + run)
-        top, bottom = order[n - stop : n - at], order[at:stop]
+        top, bottom = order[n - stop : n - at].T.copy(), order[at:stop].T.copy()  # a row for each dimension
         for q in open_:
             up = queries[q] >= 0
-            there = np.concatenate([top[:, up].ravel(), bottom[:, ~up].ravel()])
-            new = np.unique(there[~seen[q, there]])
-            seen[q, new] = True
+            there = np.zeros(n, bool)
+            there[top[up]] = True
+            there[bottom[~up]] = True
+            there &= ~seen[q]
+            seen[q] |= there
+            new = np.flatnonzero(there)
             new = new[ids[new] != query_ids[q]]
             if len(new):
-                score = np.concatenate([best[q][1], _exact(queries[q][None], vectors[new])[0]])
+                score = np.concatenate([best[q][1], (given[new] @ asked[q]).astype(np.int64)])
                 own = np.concatenate([best[q][0], ids[new]])
+                if len(score) > k:
+                    high = score >= np.partition(score, -k)[-k]
+                    score, own = score[high], own[high]
                 first = np.lexsort((own, -score))[:k]
                 best[q] = own[first], score[first]
         last_up, last_down = ordered[n - stop], ordered[stop - 1]
         q = queries[open_]
-        bound = _exact(np.maximum(q, 0), last_up[None])[:, 0] + _exact(np.minimum(q, 0), last_down[None])[:, 0]
+        bound = np.maximum(q, 0) @ last_up + np.minimum(q, 0) @ last_down
         kth = np.array([best[i][1][k - 1] if len(best[i][1]) == k else -(2**63) for i in open_])
         open_ = open_[(bound >= kth) | (kth == -(2**63))]
         at, run = stop, run * 2
