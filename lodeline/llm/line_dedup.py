@@ -2,7 +2,8 @@
 
 Lines are the parts of a text between newlines; blank ones (nothing but spaces) take no part. Each `shingle` consecutive lines are hashed; of
 every `width` consecutive hashes the least (the rightmost of equals) is a fingerprint, so each run of width + shingle - 1 lines holds one,
-chosen by its lines alone: two equal runs have the same fingerprint at the same offset. A fingerprint's row lists the runs that it was chosen for.
+chosen by its lines alone: two equal runs have the same fingerprint at the same offset. A line of `long_words` words or more is also a run, and a
+window, of its own, so a passage on one or two lines is found like one on many short lines. A fingerprint's row lists the runs that it was chosen for.
 
 Only the positions of fingerprints are joined, those that stand at several places: a position is extended to the left and right by the lines
 of its runs, compared by hash, and meets the first place with these lines (smaller id, or same text further up). Matches with one earlier text at equal
@@ -21,17 +22,19 @@ from pyspark.sql import functions as F
 
 from .common import id_key, own_exchange
 
-SHINGLE, WIDTH = 1, 3
+SHINGLE, WIDTH, LONG_WORDS = 1, 3, 20
+_WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
     """k (the id, NULL_ID for null), th (hash of the text), at (number of a line that isn't blank, from 1), g (its hash), and runs: first line
-    i of each run that chose it, places s and e of its first and last line among all lines (from 0), and two hashes of its lines."""
+    i of each run that chose it, its lines n, places s and e of its first and last line among all lines (from 0), and two hashes of its lines."""
     length = shingle + width - 1
+    is_long = (F.length("line") >= 2 * long_words - 1) & (F.regexp_count("line", F.lit(_WORD)) >= long_words)
     lines = (
         docs.select(id_key(id_col).alias("k"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
         .where(F.trim("line") != "")
-        .select("k", "th", "pos", F.xxhash64("line").alias("h"))
+        .select("k", "th", "pos", F.xxhash64("line").alias("h"), is_long.alias("long"))
         .repartition("k", "th")
         .dropDuplicates(["k", "th", "pos"])  # of repeated rows
     )
@@ -41,42 +44,49 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "k",
         "th",
         F.row_number().over(order).alias("i"),
+        F.lit(length).alias("n"),
         F.col("pos").alias("s"),
         F.lead("pos", length - 1).over(order).alias("e"),
         F.when(ahead[shingle - 1].isNotNull(), F.xxhash64(*ahead[:shingle])).alias("g"),
         F.xxhash64(*ahead).alias("run"),
         F.hash(*ahead).alias("run2"),
+        "long",
+        F.xxhash64("h").alias("line"),
+        F.hash("h").alias("line2"),
     )
     least = F.min(F.struct("g", (-F.col("i")).alias("at"))).over(W.partitionBy("k", "th").orderBy("i").rowsBetween(0, width - 1))
-    chosen = hashed.withColumn("f", least).where("e is not null")
-    return chosen.groupBy("k", "th", (-F.col("f.at")).alias("at"), F.col("f.g").alias("g")).agg(F.collect_list(F.struct("i", "s", "e", "run", "run2")).alias("runs"))
+    of_window = F.when(F.col("e").isNotNull(), F.struct((-F.col("f.at")).alias("at"), F.col("f.g").alias("g"), F.struct("i", "n", "s", "e", "run", "run2").alias("run")))
+    alone = F.struct("i", F.lit(1).alias("n"), "s", F.col("s").alias("e"), F.col("line").alias("run"), F.col("line2").alias("run2"))
+    of_line = F.when(F.col("long") & F.lit(length > 1), F.struct(F.col("i").alias("at"), F.col("line").alias("g"), alone.alias("run")))
+    chosen = hashed.withColumn("f", least).select("k", "th", F.inline(F.array_compact(F.array(of_window, of_line))))
+    return chosen.groupBy("k", "th", "at", "g").agg(F.collect_list("run").alias("runs"))
 
 
-def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH) -> DataFrame:
-    """Matches with earlier lines, extended as far as they go: k, th, i and n (its lines that aren't blank, the first and how many), s, e (its
-    lines among all), and ref (k, th, i: where these lines stand first)."""
-    prints = fingerprints(docs, id_col, text_col, shingle, width)
+def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
+    """Matches with earlier lines, extended as far as they go: k, th, lines (of each of its runs), i and n (its lines that aren't blank, the
+    first and how many), s, e (its lines among all), and ref (k, th, i: where these lines stand first)."""
+    prints = fingerprints(docs, id_col, text_col, shingle, width, long_words)
     place = F.xxhash64("k", "th", "at")
     several = prints.groupBy("g").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("g")
     sides = prints.join(own_exchange(several, "g"), "g").select("k", "th", F.inline("runs"))
     here = F.struct("k", "th", "i")
     first = sides.groupBy("run", "run2").agg(F.min(here).alias("ref"))
-    joined = sides.join(own_exchange(first, "run"), ["run", "run2"]).where(here != F.col("ref")).select("k", "th", "i", "s", "e", "ref")
-    offset = W.partitionBy("k", "th", "ref.k", "ref.th", F.col("ref.i") - F.col("i")).orderBy("i")
+    joined = sides.join(own_exchange(first, "run"), ["run", "run2"]).where(here != F.col("ref")).select("k", "th", "i", F.col("n").alias("lines"), "s", "e", "ref")
+    offset = W.partitionBy("k", "th", "lines", "ref.k", "ref.th", F.col("ref.i") - F.col("i")).orderBy("i")
     extended = joined.repartition("k", "th").withColumn("piece", F.col("i") - F.row_number().over(offset))
     return (
-        extended.groupBy("k", "th", F.col("ref.k").alias("rk"), F.col("ref.th").alias("rth"), (F.col("ref.i") - F.col("i")).alias("d"), "piece")
-        .agg(F.min("i").alias("i"), (F.max("i") - F.min("i") + shingle + width - 1).alias("n"), F.min("s").alias("s"), F.max("e").alias("e"))
-        .select("k", "th", "i", "n", "s", "e", F.struct(F.col("rk").alias("k"), F.col("rth").alias("th"), (F.col("i") + F.col("d")).alias("i")).alias("ref"))
+        extended.groupBy("k", "th", "lines", F.col("ref.k").alias("rk"), F.col("ref.th").alias("rth"), (F.col("ref.i") - F.col("i")).alias("d"), "piece")
+        .agg(F.min("i").alias("i"), (F.max("i") - F.min("i") + F.col("lines")).alias("n"), F.min("s").alias("s"), F.max("e").alias("e"))
+        .select("k", "th", "lines", "i", "n", "s", "e", F.struct(F.col("rk").alias("k"), F.col("rth").alias("th"), (F.col("i") + F.col("d")).alias("i")).alias("ref"))
     )
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
     """Runs of lines to delete: k (the id, NULL_ID for null), th (hash of the text), runs (array of {s, e}: first and last line, from 0)."""
     by_i = W.partitionBy("k", "th").orderBy("i", "n", "ref")
     before = F.max(F.col("i") + F.col("n")).over(by_i.rowsBetween(W.unboundedPreceding, -1))
     return (
-        matches(docs, id_col, text_col, shingle, width)
+        matches(docs, id_col, text_col, shingle, width, long_words)
         .withColumn("apart", F.when(F.col("i") <= before, 0).otherwise(1))
         .withColumn("island", F.sum("apart").over(by_i))
         .groupBy("k", "th", "island")
@@ -86,15 +96,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
     """docs with repeated runs of lines deleted from text, and three more columns: n_lines, n_removed (lines deleted) and removed_runs.
 
+    Deleted is every run of shingle + width - 1 lines, and every line of at least long_words words, that stands earlier in the corpus.
     A null text stays null with no lines; an empty text has one blank line. A null id sorts before all others. Equal rows are kept alike;
     rows that share an id but not the text count as two documents in the order of a hash of their texts. Other columns are kept as
     they are; columns named n_lines, n_removed or removed_runs are replaced.
     """
     docs = docs.drop("n_lines", "n_removed", "removed_runs")
-    joined = docs.select(id_key(id_col).alias("k"), F.xxhash64(text_col).alias("th"), F.struct(*docs.columns).alias("row")).join(repeated_runs(docs, id_col, text_col, shingle, width), ["k", "th"], "left")
+    joined = docs.select(id_key(id_col).alias("k"), F.xxhash64(text_col).alias("th"), F.struct(*docs.columns).alias("row")).join(repeated_runs(docs, id_col, text_col, shingle, width, long_words), ["k", "th"], "left")
     text, runs = F.col("row").getField(text_col), F.col("runs")
 
     def between(lines, r):

@@ -49,7 +49,7 @@ def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lines, lines deleted, and the SHA-256 of the text that is left."""
+    """doc_id, lines, lines deleted (repeated runs of three lines, repeated lines of 20 words), and the SHA-256 of the text that is left."""
     out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -119,11 +119,12 @@ ORACLE = {
         WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
         line AS (SELECT doc_id, pos, ls[pos + 1] AS line FROM raw, unnest(range(0, len(ls))) t(pos)),
         full_line AS (SELECT doc_id, pos, line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM line WHERE trim(line) <> ''),
-        win AS (SELECT doc_id, i, pos AS s, lead(pos, 2) OVER w AS e, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run
-                FROM full_line WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-        later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS r FROM win WHERE e IS NOT NULL) WHERE r > 1),
-        island AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM
-                   (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 3 THEN 0 ELSE 1 END AS apart FROM later)),
+        win AS (SELECT doc_id, i, 3 AS n, pos AS s, lead(pos, 2) OVER w AS e, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run
+                FROM full_line WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+                UNION ALL SELECT doc_id, i, 1, pos, pos, line FROM full_line WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 20),
+        later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, i) AS r FROM win WHERE e IS NOT NULL) WHERE r > 1),
+        island AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id ORDER BY i, n ROWS UNBOUNDED PRECEDING) AS isle FROM
+                   (SELECT *, CASE WHEN i <= max(i + n) OVER (PARTITION BY doc_id ORDER BY i, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS apart FROM later)),
         span AS (SELECT doc_id, isle, min(s) AS s, max(e) AS e FROM island GROUP BY doc_id, isle),
         gone AS (SELECT DISTINCT doc_id, pos FROM span, unnest(range(s, e + 1)) u(pos)),
         kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_removed,

@@ -188,23 +188,25 @@ def test_linked_sets_share_a_segment(percent):
                 assert set(key[of == 0].tolist()) & set(key[of == 1].tolist())
 
 
-def plain_lines(rows, length=3):
+def plain_lines(rows, length=3, long_words=20):
     first, later = {}, {}
     for i, t in sorted(rows):
         full = [(p, x) for p, x in enumerate((t or "").split("\n")) if x.strip(" ")]
-        for at in range(len(full) - length + 1):
-            if first.setdefault(tuple(x for _, x in full[at : at + length]), (i, at)) != (i, at):
-                later.setdefault(i, []).append((at, full[at][0], full[at + length - 1][0]))
+        for at in range(len(full)):
+            for n in {length, 1}:
+                run = full[at : at + n]
+                if len(run) == n and (n == length or len(WORD.findall(run[0][1])) >= long_words) and first.setdefault(tuple(x for _, x in run), (i, at)) != (i, at):
+                    later.setdefault(i, []).append((at, n, run[0][0], run[-1][0]))
     out = {}
     for i, t in rows:
-        gone, last = set(), None
+        gone, last = set(), 0
         spans = []
-        for at, s, e in later.get(i, []):
-            if spans and at - last <= length:
-                spans[-1] = spans[-1][0], e
+        for at, n, s, e in sorted(later.get(i, [])):
+            if spans and at <= last:
+                spans[-1] = spans[-1][0], max(spans[-1][1], e)
             else:
                 spans.append((s, e))
-            last = at
+            last = max(last, at + n)
         for s, e in spans:
             gone.update(range(s, e + 1))
         lines = t.split("\n") if t is not None else []
@@ -224,16 +226,18 @@ def test_line_matches_are_the_longest(docs):
     lines = {r[0]: [x for x in (r[1] or "").split("\n") if x.strip(" ")] for r in corpus()}
     first = {}
     for i in sorted(lines):
-        for at in range(len(lines[i]) - 2):
-            first.setdefault(tuple(lines[i][at : at + 3]), (i, at))
+        for at in range(len(lines[i])):
+            for n in (1, 3):
+                if at + n <= len(lines[i]) and (n == 3 or len(WORD.findall(lines[i][at])) >= 20):
+                    first.setdefault(tuple(lines[i][at : at + n]), (i, at))
     found = line_dedup.matches(docs).collect()
     for m in found:
-        own, there, at, ref = lines[m.k], lines[m.ref.k], m.i - 1, m.ref.i - 1
-        assert m.n >= 3 and (m.ref.k, ref) < (m.k, at) and own[at : at + m.n] == there[ref : ref + m.n]
-        assert all(first[tuple(own[at + j : at + j + 3])] == (m.ref.k, ref + j) for j in range(m.n - 2))
-        assert at == 0 or first[tuple(own[at - 1 : at + 2])] != (m.ref.k, ref - 1)
-        assert at + m.n == len(own) or first[tuple(own[at + m.n - 2 : at + m.n + 1])] != (m.ref.k, ref + m.n - 2)
-    assert len(found) > 5
+        own, there, at, ref, n = lines[m.k], lines[m.ref.k], m.i - 1, m.ref.i - 1, m.lines
+        assert n in (1, 3) and m.n >= n and (m.ref.k, ref) < (m.k, at) and own[at : at + m.n] == there[ref : ref + m.n]
+        assert all(first[tuple(own[at + j : at + j + n])] == (m.ref.k, ref + j) for j in range(m.n - n + 1))
+        assert at == 0 or first.get(tuple(own[at - 1 : at - 1 + n])) != (m.ref.k, ref - 1)
+        assert at + m.n == len(own) or first.get(tuple(own[at + m.n - n + 1 : at + m.n + 1])) != (m.ref.k, ref + m.n - n + 1)
+    assert sum(m.lines == 3 for m in found) > 5 and any(m.lines == 1 for m in found)
 
 
 @pytest.mark.parametrize(("shingle", "width"), [(1, 3), (2, 2), (3, 4)])
@@ -242,10 +246,11 @@ def test_equal_runs_share_a_fingerprint(docs, shingle, width):
     chosen, runs = {}, 0
     for r in line_dedup.fingerprints(docs, shingle=shingle, width=width).collect():
         for run in r.runs:
-            own = tuple(lines[r.k][run.i - 1 : run.i - 1 + length])
-            assert 0 <= r.at - run.i < width and chosen.setdefault(own, (r.g, r.at - run.i)) == (r.g, r.at - run.i)
+            own = tuple(lines[r.k][run.i - 1 : run.i - 1 + run.n])
+            assert run.n in (1, length) and 0 <= r.at - run.i < width and chosen.setdefault(own, (r.g, r.at - run.i)) == (r.g, r.at - run.i)
             runs += 1
-    assert runs == sum(max(0, len(x) - length + 1) for x in lines.values())
+    long = sum(len(WORD.findall(line)) >= 20 for x in lines.values() for line in x)
+    assert long and runs == long + sum(max(0, len(x) - length + 1) for x in lines.values())
 
 
 def test_line_dedup_other_widths(docs):
@@ -260,6 +265,30 @@ def test_line_dedup_edges(spark):
     assert sorted(got, key=str) == sorted([(None, "a\nb\nc"), (1, "d"), (1, "d"), (2, "q"), (3, None)], key=str)
 
 
+def test_line_dedup_long_lines(spark):
+    """A line of 20 words goes where it stands earlier, whatever its neighbours; one of 19 doesn't, alone or in a pair."""
+    long, other, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("w", 20), ("v", 60), ("u", 19)))
+    rows = [
+        (1, f"a\n{long}\nb"),
+        (2, f"c\n{long}\nd"),
+        (3, long),
+        (4, f"{short}\ne"),
+        (5, f"{short}\ne"),
+        (6, f"{other}\n \n{long}\nf"),
+        (7, f"g\n{other}\n \n{long}\nf\nh"),
+        (8, f"{other}\n{other}\n{short}"),
+        (9, long.replace(" ", "\u00a0")),
+        (10, long.replace(" ", "\u00a0")),
+        (None, f"{long}\nnone"),
+        (None, f"{long}\nnil"),
+    ]
+    got = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    by_id = {i: (t, n) for i, t, n in got if i is not None}
+    assert by_id == {i: (t, n) for i, (_, n, t) in plain_lines([(-1, f"{long}\nnone"), *(r for r in rows if r[0] is not None)]).items() if i > 0}
+    assert [by_id[i][1] for i in range(1, 11)] == [1, 1, 1, 0, 0, 1, 4, 2, 0, 0]
+    assert sorted(n for i, _, n in got if i is None) == [0, 1]
+
+
 def test_line_dedup_single(spark, tmp_path):
     """Repeated single lines and pairs, and documents of one or two lines, which runs of three lines don't reach."""
     long = "a line of more than ten words that stands in several documents alone"
