@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, matroska, mixing, ngram_join, packing, quality_gam, substring_dedup, topk, warc
+from . import language_id, line_dedup, matroska, mixing, ngram_join, packing, quality_gam, substring_dedup, token_alignment, topk, vector_codes, warc
 from .common import held_out
 
 
@@ -68,6 +69,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_files())
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(_table(spark, sf_dir, "documents"), (*tokenizer_files(), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_files() -> tuple[str, str, str]:
     """The tokenizer, and the same vocabulary as ranks with its pattern."""
     import public_tokenizers
@@ -82,6 +93,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: DuckDB's word pattern of the corpus contracts.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _codes(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    """Codes of vectors: a table of the codebooks (p, e, d, x) and one of the assignments for each round."""
+    nearest = """a{0} AS (SELECT i, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
+            SELECT i, part.p, e, list_sum(list_transform(range(1, {1} + 1), lambda j: (v[j] - x[j]) * (v[j] - x[j])))::BIGINT AS dist FROM part JOIN b{0} b ON b.p = part.p) GROUP BY i, p)"""
+    update = ", ".join(f"floor_div(sum(v[{j}])::BIGINT, count(*))" for j in range(1, width + 1))
+    steps = []
+    for r in range(rounds):
+        steps.append(nearest.format(r, width))
+        steps.append(f"b{r + 1} AS (SELECT b.p, b.e, coalesce(m, x) AS x FROM b{r} b LEFT JOIN (SELECT p, e, [{update}] AS m FROM a{r} JOIN part USING (i, p) GROUP BY p, e) USING (p, e))")
+    steps.append(nearest.format(rounds, width))
+    floor_div = "CASE WHEN {0} % {1} < 0 THEN {0} // {1} - 1 ELSE {0} // {1} END"
+    text = re.sub(r"floor_div\((sum\(v\[\d+\]\)::BIGINT), (count\(\*\))\)", lambda m: floor_div.format(m[1], m[2]), ",\n        ".join(steps))
+    return f"""
+        WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+                      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        part AS MATERIALIZED (SELECT i, p, v[p * {width} + 1:p * {width} + {width}] AS v FROM kept, unnest(range(0, {parts})) t(p)),
+        b0 AS (SELECT p, i AS e, v AS x FROM part WHERE i < {entries}),
+        {text},
+        book AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+        coded AS (SELECT i, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY i)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (i), book"""
+
+
 ORACLE = {
     "op1_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
@@ -115,6 +151,7 @@ ORACLE = {
         placed AS (SELECT d.*, g.stream, words, words // greatest(g.stream, 1) AS around, coalesce(sum(size) OVER (PARTITION BY d.name, d.shard ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
                    FROM dealt d JOIN given g ON d.name = g.name AND d.shard = g.shard)
         SELECT doc_id, size, source_size, target, least(size * around + greatest(0, least(size, words - around * stream - before)), 2 * size)::BIGINT AS taken FROM placed""",
+    "op13_vector_codes": _codes(),
     "op8_line_dedup": r"""
         WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
         line AS (SELECT doc_id, pos, ls[pos + 1] AS line FROM raw, unnest(range(0, len(ls))) t(pos)),
