@@ -15,9 +15,8 @@ a canopy; a bucket gives its members' edges to one of them, not its pairs. A can
 and also in the next one up if it can be linked with sets there. A cell is dealt into blocks of bounded members and bytes, mostly one, and
 a task counts the intersections of a block exactly, as products of 0/1 matrices of the shingles that its tiles share.
 
-Cells of several blocks. A few pivots of each cell are also sent to all its blocks, so most of a large group of near copies is one component
-after the first round. A link still unseen has an end outside of the cell's largest component; those sets, and only those, are sent to
-all blocks in a second round. So text moves once, and what is copied grows with what isn't linked to the rest. Nothing is dropped.
+Cells of several blocks are compared in two rounds (cells.py). The texts of the sets in cells are found by a filter of their keys that is sent to the
+readers, so only they are shuffled, once, into a table that both rounds read.
 """
 
 from __future__ import annotations
@@ -30,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cells import GROUP, MEMBERS, PIVOTS, block_links, cell_links, components, key_filter, passing, placed, tile_components
 from .common import NULL_ID, discard, id_key, keep, own_exchange, text_runs
 from .words import Prefix, grams, mix, split_words
 
 _SEEN_MOST = 1 << 20
-_TILE, _COLUMNS = 256, 2048
-MEMBERS, BYTES, PIVOTS, GROUP = 2048, 16 << 20, 16, 1024
+_COLUMNS = 2048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,24 +139,6 @@ def _classes(text: np.ndarray, value: np.ndarray, n_texts: int) -> tuple[np.ndar
     return size, one.view(np.int64), other.view(np.int64)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """v, label for every end of the links (a, b): the least id of its component. Labels are passed to neighbours and then followed to the
-    label's own label, so long chains end after few turns. Adaptive execution merges the partitions of small turns."""
-    edges = keep(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = keep(edges.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.lit(0).cast("long").alias("old"), F.least("v", "m").alias("label")), "labels")
-    while True:
-        now = labels.select("v", "label")
-        near = edges.join(now.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m"))
-        least = now.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = least.join(now.select(F.col("v").alias("label"), F.col("label").alias("further")), "label", "left")
-        after = keep(jump.select("v", "old", F.least("label", "further").alias("label")), "labels")
-        discard(labels)
-        labels = after
-        if not after.where("old <> label").limit(1).count():
-            discard(edges)
-            return labels.select("v", "label")
-
-
 def block_components(values: list[np.ndarray], guest: np.ndarray, percent: int) -> np.ndarray:
     """For each of the sets in values (distinct hashes) the first position of its component, by links between sets that aren't guests, or, if there
     are guests, between those and the others. Tiles of sets that are one component already are not compared."""
@@ -174,8 +155,6 @@ def block_components(values: list[np.ndarray], guest: np.ndarray, percent: int)
     by_owner = np.argsort(owner, kind="stable")
     token, first = token[by_owner], np.searchsorted(owner[by_owner], np.arange(n + 1))
     n_tokens = int(token.max(initial=-1)) + 1
-    homes, guests = np.flatnonzero(~guest), np.flatnonzero(guest)
-    label = np.arange(n)
 
     def incidence(sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.repeat(np.arange(len(sets)), first[sets + 1] - first[sets]), np.concatenate([token[first[i] : first[i + 1]] for i in sets])
@@ -186,16 +165,12 @@ def block_components(values: list[np.ndarray], guest: np.ndarray, percent: int)
         out[rows[here], columns[here] - start] = 1
         return out
 
-    for i in range(0, len(homes), _TILE):
-        left = homes[i : i + _TILE]
+    def linked(left: np.ndarray):
         l_row, l_token = incidence(left)
         l_has = np.zeros(n_tokens, bool)
         l_has[l_token] = True
-        others = guests if len(guests) else homes[i:]
-        for j in range(0, len(others), _TILE):
-            right = others[j : j + _TILE]
-            if (label[left] == label[left[0]]).all() and (label[right] == label[left[0]]).all():
-                continue
+
+        def with_left(right: np.ndarray) -> np.ndarray:
             r_row, r_token = incidence(right)
             has = np.zeros(n_tokens, bool)
             has[r_token] = True
@@ -204,19 +179,50 @@ def block_components(values: list[np.ndarray], guest: np.ndarray, percent: int)
             both = np.zeros((len(left), len(right)), np.float32)
             for start in range(0, int(has.sum()), _COLUMNS):
                 both += matrix(l_row, number[l_token], len(left), start) @ matrix(r_row, number[r_token], len(right), start).T
-            linked = 100 * both >= percent * (size[left, None] + size[right] - both)
-            a, b = np.nonzero(linked & (label[left, None] != label[right]))
-            parent = label  # every set points to the first of its component
-            for x, y in np.unique(np.sort(np.column_stack([label[left[a]], label[right[b]]]), 1), axis=0).tolist():
-                while parent[x] != x:
-                    x = int(parent[x])
-                while parent[y] != y:
-                    y = int(parent[y])
-                parent[max(x, y)] = min(x, y)
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-            label = parent
-    return label
+            return 100 * both >= percent * (size[left, None] + size[right] - both)
+
+        return with_left
+
+    return tile_components(guest, linked)
+
+
+def set_links(docs: DataFrame, classes: DataFrame, canopy: DataFrame, id_col: str, text_col: str, size: int, percent: int, members: int = MEMBERS, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
+    """A spanning forest (a, b) of the links, verified on the full sets, between classes (n, c, rep) of one canopy (v, canopy); a kept table."""
+
+    def sets_of(table: pa.Table) -> list[np.ndarray]:
+        values: list[np.ndarray] = []
+        for _, n, data, offsets in text_runs(table.column("text")):
+            text, value = shingles(data, offsets, size)
+            values += np.split(value, np.searchsorted(text, np.arange(1, n)))
+        return values
+
+    width = 4 * math.log(100 / percent)
+    level = lambda n: F.floor(F.log(n) / width).cast("long")
+    cells = F.transform(F.array_distinct(F.array(level(F.col("n")), level(F.col("n") * (100.1 / percent)))), lambda x: F.xxhash64("canopy", x))
+    in_cell = placed(classes.join(canopy, classes.c == canopy.v).select("c", "rep.*", F.explode(cells).alias("cell")), members)
+    key = F.xxhash64("k", "th")
+    keys = in_cell.select("k", "th").distinct()
+    sent = key_filter(keys.select(key.alias("key")), "key", keys.count())
+    rows = docs.select(id_key(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    found = passing(rows.select("*", key.alias("key")), "key", sent).drop("key").groupBy("k", "th").agg(F.first("text").alias("text"))
+    texts = keep(found.join(keys, ["k", "th"], "left_semi"), "texts")
+    fetch = lambda blocks: texts.join(blocks.hint("merge"), ["k", "th"]).select("c", "cell", "block", "guest", "text")  # noqa: E731  (never broadcast: it grows with the corpus)
+    out = cell_links(in_cell, fetch, block_links(sets_of, lambda values, guest: block_components(values, guest, percent)), group, pivots)
+    discard(texts)
+    discard(in_cell)
+    return out
+
+
+def labelled(sets: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """k, th, n, ck, cth for each row of sets, from links between classes."""
+    labels = components(links)
+    linked = classes.join(labels, F.col("c") == F.col("v")).select("n", "c", "c2", "label", "rep")
+    least = linked.groupBy("label").agg(F.min(F.struct("rep.k", "rep.th")).alias("least"))
+    component = linked.join(own_exchange(least, "label"), "label").select("n", "c", "c2", "least")
+    alone = F.struct(F.col("rep.k"), F.col("rep.th"))
+    of_class = classes.join(component, ["n", "c", "c2"], "left").select("n", "c", "c2", F.coalesce("least", alone).alias("least"))
+    each = sets.join(own_exchange(of_class, "c"), ["n", "c", "c2"], "left")
+    return each.select("k", "th", "n", F.coalesce("least.k", "k").alias("ck"), F.coalesce("least.th", "th").alias("cth"))
 
 
 def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, members: int = MEMBERS, group: int = GROUP, pivots: int = PIVOTS) -> DataFrame:
@@ -249,62 +255,15 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 row, key = segment_keys(text[own], value[own], n, bands)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c[row])], names=["seg", "c"])
 
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("cell", "ascending"), ("block", "ascending"), ("guest", "ascending"), ("c", "ascending")]).combine_chunks()
-        key = np.array([table.column(c).to_numpy() for c in ("cell", "block")]).T
-        ids, guest = table.column("c").to_numpy(), table.column("guest").to_numpy()
-        values: list[np.ndarray] = []
-        for _, n, data, offsets in text_runs(table.column("text")):
-            text, value = shingles(data, offsets, size)
-            values += np.split(value, np.searchsorted(text, np.arange(1, n)))
-        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
-        out = np.arange(len(ids))
-        for first, last in zip(edge, [*edge[1:], len(ids)], strict=True):
-            if last - first > 1:
-                out[first:last] = first + block_components(values[first:last], guest[first:last], percent)
-        return pa.table({"a": ids[out != np.arange(len(ids))], "b": ids[out[out != np.arange(len(ids))]]})
-
-    def links(members: DataFrame) -> DataFrame:
-        """Links found in the blocks of members (k, th, c, bytes, cell, block, guest), a kept table, which is never broadcast: it grows with the corpus."""
-        n, total = members.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-        groups = max(1, -(-n // group), -(-total // BYTES))
-        once = rows.groupBy("k", "th").agg(F.first("text").alias("text"))
-        met = once.join(members.drop("bytes").hint("merge"), ["k", "th"]).select("c", "cell", "block", "guest", "text")
-        return met.groupBy(F.pmod(F.xxhash64("cell", "block"), F.lit(groups)).alias("g")).applyInArrow(compare, "a long, b long")
-
     sets = keep(rows.mapInArrow(describe, "k long, th long, n long, c long, c2 long, bytes long"), "sets")
     classes = keep(sets.where("n > 0").groupBy("n", "c", "c2").agg(F.min(F.struct("k", "th", "bytes")).alias("rep")), "classes")
     keys = rows.mapInArrow(index, "seg long, c long")
     shared = keys.groupBy("seg").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("seg", "p")
     meet = keys.join(own_exchange(shared, "seg"), "seg").where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
     canopy = components(meet).withColumnRenamed("label", "canopy")
-    width = 4 * math.log(100 / percent)
-    level = lambda n: F.floor(F.log(n) / width).cast("long")
-    cells = F.transform(F.array_distinct(F.array(level(F.col("n")), level(F.col("n") * (100.1 / percent)))), lambda x: F.xxhash64("canopy", x))
-    in_cell = classes.join(canopy, classes.c == canopy.v).select("c", "rep.*", F.explode(cells).alias("cell"))
-    counts = in_cell.groupBy("cell").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.count("*") / members, F.sum("bytes") / BYTES)).alias("blocks")).where("n > 1")
-    placed = keep(in_cell.join(own_exchange(counts, "cell"), "cell").withColumn("own", F.pmod(F.xxhash64("c"), "blocks")), "cells")
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("c", F.lit("pivot")), F.greatest(F.lit(1).cast("long"), F.floor(F.col("n") / pivots))) == 0)
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    in_block = placed.withColumn("block", F.explode(F.when(pivot, every).otherwise(F.array("own")))).withColumn("guest", F.lit(False))
-    found = keep(links(keep(in_block.drop("own", "n", "blocks"), "blocks")), "links")
-    if placed.where("blocks > 1").limit(1).count():
-        of = placed.where("blocks > 1").join(components(found), F.col("c") == F.col("v"), "left").withColumn("label", F.coalesce("label", "c")).drop("v")
-        part = of.groupBy("cell", "label").agg(F.count("*").alias("many"))
-        largest = part.groupBy("cell").agg(F.max(F.struct("many", "label")).alias("x")).select("cell", F.col("x.label").alias("largest"))
-        apart = keep(of.join(own_exchange(largest, "cell"), "cell").withColumn("left_out", F.col("label") != F.col("largest")), "apart")
-        guests = apart.where("left_out").withColumn("block", F.explode(every)).where("block <> own").withColumn("guest", F.lit(True))
-        hosts = apart.join(own_exchange(apart.where("left_out").select("cell").distinct(), "cell"), "cell", "left_semi").select(*apart.columns, F.col("own").alias("block"), F.lit(False).alias("guest"))
-        second = guests.unionByName(hosts).select("k", "th", "c", "bytes", "cell", "block", "guest")
-        found = found.union(links(keep(second, "second-round")))
-    labels = components(found)
-    linked = classes.join(labels, F.col("c") == F.col("v")).select("n", "c", "c2", "label", "rep")
-    least = linked.groupBy("label").agg(F.min(F.struct("rep.k", "rep.th")).alias("least"))
-    component = linked.join(own_exchange(least, "label"), "label").select("n", "c", "c2", "least")
-    alone = F.struct(F.col("rep.k"), F.col("rep.th"))
-    of_class = classes.join(component, ["n", "c", "c2"], "left").select("n", "c", "c2", F.coalesce("least", alone).alias("least"))
-    each = sets.join(own_exchange(of_class, "c"), ["n", "c", "c2"], "left")
-    return each.select("k", "th", "n", F.coalesce("least.k", "k").alias("ck"), F.coalesce("least.th", "th").alias("cth"))
+    links = set_links(docs, classes, canopy, id_col, text_col, size, percent, members, group, pivots)
+    discard(canopy)
+    return labelled(sets, classes, links)
 
 
 def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, **options) -> DataFrame:

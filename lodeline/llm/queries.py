@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, matroska, mixing, ngram_join, packing, quality_gam, substring_dedup, token_alignment, topk, vector_codes, warc
+from . import language_id, line_dedup, matroska, minhash, mixing, ngram_join, packing, quality_gam, substring_dedup, token_alignment, topk, vector_codes, warc
 from .common import held_out
 
 
@@ -75,6 +75,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(_table(spark, sf_dir, "documents"), (*tokenizer_files(), public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
@@ -95,6 +99,20 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
 
+def _components(percent: int, columns: str) -> str:
+    """Documents, their shingles and the smallest id that links of Jaccard similarity reach; columns: what is made of it."""
+    return rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT doc_id, {_WORDS} AS ws FROM d),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) t(i) WHERE len(ws) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY x, y),
+        link AS (SELECT x, y FROM both_ JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= {percent} * (p.n + q.n - c)),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.m AS {columns}
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON r.x = d.doc_id"""
+
+
 def _codes(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
     """Codes of vectors: a table of the codebooks (p, e, d, x) and one of the assignments for each round."""
     nearest = """a{0} AS (SELECT i, p, arg_min(e, (dist, e)) AS e, min(dist) AS dist FROM (
@@ -182,16 +200,8 @@ ORACLE = {
                  FROM line l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
         SELECT raw.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(t) END AS kept_sha256
         FROM raw LEFT JOIN kept USING (doc_id)""",
-    "op6_ngram_jaccard_join": rf"""
-        WITH RECURSIVE d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-        w AS (SELECT doc_id, {_WORDS} AS ws FROM d),
-        sh AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 1, 2))) t(i) WHERE len(ws) > 0),
-        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
-        both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY x, y),
-        link AS (SELECT x, y FROM both_ JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 90 * (p.n + q.n - c)),
-        reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.x, link.y FROM reach JOIN link ON reach.y = link.x)
-        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.m AS component_id
-        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) r ON r.x = d.doc_id""",
+    "op6_ngram_jaccard_join": _components(90, "component_id"),
+    "op12_minhash_dedup": _components(85, "component_id, d.doc_id = r.m AS kept"),
     "op4_substring_dedup": rf"""
         WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
         win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 19], ' ')) AS h FROM d, unnest(range(1, len(ws) - 18)) t(i)),

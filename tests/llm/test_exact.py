@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeline.llm import line_dedup, mixing, ngram_join, packing, substring_dedup, topk
+from lodeline.llm import cells, line_dedup, mixing, ngram_join, packing, substring_dedup, topk
 from lodeline.llm.queries import queries, tokenizer_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,19 +135,50 @@ def near_copies(n, words=300, seed=5):
 
 
 def kept_rows(monkeypatch):
-    """Rows of the texts that ngram_join deals out, by the tables it keeps."""
+    """Rows of the blocks that ngram_join deals out, in both rounds, and the texts that are shuffled for them, by the tables it keeps."""
     found = {}
 
-    def keep(df, tag, plain=ngram_join.keep):
+    def keep(df, tag, plain=cells.keep):
         out = plain(df, tag)
-        if tag in ("blocks", "second-round"):
+        if tag in ("blocks", "second-round", "texts"):
             found[tag] = found.get(tag, 0) + out.count()
+        if tag == "cells":
+            found["members"] = out.select("k", "th").distinct().count()
         return out
 
+    monkeypatch.setattr(cells, "keep", keep)
     monkeypatch.setattr(ngram_join, "keep", keep)
     return found
 
 
+def test_only_texts_in_cells_are_shuffled(spark, monkeypatch):
+    """Of texts that are mostly alone, those of the cells are found by the filter of their keys, once for both rounds."""
+    texts = [*near_copies(300), *(" ".join(f"q{i}-{j}" for j in range(40)) for i in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    let_through = []
+
+    def passing(*args, plain=cells.passing):
+        out = plain(*args)
+        let_through.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "passing", passing)
+    found = kept_rows(monkeypatch)
+    got = ngram_join.join_components(docs, members=64, pivots=4).collect()
+    assert len(got) == 3300 and {r.component_id for r in got if r.doc_id < 300} == {0} and all(r.component_id == r.doc_id for r in got if r.doc_id >= 300)
+    assert found["second-round"] >= 0 and found["texts"] == found["members"] == 300 and len(let_through) == 1 and let_through[0] < 330
+
+
+def test_a_filter_takes_all_its_keys(spark):
+    rng = random.Random(8)
+    keys = [rng.randrange(-(2**63), 2**63) for _ in range(5000)]
+    rows = spark.createDataFrame([(k,) for k in [*keys, *(rng.randrange(2**62) for _ in range(20000))]], "key long").repartition(7)
+    sent = cells.key_filter(rows.limit(1).union(spark.createDataFrame([(k,) for k in keys], "key long")), "key", len(keys))
+    passed = {r.key for r in cells.passing(rows, "key", sent).collect()}
+    assert set(keys) <= passed and len(passed) < 5300
+    assert cells.passing(rows, "key", cells.key_filter(rows.where("key is null"), "key", 0)).count() == 0
+
+
 def test_rows_follow_near_copies(spark, monkeypatch):
     """Twice as many near copies of one text, in cells of many blocks, are twice as many rows, not four times."""
     rows = []
