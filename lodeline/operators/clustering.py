@@ -7,9 +7,9 @@ Fast path, in Catalyst expressions. Let c be the number of positions where all l
 template of the bucket there, so if c / n_tokens reaches the threshold the bucket is one cluster, whatever the order, and its template has
 the common tokens and wildcards elsewhere. Lines are first reduced to distinct masked texts, and only buckets with several are exploded.
 
-Slow path. The other buckets are parsed line by line in the order of line_no by a grouped Arrow function: a line joins the cluster with the
-highest similarity (the first of equals) if that reaches the threshold; else it starts a cluster, or, when the bucket has `most` of them,
-joins the first. This is sequential by definition; a task has one bucket, not a dataset.
+Slow path. The other buckets are parsed line by line in the order of line_no: a line joins the cluster with the highest similarity (the first
+of equals) if that reaches the threshold; else it starts a cluster, or, when the bucket has `most` of them, joins the first. This is
+sequential by definition. Lines are dealt by bucket, sorted, and read as batches; what a task holds is the templates of one bucket.
 
 Cluster ids are dense and follow the first line of each cluster.
 """
@@ -20,7 +20,8 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -41,39 +42,62 @@ def bucketed(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH) -> Dat
     return out.select("*", F.array_join("__tokens", " ").alias("masked"), F.size("__tokens").alias("n_tokens"), text.bucket_key(F.col("__tokens"), depth).alias("key")).drop("__tokens")
 
 
-def similarity(template: Sequence[str], tokens: Sequence[str]) -> float:
-    return sum(t == x or t == WILDCARD for t, x in zip(template, tokens, strict=False)) / len(template)
+class Bucket:
+    """The templates of one bucket, and its lines one after the other.
 
-
-def parse_bucket(rows: Sequence[Sequence[str]], threshold: float, most: int, templates: Sequence[Sequence[str]] = ()) -> tuple[list[int], list[list[str]]]:
-    """Number of the cluster of each token list (all of one length), in order, and the templates at the end. templates: those to start with.
-
-    Tokens are numbers, so that a line meets all templates of its bucket in one comparison of arrays.
+    Tokens of templates are numbers, so that a line meets all templates in one comparison of arrays; a token of no template has none. So
+    memory is that of the templates, whatever the number of lines and the length of their tokens.
     """
-    if not rows:
-        return [], [list(t) for t in templates]
-    names, code = np.unique(np.array([*(x for t in templates for x in t), *(x for r in rows for x in r), WILDCARD], object).astype(str), return_inverse=True)
-    any_, width = int(code[-1]), len(rows[0])
-    table = code[:-1].reshape(-1, width)
-    now = np.empty((max(most, len(templates)), width), code.dtype)
-    n = len(templates)
-    now[:n] = table[:n]
-    numbers = []
-    for x in table[n:]:
-        at = 0
-        if n:
-            same = ((now[:n] == x) | (now[:n] == any_)).sum(1)
-            at = int(same.argmax())
-        if not n or same[at] / width < threshold:
-            if n < most:
-                now[n] = x
-                numbers.append(n)
-                n += 1
-                continue
+
+    def __init__(self, threshold: float, most: int, templates: Sequence[str] = ()):
+        self.threshold, self.most = threshold, most
+        self.names, self.codes = [WILDCARD], {WILDCARD: 0}
+        self.table: np.ndarray | None = None
+        self.n = 0
+        self.changed: dict[int, None] = {}  # clusters that are new or have another template than at the start
+        self._text: dict[int, str] = {}
+        for t in templates:
+            self._found(t.split(" "))
+        self.changed.clear()
+
+    def _found(self, tokens: Sequence[str]) -> int:
+        if self.table is None:
+            self.table = np.zeros((4, len(tokens)), np.int64)
+        if self.n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        for i, t in enumerate(tokens):
+            code = self.codes.setdefault(t, len(self.names))
+            if code == len(self.names):
+                self.names.append(t)
+            self.table[self.n, i] = code
+        self.n += 1
+        self.changed[self.n - 1] = None
+        return self.n - 1
+
+    def add(self, masked: str) -> int:
+        """Number of the cluster of the next line, its tokens joined by spaces."""
+        tokens = masked.split(" ")
+        if not self.n:
+            return self._found(tokens)
+        x = np.array([self.codes.get(t, -1) for t in tokens])
+        own = self.table[: self.n]
+        same = ((own == x) | (own == 0)).sum(1)
+        at = int(same.argmax())
+        if same[at] / len(tokens) < self.threshold:
+            if self.n < self.most:
+                return self._found(tokens)
             at = 0
-        now[at] = np.where(now[at] == x, x, any_)
-        numbers.append(at)
-    return numbers, [names[t].tolist() for t in now[:n]]
+        other = own[at] != x
+        if own[at][other].any():
+            own[at][other] = 0
+            self._text.pop(at, None)
+            self.changed[at] = None
+        return at
+
+    def template(self, number: int) -> str:
+        if number not in self._text:
+            self._text[number] = " ".join(self.names[c] for c in self.table[number])
+        return self._text[number]
 
 
 def _buckets(keyed: DataFrame, threshold: float) -> DataFrame:
@@ -96,21 +120,56 @@ def _buckets(keyed: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) -> DataFrame:
-    """dataset, line_no, line, first_line and the cluster's typed template for each line of the buckets that are not fast."""
-    rows = keyed.join(buckets.where(~F.col("fast")).select(*BUCKET), BUCKET, "left_semi").select(*BUCKET, "line_no", "line", "masked")
+def _runs(batch: pa.RecordBatch, columns: Sequence[str]):
+    """First and last row (not included) of each run of rows with equal values in columns, and these values."""
+    table = pa.Table.from_batches([batch.select(columns)])
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for c in columns:
+        x = table.column(c).combine_chunks()
+        new[1:] |= pc.fill_null(pc.not_equal(x[1:], x[:-1]), True).to_numpy(zero_copy_only=False)
+    edges = np.flatnonzero(new).tolist()
+    for first, last in zip(edges, [*edges[1:], batch.num_rows], strict=True):
+        yield first, last, tuple(table.column(c)[first].as_py() for c in columns)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("line_no")
-        numbers, templates = parse_bucket([m.split(" ") for m in table.column("masked").to_pylist()], threshold, most)
-        line_no = table.column("line_no").to_pylist()
-        first: dict[int, int] = {}
-        for number, n in zip(numbers, line_no, strict=True):
-            first.setdefault(number, n)
-        typed = [" ".join(t) for t in templates]
-        return table.select(["dataset", "line_no", "line"]).append_column("first_line", pa.array([first[i] for i in numbers], pa.int64())).append_column("template_typed", pa.array([typed[i] for i in numbers]))
 
-    return rows.groupBy(*BUCKET).applyInArrow(run, "dataset string, line_no long, line string, first_line long, template_typed string")
+def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Two kinds of rows for the buckets that are not fast. Of each line: dataset, line_no, h (hash of the masked line), and the first line of its
+    cluster. Of each cluster: dataset, first_line, size, template_typed."""
+    rows = keyed.join(buckets.where(~F.col("fast")).select(*BUCKET), BUCKET, "left_semi").select(*BUCKET, "line_no", "masked", F.xxhash64("masked").alias("h"))
+    ordered = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "line_no")
+
+    def run(batches):
+        names, types = ["dataset", "line_no", "h", "first_line", "size", "template_typed"], [pa.string(), *[pa.int64()] * 4, pa.string()]
+        at, bucket, first, size = None, None, [], []
+
+        def table(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        def clusters_of(dataset):
+            n = len(first)
+            return table([dataset] * n, [None] * n, [None] * n, first, size, [bucket.template(i) for i in range(n)])
+
+        for batch in batches:
+            for start, end, key in _runs(batch, BUCKET):
+                if key != at:
+                    if bucket:
+                        yield clusters_of(at[0])
+                    at, bucket, first, size = key, Bucket(threshold, most), [], []
+                line_no, out = batch.column("line_no").slice(start, end - start), []
+                for n, masked in zip(line_no.to_pylist(), batch.column("masked").slice(start, end - start), strict=True):
+                    number = bucket.add(masked.as_py())
+                    if number == len(first):
+                        first.append(n)
+                        size.append(0)
+                    size[number] += 1
+                    out.append(first[number])
+                m = end - start
+                yield table([key[0]] * m, line_no, batch.column("h").slice(start, m), out, [None] * m, [None] * m)
+        if bucket:
+            yield clusters_of(at[0])
+
+    return ordered.mapInArrow(run, "dataset string, line_no long, h long, first_line long, size long, template_typed string")
 
 
 def numbered(clusters: DataFrame, most: int = CELL) -> DataFrame:
@@ -130,13 +189,13 @@ def numbered(clusters: DataFrame, most: int = CELL) -> DataFrame:
 
 
 def _mined(lines: DataFrame, masks: Sequence[Mask], depth: int, threshold: float, most: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Keyed lines, lines of slow buckets (None without any), and numbered clusters with their bucket (null for slow ones). Lines are masked once."""
+    """Keyed lines, rows of slow buckets (None without any), and numbered clusters with their bucket (null for slow ones). Lines are masked once."""
     keyed = keep(bucketed(lines.select("dataset", "line_no", "line"), masks, depth), "keyed")
     buckets = keep(_buckets(keyed, threshold), "buckets")
     both, slow = buckets.where("fast").select(*BUCKET, "first_line", "size", "template_typed"), None
     if buckets.where("NOT fast").limit(1).count():
         slow = keep(_slow(keyed, buckets, threshold, most), "slow")
-        both = both.unionByName(slow.groupBy("dataset", "first_line", "template_typed").agg(F.count("*").alias("size")), allowMissingColumns=True)
+        both = both.unionByName(slow.where("line_no IS NULL").drop("line_no", "h"), allowMissingColumns=True)
     return keyed, slow, numbered(both)
 
 
@@ -149,21 +208,18 @@ def clusters(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, thresh
 def parse(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
     """dataset, line_no, line, cluster_id, template, template_typed for each line, with the templates as they are in the end.
 
-    Lines are joined to clusters by bucket; those of slow buckets bring their cluster's first line with them.
+    Lines are joined to clusters by bucket; those of slow buckets by the number of their cluster's first line.
     """
     keyed, slow, found = _mined(lines, masks, depth, threshold, most)
     columns = ["dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("template_typed")).alias("template"), "template_typed"]
     out = keyed.select(*BUCKET, "line_no", "line").join(found.where("key IS NOT NULL").select(*BUCKET, "cluster_id", "template_typed"), BUCKET).select(*columns)
     if slow is not None:
-        ids = found.where("key IS NULL").select("dataset", "first_line", "cluster_id")
-        out = out.unionByName(slow.join(ids, ["dataset", "first_line"]).select(*columns))
+        ids = found.where("key IS NULL").select("dataset", "first_line", "cluster_id", "template_typed")
+        own = slow.where("line_no IS NOT NULL").select("dataset", "line_no", "h", "first_line").distinct().join(ids, ["dataset", "first_line"])
+        out = out.unionByName(keyed.withColumn("h", F.xxhash64("masked")).join(own, ["dataset", "line_no", "h"]).select(*columns))
     return out
 
 
-def similarity_to(template: Column, found: Column) -> Column:
-    return text.similarity(template, found)
-
-
 _STATE = "n_tokens int, key string, at int, cluster_id long, first_line long, typed string"
 
 
@@ -196,7 +252,9 @@ class Miner:
         def run(known: pa.Table, new: pa.Table) -> pa.Table:
             known, new = known.sort_by("at"), new.sort_by("line_no")
             ids, line_no = known.column("cluster_id").to_pylist(), new.column("line_no").to_pylist()
-            numbers, templates = parse_bucket([m.split(" ") for m in new.column("masked").to_pylist()], threshold, most, [t.split(" ") for t in known.column("typed").to_pylist()])
+            bucket = Bucket(threshold, most, known.column("typed").to_pylist())
+            numbers = [bucket.add(m.as_py()) for m in new.column("masked")]
+            templates = [bucket.template(i) for i in range(bucket.n)]
             first = dict(zip(reversed(numbers), reversed(line_no), strict=True))
             n, m = len(templates), len(numbers)
             some = new if m else known
@@ -207,7 +265,7 @@ class Miner:
                 "at": pa.array([*range(n), *numbers], pa.int32()),
                 "cluster_id": pa.array([*ids, *[None] * (n - len(ids) + m)], pa.int64()),
                 "first_line": pa.array([*known.column("first_line").to_pylist(), *(first[i] for i in range(len(ids), n)), *[None] * m], pa.int64()),
-                "typed": pa.array([*(" ".join(t) for t in templates), *[None] * m], pa.string()),
+                "typed": pa.array([*templates, *[None] * m], pa.string()),
                 "dataset": pa.array([*[None] * n, *new.column("dataset").to_pylist()], pa.string()),
                 "line_no": pa.array([*[None] * n, *line_no], pa.int64()),
                 "line": pa.array([*[None] * n, *new.column("line").to_pylist()], pa.string()),

@@ -187,6 +187,9 @@ ORACLE = {
     "entropy_greedy_sample": _GREEDY,
     "evaluate_events": _evaluated(),
     "streamed_clusters": f"WITH {_mined(_OFFLINE)} SELECT line_no, sha1('events:' || n || ':' || key || ':0') AS cluster FROM keyed",
+    "streamed_dense_ids": f"WITH {_mined(_OFFLINE)} SELECT line_no, cluster_id FROM keyed JOIN c USING (key, n)",
+    "streamed_records": r"""WITH l AS (SELECT doc_id % 8 AS part, doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(i))
+        SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id, i) - 1 AS line_no, '.txt' AS format_hint, regexp_replace(line, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g') AS text FROM l""",
     "pattern_labels": _labelled(PATTERNS),
     "read_answers": "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, chr(92) || 'd+'), (0, 1, 'a b'), (1, 0, chr(92) || 'w+'), (1, 1, 'x''y'), (4, 0, 'a'), (4, 1, 'b')) t(answer, ord, pattern)",
     "prompts": f"WITH {_TALK} SELECT dataset, line_no, {_HEADED} AS question, {_HEADED} || md5(line) AS example FROM talk",
@@ -228,7 +231,6 @@ ORACLE = {
     "training_examples": rf"WITH {_EVENT}, g AS (SELECT line_no, line, regexp_extract(line, '^(\S+) (\S+) (.+?) user (.+?) value (.+)$', ['a', 'b', 'c', 'd', 'e']) AS x FROM ev), v AS (SELECT line_no, line, list_transform([x.a, x.b, x.c, x.d, x.e], lambda w: {_case(SHAPES, 'w', _q(OTHER))}) AS ps FROM g), d AS (SELECT line_no, line, list_filter(ps, lambda p, i: list_position(ps, p) = i) AS ps FROM v) SELECT line_no, line AS input, '[' || chr(10) || '    ' || array_to_string(list_transform(ps, lambda p: {_literal('p')}), ',' || chr(10) || '    ') || ',' || chr(10) || ']' AS output FROM d",
     "max_per_system": f"WITH {_TRUTH}, r AS (SELECT dataset, line_no, kind || ' ' || level AS input, row_number() OVER (PARTITION BY dataset ORDER BY line_no) AS n FROM tp WHERE level <> 'INFO') SELECT dataset, line_no, input FROM r WHERE n <= 10",
     "raw_literals": f"""WITH p AS (SELECT page_id, html AS p FROM pages) SELECT page_id, {_literal('p')} AS literal, '[' || chr(10) || '    "a' || chr(92) || chr(92) || '",' || chr(10) || '    ' || {_literal('p')} || ',' || chr(10) || ']' AS list FROM p""",
-    "raw_literals_whole": f"""SELECT page_id, {_literal('html')} AS literal, '[' || chr(10) || '    "a' || chr(92) || chr(92) || '",' || chr(10) || '    ' || {_literal('html')} || ',' || chr(10) || ']' AS list FROM pages""",
     "scrub": rf"""WITH {_DOC}, s AS (SELECT line_no, line, 'document' AS kind FROM docl UNION ALL SELECT page_id, url || ' hostname=h-' || page_id || ',x', 'page' FROM pages)
         SELECT line_no, regexp_replace(regexp_replace(regexp_replace(line, '/[\w\-_/]+', '/anon/path', 'g'), '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+', 'anon@example.com', 'g'), 'hostname=[^,\s]+', 'hostname=anon', 'g') AS scrubbed, kind FROM s""",
     "ts_prefix_groups": f"WITH {_EVENT}, r AS (SELECT line, regexp_replace(line, '^.*?[0-9][0-9]:[0-9][0-9]:[0-9][0-9]', '') AS rest FROM ev) SELECT length(rest) AS length, rest[1:3] AS prefix, count(*) AS n_lines, min(line) AS first FROM r GROUP BY ALL",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .functions.patterns import CLASSES, CORE, EXTRA, Mask, canonical_masks, usable, validate_patterns
-from .functions.tables import shared_dir
+from .functions.tables import keep, shared_dir
 from .oracle import PATTERNS as _PATTERNS
 from .operators import alignment, clustering, metrics, online, sampling, synthesis
 from .plans import evaluation, reports
@@ -242,12 +242,6 @@ def raw_literals(spark, sf_dir):
     return html.select("page_id", alignment.raw_literal(F.col("p")).alias("literal"), alignment.literal_list(F.array(F.lit("a\\"), F.col("p"))).alias("list"))
 
 
-def raw_literals_whole(spark, sf_dir):
-    """As raw_literals."""
-    html = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("p"))
-    return html.select("page_id", alignment.raw_literal(F.col("p")).alias("literal"), alignment.literal_list(F.array(F.lit("a\\"), F.col("p"))).alias("list"))
-
-
 def pattern_labels(spark, sf_dir):
     """Masks of a model's patterns with their labels, and the core classes that they leave out."""
     masks = synthesis.with_core(synthesis.masks_of_patterns(_PATTERNS))
@@ -311,10 +305,31 @@ def streamed_clusters(spark, sf_dir):
     return _streamed(spark, _event_lines(spark, sf_dir), "clusters", lambda s: templates.parse_stream(s, OFFLINE), 2).select("line_no", "cluster")
 
 
+def streamed_dense_ids(spark, sf_dir):
+    """Event lines as a stream of three micro-batches, with ids given after the first file's lines and again, from these, after all."""
+    events = _event_lines(spark, sf_dir)
+    found = _streamed(spark, events, "dense", lambda s: templates.parse_stream(s, OFFLINE), 3)
+    cut = events.agg(F.max("line_no") / 3)
+    early = keep(templates.dense_ids(found.join(cut.toDF("cut")).where("line_no <= cut").drop("cut")), "known")
+    ids = templates.dense_ids(found, early)
+    return found.join(ids.select("dataset", "cluster", "cluster_id"), ["dataset", "cluster"]).select("line_no", "cluster_id")
+
+
+def streamed_records(spark, sf_dir):
+    """Texts of documents in the files of a growing tree, half of which are added after a first run of the stream: a record for each of their lines."""
+    root = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("part", F.col("doc_id") % 8)
+    for part in (docs.where("part < 4"), docs.where("part >= 4")):
+        part.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.mode("append").partitionBy("part").text(f"{root}/in")
+        sources.stream_records(spark, f"{root}/in", f"{root}/out", f"{root}/state", 3).awaitTermination()
+    found = spark.read.parquet(f"{root}/out")
+    return found.select(F.regexp_extract("source", r"part=(\d+)/", 1).cast("long").alias("part"), "line_no", "format_hint", "text")
+
+
 def streamed_groups(spark, sf_dir):
-    """The online parser on a stream of turns."""
+    """The online parser on a stream of turns, in two micro-batches."""
     rows = _talk_lines(spark, sf_dir).select(F.col("dataset").alias("source"), "line_no", "line")
-    return _streamed(spark, rows, "groups", templates.online_stream).select("source", "line_no", "group_id", "size", "template")
+    return _streamed(spark, rows, "groups", templates.online_stream, 2).select("source", "line_no", "group_id", "size", "template")
 
 
 def scrub(spark, sf_dir):

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
 from ..functions.patterns import Mask, validate_patterns
@@ -81,12 +82,34 @@ def records(spark: SparkSession, root: str) -> DataFrame:
 
     Lines end at \\n, \\r\\n or \\r. Ids are hashes of source and line number, so they are the same on every run. Files are read in splits.
     """
-    at = numbered_lines(_raw(spark, root, F.col("path"), recursive=True), r"\r", keep_blank=True).select(F.col("owner").alias("source"), "line_no", "line")
+    return _records(_raw(spark, root, F.col("path"), recursive=True))
+
+
+def _records(raw: DataFrame) -> DataFrame:
+    at = numbered_lines(raw, r"\r", keep_blank=True).select(F.col("owner").alias("source"), "line_no", "line")
     hint = F.lower(F.regexp_extract(F.element_at(F.split("source", "/"), -1), r"(?<=.)(\.[^.]+)$", 1))
     record_id = F.sha2(F.concat_ws(":", "source", F.col("line_no").cast("string")), 256)
     return at.select(record_id.alias("record_id"), "source", "line_no", F.lit(None).cast("timestamp").alias("ts"), hint.alias("format_hint"), text.strip(F.col("line")).alias("text"))
 
 
+def stream_records(spark: SparkSession, root: str, path: str, checkpoint: str, files_per_batch: int | None = None) -> StreamingQuery:
+    """A stream over the growing tree root that appends to the Parquet table path what records() gives for each new file; every file is read once, whole
+    and in splits, and numbered from its own first line. Start it with the same checkpoint to go on with the files added since.
+
+    The query takes what is there and ends; a micro-batch that runs again replaces what it wrote.
+    """
+    read = spark.readStream.option("recursiveFileLookup", True).option("lineSep", "\n")
+    if files_per_batch:
+        read = read.option("maxFilesPerTrigger", files_per_batch)
+    found = read.text(root).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+
+    def append(batch: DataFrame, number: int) -> None:
+        raw = batch.select(F.col("path").alias("owner"), "value", "path", "block", F.monotonically_increasing_id().alias("place"))
+        _records(raw).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return found.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def described(found: DataFrame) -> DataFrame:
     """records with their short description: id, source, and the first 50 characters."""
     return found.select("*", F.concat(F.lit("["), "record_id", F.lit("] "), "source", F.lit(" | "), F.substring("text", 1, 50)).alias("description"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
 from ..functions.patterns import Mask
@@ -62,6 +63,11 @@ def show(rows: DataFrame, n: int = 20) -> None:
     rows.show(n, truncate=False)
 
 
+def show_stream(rows: DataFrame, n: int = 20) -> StreamingQuery:
+    """The rows of each micro-batch of a stream on standard output, whole, the first n of each."""
+    return rows.writeStream.format("console").option("truncate", False).option("numRows", n).start()
+
+
 def scrub_files(spark: SparkSession, source: str, path: str) -> None:
     """Text files with paths, mail addresses and host names replaced."""
     rows = spark.read.text(source)

@@ -25,9 +25,9 @@ def sampled(spark, lines, k):
 
 
 def test_sampling(spark):
-    alike = ["user alice logged in from 10.0.0.1"] * 5 + ["DEBUG memory pointer 0xCAFEBABE freed at /tmp/heap"]
+    alike = ["door 7 opened by badge k-113"] * 5 + ["TRACE gc pause 0x2F00 took /proc/self 12 ticks"]
     assert sorted(sampled(spark, alike, 2)) == [0, 5]
-    assert sampled(spark, ["a a a a a", "alpha beta gamma delta epsilon"], 1) == [1]
+    assert sampled(spark, ["up up up", "tar pitch resin wax"], 1) == [1]
     assert sampled(spark, ["x", "x", "y"], 3) == [0, 1, 2]
     assert sampled(spark, ["x"], 0) == []
 
@@ -105,7 +105,7 @@ def test_training_examples(spark):
 def test_literals_of_whole_pages(spark, tmp_path):
     pages = ["a" * 300 + '"', "b" * 300 + "\\", "c" * 119 + "\\" + "d", "", 'e"']
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.page_id: (r.literal, r.list) for r in queries()["raw_literals_whole"](spark, str(tmp_path)).collect()}
+    got = {r.page_id: (r.literal, r.list) for r in queries()["raw_literals"](spark, str(tmp_path)).collect()}
     assert {i: ast.literal_eval(x) for i, (x, _) in got.items()} == dict(enumerate(pages))
     assert {i: ast.literal_eval(x) for i, (_, x) in got.items()} == {i: ["a\\", p] for i, p in enumerate(pages)}
     assert [got[i][0][0] for i in range(5)] == ['"', '"', "r", "r", '"']
@@ -158,3 +158,57 @@ def test_tables(spark, tmp_path):
 def test_timing(spark):
     row = evaluation.timing(frame(spark, ["a 1", "a 2", "b"]), [Mask("N", r"\d+")], 2).first()
     assert row.n_logs == 2 and row.seconds > 0
+
+
+class PlainGroups:
+    """The online parser of one source, every group looked at."""
+
+    def __init__(self, threshold):
+        self.threshold, self.groups, self.cache = threshold, [], {}
+
+    def add(self, tokens):
+        key, at, best = (tokens[0], len(tokens)), None, 0.0
+        if key in self.cache:
+            at = self.cache[key]
+        else:
+            for i, template in enumerate(self.groups):
+                share = sum(a in (b, "<*>") for a, b in zip(template, tokens, strict=False)) / len(template)
+                if share > best:
+                    best, at = share, i
+            if best <= self.threshold:
+                at = len(self.groups)
+                self.groups.append(tokens)
+        self.cache[key] = at
+        self.groups[at] = [a if a == b else "<*>" for a, b in zip(self.groups[at], tokens, strict=False)]
+        return at, self.groups[at]
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.3, 0.9])
+def test_online_index_like_plain_scan(threshold):
+    import random
+
+    rng = random.Random(int(threshold * 10))
+    own, expected = online.Groups("s", threshold), PlainGroups(threshold)
+    for n in range(3000):
+        tokens = [rng.choice(["<*>", *"abcdefgh"]) if rng.random() < 0.7 else f"v{rng.randrange(400)}" for _ in range(rng.randint(1, 9))]
+        at = own.add(n, tokens)
+        assert (at, own.template(at)) == expected.add(tokens)
+    again = online.Groups("s", threshold, [(i, own.template(n), own.sizes[n]) for n, i in enumerate(own.ids)], own.cache)
+    for n in range(300):
+        tokens = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))]
+        at = again.add(n, tokens)
+        assert (at, again.template(at)) == expected.add(tokens)
+
+
+def test_online_with_many_groups():
+    """Ten thousand groups: a record that isn't cached costs little more than one of a small state."""
+    import time
+
+    state, took = online.Groups("s", 0.6), []
+    for part in range(2):
+        began = time.perf_counter()
+        for n in range(5000):
+            i = part * 5000 + n
+            state.add(i, [f"k{i}", f"a{i}", f"b{i}", f"c{i}", "same", "same"])
+        took.append(time.perf_counter() - began)
+    assert len(state.ids) == 10_000 and took[1] < 30
