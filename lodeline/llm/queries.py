@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.round_trip(_table(spark, sf_dir, "pages"))
+    out = warc.round_trip(_table(spark, sf_dir, "pages"), with_payload=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -3,8 +3,11 @@
 Writer. Records are range-sorted by id and then by a hash of the record, which parts records without an id or with the same: a sample of
 these keys chosen by a hash (so the same records give the same sample) cuts them into ranges of about equal payload, each range is a shard. A task streams its shard into files that are rolled by their compressed size,
 one gzip member for each record; headers, record ids and digests are made anew from the payload. A file is written under a temporary name of
-its attempt and moved to its final name when it is complete; the manifest, a Spark table of file names with sizes and digests, lists the
-files that count. A task that runs again writes the same bytes to the same names.
+its attempt, in a folder of its own, and moved to its final name when it is complete. An attempt that finds the final name taken leaves that file as it is,
+for a task that runs again writes the same bytes to the same names; so a file once named never goes. The manifest, a Spark table of file names
+with sizes and digests, lists the files that count; the temporary folder goes when it is written.
+
+Reader. Files are dealt out by a hash of their names to as many tasks as there are files, or as their bytes ask for.
 
 Equal payloads of at least `revisit_bytes` bytes are stored once: the record with the largest id is the response, the others revisit it.
 
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, id_key, shared_dir
 
 SHARD_BYTES, ROLL_BYTES, REVISIT_BYTES = 32 << 20, 16 << 20, 1000
+READ_TASKS, READ_BYTES = 64, 128 << 20  # a task for each file up to so many, beyond that for so many bytes
+_TEMPORARY = "_temporary"
 _SAMPLE, _MOST_SAMPLE = 16, 1 << 20  # keys for each shard, and in all: beyond 65536 shards' worth of them shards grow with the input
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,7 +82,7 @@ class _Roll:
     def add(self, data: bytes) -> None:
         if self.out is None:
             self.name = f"part-{self.shard:05d}-{self.number:05d}.warc.gz"
-            self.temporary = f"{self.dir}/.{self.name}.{uuid.uuid4().hex}"
+            self.temporary = f"{self.dir}/{_TEMPORARY}/{self.name}.{uuid.uuid4().hex}"
             self.out, self.size, self.records, self.sha1 = self.fs.open_output_stream(self.temporary, compression=None), 0, 0, hashlib.sha1()
             info = f"software: lodeline\r\nformat: WARC File Format 1.1\r\nfile: {self.name}\r\n".encode()
             self._put(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {record_id(None, self.name)}\r\nWARC-Date: {_DATE}\r\nWARC-Filename: {self.name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n".encode() + info + b"\r\n\r\n")
@@ -97,9 +102,13 @@ class _Roll:
             return
         self.out.close()
         final = f"{self.dir}/{self.name}"
-        if self.fs.get_file_info(final).type != fs.FileType.NotFound:  # of an earlier attempt, with the same bytes
-            self.fs.delete_file(final)
-        self.fs.move(self.temporary, final)
+        there = self.fs.get_file_info(final)
+        if there.type == fs.FileType.NotFound:
+            self.fs.move(self.temporary, final)
+        elif there.size == self.size:  # of another attempt, with the same bytes
+            self.fs.delete_file(self.temporary)
+        else:
+            raise ValueError(f"{final} is there with {there.size} bytes in place of {self.size}")
         self.done.append((self.shard, self.number, self.name, self.size, self.records, self.sha1.hexdigest()))
         self.number, self.out = self.number + 1, None
 
@@ -158,8 +167,8 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
     notes = joined.where("k < response").select("k", "h", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "digest", "response").distinct()
     rows = notes.unionByName(records.select("k", "h", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("response")))
     dealt = rows.withColumn("shard", _shard(bounds).cast("int")).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "k", "h", "kind", "url", "payload")
-    target, _ = fs.FileSystem.from_uri(uri)
-    target.create_dir(fs.FileSystem.from_uri(uri)[1], recursive=True)
+    target, folder = fs.FileSystem.from_uri(uri)
+    target.create_dir(f"{folder}/{_TEMPORARY}", recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll, at, notes = None, None, {}
@@ -188,6 +197,7 @@ def write_archives(pages: DataFrame, uri: str, id_col: str = "page_id", url_col:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "number", "name", "bytes", "records", "sha1"])
 
     dealt.mapInArrow(write, _MANIFEST).write.json(f"{uri}/manifest")
+    target.delete_dir(f"{folder}/{_TEMPORARY}")
     return pages.sparkSession.read.schema(_MANIFEST).json(f"{uri}/manifest")
 
 
@@ -216,8 +226,9 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, data[body : at - 4]
 
 
-def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id") -> DataFrame:
-    """Records of the manifest's files: id, payload_bytes, payload_digest (SHA-1, hex), record_type, refers_to, url, payload (null in a revisit).
+def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id", with_payload: bool = True) -> DataFrame:
+    """Records of the manifest's files: id, payload_bytes, payload_digest (SHA-1, hex), record_type, refers_to, url, payload (null in a revisit, and
+    left out without with_payload).
 
     Digests of stored blocks and payloads are checked as they are read; a mismatch raises ValueError.
     """
@@ -226,7 +237,8 @@ def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id") -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
-        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        n = 7 if with_payload else 6
+        table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[:n], types[:n], strict=True)], names=names[:n])
         number = lambda x: None if x is None else int(x)
         for batch in batches:
             for name in batch.column("name").to_pylist():
@@ -244,7 +256,7 @@ def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id") -> Dat
                         revisit = head["warc-type"] == "revisit"
                         if not revisit and hashlib.sha1(payload).hexdigest() != hex_digest:
                             raise ValueError(f"{name}: the payload of {head['warc-record-id']} doesn't match its digest")
-                        rows.append((number(head.get("x-page")), length, hex_digest, head["warc-type"], number(head.get("x-refers-to-page")), head.get("warc-target-uri"), None if revisit else payload))
+                        rows.append((number(head.get("x-page")), length, hex_digest, head["warc-type"], number(head.get("x-refers-to-page")), head.get("warc-target-uri"), payload if with_payload and not revisit else None))
                         held += len(block)
                         if held > 4 << 20:
                             yield table(rows)
@@ -252,11 +264,13 @@ def read_archives(manifest: DataFrame, uri: str, id_col: str = "page_id") -> Dat
                 if rows:
                     yield table(rows)
 
-    fields = f"`{id_col}` long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
-    return manifest.select("name").repartition("name").mapInArrow(read, fields)
+    fields = f"`{id_col}` long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * with_payload
+    files, total = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    tasks = max(1, min(files, max(READ_TASKS, -(-total // READ_BYTES))))
+    return manifest.select("name").repartitionById(tasks, F.pmod(F.xxhash64("name"), F.lit(tasks)).cast("int")).mapInArrow(read, fields)
 
 
-def round_trip(pages: DataFrame, uri: str | None = None, **options) -> DataFrame:
+def round_trip(pages: DataFrame, uri: str | None = None, with_payload: bool = True, **options) -> DataFrame:
     """Write pages to archives (by default in a new folder of the shared one) and read them back."""
     uri = uri or f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, uri, **options), uri, options.get("id_col", "page_id"))
+    return read_archives(write_archives(pages, uri, **options), uri, options.get("id_col", "page_id"), with_payload)
