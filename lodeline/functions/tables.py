@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: list[str] = []
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,5 +29,72 @@ def shared_dir(spark: SparkSession) -> str:
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class scratch:
+    """A scope whose kept tables are deleted at its end: read or write what it gives inside, or take it out as result().
+
+        with scratch(spark) as own:
+            ids = own.result(parse(lines, masks), "ids")
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> scratch:
+        _SCOPES.append([])
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in _SCOPES.pop():
+            delete(self.spark, path)
+
+    def result(self, df: DataFrame, tag: str) -> DataFrame:
+        """df as a kept table that outlives this scope; an enclosing one has it."""
+        inner = _SCOPES.pop()
+        try:
+            return keep(df, tag)
+        finally:
+            _SCOPES.append(inner)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder on any of Spark's file systems, if it is there."""
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    files, where = _file_system(spark, path)
+    target = _file_system(spark, to)[1]
+    files.mkdirs(target.getParent())
+    if not files.rename(where, target):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if it is not there."""
+    files, where = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(where)) if files.exists(where) else []
+
+
+def write_small(spark: SparkSession, path: str, value: Mapping) -> None:
+    """A small JSON file, which has its name only when it is whole."""
+    files, where = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    out = files.create(where)
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    rename(spark, where.toString(), path)
+
+
+def read_small(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r.value for r in spark.read.text(path).collect()))

@@ -16,6 +16,8 @@ Cluster ids are dense and follow the first line of each cluster.
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import tables, text
 from ..functions.patterns import WILDCARD, Mask, usable
 from ..functions.tables import keep
 
@@ -221,71 +223,137 @@ def parse(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, threshold
 
 
 _STATE = "n_tokens int, key string, at int, cluster_id long, first_line long, typed string"
+OPEN = 1024  # buckets that add_log() holds in memory before it writes them
 
 
 class Miner:
     """Masks, parameters and the clusters so far, of one stream of lines whose dataset does not count.
 
-    Parsing more lines takes up the clusters where they were left: the state is a kept table with a row for each cluster, which meets the new lines bucket by
+    Parsing more lines takes up the clusters where they were left: the state is a table with a row for each cluster, which meets the new lines bucket by
     bucket; lines parsed before are not read again. Templates are those after the last line of the call.
+
+    The state is a folder of numbered versions. A version counts once its commit file is there, which is written last and holds the masks and the
+    counts; then older versions are deleted. open() takes up the last one in another session. A folder has one writer at a time.
     """
 
-    def __init__(self, depth: int = DEPTH, threshold: float = THRESHOLD, most: int = MOST):
-        self.depth, self.threshold, self.most = depth, threshold, most
+    def __init__(self, depth: int = DEPTH, threshold: float = THRESHOLD, most: int = MOST, path: str | None = None):
+        """path: the folder of the state; a new one in the shared folder if it is None."""
+        self.depth, self.threshold, self.most, self.path = depth, threshold, most, path
         self.masks: list[Mask] = []
         self.state: DataFrame | None = None
-        self._next = self._lines = 0
+        self._next = self._lines = self._version = 0
+        self._open: dict[tuple[int, str], tuple[Bucket, list[int], list[int]]] = {}
         self._spark: SparkSession | None = None
 
     def load_masks(self, masks: Sequence[Mask | Mapping[str, str]], spark: SparkSession | DataFrame) -> Miner:
         """New masks; what was parsed before is forgotten. spark: the session, or any DataFrame of it."""
         self._spark = spark.sparkSession if isinstance(spark, DataFrame) else spark
+        if self.path is None:
+            self.path = f"{tables.shared_dir(self._spark)}/miner-{uuid.uuid4().hex}"
+        self._version = max([self._version, *self._versions(self._spark, self.path)])
         self.masks, self._next, self._lines = usable(self._spark, masks), 0, 0
-        self.state = self._spark.createDataFrame([], _STATE)
+        self._open.clear()
+        self._commit(self._spark.createDataFrame([], _STATE))
         return self
 
+    @staticmethod
+    def _versions(spark: SparkSession, path: str) -> list[int]:
+        return [int(n[7:-5]) for n in tables.names(spark, path) if n.startswith("commit-") and n.endswith(".json")]
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Miner:
+        """The miner whose state is in the folder path, as its last committed call left it."""
+        version = max(cls._versions(spark, path), default=0)
+        if not version:
+            raise ValueError(f"{path} holds no state")
+        about = tables.read_small(spark, f"{path}/commit-{version}.json")
+        out = cls(about["depth"], about["threshold"], about["most"], path)
+        out._spark, out._version, out._next, out._lines = spark, version, about["next"], about["lines"]
+        out.masks = [Mask.of(m) for m in about["masks"]]
+        out.state = spark.read.schema(_STATE).parquet(f"{path}/v-{version}")
+        return out
+
+    def _commit(self, clusters: DataFrame) -> None:
+        """The next version of the state; clusters may read the one before it."""
+        version = self._version + 1
+        clusters.write.mode("overwrite").parquet(f"{self.path}/v-{version}")
+        about = {"depth": self.depth, "threshold": self.threshold, "most": self.most, "masks": [m.as_dict() for m in self.masks], "next": self._next, "lines": self._lines}
+        tables.write_small(self._spark, f"{self.path}/commit-{version}.json", about)
+        self._version, self.state = version, self._spark.read.schema(_STATE).parquet(f"{self.path}/v-{version}")
+        for name in tables.names(self._spark, self.path):
+            if name not in (f"v-{version}", f"commit-{version}.json"):
+                tables.delete(self._spark, f"{self.path}/{name}")
+
+    def save(self) -> None:
+        """Write what add_log() has changed since the last version."""
+        if self._open:
+            rows = [(*key, at, ids[at], first[at], bucket.template(at)) for key, (bucket, ids, first) in self._open.items() for at in range(bucket.n)]
+            fresh = self._spark.createDataFrame(rows, _STATE)
+            self._commit(self.state.join(fresh.select("n_tokens", "key").distinct(), ["n_tokens", "key"], "left_anti").select(*fresh.columns).unionByName(fresh))
+            self._open.clear()
+
     def parse(self, lines: DataFrame) -> DataFrame:
-        """dataset, line_no, line, cluster_id, template, template_typed; new ids count on from those of earlier calls. Lines are taken in the order of line_no."""
+        """dataset, line_no, line, cluster_id, template, template_typed, a kept table; new ids count on from those of earlier calls. Lines are taken in the
+        order of line_no."""
+        self.save()
         threshold, most, before = self.threshold, self.most, self._next
-        keyed = keep(bucketed(lines.select("dataset", "line_no", "line"), self.masks, self.depth), "batch")
-
-        def run(known: pa.Table, new: pa.Table) -> pa.Table:
-            known, new = known.sort_by("at"), new.sort_by("line_no")
-            ids, line_no = known.column("cluster_id").to_pylist(), new.column("line_no").to_pylist()
-            bucket = Bucket(threshold, most, known.column("typed").to_pylist())
-            numbers = [bucket.add(m.as_py()) for m in new.column("masked")]
-            templates = [bucket.template(i) for i in range(bucket.n)]
-            first = dict(zip(reversed(numbers), reversed(line_no), strict=True))
-            n, m = len(templates), len(numbers)
-            some = new if m else known
-            once = lambda name: [some.column(name)[0].as_py()] * (n + m)
-            columns = {
-                "n_tokens": pa.array(once("n_tokens"), pa.int32()),
-                "key": pa.array(once("key"), pa.string()),
-                "at": pa.array([*range(n), *numbers], pa.int32()),
-                "cluster_id": pa.array([*ids, *[None] * (n - len(ids) + m)], pa.int64()),
-                "first_line": pa.array([*known.column("first_line").to_pylist(), *(first[i] for i in range(len(ids), n)), *[None] * m], pa.int64()),
-                "typed": pa.array([*templates, *[None] * m], pa.string()),
-                "dataset": pa.array([*[None] * n, *new.column("dataset").to_pylist()], pa.string()),
-                "line_no": pa.array([*[None] * n, *line_no], pa.int64()),
-                "line": pa.array([*[None] * n, *new.column("line").to_pylist()], pa.string()),
-            }
-            return pa.table(columns)
-
-        bucket = ["n_tokens", "key"]
-        both = self.state.groupBy(*bucket).cogroup(keyed.select(*bucket, "dataset", "line_no", "line", "masked").groupBy(*bucket))
-        out = keep(both.applyInArrow(run, f"{_STATE}, dataset string, line_no long, line string"), "mined")
-        clusters = out.where("typed IS NOT NULL").select(*_STATE.replace(",", " ").split()[::2])
-        fresh = numbered(clusters.where("cluster_id IS NULL").drop("cluster_id").withColumn("dataset", F.lit(""))).withColumn("cluster_id", F.col("cluster_id") + before)
-        self.state = keep(clusters.where("cluster_id IS NOT NULL").unionByName(fresh.drop("dataset")), "state")
-        self._next, self._lines = self.state.count(), max(self._lines, (keyed.agg(F.max("line_no")).first()[0] or 0) + 1)
-        found = out.where("typed IS NULL").select(*bucket, "at", "dataset", "line_no", "line").join(self.state.select(*bucket, "at", "cluster_id", "typed"), [*bucket, "at"])
-        return found.select("dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("typed")).alias("template"), F.col("typed").alias("template_typed"))
+        with tables.scratch(self._spark) as own:
+            keyed = tables.keep(bucketed(lines.select("dataset", "line_no", "line"), self.masks, self.depth), "batch")
+
+            def run(known: pa.Table, new: pa.Table) -> pa.Table:
+                known, new = known.sort_by("at"), new.sort_by("line_no")
+                ids, line_no = known.column("cluster_id").to_pylist(), new.column("line_no").to_pylist()
+                bucket = Bucket(threshold, most, known.column("typed").to_pylist())
+                numbers = [bucket.add(m.as_py()) for m in new.column("masked")]
+                first = dict(zip(reversed(numbers), reversed(line_no), strict=True))
+                n, m = bucket.n, len(numbers)
+                some = new if m else known
+                once = lambda name: [some.column(name)[0].as_py()] * (n + m)
+                columns = {
+                    "n_tokens": pa.array(once("n_tokens"), pa.int32()),
+                    "key": pa.array(once("key"), pa.string()),
+                    "at": pa.array([*range(n), *numbers], pa.int32()),
+                    "cluster_id": pa.array([*ids, *[None] * (n - len(ids) + m)], pa.int64()),
+                    "first_line": pa.array([*known.column("first_line").to_pylist(), *(first[i] for i in range(len(ids), n)), *[None] * m], pa.int64()),
+                    "typed": pa.array([*(bucket.template(i) for i in range(n)), *[None] * m], pa.string()),
+                    "dataset": pa.array([*[None] * n, *new.column("dataset").to_pylist()], pa.string()),
+                    "line_no": pa.array([*[None] * n, *line_no], pa.int64()),
+                    "line": pa.array([*[None] * n, *new.column("line").to_pylist()], pa.string()),
+                }
+                return pa.table(columns)
+
+            bucket = ["n_tokens", "key"]
+            both = self.state.groupBy(*bucket).cogroup(keyed.select(*bucket, "dataset", "line_no", "line", "masked").groupBy(*bucket))
+            out = tables.keep(both.applyInArrow(run, f"{_STATE}, dataset string, line_no long, line string"), "mined")
+            clusters = out.where("typed IS NOT NULL").select(*_STATE.replace(",", " ").split()[::2])
+            fresh = numbered(clusters.where("cluster_id IS NULL").drop("cluster_id").withColumn("dataset", F.lit(""))).withColumn("cluster_id", F.col("cluster_id") + before)
+            state = tables.keep(clusters.where("cluster_id IS NOT NULL").unionByName(fresh.drop("dataset")), "state")
+            self._next, self._lines = state.count(), max(self._lines, (keyed.agg(F.max("line_no")).first()[0] or 0) + 1)
+            found = out.where("typed IS NULL").select(*bucket, "at", "dataset", "line_no", "line").join(state.select(*bucket, "at", "cluster_id", "typed"), [*bucket, "at"])
+            parsed = own.result(found.select("dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("typed")).alias("template"), F.col("typed").alias("template_typed")), "parsed")
+            self._commit(state)
+        return parsed
 
     def add_log(self, line: str) -> tuple[int, str]:
-        """Cluster id and template of one more line, as they are after it. For many lines use parse()."""
-        row = self.parse(self._spark.createDataFrame([("", self._lines, line)], "dataset string, line_no long, line string")).first()
-        return row.cluster_id, row.template
+        """Cluster id and template of one more line, as they are after it. For many lines use parse().
+
+        The line's bucket is read once and held in memory, up to OPEN of them; save(), parse() or a full memory write them, no line does by itself.
+        """
+        row = bucketed(self._spark.createDataFrame([(line,)], "line string"), self.masks, self.depth).select("masked", "n_tokens", "key").first()
+        key = row.n_tokens, row.key
+        if key not in self._open:
+            if len(self._open) >= OPEN:
+                self.save()
+            known = sorted(self.state.where((F.col("n_tokens") == key[0]) & (F.col("key") == F.lit(key[1]))).select("at", "cluster_id", "first_line", "typed").collect())
+            self._open[key] = Bucket(self.threshold, self.most, [r.typed for r in known]), [r.cluster_id for r in known], [r.first_line for r in known]
+        bucket, ids, first = self._open[key]
+        at = bucket.add(row.masked)
+        if at == len(ids):
+            ids.append(self._next)
+            first.append(self._lines)
+            self._next += 1
+        self._lines += 1
+        return ids[at], re.sub(text.PLACEHOLDER, WILDCARD, bucket.template(at))
 
     def templates(self, lines: DataFrame) -> DataFrame:
         return self.parse(lines).select("dataset", "line_no", "template")

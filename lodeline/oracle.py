@@ -11,10 +11,6 @@ from .operators.alignment import INSTRUCTION, OTHER, SHAPES
 from .operators.synthesis import _ORDINARY, EXAMPLES
 
 _OFFLINE = (*CORE, "HEX", "PATH")
-# The patterns of the query pattern_labels.
-PATTERNS = [r"\d+", r"\d+", "", r"(\d{1,3}\.){3}\d{1,3}", r"0x[0-9a-fA-F]+", "(", r"/[\w./-]+", r"blk_-?\d+", r"\w+", r"[A-Z]+", r".+", r"\d{4}[-/]\d\d[-/]\d\d[ T][\d:.]+", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"zz+", r"-?\d+\.\d\d"]
-
-
 def _q(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -162,24 +158,37 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(x if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
 
 
-def _labelled(patterns) -> str:
-    """Labels of patterns by the share of each class's examples that they take whole, and the core classes left out."""
+_WORD_PATTERNS = rf"""{_DOC}, pat AS (SELECT DISTINCT regexp_replace(t, '[0-9]+', '\\d+', 'g') AS pattern FROM (SELECT unnest({_tokens('line')}) AS t FROM docl) WHERE regexp_full_match(t, '[A-Za-z0-9_./:-]*[0-9][A-Za-z0-9_./:-]*'))"""
+
+
+def _labelled() -> str:
+    """Labels of patterns by the share of each class's examples that they take whole."""
     examples = _values((i, _q(label), _q(v)) for i, (label, values) in enumerate(EXAMPLES.items()) for v in values)
-    return f"""WITH pat(slot, p) AS (VALUES {_values((i, _q(p)) for i, p in enumerate(patterns) if p and p != "(")}), once AS (SELECT min(slot) AS slot, p FROM pat GROUP BY p),
-    ex(place, label, v) AS (VALUES {examples}), wide(v) AS (VALUES {_values([_q(x)] for x in _ORDINARY)}),
-    share AS (SELECT slot, p, place, label, avg(regexp_full_match(v, p)::INT) AS s FROM once, ex GROUP BY ALL),
-    best AS (SELECT slot, p, arg_max(label, s - place / 1000) AS label, max(s) AS s FROM share GROUP BY slot, p),
-    named AS (SELECT slot, p, CASE WHEN s >= 0.5 AND NOT EXISTS (SELECT 1 FROM wide WHERE regexp_full_match(wide.v, best.p)) THEN label ELSE 'VAR' || slot END AS label FROM best),
-    core(slot, label, p) AS (VALUES {_values((1000 + i, _q(c), _q(CLASSES[c])) for i, c in enumerate(CORE))}),
-    every AS (SELECT slot, label, p FROM named UNION ALL SELECT * FROM core WHERE label NOT IN (SELECT label FROM named))
-    SELECT row_number() OVER (ORDER BY slot) - 1 AS ord, label, p AS pattern FROM every"""
+    return f"""WITH {_WORD_PATTERNS}, ex(place, label, v) AS (VALUES {examples}), wide(v) AS (VALUES {_values([_q(x)] for x in _ORDINARY)}),
+    share AS (SELECT pattern, place, label, avg(regexp_full_match(v, pattern)::INT) AS s FROM pat, ex GROUP BY ALL),
+    best AS (SELECT pattern, arg_max(label, s - place / 1000) AS label, max(s) AS s FROM share GROUP BY pattern)
+    SELECT pattern, CASE WHEN s >= 0.5 AND NOT EXISTS (SELECT 1 FROM wide WHERE regexp_full_match(wide.v, best.pattern)) THEN label END AS label FROM best"""
+
+
+_LINE_WITH = {**CLASSES, "PATH": r"(^|\s)/[A-Za-z0-9_.\-/]+", "NUMBER": r"(^|[^\w.])-?\d+(?:\.\d+)?($|[^\w.])"}  # without lookaround
+_ASKED = rf"{_TALK}, asked AS (SELECT dataset, line_no, regexp_extract(line, '[a-z]+') || '\d+' AS own, length(line) % 2 AS attempt FROM talk)"
+
+
+def _provided() -> str:
+    """Each conversation's patterns by their first place, and the core classes that are left: numbers and blocks are named."""
+    core = _values((i, _q(c), _q(CLASSES[c])) for i, c in enumerate(CORE) if c != "NUMBER")
+    return rf"""WITH {_ASKED}, each AS (SELECT dataset, line_no, unnest([0, 1, 2, 3]) AS i, unnest([own, '\d+', '(', 'blk_-?\d+']) AS pattern FROM asked),
+    first AS (SELECT dataset, pattern, min(line_no * 4 + i) AS spot FROM each GROUP BY ALL), placed AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY spot) - 1 AS place FROM first),
+    masks AS (SELECT dataset, place, CASE pattern WHEN '\d+' THEN 'NUMBER' WHEN 'blk_-?\d+' THEN 'BLK' ELSE 'VAR' || place END AS label, pattern FROM placed WHERE pattern <> '('
+              UNION ALL SELECT dataset, 1000000000 + i, label, p FROM (SELECT DISTINCT dataset FROM talk), (VALUES {core}) c(i, label, p))
+    SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY place) - 1 AS ord, label, pattern FROM masks"""
 
 
 _HEADED = "'### Instruction:' || chr(10) || " + _q(INSTRUCTION) + " || chr(10) || chr(10) || '### Input:' || chr(10) || line || chr(10) || chr(10) || '### Output:' || chr(10)"
 
 ORACLE = {
     "drain_slow_path": _drained("src AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS dataset, o_orderkey AS line_no, list_transform([o_orderkey % 7, o_orderkey % 5, o_orderkey % 3, o_orderkey % 11, o_orderkey % 2], lambda x: CAST(x AS VARCHAR)) AS t FROM orders)") + " SELECT * FROM res",
-    "overflowing_bucket": _drained(f"src AS (SELECT 'orders' AS dataset, o_orderkey AS line_no, list_transform([{_NUMBERS}], lambda x: CAST(x AS VARCHAR)) AS t FROM orders WHERE o_orderkey <= 600)") + " SELECT line_no, cluster_id, template FROM res",
+    "overflowing_bucket": _drained(f"src AS (SELECT CAST(o_orderkey % 40 AS VARCHAR) AS dataset, o_orderkey AS line_no, list_transform([{_NUMBERS}], lambda x: CAST(x AS VARCHAR)) AS t FROM orders)") + " SELECT * FROM res",
     "drain_parse_documents": _drained(_lines("line", _OFFLINE, "docl", "'documents'", _DOC)) + " SELECT line_no, cluster_id, template FROM res",
     "blank_lines": _drained(_lines("line", _OFFLINE, "turnl", "'turns'", _TURN_LINES)) + " SELECT line_no, cluster_id, template FROM res",
     "online_parse": _ONLINE,
@@ -190,12 +199,18 @@ ORACLE = {
     "streamed_dense_ids": f"WITH {_mined(_OFFLINE)} SELECT line_no, cluster_id FROM keyed JOIN c USING (key, n)",
     "streamed_records": r"""WITH l AS (SELECT doc_id % 8 AS part, doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(i))
         SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id, i) - 1 AS line_no, '.txt' AS format_hint, regexp_replace(line, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g') AS text FROM l""",
-    "pattern_labels": _labelled(PATTERNS),
-    "read_answers": "SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT, chr(92) || 'd+'), (0, 1, 'a b'), (1, 0, chr(92) || 'w+'), (1, 1, 'x''y'), (4, 0, 'a'), (4, 1, 'b')) t(answer, ord, pattern)",
+    "pattern_labels": _labelled(),
+    "provider_masks": _provided(),
+    "provider_attempts": f"WITH {_ASKED} SELECT dataset, line_no, attempt, 4::BIGINT AS n_patterns FROM asked",
+    "read_answers": rf"""WITH {_TALK}, w AS (SELECT dataset, line_no, line_no % 4 AS kind, regexp_extract(line, '[A-Za-z]+') AS word FROM talk),
+        p AS (SELECT dataset, line_no, unnest(CASE kind WHEN 0 THEN [word || '\d+', 'a b'] WHEN 1 THEN [word || '\w+', 'x' || chr(39) || word] WHEN 2 THEN [word] ELSE [] END) AS pattern,
+                     unnest(range(0, CASE kind WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END)) AS ord FROM w)
+        SELECT dataset, line_no, ord, pattern FROM p""",
     "prompts": f"WITH {_TALK} SELECT dataset, line_no, {_HEADED} AS question, {_HEADED} || md5(line) AS example FROM talk",
-    "strict_patterns": f"SELECT ord::BIGINT AS ord, pattern, pattern NOT IN ('(', '[a') AS loose, pattern NOT IN ('(', '[a') AND NOT contains(pattern, '.*') AS strict FROM (VALUES {_values((i, _q(p)) for i, p in enumerate([*CLASSES.values(), 'a.*b', '(', chr(92) + 'd+', '.*', '[a']))}) t(ord, pattern)",
-    "structured_csv": f"WITH {_EVENT}, c AS (SELECT line_no, line, kind FROM ev WHERE line_no % 7 <> 3), f AS (SELECT kind, row_number() OVER (ORDER BY min(line_no)) - 1 AS cluster_id FROM c GROUP BY kind) SELECT line, kind AS template, cluster_id FROM c JOIN f USING (kind)",
-    "corpus_files": r"""WITH l AS (SELECT lang AS dataset, doc_id, i, ls[i] AS line FROM (SELECT lang, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(i) WHERE regexp_matches(ls[i], '[^\s\x1c-\x1f]'))
+    "strict_patterns": f"WITH {_WORD_PATTERNS}, k AS (SELECT pattern, length(pattern) % 3 AS k FROM pat) SELECT CASE k WHEN 0 THEN pattern || '(' WHEN 1 THEN 'x.*' || pattern ELSE pattern END AS pattern, k <> 0 AS loose, k = 2 AS strict FROM k",
+    "structured_csv": f"""WITH {_EVENT}, r AS (SELECT row_number() OVER (ORDER BY line_no) - 1 AS line_no, line_no AS n, CASE WHEN line_no % 5 = 1 THEN replace(line, ' user ', chr(10) || '"user",' || chr(10)) ELSE line END AS line, kind FROM ev),
+        c AS (SELECT * FROM r WHERE n % 7 <> 3), f AS (SELECT kind, row_number() OVER (ORDER BY min(line_no)) - 1 AS cluster_id FROM c GROUP BY kind) SELECT line_no, line, kind AS template, cluster_id FROM c JOIN f USING (kind)""",
+    "corpus_files": r"""WITH l AS (SELECT lang AS dataset, doc_id, i, ls[i] AS line FROM (SELECT coalesce(lang, 'unknown') AS lang, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(i) WHERE regexp_matches(ls[i], '[^\s\x1c-\x1f]'))
         SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY doc_id, i) - 1 AS line_no, line FROM l""",
     "ts_prefix_members": f"WITH {_EVENT}, r AS (SELECT line_no, line, regexp_replace(line, '^.*?[0-9][0-9]:[0-9][0-9]:[0-9][0-9]', '') AS rest FROM ev) SELECT line_no, line, length(rest) AS length, rest[1:3] AS prefix FROM r",
     "lines_split": f"WITH {_DOC} SELECT line_no, line FROM docl",
@@ -218,7 +233,7 @@ ORACLE = {
     "synth_offline_masks": f"WITH {_DOC}, tok AS (SELECT unnest({_tokens('line')}) AS token FROM docl), m AS ("
     + " UNION ALL ".join([f"SELECT {i} AS place, '{c}' AS label, {_q(CLASSES[c])} AS pattern" for i, c in enumerate(CORE)] + [f"SELECT {4 + i}, '{c}', {_q(_PATTERNS[c])} WHERE EXISTS (SELECT 1 FROM tok WHERE regexp_full_match(token, {_q(_OPTIONAL_WHOLE[c])}))" for i, c in enumerate(OPTIONAL)])
     + ") SELECT row_number() OVER (ORDER BY place) - 1 AS ord, label, pattern FROM m",
-    "canonical_bundle": " UNION ALL ".join(f"SELECT {i}::BIGINT AS ord, '{c}' AS label, {_q(p)} AS pattern" for i, (c, p) in enumerate(CLASSES.items())),
+    "canonical_bundle": f"WITH {_DOC} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS ord, '{c}' AS label, {_q(p)} AS pattern, (SELECT count(*) FROM docl WHERE regexp_matches(line, {_q(_LINE_WITH[c])})) AS n_lines" for i, (c, p) in enumerate(CLASSES.items())),
     "grouping_accuracy": f"WITH {_TRUTH}, {_ga('''CASE WHEN kind = 'click' OR dataset = 'u3' THEN level ELSE kind END''')} SELECT dataset, round(g, 9) AS \"GA\" FROM ga",
     "parsing_accuracy": f"WITH {_PREDICTED} SELECT dataset, round(avg(right_template::INT)::DOUBLE, 9) AS \"PA\" FROM pp GROUP BY dataset",
     "macro_avg": f"WITH {_SCORES} SELECT dataset, method, ga AS \"GA\", pa AS \"PA\" FROM sc UNION ALL SELECT 'MacroAvg', method, round(avg(ga), 4), round(avg(pa), 4) FROM sc GROUP BY method",

@@ -5,6 +5,7 @@ Log lines come from the lines of `documents`, from `events` (one line each) and
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -13,9 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import text
-from .functions.patterns import CLASSES, CORE, EXTRA, Mask, canonical_masks, usable, validate_patterns
+from .functions.patterns import CLASSES, CORE, EXTRA, Mask, canonical_masks, usable
 from .functions.tables import keep, shared_dir
-from .oracle import PATTERNS as _PATTERNS
 from .operators import alignment, clustering, metrics, online, sampling, synthesis
 from .plans import evaluation, reports
 from .sources import lines as sources
@@ -125,11 +125,11 @@ def blank_lines(spark, sf_dir):
 
 
 def overflowing_bucket(spark, sf_dir):
-    """Lines of eight numbers that are seldom alike: one bucket with more than a hundred unlike lines."""
-    o = _table(spark, sf_dir, "orders").where("o_orderkey <= 600")
+    """Lines of eight numbers that are seldom alike, in forty datasets: buckets with more than a hundred unlike lines each."""
+    o = _table(spark, sf_dir, "orders")
     parts = [(F.col("o_orderkey") * p % 997).cast("string") for p in (1, 7, 31, 101, 211, 307, 401, 503)]
-    rows = o.select(F.lit("orders").alias("dataset"), F.col("o_orderkey").alias("line_no"), F.concat_ws(" ", *parts).alias("line"))
-    return clustering.parse(rows, []).select("line_no", "cluster_id", "template")
+    rows = o.select((F.col("o_orderkey") % 40).cast("string").alias("dataset"), F.col("o_orderkey").alias("line_no"), F.concat_ws(" ", *parts).alias("line"))
+    return clustering.parse(rows, []).select("dataset", "line_no", "cluster_id", "template")
 
 
 def classify_tokens(spark, sf_dir):
@@ -172,7 +172,11 @@ def synth_offline_masks(spark, sf_dir):
 
 
 def canonical_bundle(spark, sf_dir):
-    return spark.createDataFrame([(i, m.label, m.pattern) for i, m in enumerate(canonical_masks())], "ord long, label string, pattern string")
+    """The canonical masks, and how many lines of documents show each."""
+    masks = canonical_masks()
+    shown = _doc_lines(spark, sf_dir).agg(*(F.count_if(F.col("line").rlike(m.java)).alias(m.label) for m in masks))
+    rows = F.array(*(F.struct(F.lit(i).cast("long").alias("ord"), F.lit(m.label).alias("label"), F.lit(m.pattern).alias("pattern"), F.col(m.label).alias("n_lines")) for i, m in enumerate(masks)))
+    return shown.select(F.inline(rows))
 
 
 def _truth_and_prediction(spark, sf_dir):
@@ -242,16 +246,50 @@ def raw_literals(spark, sf_dir):
     return html.select("page_id", alignment.raw_literal(F.col("p")).alias("literal"), alignment.literal_list(F.array(F.lit("a\\"), F.col("p"))).alias("list"))
 
 
+def _word_patterns(spark, sf_dir):
+    """Patterns of the shapes of documents' words that hold digits: every run of digits as one class."""
+    words = _doc_lines(spark, sf_dir).select(F.explode(text.tokens(F.col("line"))).alias("t")).where(F.col("t").rlike("^[A-Za-z0-9_./:-]*[0-9][A-Za-z0-9_./:-]*$"))
+    return words.select(F.regexp_replace("t", "[0-9]+", r"\\d+").alias("pattern")).distinct()
+
+
 def pattern_labels(spark, sf_dir):
-    """Masks of a model's patterns with their labels, and the core classes that they leave out."""
-    masks = synthesis.with_core(synthesis.masks_of_patterns(_PATTERNS))
-    return spark.createDataFrame([(i, m.label, m.pattern) for i, m in enumerate(masks)], "ord long, label string, pattern string")
+    """The labels of patterns made from the words of documents, null where a mask would be named by its place."""
+    return _word_patterns(spark, sf_dir).select("pattern", synthesis.judged("pattern")["label"].alias("label"))
+
+
+def strict_patterns(spark, sf_dir):
+    """Which patterns made from words validation takes, loosely and strictly; some are made invalid, some too wide."""
+    wide = F.pmod(F.length("pattern"), F.lit(3))
+    made = F.when(wide == 0, F.concat("pattern", F.lit("("))).when(wide == 1, F.concat(F.lit("x.*"), "pattern")).otherwise(F.col("pattern"))
+    return _word_patterns(spark, sf_dir).select(made.alias("pattern")).select("pattern", synthesis.judged("pattern").alias("j")).select("pattern", "j.loose", "j.strict")
 
 
 def read_answers(spark, sf_dir):
-    """Patterns read from answers: a list, raw strings in both quotes, nothing."""
-    answers = ['Sure: [r"\\d+", "a b", 3] ok', "use r'\\w+' or r\"x'y\" [", "none", "[]", "[r'a', r\"b\"]"]
-    return spark.createDataFrame([(i, n, p) for i, x in enumerate(answers) for n, p in enumerate(synthesis.read_pattern_list(x))], "answer long, ord long, pattern string")
+    """Patterns read from answers made of the turns' first words: a list among text, raw strings in both quotes, a list that isn't closed, and nothing."""
+    word, kind = F.regexp_extract("line", "[A-Za-z]+", 0), F.pmod(F.col("line_no"), F.lit(4))
+    forms = ['Sure: [r"{}\\d+", "a b", 3] ok', "use r'{}\\w+' or r\"x'{}\" [", '[r"{}", "open', "no pattern for {}"]
+    said = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        said = F.when(kind == i, F.replace(F.lit(form), F.lit("{}"), word)).otherwise(said)
+    return _talk_lines(spark, sf_dir).select("dataset", "line_no", F.posexplode(synthesis.listed_patterns(said)).alias("ord", "pattern")).select("dataset", "line_no", F.col("ord").cast("long").alias("ord"), "pattern")
+
+
+def _answer(line: str, attempt: int) -> str:
+    """What a provider might say: nothing at first about a line of odd length, else the shape of its first lower-case word, and numbers."""
+    word = re.search("[a-z]+", line)
+    if attempt == 0 and len(line) % 2:
+        return "I don't know"
+    return f'[r"{word[0] if word else ""}\\d+", r"\\d+", "(", r"blk_-?\\d+"]'
+
+
+def provider_masks(spark, sf_dir):
+    """Masks of each conversation from a provider that is called on the executors."""
+    return synthesis.provider_masks(synthesis.answered(_talk_lines(spark, sf_dir), _answer))
+
+
+def provider_attempts(spark, sf_dir):
+    """The attempt that gave each turn's answer, and how many patterns it has."""
+    return synthesis.answered(_talk_lines(spark, sf_dir), _answer).select("dataset", "line_no", F.col("attempt").cast("long").alias("attempt"), F.size("patterns").cast("long").alias("n_patterns"))
 
 
 def prompts(spark, sf_dir):
@@ -260,30 +298,18 @@ def prompts(spark, sf_dir):
     return t.select("dataset", "line_no", alignment.prompt(F.col("line")).alias("question"), alignment.prompt(F.col("line"), F.md5("line")).alias("example"))
 
 
-def strict_patterns(spark, sf_dir):
-    """Which patterns validation takes, loosely and strictly."""
-    def takes(p, strict):
-        try:
-            return bool(validate_patterns([p], strict))
-        except ValueError:
-            return False
-
-    listed = [*CLASSES.values(), "a.*b", "(", r"\d+", ".*", "[a"]
-    return spark.createDataFrame([(i, p, takes(p, False), takes(p, True)) for i, p in enumerate(listed)], "ord long, pattern string, loose boolean, strict boolean")
-
-
 def structured_csv(spark, sf_dir):
-    """Events written as a structured CSV, some without Content, read back with ids by first appearance; and joined to their lines."""
-    e = _event_lines(spark, sf_dir).select("line_no", F.when(F.col("line_no") % 7 == 3, "").otherwise(F.col("line")).alias("Content"), F.element_at(F.split("line", " "), 4).alias("EventTemplate"))
+    """Events written as structured CSV files, some without Content and some with line breaks in it, read back in splits with ids by first appearance."""
+    e = _event_lines(spark, sf_dir).select("line_no", F.when(F.col("line_no") % 7 == 3, "").when(F.col("line_no") % 5 == 1, F.replace("line", F.lit(" user "), F.lit('\n"user",\n'))).otherwise(F.col("line")).alias("Content"), F.element_at(F.split("line", " "), 4).alias("EventTemplate"))
     path = f"{shared_dir(spark)}/structured-{uuid.uuid4().hex}"
-    e.repartition(1).sortWithinPartitions("line_no").select("Content", "EventTemplate").write.option("escape", '"').csv(path, header=True)
-    return sources.structured(spark, path, "events").select("line", "template", "cluster_id")
+    e.repartitionByRange(5, "line_no").sortWithinPartitions("line_no").select("Content", "EventTemplate").write.option("escape", '"').csv(path, header=True)
+    return sources.structured(spark, path, "events").select("line_no", "line", "template", "cluster_id")
 
 
 def corpus_files(spark, sf_dir):
-    """Documents' lines as datasets of their languages, written to folders and read back with their numbers."""
-    d = _table(spark, sf_dir, "documents").where("lang IS NOT NULL AND text IS NOT NULL")
-    at = d.select(F.col("lang").alias("dataset"), F.col("doc_id").alias("k"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    """Documents' lines as datasets of their languages, one of them unknown, written to folders and read back with their numbers."""
+    d = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    at = d.select(F.coalesce("lang", F.lit("unknown")).alias("dataset"), F.col("doc_id").alias("k"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
     lines = at.select("dataset", (F.col("k") * F.lit(1 << 32) + F.col("n")).alias("line_no"), "line")
     root = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     sinks.write_datasets(lines, root)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
 from ..functions.patterns import Mask, validate_patterns
+from ..functions.tables import names as folder_names
 from ..operators.metrics import first_appearance_ids
 
 DEMO = "DemoTiny"
@@ -69,11 +70,16 @@ def _raw(spark: SparkSession, paths: str | Sequence[str], owner: Column, recursi
     return read.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")).select(owner.alias("owner"), "*")
 
 
+def _folder(file: str) -> Column:
+    """The folder in which the file (a pattern), or the folder of that name, of the column path lies; paths are addresses with escapes."""
+    return F.url_decode(F.replace(F.regexp_extract("path", rf"([^/]+)/{file}(?:/[^/]*)?$", 1), F.lit("+"), F.lit("%2B")))
+
+
 def corpus(spark: SparkSession, root: str, names: Sequence[str] | None = None) -> DataFrame:
     """Lines of root/<dataset>/raw.log, a file or a folder of part files in order, for all datasets or those named; blank lines are dropped and do
     not count. Files of any size are read in splits."""
     paths = [f"{root}/{n}/raw.log" for n in names] if names else f"{root}/*/raw.log"
-    owner = F.regexp_extract("path", r"([^/]+)/raw\.log(?:/[^/]*)?$", 1)
+    owner = _folder(r"raw\.log")
     return numbered_lines(_raw(spark, paths, owner), text.LINE_BREAK, keep_blank=False).select(F.col("owner").alias("dataset"), "line_no", "line")
 
 
@@ -116,28 +122,72 @@ def described(found: DataFrame) -> DataFrame:
 
 
 def ground_truth(spark: SparkSession, root: str, names: Sequence[str] | None = None) -> DataFrame:
-    """dataset, line_no, cluster_id, template from root/<dataset>/templates.json: a list of entries, or an object with them."""
-    paths = [f"{root}/{n}/templates.json" for n in names] if names else f"{root}/*/templates.json"
-    raw = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)/templates\.json(?:/[^/]*)?$", 1).alias("dataset"), F.col("value"))
+    """dataset, line_no, cluster_id, template from root/<dataset>/templates.json: a list of entries, or an object with them; or from
+    root/<dataset>/templates.jsonl, a file or a folder of part files with an entry on each line, which are read in splits."""
+    spread = _found(spark, root, names, "templates.jsonl")
+    whole = _found(spark, root, names, "templates.json")
+    parts = []
+    if spread:
+        owner = _folder(r"templates\.jsonl")
+        at = numbered_lines(_raw(spark, spread, owner), r"\r", keep_blank=False).withColumn("e", F.from_json("line", "cluster_id bigint, template string"))
+        parts.append(at.select(F.col("owner").alias("dataset"), "line_no", "e.cluster_id", "e.template"))
+    if whole or not spread:
+        parts.append(_whole_truth(spark, whole or [f"{root}/{n}/templates.json" for n in names or ["*"]]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _found(spark: SparkSession, root: str, names: Sequence[str] | None, file: str) -> list[str]:
+    """The paths root/<dataset>/file that are there, by the folders' listing."""
+    return [f"{root}/{n}/{file}" for n in (names or folder_names(spark, root)) if file in folder_names(spark, f"{root}/{n}")]
+
+
+def _whole_truth(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    raw = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").select(_folder(r"templates\.json").alias("dataset"), "value")
     entry = "array<struct<cluster_id:bigint,template:string>>"
     listed = F.rlike("value", F.lit(r"^\s*\["))
     entries = F.when(listed, F.from_json("value", entry)).otherwise(F.from_json("value", f"struct<entries:{entry}>")["entries"])
     return raw.select("dataset", F.posexplode(entries).alias("line_no", "e")).select("dataset", F.col("line_no").cast("long"), "e.cluster_id", "e.template")
 
 
-def structured(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """dataset, line_no, line, template, cluster_id from a CSV with Content and EventTemplate; rows without Content are left out.
+def csv_records(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """path, n, and the named columns (strings) of the records of CSV files, without their headers; n counts a file's records from 0.
 
-    cluster_id: number of the template in the order of first appearance. path is one file (quoted fields may hold line breaks, so it is not split); of
-    several files the order would not be defined, which is a ValueError.
+    Files are read in splits of any size, also where quoted fields hold line breaks: a record begins on a line with an even number of quotes before it in
+    its file, which is a sum over the splits before, and within the split. All files have the header of the first, else the plan fails.
+    """
+    names = spark.read.option("header", True).csv(paths).columns
+    raw = _raw(spark, paths, F.lit("")).drop("owner")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    at = W.partitionBy("path", "block").orderBy("place")
+    counted = raw.withColumn("q", quotes).withColumn("before", F.sum("q").over(at.rowsBetween(W.unboundedPreceding, 0)) - F.col("q"))
+    splits = raw.groupBy("path", "block").agg(F.sum(quotes).alias("q"))
+    earlier = F.coalesce(F.sum("q").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    lines = counted.drop("q").join(splits.select("path", "block", earlier.alias("earlier")), ["path", "block"])
+    begins = lines.withColumn("begins", ((F.col("earlier") + F.col("before")) % 2 == 0).cast("long")).withColumn("record", F.sum("begins").over(at))
+    starts = begins.groupBy("path", "block").agg(F.sum("begins").alias("m"))
+    first = F.coalesce(F.sum("m").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = begins.join(starts.select("path", "block", first.alias("first")), ["path", "block"]).withColumn("n", F.col("first") + F.col("record") - 2)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "place", "value"))), lambda x: x["value"])
+    whole = placed.groupBy("path", "n").agg(F.regexp_replace(F.array_join(parts, "\n"), r"\r\z", "").alias("record")).where("record <> ''")
+    fields = F.from_csv("record", F.lit(", ".join(f"c{i} string" for i in range(len(names)))), {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"})
+    parsed = whole.select("path", "n", fields.alias("f"))
+    is_header = F.col("n") == -1
+    as_expected = F.array(*(F.col(f"f.c{i}") for i in range(len(names)))) == F.array(*map(F.lit, names))
+    checked = parsed.where(F.when(~is_header, True).when(as_expected, False).otherwise(F.raise_error(F.concat(F.lit("another header in "), "path")).cast("boolean")))
+    return checked.select("path", "n", *(F.col(f"f.c{names.index(c)}").alias(c) for c in columns))
+
+
+def structured(spark: SparkSession, path: str | Sequence[str], dataset: str) -> DataFrame:
+    """dataset, line_no, line, template, cluster_id from CSV files with Content and EventTemplate; rows without Content are left out.
+
+    line_no: the number of the record over all files in the order of their names. cluster_id: number of the template in the order of first appearance.
     """
-    files = spark.read.csv(path, header=True).inputFiles()
-    if len(files) > 1:
-        raise ValueError(f"{path} holds {len(files)} files")
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"').select("Content", "EventTemplate").where("Content <> ''")
-    placed = raw.withColumn("line_no", F.monotonically_increasing_id())
-    rows = placed.select(F.lit(dataset).alias("dataset"), "line_no", F.col("Content").alias("line"), F.coalesce("EventTemplate", F.lit("")).alias("template"))
-    return first_appearance_ids(rows, "template")
+    rows = csv_records(spark, path, ["Content", "EventTemplate"])
+    files = rows.groupBy("path").agg((F.max("n") + 1).alias("m"))
+    before = F.coalesce(F.sum("m").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each file
+    placed = rows.join(files.select("path", before.alias("before")), "path").where("Content <> ''")
+    found = placed.select(F.lit(dataset).alias("dataset"), (F.col("before") + F.col("n")).alias("line_no"), F.col("Content").alias("line"), F.coalesce("EventTemplate", F.lit("")).alias("template"))
+    return first_appearance_ids(found, "template")
 
 
 def read_masks(spark: SparkSession, path: str, strict: bool = False) -> list[Mask]:

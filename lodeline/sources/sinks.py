@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import text
+from ..functions import tables, text
 from ..functions.patterns import Mask
 from .lines import manifest
 
@@ -33,9 +34,10 @@ def write_masks(spark: SparkSession, masks: Sequence[Mask], path: str) -> int:
 
 
 def write_jsonl(rows: DataFrame, path: str) -> int:
-    """Rows as JSON lines; their number, counted as they are read back."""
-    rows.write.mode("overwrite").json(path)
-    return rows.sparkSession.read.text(path).count()
+    """Rows as JSON lines; their number, counted as they are written."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    return seen.get["n"]
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -43,18 +45,32 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("dataset", "line_no", "line").repartition("dataset").sortWithinPartitions("dataset", "line_no").select("dataset", "line").write.mode("overwrite").partitionBy("dataset").text(path)
 
 
+def _by_dataset(rows: DataFrame, root: str, file: str, kind: str, order: str, columns: Sequence[str]) -> list[str]:
+    """Write the columns of rows (dataset, ...) in one job, a folder of part files in the given order for each dataset, and name these root/<dataset>/file;
+    the datasets. Rows are sorted by the very column that parts the folders, so the writer keeps their order."""
+    spark, at = rows.sparkSession, f"{root}/_{uuid.uuid4().hex}"
+    owned = rows.withColumn("__owner", F.hex("dataset")).repartitionByRange("__owner", order).sortWithinPartitions("__owner", order)
+    owned.select("__owner", *columns).write.partitionBy("__owner").format(kind).save(at)
+    found = [bytes.fromhex(n.removeprefix("__owner=")).decode() for n in tables.names(spark, at) if n.startswith("__owner=")]
+    for name in found:
+        tables.delete(spark, f"{root}/{name}/{file}")
+        tables.rename(spark, f"{at}/__owner={name.encode().hex().upper()}", f"{root}/{name}/{file}")
+    tables.delete(spark, at)
+    return sorted(found)
+
+
 def write_datasets(lines: DataFrame, root: str, truth: DataFrame | None = None) -> list[str]:
-    """root/<dataset>/raw.log (a folder of part files in the order of line_no), templates.json (with a truth: dataset, line_no, cluster_id, template)
-    and manifest.json for each dataset, as corpus() and ground_truth() read them; the names."""
-    names = sorted(r[0] for r in lines.select("dataset").distinct().collect())
+    """root/<dataset>/raw.log (a folder of part files in the order of line_no), templates.jsonl (with a truth: dataset, line_no, cluster_id, template; an
+    entry on each line) and manifest.json for each dataset, as corpus() and ground_truth() read them; the names.
+
+    A fixed number of jobs for any number of datasets: each file is written for all of them at once, cut into ranges of dataset and line_no, and
+    its folders are then named. Names of datasets are folder names.
+    """
     about = manifest(lines, truth)
-    for name in names:
-        own = lines.where(F.col("dataset") == name)
-        own.repartitionByRange("line_no").sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(f"{root}/{name}/raw.log")
-        about.where(F.col("name") == name).coalesce(1).write.mode("overwrite").json(f"{root}/{name}/manifest.json")
-        if truth is not None:
-            entries = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "cluster_id", "template"))), lambda x: F.struct(x["cluster_id"].alias("cluster_id"), x["template"].alias("template")))
-            truth.where(F.col("dataset") == name).agg(F.to_json(entries).alias("value")).coalesce(1).write.mode("overwrite").text(f"{root}/{name}/templates.json")
+    names = _by_dataset(lines, root, "raw.log", "text", "line_no", ["line"])
+    _by_dataset(about.withColumn("dataset", F.col("name")), root, "manifest.json", "json", "name", about.columns)
+    if truth is not None:
+        _by_dataset(truth, root, "templates.jsonl", "json", "line_no", ["cluster_id", "template"])
     return names
 
 

@@ -85,6 +85,25 @@ def test_model_answers():
     assert calls == [0, 1] and [m.label for m in got] == ["BLK", "TIMESTAMP", "LOGLEVEL", "NUMBER", "IPV4"]
 
 
+def test_provider_on_executors(spark):
+    """Answers of a provider that is called in tasks give the masks that provided() makes of each dataset's lines."""
+
+    def answer(line, attempt):
+        if line.startswith("late") and attempt == 0:
+            return "nothing yet"
+        return {"a": r'[r"\d+", r"x-\d+"]', "b": r"""r'(' and r'\d+' or r"blk_\d+" """, "c": "no idea"}.get(line[-1], r'["0x[0-9a-f]+", "", "zz"]')
+
+    lines = {"one": ["1 a", "late b", "c", "2 a"], "two": ["late c", "q"], "none": ["c"]}
+    rows = spark.createDataFrame([(d, i, x) for d, own in lines.items() for i, x in enumerate(own)], "dataset string, line_no long, line string").repartition(4)
+    answers = synthesis.answered(rows, answer)
+    assert {(r.dataset, r.line_no): r.attempt for r in answers.collect()} == {(d, i): int(x.startswith("late") or answer(x, 1) == "no idea") for d, own in lines.items() for i, x in enumerate(own)}
+    got = {}
+    for r in synthesis.provider_masks(answers).orderBy("dataset", "ord").collect():
+        got.setdefault(r.dataset, []).append((r.label, r.pattern))
+    assert got == {d: [(m.label, m.pattern) for m in synthesis.provided(own, answer)] for d, own in lines.items()}
+    assert synthesis.provider_masks(answers.where("dataset = 'x'")).count() == 0
+
+
 def test_alignment(spark):
     rows = [("Node 1 drops block blk_271828182845 now", "Node <*> drops block <*> now"), ("x", "y <*>"), (" a ", "a"), ("q.$^\\E z", "q.$^\\E <*>")]
     got = spark.createDataFrame(rows, "line string, template string").select(alignment.slot_values(F.col("line"), F.col("template")).alias("v")).collect()

@@ -54,11 +54,62 @@ def test_small_formats(spark, tmp_path, capsys):
     assert [r.value for r in spark.read.text(f"{tmp_path}/clean").collect()][0] == "see /anon/path, anon@example.com hostname=anon, ok"
     sinks.show(rows)
     assert "é" in capsys.readouterr().out
-    (tmp_path / "two").mkdir()
-    for i in range(2):
-        (tmp_path / f"two/{i}.csv").write_text("Content,EventTemplate\na,b\n")
-    with pytest.raises(ValueError, match="2 files"):
-        sources.structured(spark, f"{tmp_path}/two", "d")
+
+
+def test_structured_csv_in_splits(spark, tmp_path):
+    """Several files in small splits, quoted line breaks, quotes and commas, blank contents, both line ends: ids of a plain reader."""
+    import csv
+    import random
+
+    rng, expected, ids = random.Random(4), [], {}
+    n = 0
+    for f in range(3):
+        with open(tmp_path / f"{f}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator="\r\n" if f == 1 else "\n", quoting=csv.QUOTE_MINIMAL)
+            writer.writerow(["LineId", "Content", "EventTemplate"])
+            for i in range(700):
+                content = "" if rng.random() < 0.1 else "".join(rng.choice(["word ", '"', ",", "\n", '\n"x"\n', "é", "long" * 20]) for _ in range(rng.randint(1, 6))).strip() or "x"
+                template = f"T{rng.randrange(40)}"
+                writer.writerow([i, content, template])
+                if content:
+                    expected.append((n, content, template, ids.setdefault(template, len(ids))))
+                n += 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = sources.structured(spark, str(tmp_path), "d")
+        assert sorted((r.line_no, r.line, r.template, r.cluster_id) for r in got.collect()) == expected
+        (tmp_path / "3.csv").write_text("Content,LineId,EventTemplate\na,1,b\n")
+        with pytest.raises(Exception, match="another header"):
+            sources.structured(spark, str(tmp_path), "d").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_many_datasets_in_few_jobs(spark, tmp_path):
+    """As many jobs for three hundred datasets as for two, and what is read back is what was written."""
+
+    def jobs(n):
+        rows = [(f"ä {d}=%", i, f"{d} line {i}") for d in range(n) for i in range(1 + d % 4)]
+        lines = spark.createDataFrame(rows, "dataset string, line_no long, line string").repartition(3)
+        truth = lines.selectExpr("dataset", "line_no", "line_no % 2 AS cluster_id", "concat('t ', line) AS template")
+        spark.sparkContext.setJobGroup(f"write {n}", "")
+        names = sinks.write_datasets(lines, f"{tmp_path}/{n}", truth)
+        found = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"write {n}"))
+        spark.sparkContext.setJobGroup("", "")
+        assert names == sorted({r[0] for r in rows})
+        assert sorted(map(tuple, sources.corpus(spark, f"{tmp_path}/{n}").collect())) == sorted(rows)
+        back = sources.ground_truth(spark, f"{tmp_path}/{n}").select("dataset", "line_no", "cluster_id", "template").collect()
+        assert sorted(map(tuple, back)) == sorted((d, i, i % 2, f"t {x}") for d, i, x in rows)
+        return found
+
+    assert jobs(2) == jobs(300)
+
+
+def test_counts_are_taken_while_writing(spark, tmp_path):
+    scans = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(i,) for i in range(50)], "a long").rdd.map(lambda r: (scans.add(1), r)[1]).toDF("a long")
+    assert sinks.write_jsonl(rows, f"{tmp_path}/j") == 50 and scans.value == 50
 
 
 def test_command_line(spark, tmp_path, capsys):
