@@ -3,32 +3,34 @@
 Lines are the parts of a text between newlines; blank ones (nothing but spaces) take no part. Each `shingle` consecutive lines are hashed; of
 every `width` consecutive hashes the least (the rightmost of equals) is a fingerprint, so each run of width + shingle - 1 lines holds one,
 chosen by its lines alone: two equal runs have the same fingerprint at the same offset. A line of `long_words` words or more is also a run, and a
-window, of its own, so a passage on one or two lines is found like one on many short lines. A fingerprint's row lists the runs that it was chosen for.
+fingerprint, of its own, so a passage on one or two lines is found like one on many short lines.
 
-Only the positions of fingerprints are joined, those that stand at several places: a position is extended to the left and right by the lines
-of its runs, compared by hash, and meets the first place with these lines (smaller id, or same text further up). Matches with one earlier text at equal
-offsets that follow each other are extended into one, as far as the lines of both agree. Every line of a match is deleted; neighbouring
-and overlapping matches join, with blank lines inside.
+A row is the position of a fingerprint, with the lines around it that the runs that chose it can reach. Positions are joined twice. First each meets the
+first position with the same context, all the lines of its runs. What has no equal before it is the first of its context; where a fingerprint has several
+contexts, their first positions meet the first with a run in common. From such a pair the match is extended to the left and to the right as far
+as the lines around both agree, and it counts if it has the lines of a run. A longer match goes on with the next fingerprint, which is less than `width` lines on.
+Every line of a match is deleted; neighbouring and overlapping matches join, with blank lines inside.
 
-Scale: text is shuffled once, in the last join; all else moves hashes of lines. Hot lines meet only in aggregates, which are summed before
-the shuffle, and in joins whose hot keys adaptive execution can split; a text's own matches are the only group that is sorted.
+Scale: text is shuffled once, in the last join; all else moves hashes of lines, a row for each fingerprint. Hot lines meet only in aggregates, which
+are summed before the shuffle, and in joins whose hot keys adaptive execution can split; a text's own matches are the only group that is sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import id_key, own_exchange
+from .common import id_key, keep, own_exchange
 
 SHINGLE, WIDTH, LONG_WORDS = 1, 3, 20
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
-    """k (the id, NULL_ID for null), th (hash of the text), at (number of a line that isn't blank, from 1), g (its hash), and runs: first line
-    i of each run that chose it, its lines n, places s and e of its first and last line among all lines (from 0), and two hashes of its lines."""
+    """Positions of fingerprints: k (the id, NULL_ID for null), th (hash of the text), at (number of a line that isn't blank, from 1), g (its hash), n
+    (lines of a run), starts (the first lines of the runs that chose it), around (hash h and place pos, from 0 among all lines, of the lines that these runs can
+    reach) and low (the number of the first of these)."""
     length = shingle + width - 1
     is_long = (F.length("line") >= 2 * long_words - 1) & (F.regexp_count("line", F.lit(_WORD)) >= long_words)
     lines = (
@@ -40,53 +42,72 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     order = W.partitionBy("k", "th").orderBy("pos")
     ahead = [F.col("h"), *(F.lead("h", j).over(order) for j in range(1, length))]
-    hashed = lines.select(
-        "k",
-        "th",
-        F.row_number().over(order).alias("i"),
-        F.lit(length).alias("n"),
-        F.col("pos").alias("s"),
-        F.lead("pos", length - 1).over(order).alias("e"),
-        F.when(ahead[shingle - 1].isNotNull(), F.xxhash64(*ahead[:shingle])).alias("g"),
-        F.xxhash64(*ahead).alias("run"),
-        F.hash(*ahead).alias("run2"),
-        "long",
-        F.xxhash64("h").alias("line"),
-        F.hash("h").alias("line2"),
-    )
-    least = F.min(F.struct("g", (-F.col("i")).alias("at"))).over(W.partitionBy("k", "th").orderBy("i").rowsBetween(0, width - 1))
-    of_window = F.when(F.col("e").isNotNull(), F.struct((-F.col("f.at")).alias("at"), F.col("f.g").alias("g"), F.struct("i", "n", "s", "e", "run", "run2").alias("run")))
-    alone = F.struct("i", F.lit(1).alias("n"), "s", F.col("s").alias("e"), F.col("line").alias("run"), F.col("line2").alias("run2"))
-    of_line = F.when(F.col("long") & F.lit(length > 1), F.struct(F.col("i").alias("at"), F.col("line").alias("g"), alone.alias("run")))
-    chosen = hashed.withColumn("f", least).select("k", "th", F.inline(F.array_compact(F.array(of_window, of_line))))
-    return chosen.groupBy("k", "th", "at", "g").agg(F.collect_list("run").alias("runs"))
+    gram = F.when(ahead[shingle - 1].isNotNull(), F.xxhash64(*ahead[:shingle]))
+    hashed = lines.select("k", "th", "pos", "h", "long", F.row_number().over(order).alias("i"), gram.alias("g"), ahead[-1].isNotNull().alias("whole"))
+    least = F.min(F.struct("g", (-F.col("i")).alias("at"))).over(order.rowsBetween(0, width - 1))
+    chose = hashed.withColumn("chosen", F.when(F.col("whole"), -least["at"]))
+    runs = F.collect_list(F.struct("i", "chosen")).over(order.rowsBetween(1 - width, 0))
+    around = F.collect_list(F.struct("h", "pos")).over(order.rowsBetween(1 - width, length - 1))
+    seen = chose.withColumn("starts", F.transform(F.filter(runs, lambda r: r["chosen"] == F.col("i")), lambda r: r["i"])).withColumn("around", around)
+    low = F.greatest(F.lit(1), F.col("i") - (width - 1))
+    of_runs = F.when(F.size("starts") > 0, F.struct(F.col("i").alias("at"), "g", F.lit(length).alias("n"), "starts", low.alias("low"), "around"))
+    alone = F.struct(F.col("i").alias("at"), F.xxhash64("h", F.lit("line")).alias("g"), F.lit(1).alias("n"), F.array("i").alias("starts"), F.col("i").alias("low"), F.array(F.struct("h", "pos")).alias("around"))
+    return seen.select("k", "th", F.inline(F.array_compact(F.array(of_runs, F.when(F.col("long") & F.lit(length > 1), alone)))))
+
+
+def _agreeing(own: Column, other: Column) -> Column:
+    """How many of the first elements of two arrays agree."""
+    n = F.least(F.size(own), F.size(other))
+    differ = F.array_position(F.zip_with(F.slice(own, F.lit(1), n), F.slice(other, F.lit(1), n), lambda x, y: x != y), True)
+    return F.when(differ == 0, n).otherwise(differ - 1).cast("int")
+
+
+def positions(prints: DataFrame) -> DataFrame:
+    """prints, a kept table of fingerprints(), that have an earlier position (ref: k, th, at, low, around) with the same context, or with a run in
+    common: at most a row for each fingerprint, but for the first ones of their contexts, which may meet one for each of their runs."""
+    here = lambda x: F.struct(x["k"].alias("k"), x["th"].alias("th"), x["at"].alias("at"))
+    hashes = F.transform("around", lambda x: x["h"])
+    cut = lambda first, m: F.slice(hashes, first - F.col("low") + 1, m)
+    first, last = F.get("starts", F.lit(0)), F.element_at("starts", -1)
+    whole, offset = cut(first, last - first + F.col("n")), F.col("at") - first
+    keyed = prints.withColumn("span", F.xxhash64(whole, offset, F.col("n"))).withColumn("span2", F.hash(whole))
+    place = F.struct("k", "th", "at")
+    columns = ["k", "th", "at", "low", "around", "n", "starts", "g"]
+    contexts = keyed.groupBy("span", "span2").agg(F.min(F.struct(*columns)).alias("one"), F.count("*").alias("many"))
+    copied = contexts.where("many > 1").select("span", "span2", "one")
+    same = keyed.join(own_exchange(copied, "span"), ["span", "span2"]).where(place != here(F.col("one")))
+    firsts = contexts.select("one.*")
+    several = firsts.where("n > 1").groupBy("g").agg(F.count("*").alias("contexts")).where("contexts > 1").select("g")
+    runs = firsts.join(own_exchange(several, "g"), "g").withColumn("start", F.explode("starts"))
+    run = cut(F.col("start"), F.col("n"))
+    runs = runs.select(*columns, F.xxhash64(run, F.col("at") - F.col("start")).alias("run"), F.hash(run).alias("run2"))
+    shared = runs.groupBy("run", "run2").agg(F.min(F.struct(*columns)).alias("one"), F.count("*").alias("many")).where("many > 1").select("run", "run2", "one")
+    part = runs.join(own_exchange(shared, "run"), ["run", "run2"]).where(place != here(F.col("one")))
+    found = same.select(*columns, "one").unionByName(part.select(*columns, "one"))
+    return found.select("k", "th", "at", "n", "low", "around", F.col("one").alias("ref"))
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
-    """Matches with earlier lines, extended as far as they go: k, th, lines (of each of its runs), i and n (its lines that aren't blank, the
-    first and how many), s, e (its lines among all), and ref (k, th, i: where these lines stand first)."""
-    prints = fingerprints(docs, id_col, text_col, shingle, width, long_words)
-    place = F.xxhash64("k", "th", "at")
-    several = prints.groupBy("g").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("g")
-    sides = prints.join(own_exchange(several, "g"), "g").select("k", "th", F.inline("runs"))
-    here = F.struct("k", "th", "i")
-    first = sides.groupBy("run", "run2").agg(F.min(here).alias("ref"))
-    joined = sides.join(own_exchange(first, "run"), ["run", "run2"]).where(here != F.col("ref")).select("k", "th", "i", F.col("n").alias("lines"), "s", "e", "ref")
-    offset = W.partitionBy("k", "th", "lines", "ref.k", "ref.th", F.col("ref.i") - F.col("i")).orderBy("i")
-    extended = joined.repartition("k", "th").withColumn("piece", F.col("i") - F.row_number().over(offset))
-    return (
-        extended.groupBy("k", "th", "lines", F.col("ref.k").alias("rk"), F.col("ref.th").alias("rth"), (F.col("ref.i") - F.col("i")).alias("d"), "piece")
-        .agg(F.min("i").alias("i"), (F.max("i") - F.min("i") + F.col("lines")).alias("n"), F.min("s").alias("s"), F.max("e").alias("e"))
-        .select("k", "th", "lines", "i", "n", "s", "e", F.struct(F.col("rk").alias("k"), F.col("rth").alias("th"), (F.col("i") + F.col("d")).alias("i")).alias("ref"))
-    )
+    """Matches with earlier lines, one for each joined position, extended as far as the lines around both agree: k, th, lines (of a run), i and n (its lines
+    that aren't blank, the first and how many), s, e (its lines among all), and ref (k, th, i: the earlier place)."""
+    joined = positions(keep(fingerprints(docs, id_col, text_col, shingle, width, long_words), "fingerprints"))
+    own, other = F.transform("around", lambda x: x["h"]), F.transform("ref.around", lambda x: x["h"])
+    x, y = F.col("at") - F.col("low"), F.col("ref.at") - F.col("ref.low")  # lines before the fingerprint's
+    left = _agreeing(F.reverse(F.slice(own, F.lit(1), x)), F.reverse(F.slice(other, F.lit(1), y)))
+    right = _agreeing(F.slice(own, x + 1, F.size(own) - x), F.slice(other, y + 1, F.size(other) - y))
+    found = joined.select("*", left.alias("left"), right.alias("right")).where(F.col("left") + F.col("right") >= F.col("n"))
+    ref = F.struct(F.col("ref.k").alias("k"), F.col("ref.th").alias("th"), (F.col("ref.at") - F.col("left")).alias("i"))
+    pos = lambda j: F.get("around", j)["pos"]
+    return found.select("k", "th", F.col("n").alias("lines"), (F.col("at") - F.col("left")).alias("i"), (F.col("left") + F.col("right")).alias("n"), pos(x - F.col("left")).alias("s"), pos(x + F.col("right") - 1).alias("e"), ref.alias("ref"))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
     """Runs of lines to delete: k (the id, NULL_ID for null), th (hash of the text), runs (array of {s, e}: first and last line, from 0)."""
-    by_i = W.partitionBy("k", "th").orderBy("i", "n", "ref")
+    by_i = W.partitionBy("k", "th").orderBy("i", "n")
     before = F.max(F.col("i") + F.col("n")).over(by_i.rowsBetween(W.unboundedPreceding, -1))
     return (
         matches(docs, id_col, text_col, shingle, width, long_words)
+        .select("k", "th", "i", "n", "s", "e")
         .withColumn("apart", F.when(F.col("i") <= before, 0).otherwise(1))
         .withColumn("island", F.sum("apart").over(by_i))
         .groupBy("k", "th", "island")

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeline.llm import cells, line_dedup, mixing, ngram_join, packing, substring_dedup, topk
+from lodeline.llm.common import keep
 from lodeline.llm.queries import queries, tokenizer_files
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -252,9 +253,13 @@ def test_line_dedup(docs):
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got.collect()} == plain_lines(rows)
 
 
-def test_line_matches_are_the_longest(docs):
-    """Lines of a match equal those of its reference, and the match goes on in neither direction."""
-    lines = {r[0]: [x for x in (r[1] or "").split("\n") if x.strip(" ")] for r in corpus()}
+def full_lines():
+    return {r[0]: [x for x in (r[1] or "").split("\n") if x.strip(" ")] for r in corpus()}
+
+
+def test_line_matches_are_extended(docs):
+    """Lines of a match equal those of an earlier place, as far as the lines that a run can reach agree; all later runs lie in matches."""
+    lines, covered = full_lines(), {}
     first = {}
     for i in sorted(lines):
         for at in range(len(lines[i])):
@@ -262,23 +267,56 @@ def test_line_matches_are_the_longest(docs):
                 if at + n <= len(lines[i]) and (n == 3 or len(WORD.findall(lines[i][at])) >= 20):
                     first.setdefault(tuple(lines[i][at : at + n]), (i, at))
     found = line_dedup.matches(docs).collect()
+    longer = 0
     for m in found:
         own, there, at, ref, n = lines[m.k], lines[m.ref.k], m.i - 1, m.ref.i - 1, m.lines
         assert n in (1, 3) and m.n >= n and (m.ref.k, ref) < (m.k, at) and own[at : at + m.n] == there[ref : ref + m.n]
-        assert all(first[tuple(own[at + j : at + j + n])] == (m.ref.k, ref + j) for j in range(m.n - n + 1))
-        assert at == 0 or first.get(tuple(own[at - 1 : at - 1 + n])) != (m.ref.k, ref - 1)
-        assert at + m.n == len(own) or first.get(tuple(own[at + m.n - n + 1 : at + m.n + 1])) != (m.ref.k, ref + m.n - n + 1)
-    assert sum(m.lines == 3 for m in found) > 5 and any(m.lines == 1 for m in found)
+        if n == 3 and m.n < 5:  # less than the whole reach of a fingerprint
+            ends = [at == 0 or ref == 0 or own[at - 1] != there[ref - 1], at + m.n == len(own) or ref + m.n == len(there) or own[at + m.n] != there[ref + m.n]]
+            assert any(ends)
+        longer += m.n > n
+        covered.setdefault(m.k, set()).update((j, n) for j in range(at, at + m.n - n + 1))
+    for i, own in lines.items():
+        for at in range(len(own)):
+            for n in (1, 3):
+                run = tuple(own[at : at + n])
+                if first.get(run, (i, at)) != (i, at) and len(run) == n:
+                    assert (at, n) in covered[i]
+    assert longer and sum(m.lines == 3 for m in found) > 5 and any(m.lines == 1 for m in found)
+
+
+def test_joined_positions_are_fingerprints(spark, docs):
+    """What is joined is positions: no more rows than fingerprints, and fewer than lines; also where one line is a tenth of all."""
+    rng = random.Random(12)
+    passage = [f"passage {i} of some length" for i in range(40)]
+    texts = ["\n".join(x for i in range(30) for x in ("common line", f"own {n} {i} {rng.random()}", f"other {n} {i}")) for n in range(60)]
+    texts += ["\n".join([f"head {n}", *passage[n % 7 : 10 + n % 20], f"tail {n}"]) for n in range(120)]
+    hot = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for rows in (docs, hot):
+        prints = keep(line_dedup.fingerprints(rows), "prints")
+        joined, n_lines = line_dedup.positions(prints).count(), rows.selectExpr("explode(split(text, '\n')) AS x").where("trim(x) <> ''").count()
+        assert 0 < joined <= prints.count() < n_lines
+    assert {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(hot).collect()} == {i: x[2] for i, x in plain_lines(list(enumerate(texts))).items()}
+
+
+def test_a_text_of_many_lines(spark):
+    """A text of 30,000 lines, most of which stand earlier in it or in another."""
+    rng = random.Random(5)
+    block = [f"line {i} {rng.random()}" for i in range(10_000)]
+    rows = [(1, "\n".join(block)), (2, "\n".join(["new", *block, "x", *block[5000:], "y", *block[:5000]])), (3, "z" * (1 << 20) + "\n" + "\n".join(block[7:9]))]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_lines(rows) and got[2][2] == "new\nx\ny"
 
 
 @pytest.mark.parametrize(("shingle", "width"), [(1, 3), (2, 2), (3, 4)])
 def test_equal_runs_share_a_fingerprint(docs, shingle, width):
-    lines, length = {r[0]: [x for x in (r[1] or "").split("\n") if x.strip(" ")] for r in corpus()}, shingle + width - 1
+    lines, length = full_lines(), shingle + width - 1
     chosen, runs = {}, 0
     for r in line_dedup.fingerprints(docs, shingle=shingle, width=width).collect():
-        for run in r.runs:
-            own = tuple(lines[r.k][run.i - 1 : run.i - 1 + run.n])
-            assert run.n in (1, length) and 0 <= r.at - run.i < width and chosen.setdefault(own, (r.g, r.at - run.i)) == (r.g, r.at - run.i)
+        assert [x.h for x in r.around] and r.low <= r.starts[0] and r.starts[-1] + r.n <= r.low + len(r.around)
+        for start in r.starts:
+            own = tuple(lines[r.k][start - 1 : start - 1 + r.n])
+            assert r.n in (1, length) and 0 <= r.at - start < width and chosen.setdefault((own, r.n), (r.g, r.at - start)) == (r.g, r.at - start)
             runs += 1
     long = sum(len(WORD.findall(line)) >= 20 for x in lines.values() for line in x)
     assert long and runs == long + sum(max(0, len(x) - length + 1) for x in lines.values())
