@@ -29,8 +29,8 @@ _WORD = "[^\\x20\\x09-\\x0D]+"
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
     """Positions of fingerprints: k (the id, NULL_ID for null), th (hash of the text), at (number of a line that isn't blank, from 1), g (its hash), n
-    (lines of a run), starts (the first lines of the runs that chose it), around (hash h and place pos, from 0 among all lines, of the lines that these runs can
-    reach) and low (the number of the first of these)."""
+    (lines of a run), first and last (where the runs that chose it begin), around (hashes of the lines that these runs can reach) and low (the number of
+    the first of these)."""
     length = shingle + width - 1
     is_long = (F.length("line") >= 2 * long_words - 1) & (F.regexp_count("line", F.lit(_WORD)) >= long_words)
     lines = (
@@ -46,12 +46,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashed = lines.select("k", "th", "pos", "h", "long", F.row_number().over(order).alias("i"), gram.alias("g"), ahead[-1].isNotNull().alias("whole"))
     least = F.min(F.struct("g", (-F.col("i")).alias("at"))).over(order.rowsBetween(0, width - 1))
     chose = hashed.withColumn("chosen", F.when(F.col("whole"), -least["at"]))
-    runs = F.collect_list(F.struct("i", "chosen")).over(order.rowsBetween(1 - width, 0))
-    around = F.collect_list(F.struct("h", "pos")).over(order.rowsBetween(1 - width, length - 1))
-    seen = chose.withColumn("starts", F.transform(F.filter(runs, lambda r: r["chosen"] == F.col("i")), lambda r: r["i"])).withColumn("around", around)
-    low = F.greatest(F.lit(1), F.col("i") - (width - 1))
-    of_runs = F.when(F.size("starts") > 0, F.struct(F.col("i").alias("at"), "g", F.lit(length).alias("n"), "starts", low.alias("low"), "around"))
-    alone = F.struct(F.col("i").alias("at"), F.xxhash64("h", F.lit("line")).alias("g"), F.lit(1).alias("n"), F.array("i").alias("starts"), F.col("i").alias("low"), F.array(F.struct("h", "pos")).alias("around"))
+    before = [F.when(F.lag("chosen", j).over(order) == F.col("i"), F.col("i") - j) if j else F.when(F.col("chosen") == F.col("i"), F.col("i")) for j in range(width)]
+    around = F.collect_list("h").over(order.rowsBetween(1 - width, length - 1))
+    seen = chose.select("*", around.alias("around"), *((F.least(*before), F.greatest(*before)) if width > 1 else (before[0], before[0])))
+    seen = seen.toDF(*chose.columns, "around", "first", "last")
+    of_runs = F.when(F.col("first").isNotNull(), F.struct(F.col("i").alias("at"), "g", F.lit(length).alias("n"), "first", "last", F.greatest(F.lit(1), F.col("i") - (width - 1)).alias("low"), "around"))
+    alone = F.struct(F.col("i").alias("at"), F.xxhash64("h", F.lit("line")).alias("g"), F.lit(1).alias("n"), F.col("i").alias("first"), F.col("i").alias("last"), F.col("i").alias("low"), F.array("h").alias("around"))
     return seen.select("k", "th", F.inline(F.array_compact(F.array(of_runs, F.when(F.col("long") & F.lit(length > 1), alone)))))
 
 
@@ -63,57 +63,59 @@ def _agreeing(own: Column, other: Column) -> Column:
 
 
 def positions(prints: DataFrame) -> DataFrame:
-    """prints, a kept table of fingerprints(), that have an earlier position (ref: k, th, at, low, around) with the same context, or with a run in
-    common: at most a row for each fingerprint, but for the first ones of their contexts, which may meet one for each of their runs."""
-    here = lambda x: F.struct(x["k"].alias("k"), x["th"].alias("th"), x["at"].alias("at"))
-    hashes = F.transform("around", lambda x: x["h"])
-    cut = lambda first, m: F.slice(hashes, first - F.col("low") + 1, m)
-    first, last = F.get("starts", F.lit(0)), F.element_at("starts", -1)
-    whole, offset = cut(first, last - first + F.col("n")), F.col("at") - first
-    keyed = prints.withColumn("span", F.xxhash64(whole, offset, F.col("n"))).withColumn("span2", F.hash(whole))
+    """Those of fingerprints() that have an earlier position (ref: k, th, at, low, around) with the same context, or with a run in common: at most a
+    row for each fingerprint, but for the first ones of their contexts, which may meet one for each of their runs.
+
+    Only fingerprints that stand at several places take part, and only those with several contexts in the second join.
+    """
     place = F.struct("k", "th", "at")
-    columns = ["k", "th", "at", "low", "around", "n", "starts", "g"]
-    contexts = keyed.groupBy("span", "span2").agg(F.min(F.struct(*columns)).alias("one"), F.count("*").alias("many"))
-    copied = contexts.where("many > 1").select("span", "span2", "one")
-    same = keyed.join(own_exchange(copied, "span"), ["span", "span2"]).where(place != here(F.col("one")))
-    firsts = contexts.select("one.*")
-    several = firsts.where("n > 1").groupBy("g").agg(F.count("*").alias("contexts")).where("contexts > 1").select("g")
-    runs = firsts.join(own_exchange(several, "g"), "g").withColumn("start", F.explode("starts"))
+    of = lambda x: F.struct(F.col(f"{x}.k"), F.col(f"{x}.th"), F.col(f"{x}.at"))
+    spot, with_lines = F.xxhash64("k", "th", "at"), F.struct("k", "th", "at", "low", "around")
+    cut = lambda start, m: F.slice("around", start - F.col("low") + 1, m)
+    repeated = prints.groupBy("g").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("g")
+    whole, offset = cut(F.col("first"), F.col("last") - F.col("first") + F.col("n")), F.col("at") - F.col("first")
+    keyed = prints.join(own_exchange(repeated, "g"), "g").withColumn("span", F.xxhash64(whole, offset, F.col("n"))).withColumn("span2", F.hash(whole))
+    keyed = keep(keyed, "prints")
+    contexts = keyed.groupBy("span", "span2").agg(F.min(with_lines).alias("ref"))
+    placed = keep(keyed.join(own_exchange(contexts, "span"), ["span", "span2"]).drop("span", "span2"), "placed")
+    same = placed.where(place != of("ref"))
+    firsts = placed.where((place == of("ref")) & (F.col("n") > 1)).drop("ref")
+    several = firsts.groupBy("g").agg(F.count("*").alias("contexts")).where("contexts > 1").select("g")
+    runs = firsts.join(own_exchange(several, "g"), "g").withColumn("start", F.explode(F.sequence("first", "last")))
     run = cut(F.col("start"), F.col("n"))
-    runs = runs.select(*columns, F.xxhash64(run, F.col("at") - F.col("start")).alias("run"), F.hash(run).alias("run2"))
-    shared = runs.groupBy("run", "run2").agg(F.min(F.struct(*columns)).alias("one"), F.count("*").alias("many")).where("many > 1").select("run", "run2", "one")
-    part = runs.join(own_exchange(shared, "run"), ["run", "run2"]).where(place != here(F.col("one")))
-    found = same.select(*columns, "one").unionByName(part.select(*columns, "one"))
-    return found.select("k", "th", "at", "n", "low", "around", F.col("one").alias("ref"))
+    runs = runs.select(*firsts.columns, F.xxhash64(run, F.col("at") - F.col("start")).alias("run"), F.hash(run).alias("run2"))
+    shared = runs.groupBy("run", "run2").agg(F.min(with_lines).alias("ref"), F.count("*").alias("many")).where("many > 1").drop("many")
+    part = runs.join(own_exchange(shared, "run"), ["run", "run2"]).where(place != of("ref"))
+    return same.select("k", "th", "at", "n", "low", "around", "ref").unionByName(part.select("k", "th", "at", "n", "low", "around", "ref"))
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
     """Matches with earlier lines, one for each joined position, extended as far as the lines around both agree: k, th, lines (of a run), i and n (its lines
-    that aren't blank, the first and how many), s, e (its lines among all), and ref (k, th, i: the earlier place)."""
-    joined = positions(keep(fingerprints(docs, id_col, text_col, shingle, width, long_words), "fingerprints"))
-    own, other = F.transform("around", lambda x: x["h"]), F.transform("ref.around", lambda x: x["h"])
+    that aren't blank, the first and how many), and ref (k, th, i: the earlier place)."""
+    joined = positions(fingerprints(docs, id_col, text_col, shingle, width, long_words))
+    own, other = F.col("around"), F.col("ref.around")
     x, y = F.col("at") - F.col("low"), F.col("ref.at") - F.col("ref.low")  # lines before the fingerprint's
     left = _agreeing(F.reverse(F.slice(own, F.lit(1), x)), F.reverse(F.slice(other, F.lit(1), y)))
     right = _agreeing(F.slice(own, x + 1, F.size(own) - x), F.slice(other, y + 1, F.size(other) - y))
-    found = joined.select("*", left.alias("left"), right.alias("right")).where(F.col("left") + F.col("right") >= F.col("n"))
+    found = joined.select("k", "th", "n", "at", "ref", left.alias("left"), right.alias("right")).where(F.col("left") + F.col("right") >= F.col("n"))
     ref = F.struct(F.col("ref.k").alias("k"), F.col("ref.th").alias("th"), (F.col("ref.at") - F.col("left")).alias("i"))
-    pos = lambda j: F.get("around", j)["pos"]
-    return found.select("k", "th", F.col("n").alias("lines"), (F.col("at") - F.col("left")).alias("i"), (F.col("left") + F.col("right")).alias("n"), pos(x - F.col("left")).alias("s"), pos(x + F.col("right") - 1).alias("e"), ref.alias("ref"))
+    return found.select("k", "th", F.col("n").alias("lines"), (F.col("at") - F.col("left")).alias("i"), (F.col("left") + F.col("right")).alias("n"), ref.alias("ref"))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, width: int = WIDTH, long_words: int = LONG_WORDS) -> DataFrame:
-    """Runs of lines to delete: k (the id, NULL_ID for null), th (hash of the text), runs (array of {s, e}: first and last line, from 0)."""
+    """Runs of lines to delete: k (the id, NULL_ID for null), th (hash of the text), runs (array of {i, n}: the first line and how many, of those that
+    aren't blank, from 1)."""
     by_i = W.partitionBy("k", "th").orderBy("i", "n")
     before = F.max(F.col("i") + F.col("n")).over(by_i.rowsBetween(W.unboundedPreceding, -1))
     return (
         matches(docs, id_col, text_col, shingle, width, long_words)
-        .select("k", "th", "i", "n", "s", "e")
+        .select("k", "th", "i", "n")
         .withColumn("apart", F.when(F.col("i") <= before, 0).otherwise(1))
         .withColumn("island", F.sum("apart").over(by_i))
         .groupBy("k", "th", "island")
-        .agg(F.min("s").alias("s"), F.max("e").alias("e"))
+        .agg(F.min("i").alias("i"), (F.max(F.col("i") + F.col("n")) - F.min("i")).alias("n"))
         .groupBy("k", "th")
-        .agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
+        .agg(F.array_sort(F.collect_list(F.struct("i", "n"))).alias("runs"))
     )
 
 
@@ -127,7 +129,11 @@ def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     docs = docs.drop("n_lines", "n_removed", "removed_runs")
     joined = docs.select(id_key(id_col).alias("k"), F.xxhash64(text_col).alias("th"), F.struct(*docs.columns).alias("row")).join(repeated_runs(docs, id_col, text_col, shingle, width, long_words), ["k", "th"], "left")
-    text, runs = F.col("row").getField(text_col), F.col("runs")
+    text = F.col("row").getField(text_col)
+    full = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())  # places of the lines that aren't blank
+    spans = F.transform(F.array(full), lambda at: F.transform("runs", lambda r: F.struct(F.get(at, r["i"] - 1).alias("s"), F.get(at, r["i"] + r["n"] - 2).alias("e"))))
+    joined = joined.withColumn("runs", F.when(F.col("runs").isNotNull(), F.get(spans, F.lit(0))))
+    runs = F.col("runs")
 
     def between(lines, r):
         """Lines after run r - 1 and before run r."""

@@ -313,8 +313,8 @@ def test_equal_runs_share_a_fingerprint(docs, shingle, width):
     lines, length = full_lines(), shingle + width - 1
     chosen, runs = {}, 0
     for r in line_dedup.fingerprints(docs, shingle=shingle, width=width).collect():
-        assert [x.h for x in r.around] and r.low <= r.starts[0] and r.starts[-1] + r.n <= r.low + len(r.around)
-        for start in r.starts:
+        assert r.low <= r.first <= r.last and r.last + r.n <= r.low + len(r.around)
+        for start in range(r.first, r.last + 1):
             own = tuple(lines[r.k][start - 1 : start - 1 + r.n])
             assert r.n in (1, length) and 0 <= r.at - start < width and chosen.setdefault((own, r.n), (r.g, r.at - start)) == (r.g, r.at - start)
             runs += 1
