@@ -37,6 +37,18 @@ EXTRA = {
     "URL": r"https?://[^\s]+",
     "MAC": r"\b(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}\b",
 }
+# What every match of a class holds: these strings, and whether a digit.
+HOLDS = {
+    "TIMESTAMP": ((":",), True),
+    "IPV4": ((".",), True),
+    "UUID": (("-",), False),
+    "HEX": (("0x",), False),
+    "PATH": (("/",), False),
+    "NUMBER": ((), True),
+    "EMAIL": (("@", "."), False),
+    "URL": (("://",), False),
+    "MAC": ((":",), False),
+}
 CORE = ("TIMESTAMP", "LOGLEVEL", "NUMBER", "IPV4")
 OPTIONAL = ("EMAIL", "HEX", "MAC", "PATH", "URL", "UUID")
 
@@ -69,6 +81,11 @@ class Mask:
         return "(?U)" + re.sub(r"\(\?P<\w+>", "(", self.pattern)
 
 
+def holds(mask: Mask) -> tuple[tuple[str, ...], bool]:
+    """Strings that every match of the mask holds, and whether it holds a digit: known for the patterns of the classes, nothing for others."""
+    return next((HOLDS[label] for label in HOLDS if (CLASSES.get(label) or EXTRA[label]) == mask.pattern), ((), False))
+
+
 def canonical_masks() -> list[Mask]:
     return [Mask(label, pattern, f"canonical class {label}") for label, pattern in CLASSES.items()]
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import WILDCARD, Mask, class_patterns
+from .patterns import WILDCARD, Mask, class_patterns, holds
 
 SPACE = r"(?U)[\s\x1c-\x1f]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 PLACEHOLDER = "<VAR:[A-Z0-9]+>"
+_DIGIT = r"[0-9]|[^\x00-\x7f]"  # or a character that may be one
 # Characters that count as digits beside decimal ones.
 DIGITS = r"[\d²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒]"
 
@@ -35,10 +38,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda x: x != "")
 
 
+def _masked(mask: Mask, text: Column) -> Column:
+    """text with the mask's matches replaced. The pattern is tried only where the text holds what each match holds; the text is the variable of a
+    function, as it stands three times."""
+    strings, digit = holds(mask)
+    if not strings and not digit:
+        return F.regexp_replace(text, mask.java, mask.placeholder)
+
+    def step(t: Column) -> Column:
+        tests = [t.contains(x) for x in strings] + [t.rlike(_DIGIT)] * digit
+        return F.when(reduce(and_, tests), F.regexp_replace(t, mask.java, mask.placeholder)).otherwise(t)
+
+    return F.get(F.transform(F.array(text), step), F.lit(0))
+
+
 def apply_masks(text: Column, masks: Sequence[Mask]) -> Column:
     """Each mask in turn over what the ones before have left."""
     for m in masks:
-        text = F.regexp_replace(text, m.java, m.placeholder)
+        text = _masked(m, text)
     return text
 
 

@@ -69,3 +69,22 @@ def test_scrub_and_time(spark):
     assert one(spark, text.scrub(F.col("s")), s="at /home/me/x by a.b@c.de hostname=h1,x") == "at /anon/path by anon@example.com hostname=anon,x"
     assert one(spark, text.after_time(F.col("s")), s="2026-04-13 10:15:23.123 [INFO]") == ".123 [INFO]"
     assert one(spark, text.after_time(F.col("s")), s="none") == "none"
+
+
+def test_masks_are_tried_where_they_can_match(spark):
+    """Masks behind their tests give what they give alone, also over other scripts' digits and placeholders of earlier masks."""
+    import random
+
+    from lodeline.functions.patterns import CLASSES, EXTRA, holds
+
+    masks = [Mask(c, p) for c, p in {**CLASSES, **EXTRA}.items()] + [Mask("OWN", "q+"), Mask("A2031", r"zz")]
+    assert all(holds(m) != ((), False) for m in masks if m.label not in ("LOGLEVEL", "OWN", "A2031")) and holds(masks[-1]) == ((), False)
+    rng = random.Random(3)
+    bits = ["2031-05-06 07:08:09", "10.0.0.1:80", "٣٤", "0xFF", " /a/b", "7.5", "a.b@c.de", "https://x.y/z", "aa:bb:cc:dd:ee:ff", "qq", "zz", "INFO", "é", " ", "-", ":", "1f0c94ab-12cd-34ef-56ab-7890abcdef12", "x", "<VAR:"]
+    lines = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randint(0, 7))),) for _ in range(500)], "line string")
+    for order in (masks, masks[::-1]):
+        alone = F.col("line")
+        for m in order:
+            alone = F.regexp_replace(alone, m.java, m.placeholder)
+        rows = lines.select(text.apply_masks(F.col("line"), order).alias("masked"), alone.alias("alone"))
+        assert rows.where("masked <> alone").count() == 0 and rows.where("masked LIKE '%<VAR:N%'").count() > 50
