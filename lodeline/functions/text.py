@@ -19,6 +19,12 @@ _DIGIT = r"[0-9]|[^\x00-\x7f]"  # or a character that may be one
 DIGITS = r"[\d²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒]"
 
 
+#: What normalising replaces, in this order, and by what.
+HEX_RUN, NUMBER_RUN = (r"(?U)\b(?:0x)?[0-9A-Fa-f]{4,}\b", "#H#"), (r"(?U)\d+", "#N#")
+# What scrubbing replaces, in this order, and by what.
+SCRUBBED = ((r"(?U)/[\w\-_/]+", "/anon/path"), (r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+", "anon@example.com"), (r"(?U)hostname=[^,\s]+", "hostname=anon"))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
@@ -89,7 +95,7 @@ def wildcards(template: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """Hex-like runs of four or more become #H#, then numbers #N#."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\b(?:0x)?[0-9A-Fa-f]{4,}\b", "#H#"), r"(?U)\d+", "#N#")
+    return F.regexp_replace(F.regexp_replace(text, *HEX_RUN), *NUMBER_RUN)
 
 
 def sampling_tokens(text: Column) -> Column:
@@ -135,7 +141,6 @@ def after_time(text: Column) -> Column:
 
 def scrub(text: Column) -> Column:
     """Paths, then mail addresses, then host names are replaced."""
-    # The patterns and what stands for them.
-    text = F.regexp_replace(text, r"(?U)/[\w\-_/]+", "/anon/path")
-    text = F.regexp_replace(text, r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+", "anon@example.com")
-    return F.regexp_replace(text, r"(?U)hostname=[^,\s]+", "hostname=anon")
+    for pattern, by in SCRUBBED:
+        text = F.regexp_replace(text, pattern, by)
+    return text

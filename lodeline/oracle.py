@@ -219,6 +219,9 @@ ORACLE = {
     "mask_canonical": f"WITH {_DOC} SELECT line_no, {_masked('line', CLASSES)} AS masked FROM docl",
     "mask_offline": f"WITH {_EVENT} SELECT line_no, {_masked('line', _OFFLINE)} AS masked FROM ev",
     "bucket_keys": f"WITH {_DOC}, k AS (SELECT {_tokens(_masked('line', CLASSES))} AS t FROM docl) SELECT {_KEY} AS key, len(t) AS n_tokens, count(*) AS n_lines FROM k GROUP BY ALL",
+    "sql_functions": rf"""WITH {_DOC}, k AS (SELECT line_no, line, {_masked('line', CLASSES)} AS masked FROM docl), s AS (SELECT *, {_tokens('masked')} AS t FROM k)
+        SELECT line_no, masked, {_KEY} AS key, len(t) AS n_tokens, {_NORMAL} AS normal,
+               regexp_replace(regexp_replace(regexp_replace(line, '/[\w\-_/]+', '/anon/path', 'g'), '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+', 'anon@example.com', 'g'), 'hostname=[^,\s]+', 'hostname=anon', 'g') AS scrubbed FROM s""",
     "template_mine_events": f"WITH {_mined(_OFFLINE)} SELECT cluster_id, {_WILD.format('template_typed')} AS template, template_typed, size AS n_lines FROM c",
     "cluster_sizes": f"WITH {_mined(CLASSES)} SELECT cluster_id, first_line, size FROM c",
     "num_clusters": f"WITH {_mined(CLASSES)} SELECT 'events' AS dataset, count(*) AS n_clusters FROM c",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions import text
+from .functions import sql, text
 from .functions.patterns import CLASSES, CORE, EXTRA, Mask, canonical_masks, usable
 from .functions.tables import keep, shared_dir
 from .operators import alignment, clustering, metrics, online, sampling, synthesis
@@ -84,6 +84,15 @@ def bucket_keys(spark, sf_dir):
     return keyed.groupBy("key", F.col("n_tokens").cast("long").alias("n_tokens")).agg(F.count("*").alias("n_lines"))
 
 
+def sql_functions(spark, sf_dir):
+    """Masked documents' lines, their buckets and what is normalised and scrubbed in them, in SQL."""
+    sql.register(spark, canonical_masks())
+    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("lodeline_documents")
+    return spark.sql(r"""
+        WITH l AS (SELECT doc_id * 4294967296 + n AS line_no, line FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (n, line) FROM lodeline_documents) WHERE rlike(line, r'[^\s\x1c-\x1f]'))
+        SELECT line_no, mask_line(line) AS masked, bucket_key(line) AS key, CAST(size(line_tokens(line)) AS BIGINT) AS n_tokens, normalise_line(line) AS normal, scrub_line(line) AS scrubbed FROM l""")
+
+
 def template_mine_events(spark, sf_dir):
     return clustering.clusters(_event_lines(spark, sf_dir), OFFLINE).select("cluster_id", "template", "template_typed", F.col("size").alias("n_lines"))
 

@@ -88,3 +88,19 @@ def test_masks_are_tried_where_they_can_match(spark):
             alone = F.regexp_replace(alone, m.java, m.placeholder)
         rows = lines.select(text.apply_masks(F.col("line"), order).alias("masked"), alone.alias("alone"))
         assert rows.where("masked <> alone").count() == 0 and rows.where("masked LIKE '%<VAR:N%'").count() > 50
+
+
+def test_sql_functions(spark):
+    """The functions in SQL give what the expressions give; a line may be blank or null."""
+    from lodeline.functions import sql
+    from lodeline.operators import clustering
+
+    lines = ["at 10.0.0.1:80 it's \\d+ 'quoted' 0xFF", "a  7\tb", "", "  ", "/home/x by a.b@c.de hostname=h", None, "é5 ٣"]
+    rows = spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "dataset string, line_no long, line string")
+    rows.createOrReplaceTempView("own_lines")
+    for masks, depth in ((canonical_masks(), 5), ([Mask("Q", r"it's|\\\\d")], 1)):
+        assert sql.register(spark, masks, depth)[0] == "mask_line"
+        got = spark.sql("SELECT line_no, mask_line(line), line_tokens(line), bucket_key(line), normalise_line(line), scrub_line(line) FROM own_lines WHERE line IS NOT NULL").collect()
+        keyed = clustering.bucketed(rows, masks, depth).select("line_no", text.apply_masks(F.col("line"), masks), F.split("masked", " "), "key", text.normalise(F.col("line")), text.scrub(F.col("line"))).where("line IS NOT NULL")
+        assert sorted(map(tuple, got)) == sorted(map(tuple, keyed.collect()))
+    assert spark.sql("SELECT mask_line(NULL) AS x").first().x is None
