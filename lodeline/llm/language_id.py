@@ -103,7 +103,10 @@ def fit(languages: list[str], counts: np.ndarray, total: np.ndarray, label: np.n
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, training: Column | None = None) -> Model | None:
-    """A model of the languages in lang_col, from rows where `training` holds (by default those not held out); None without such rows."""
+    """A model of the languages in lang_col, from rows where `training` holds (by default those not held out); None without such rows.
+
+    It learns from about `sample` of these rows, chosen by a hash, an equal share for each language; or from about 20 of each language where that is more.
+    """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (~held_out(id_col) if training is None else training))
     counts = {lang: n for lang, n in rows.groupBy(lang_col).count().collect()}
     if not counts:
