@@ -11,7 +11,6 @@ from ..functions.tables import keep, shared_dir  # noqa: F401
 
 #: Stands for a null id inside the operators; it sorts before every other id.
 NULL_ID = -(2**63)
-_FEW_SHARED = 100_000
 
 
 def discard(df: DataFrame) -> None:
@@ -30,14 +29,14 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     k is the id (NULL_ID for null), t the hash of the text where rows with this id have several texts, else 0. So rows without an id, or
     with a repeated one, are documents of their own that spread by their texts, while t costs nothing to shuffle where ids are unique.
-    The ids with several texts are counted first: up to _FEW_SHARED they are broadcast, more are joined by a shuffle.
+    The ids with several texts are found first, as a kept table, whose size tells Spark how to join it; without any there is no join.
     """
     rows = docs.select(id_key(id_col).cast("long").alias("k"), F.col(text_col).alias("text"))
     h = F.xxhash64("text")
     shared = keep(rows.groupBy("k").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("k", F.lit(True).alias("shared")), "shared-ids")
-    n = shared.count()
+    n = shared.limit(1).count()
     if n:
-        rows = rows.join(F.broadcast(shared) if n <= _FEW_SHARED else shared, "k", "left")
+        rows = rows.join(shared, "k", "left")
     none = F.col("k").bitwiseAND(0)  # not a literal, which would be left out of the partitioning
     t = F.when(F.col("shared"), h).otherwise(none) if n else none
     return rows.select("k", t.alias("t"), "text").groupBy("k", "t").agg(F.first("text").alias("text"), F.count("*").alias("copies"))

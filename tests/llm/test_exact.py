@@ -532,3 +532,25 @@ def test_top_k_of_ids_with_several_vectors(spark):
         expected += [(q, n, i, -s) for n, (s, i) in enumerate(scores[:5], 1)]
     for blocks in ({}, {"candidates": 64, "queries": 4}):
         assert sorted(map(tuple, topk.top_k(table, F.col("vec_id") % 25 == 0, **blocks).collect())) == expected
+
+
+def test_very_long_texts(spark):
+    """Texts of 100,000 words, which share most of them: repeated windows of words, and sets that are alike."""
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(100_000)]
+    other = [w if i % 400 else f"x{i}" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[50_000:])), (4, " ".join(words[:50_000] + [f"y{i}" for i in range(50_000)])), (5, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(docs).collect()}
+    seen, expected = set(), {}
+    for i, text in rows:
+        own, gone = text.split(), set()
+        for at in range(len(own) - 19):
+            window = hash(tuple(own[at : at + 20]))
+            if window in seen:
+                gone.update(range(at, at + 20))
+            seen.add(window)
+        expected[i] = len(own), len(gone)
+    assert got == expected and got[3] == (50_000, 50_000)
+    alike = {r.doc_id: r.component_id for r in ngram_join.join_components(docs).collect()}
+    assert alike == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
