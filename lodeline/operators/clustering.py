@@ -223,6 +223,8 @@ def parse(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, threshold
 
 
 _STATE = "n_tokens int, key string, at int, cluster_id long, first_line long, typed string"
+_STATE_COLUMNS = _STATE.replace(",", " ").split()[::2]
+OWN_BUCKET = ["n_tokens", "key"]
 OPEN = 1024  # buckets that add_log() holds in memory before it writes them
 
 
@@ -294,46 +296,101 @@ class Miner:
 
     def parse(self, lines: DataFrame) -> DataFrame:
         """dataset, line_no, line, cluster_id, template, template_typed, a kept table; new ids count on from those of earlier calls. Lines are taken in the
-        order of line_no."""
+        order of line_no.
+
+        The fast path holds where a bucket has one cluster at most so far and its template, as one more line, leaves enough tokens in common; then no order counts
+        and no task reads the bucket as a whole. Other buckets are read in order, their clusters first, by tasks that hold templates only.
+        """
         self.save()
-        threshold, most, before = self.threshold, self.most, self._next
+        before = self._next
         with tables.scratch(self._spark) as own:
             keyed = tables.keep(bucketed(lines.select("dataset", "line_no", "line"), self.masks, self.depth), "batch")
-
-            def run(known: pa.Table, new: pa.Table) -> pa.Table:
-                known, new = known.sort_by("at"), new.sort_by("line_no")
-                ids, line_no = known.column("cluster_id").to_pylist(), new.column("line_no").to_pylist()
-                bucket = Bucket(threshold, most, known.column("typed").to_pylist())
-                numbers = [bucket.add(m.as_py()) for m in new.column("masked")]
-                first = dict(zip(reversed(numbers), reversed(line_no), strict=True))
-                n, m = bucket.n, len(numbers)
-                some = new if m else known
-                once = lambda name: [some.column(name)[0].as_py()] * (n + m)
-                columns = {
-                    "n_tokens": pa.array(once("n_tokens"), pa.int32()),
-                    "key": pa.array(once("key"), pa.string()),
-                    "at": pa.array([*range(n), *numbers], pa.int32()),
-                    "cluster_id": pa.array([*ids, *[None] * (n - len(ids) + m)], pa.int64()),
-                    "first_line": pa.array([*known.column("first_line").to_pylist(), *(first[i] for i in range(len(ids), n)), *[None] * m], pa.int64()),
-                    "typed": pa.array([*(bucket.template(i) for i in range(n)), *[None] * m], pa.string()),
-                    "dataset": pa.array([*[None] * n, *new.column("dataset").to_pylist()], pa.string()),
-                    "line_no": pa.array([*[None] * n, *line_no], pa.int64()),
-                    "line": pa.array([*[None] * n, *new.column("line").to_pylist()], pa.string()),
-                }
-                return pa.table(columns)
-
-            bucket = ["n_tokens", "key"]
-            both = self.state.groupBy(*bucket).cogroup(keyed.select(*bucket, "dataset", "line_no", "line", "masked").groupBy(*bucket))
-            out = tables.keep(both.applyInArrow(run, f"{_STATE}, dataset string, line_no long, line string"), "mined")
-            clusters = out.where("typed IS NOT NULL").select(*_STATE.replace(",", " ").split()[::2])
+            buckets = tables.keep(self._met(keyed), "buckets")
+            fast, slow = buckets.where("fast").select(*OWN_BUCKET), buckets.where("NOT fast").select(*OWN_BUCKET)
+            passed = tables.keep(self._passed(keyed.join(slow, OWN_BUCKET, "left_semi"), self.state.join(slow, OWN_BUCKET, "left_semi")), "passed")
+            clusters = self.state.join(buckets.select(*OWN_BUCKET), OWN_BUCKET, "left_anti").select(*_STATE_COLUMNS)
+            clusters = clusters.unionByName(buckets.where("fast").select(*_STATE_COLUMNS)).unionByName(passed.where("typed IS NOT NULL").select(*_STATE_COLUMNS))
+            clusters = tables.keep(clusters, "clusters")
             fresh = numbered(clusters.where("cluster_id IS NULL").drop("cluster_id").withColumn("dataset", F.lit(""))).withColumn("cluster_id", F.col("cluster_id") + before)
             state = tables.keep(clusters.where("cluster_id IS NOT NULL").unionByName(fresh.drop("dataset")), "state")
             self._next, self._lines = state.count(), max(self._lines, (keyed.agg(F.max("line_no")).first()[0] or 0) + 1)
-            found = out.where("typed IS NULL").select(*bucket, "at", "dataset", "line_no", "line").join(state.select(*bucket, "at", "cluster_id", "typed"), [*bucket, "at"])
+            columns = [*OWN_BUCKET, "at", "dataset", "line_no", "line"]
+            placed = keyed.join(fast, OWN_BUCKET, "left_semi").withColumn("at", F.lit(0)).select(*columns).unionByName(passed.where("typed IS NULL").select(*columns))
+            found = placed.join(state.select(*OWN_BUCKET, "at", "cluster_id", "typed"), [*OWN_BUCKET, "at"])
             parsed = own.result(found.select("dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("typed")).alias("template"), F.col("typed").alias("template_typed")), "parsed")
             self._commit(state)
         return parsed
 
+    def _met(self, keyed: DataFrame) -> DataFrame:
+        """The buckets of keyed lines, each with its only cluster as it is after them (cluster_id null for a new one) where it is fast."""
+        known = self.state.groupBy(*OWN_BUCKET).agg(F.count("*").alias("known"), F.min("typed").alias("before"), F.min("cluster_id").alias("cluster_id"), F.min("first_line").alias("had"))
+        texts = keyed.groupBy(*OWN_BUCKET, "masked").agg(F.min("line_no").alias("first_line"))
+        whole = texts.groupBy(*OWN_BUCKET).agg(F.min("first_line").alias("first_line"), F.min("masked").alias("least"), F.max("masked").alias("greatest")).join(known, OWN_BUCKET, "left")
+        single = (F.col("least") == F.col("greatest")) & F.coalesce(F.col("before") == F.col("least"), F.lit(True))
+        one = F.coalesce(F.col("known"), F.lit(0)) <= 1
+        several = whole.where(one & ~single)
+        said = texts.join(several.select(*OWN_BUCKET), OWN_BUCKET, "left_semi").select(*OWN_BUCKET, "masked", F.lit(False).alias("template"))
+        said = said.unionByName(several.where("before IS NOT NULL").select(*OWN_BUCKET, F.col("before").alias("masked"), F.lit(True).alias("template")))
+        at = said.select(*OWN_BUCKET, "template", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+        common = at.groupBy(*OWN_BUCKET, "pos").agg(F.min("token").alias("a"), F.max("token").alias("b"), F.max(F.col("template") & (F.col("token") == WILDCARD)).alias("open"))
+        part = F.struct("pos", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(WILDCARD).alias("t"))
+        merged = common.groupBy(*OWN_BUCKET).agg(F.sum((F.col("open") | (F.col("a") == F.col("b"))).cast("int")).alias("same"), F.array_sort(F.collect_list(part)).alias("parts"))
+        enough = F.coalesce(F.col("same") / F.col("n_tokens") >= F.lit(float(self.threshold)), F.lit(False))
+        return whole.join(merged, OWN_BUCKET, "left").select(
+            *OWN_BUCKET,
+            F.lit(0).alias("at"),
+            "cluster_id",
+            F.coalesce("had", "first_line").alias("first_line"),
+            F.when(single, F.col("least")).otherwise(F.array_join(F.col("parts.t"), " ")).alias("typed"),
+            (one & (single | enough)).alias("fast"),
+        )
+
+    def _passed(self, keyed: DataFrame, state: DataFrame) -> DataFrame:
+        """Two kinds of rows for buckets that are read in order: of each line, with the number of its cluster, and of each cluster, with its template."""
+        threshold, most = self.threshold, self.most
+        known = state.select(*_STATE_COLUMNS).withColumns({"dataset": F.lit(None).cast("string"), "line_no": F.lit(None).cast("long"), "line": F.lit(None).cast("string"), "masked": F.lit(None).cast("string")})
+        new = keyed.select(*OWN_BUCKET, "dataset", "line_no", "line", "masked")
+        rows = known.unionByName(new, allowMissingColumns=True).repartition(*OWN_BUCKET).sortWithinPartitions(*OWN_BUCKET, F.col("at").asc_nulls_last(), "line_no")
+        names = [*_STATE_COLUMNS, "dataset", "line_no", "line"]
+        types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
+
+        def run(batches):
+            at, templates, ids, first, bucket = None, [], [], [], None
+
+            def table(n, columns):
+                given = {"n_tokens": [at[0]] * n, "key": [at[1]] * n, **columns}
+                return pa.RecordBatch.from_arrays([pa.array(given[c], t) if isinstance(given.get(c), list) else given.get(c, pa.nulls(n, t)) for c, t in zip(names, types, strict=True)], names=names)
+
+            def clusters():
+                made = bucket or Bucket(threshold, most, templates)
+                return table(made.n, {"at": list(range(made.n)), "cluster_id": [*ids, *[None] * (made.n - len(ids))], "first_line": first, "typed": [made.template(i) for i in range(made.n)]})
+
+            for batch in batches:
+                for start, end, key in _runs(batch, OWN_BUCKET):
+                    if key != at:
+                        if at:
+                            yield clusters()
+                        at, templates, ids, first, bucket = key, [], [], [], None
+                    part = batch.slice(start, end - start)
+                    k = part.num_rows - part.column("at").null_count  # clusters come first
+                    templates += part.column("typed").slice(0, k).to_pylist()
+                    ids += part.column("cluster_id").slice(0, k).to_pylist()
+                    first += part.column("first_line").slice(0, k).to_pylist()
+                    if k == part.num_rows:
+                        continue
+                    part = part.slice(k)
+                    bucket = bucket or Bucket(threshold, most, templates)
+                    numbers = []
+                    for n, masked in zip(part.column("line_no").to_pylist(), part.column("masked"), strict=True):
+                        numbers.append(bucket.add(masked.as_py()))
+                        if numbers[-1] == len(first):
+                            first.append(n)
+                    yield table(part.num_rows, {"at": numbers, **{c: part.column(c) for c in ("dataset", "line_no", "line")}})
+            if at:
+                yield clusters()
+
+        return rows.mapInArrow(run, f"{_STATE}, dataset string, line_no long, line string")
+
     def add_log(self, line: str) -> tuple[int, str]:
         """Cluster id and template of one more line, as they are after it. For many lines use parse().
 

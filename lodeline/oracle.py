@@ -186,7 +186,32 @@ def _provided() -> str:
 
 _HEADED = "'### Instruction:' || chr(10) || " + _q(INSTRUCTION) + " || chr(10) || chr(10) || '### Input:' || chr(10) || line || chr(10) || chr(10) || '### Output:' || chr(10)"
 
+_RECORDS = r"""l AS (SELECT doc_id % {0} AS part, doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(i)),
+    rec AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id, i) - 1 AS line_no, '.txt' AS format_hint, regexp_replace(line, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g') AS text FROM l)"""
+_USERS = f"""{_TRUTH}, uk AS (SELECT ev.dataset, row_number() OVER (PARTITION BY ev.dataset ORDER BY line_no) - 1 AS line_no, line, kind AS template FROM ev),
+    uf AS (SELECT dataset, template, row_number() OVER (PARTITION BY dataset ORDER BY min(line_no)) - 1 AS cluster_id FROM uk GROUP BY dataset, template)"""
+_USER_TRUTH = f"WITH {_USERS} SELECT uk.dataset, line_no, line, cluster_id, uk.template FROM uk JOIN uf ON uk.dataset = uf.dataset AND uk.template = uf.template"
+
+
+def _offline_masks(lines: str) -> str:
+    """ord, label, pattern of the masks for the tokens of `lines` (line)."""
+    core = [f"SELECT {i} AS place, '{c}' AS label, {_q(CLASSES[c])} AS pattern" for i, c in enumerate(CORE)]
+    shown = [f"SELECT {4 + i}, '{c}', {_q(_PATTERNS[c])} WHERE EXISTS (SELECT 1 FROM tok WHERE regexp_full_match(token, {_q(_OPTIONAL_WHOLE[c])}))" for i, c in enumerate(OPTIONAL)]
+    return f"tok AS (SELECT unnest({_tokens('line')}) AS token FROM {lines}), m AS ({' UNION ALL '.join([*core, *shown])}) SELECT row_number() OVER (ORDER BY place) - 1 AS ord, label, pattern FROM m"
+
+
 ORACLE = {
+    "file_records": f"WITH {_RECORDS.format(64)} SELECT *, text[1:50] AS short FROM rec",
+    "truth_files": _USER_TRUTH,
+    "whole_truth_files": _USER_TRUTH,
+    "mask_files": f"WITH {_DOC}, {_offline_masks('docl')}",
+    "parsed_csv": f"WITH {_mined(_OFFLINE)} SELECT line AS log, {_WILD.format('template_typed')} AS template FROM ev JOIN keyed USING (line_no) JOIN c USING (key, n)",
+    "metric_files": f"WITH {_SCORES}, a AS (SELECT dataset, method, ga AS \"GA\", pa AS \"PA\" FROM sc UNION ALL SELECT 'MacroAvg', method, round(avg(ga), 4), round(avg(pa), 4) FROM sc GROUP BY method) SELECT *, true AS strings FROM a",
+    "scrubbed_files": rf"WITH {_DOC}, s AS (SELECT '/anon/path anon@example.com hostname=anon ' || regexp_replace(regexp_replace(regexp_replace(line, '/[\w\-_/]+', '/anon/path', 'g'), '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+', 'anon@example.com', 'g'), 'hostname=[^,\s]+', 'hostname=anon', 'g') AS scrubbed FROM docl) SELECT scrubbed, count(*) AS n FROM s GROUP BY scrubbed",
+    "timing": f"WITH {_EVENT} SELECT 'u' || (user_id % 2) AS dataset, count(*) AS n_logs, true AS timed FROM ev WHERE line_no < (SELECT count(*) // 2 FROM ev) GROUP BY ALL",
+    "synth_masks_api": _GREEDY.replace("SELECT n - 1 AS rank, line_no, line FROM pick JOIN c USING (r)", ", sampled AS (SELECT line FROM pick JOIN c USING (r)), " + _offline_masks("sampled")),
+    "miner_sessions": _drained(_lines("line", _OFFLINE, "docl", "'documents'", _DOC)) + " SELECT line_no, cluster_id FROM res",
+    "miner_state": _drained(_lines("line", _OFFLINE, "docl", "'documents'", _DOC)) + " SELECT cluster_id, min(line_no) AS first_line, any_value(template) AS template FROM res GROUP BY cluster_id",
     "drain_slow_path": _drained("src AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS dataset, o_orderkey AS line_no, list_transform([o_orderkey % 7, o_orderkey % 5, o_orderkey % 3, o_orderkey % 11, o_orderkey % 2], lambda x: CAST(x AS VARCHAR)) AS t FROM orders)") + " SELECT * FROM res",
     "overflowing_bucket": _drained(f"src AS (SELECT CAST(o_orderkey % 40 AS VARCHAR) AS dataset, o_orderkey AS line_no, list_transform([{_NUMBERS}], lambda x: CAST(x AS VARCHAR)) AS t FROM orders)") + " SELECT * FROM res",
     "drain_parse_documents": _drained(_lines("line", _OFFLINE, "docl", "'documents'", _DOC)) + " SELECT line_no, cluster_id, template FROM res",
@@ -197,8 +222,7 @@ ORACLE = {
     "evaluate_events": _evaluated(),
     "streamed_clusters": f"WITH {_mined(_OFFLINE)} SELECT line_no, sha1('events:' || n || ':' || key || ':0') AS cluster FROM keyed",
     "streamed_dense_ids": f"WITH {_mined(_OFFLINE)} SELECT line_no, cluster_id FROM keyed JOIN c USING (key, n)",
-    "streamed_records": r"""WITH l AS (SELECT doc_id % 8 AS part, doc_id, i, ls[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(range(1, len(ls) + 1)) u(i))
-        SELECT part, row_number() OVER (PARTITION BY part ORDER BY doc_id, i) - 1 AS line_no, '.txt' AS format_hint, regexp_replace(line, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g') AS text FROM l""",
+    "streamed_records": f"WITH {_RECORDS.format(8)} SELECT * FROM rec",
     "pattern_labels": _labelled(),
     "provider_masks": _provided(),
     "provider_attempts": f"WITH {_ASKED} SELECT dataset, line_no, attempt, 4::BIGINT AS n_patterns FROM asked",
@@ -233,9 +257,7 @@ ORACLE = {
     "line_entropy": f"WITH {_TALK}, {_ENTROPY} SELECT dataset, line_no, entropy FROM e",
     "entropy_topk": f"WITH {_TALK}, {_ENTROPY} SELECT * FROM (SELECT dataset, row_number() OVER (PARTITION BY dataset ORDER BY entropy DESC, line_no) AS rank, line_no FROM e) WHERE rank <= 5",
     "jaccard_pairs": f"WITH {_TALK}, s AS (SELECT dataset, line_no, {_SAMPLE_TOKENS} AS t FROM talk), p AS (SELECT *, lead(t) OVER (PARTITION BY dataset ORDER BY line_no) AS u FROM s) SELECT dataset, line_no, round({_jaccard('t', 'u')}, 9) AS jaccard FROM p WHERE u IS NOT NULL",
-    "synth_offline_masks": f"WITH {_DOC}, tok AS (SELECT unnest({_tokens('line')}) AS token FROM docl), m AS ("
-    + " UNION ALL ".join([f"SELECT {i} AS place, '{c}' AS label, {_q(CLASSES[c])} AS pattern" for i, c in enumerate(CORE)] + [f"SELECT {4 + i}, '{c}', {_q(_PATTERNS[c])} WHERE EXISTS (SELECT 1 FROM tok WHERE regexp_full_match(token, {_q(_OPTIONAL_WHOLE[c])}))" for i, c in enumerate(OPTIONAL)])
-    + ") SELECT row_number() OVER (ORDER BY place) - 1 AS ord, label, pattern FROM m",
+    "synth_offline_masks": f"WITH {_DOC}, {_offline_masks('docl')}",
     "canonical_bundle": f"WITH {_DOC} " + " UNION ALL ".join(f"SELECT {i}::BIGINT AS ord, '{c}' AS label, {_q(p)} AS pattern, (SELECT count(*) FROM docl WHERE regexp_matches(line, {_q(_LINE_WITH[c])})) AS n_lines" for i, (c, p) in enumerate(CLASSES.items())),
     "grouping_accuracy": f"WITH {_TRUTH}, {_ga('''CASE WHEN kind = 'click' OR dataset = 'u3' THEN level ELSE kind END''')} SELECT dataset, round(g, 9) AS \"GA\" FROM ga",
     "parsing_accuracy": f"WITH {_PREDICTED} SELECT dataset, round(avg(right_template::INT)::DOUBLE, 9) AS \"PA\" FROM pp GROUP BY dataset",
@@ -257,3 +279,4 @@ ORACLE = {
     "pair_jaccard": f"WITH {_USER_PAIRS} SELECT line_no, round({_jaccard('t', 'u')}, 9) AS jaccard, round(list_sum(list_transform(range(1, least(len(t), len(u)) + 1), lambda i: (t[i] = u[i] OR t[i] = '<*>')::INT))::DOUBLE / len(t), 9) AS similarity FROM pr WHERE u IS NOT NULL",
     "record_rows": "SELECT sha256(url || ':' || page_id) AS record_id, '[' || sha256(url || ':' || page_id) || '] ' || url || ' | ' || html[1:50] AS description FROM pages",
 }
+ORACLE["jsonl_files"] = ORACLE["training_examples"].removesuffix(" FROM d") + ", (SELECT count(*) FROM d) AS written FROM d"

@@ -422,6 +422,114 @@ def evaluate_events(spark, sf_dir):
     return evaluation.evaluate(e, settings=evaluation.Settings(k=20))
 
 
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def file_records(spark, sf_dir):
+    """Texts of documents in files of a tree: a record for each of their lines, blank ones too, with its short description."""
+    root = _new_path(spark, "tree")
+    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("part", F.pmod("doc_id", F.lit(64)))
+    docs.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "text").write.partitionBy("part").text(root)
+    found = sources.described(sources.records(spark, root))
+    short = F.expr("substring(description, length(record_id) + length(source) + 7)")  # after "[id] source | "
+    return found.select(F.regexp_extract("source", r"part=(\d+)/", 1).cast("long").alias("part"), "line_no", "format_hint", "text", short.alias("short"))
+
+
+def _users(spark, sf_dir):
+    """Event lines of each group of users with the truth of their types, as datasets."""
+    lines = _event_lines(spark, sf_dir).join(_event_truth(spark, sf_dir).select("line_no", "kind", F.col("dataset").alias("users")), "line_no")
+    rows = lines.select(F.col("users").alias("dataset"), "line_no", "line", F.col("kind").alias("template"))
+    return rows.select("dataset", "line_no", "line"), metrics.first_appearance_ids(rows.select("dataset", "line_no", "template"), "template")
+
+
+def _truth_files(spark, sf_dir, whole: bool) -> DataFrame:
+    root, (lines, truth) = _new_path(spark, "truth"), _users(spark, sf_dir)
+    sinks.write_datasets(lines, root, truth, whole)
+    return sources.corpus(spark, root).join(sources.ground_truth(spark, root), ["dataset", "line_no"]).select("dataset", "line_no", "line", "cluster_id", "template")
+
+
+def truth_files(spark, sf_dir):
+    """Datasets with their truths written to folders, read back, and lines joined with their templates; a truth has an entry on each line."""
+    return _truth_files(spark, sf_dir, False)
+
+
+def whole_truth_files(spark, sf_dir):
+    """The same with each dataset's truth as one JSON value."""
+    return _truth_files(spark, sf_dir, True)
+
+
+def mask_files(spark, sf_dir):
+    """Masks of documents written as a bundle and read back."""
+    path = _new_path(spark, "masks")
+    sinks.write_masks(spark, synthesis.synthesize_offline(_doc_lines(spark, sf_dir)), path)
+    rows = [(i, m.label, m.pattern) for i, m in enumerate(sources.read_masks(spark, path, strict=True))]
+    return spark.createDataFrame(rows, "ord long, label string, pattern string")
+
+
+def parsed_csv(spark, sf_dir):
+    """Parsed event lines written as CSV, every field quoted, and read back."""
+    path = _new_path(spark, "parsed")
+    sinks.write_parsed_csv(clustering.parse(_event_lines(spark, sf_dir), OFFLINE), path)
+    return spark.read.option("escape", '"').csv(path, header=True).select("log", "template")
+
+
+def jsonl_files(spark, sf_dir):
+    """Training examples of events written as JSON lines and read back, with the number that the writer counted."""
+    path = _new_path(spark, "examples")
+    examples = alignment.training_examples(_event_lines(spark, sf_dir).withColumn("template", F.lit(EVENT_TEMPLATE)))
+    n = sinks.write_jsonl(examples.select("line_no", "input", "output"), path)
+    return sources.read_jsonl(spark, path, "line_no long, input string, output string").withColumn("written", F.lit(n).cast("long"))
+
+
+def metric_files(spark, sf_dir):
+    """Scores and their means written as CSV and read back, all columns strings."""
+    path = _new_path(spark, "metrics")
+    sinks.write_csv(macro_avg(spark, sf_dir), path)
+    found = sources.read_metrics(spark, path)
+    return found.select("dataset", "method", *(F.col(c).cast("double").alias(c) for c in ("GA", "PA")), F.lit({t for _, t in found.dtypes} == {"string"}).alias("strings"))
+
+
+def scrubbed_files(spark, sf_dir):
+    """Lines of documents, some with addresses and hosts in front, written as text, scrubbed file by file; how often each line is there."""
+    source, path = _new_path(spark, "text"), _new_path(spark, "scrubbed")
+    k = F.pmod("line_no", F.lit(5)).cast("string")
+    _doc_lines(spark, sf_dir).select(F.concat(F.lit("/srv/d"), k, F.lit(" u"), k, F.lit("@x.org hostname=h"), k, F.lit(" "), "line")).write.text(source)
+    sinks.scrub_files(spark, source, path)
+    return spark.read.text(path).groupBy(F.col("value").alias("scrubbed")).agg(F.count("*").alias("n"))
+
+
+def timing(spark, sf_dir):
+    """How many lines were parsed of each half of the users, in the first half of all lines, and whether the time is there."""
+    lines = _event_lines(spark, sf_dir).withColumn("dataset", F.concat(F.lit("u"), F.element_at(F.split("line", " "), 6).cast("long") % 2))
+    return evaluation.timing(lines, OFFLINE, lines.count() // 2).select("dataset", "n_logs", (F.col("seconds") > 0).alias("timed"))
+
+
+def synth_masks_api(spark, sf_dir):
+    """Masks of events from a sample of twenty lines, through the function for users."""
+    rows = [(i, m.label, m.pattern) for i, m in enumerate(synthesis.synth_masks(_event_lines(spark, sf_dir), 20))]
+    return spark.createDataFrame(rows, "ord long, label string, pattern string")
+
+
+def _sessions(spark, sf_dir):
+    """Lines of documents parsed in two calls, the second by a miner that takes up the first one's state from its folder."""
+    path, lines = _new_path(spark, "miner"), _doc_lines(spark, sf_dir)
+    half = _table(spark, sf_dir, "documents").agg(F.percentile_approx("doc_id", 0.5)).first()[0] or 0
+    early = F.col("line_no") < (half << 32)
+    first = clustering.Miner(path=path).load_masks(OFFLINE, spark).parse(lines.where(early))
+    miner = clustering.Miner.open(spark, path)
+    return first.unionByName(miner.parse(lines.where(~early))), miner
+
+
+def miner_sessions(spark, sf_dir):
+    return _sessions(spark, sf_dir)[0].select("line_no", "cluster_id")
+
+
+def miner_state(spark, sf_dir):
+    """The state after both sessions: each cluster's first line and template."""
+    return _sessions(spark, sf_dir)[1].state.select("cluster_id", "first_line", text.wildcards(F.col("typed")).alias("template"))
+
+
 _NOT_QUERIES = {"queries", "oracle_sql"}
 
 

@@ -59,17 +59,23 @@ def _by_dataset(rows: DataFrame, root: str, file: str, kind: str, order: str, co
     return sorted(found)
 
 
-def write_datasets(lines: DataFrame, root: str, truth: DataFrame | None = None) -> list[str]:
+def write_datasets(lines: DataFrame, root: str, truth: DataFrame | None = None, whole_truth: bool = False) -> list[str]:
     """root/<dataset>/raw.log (a folder of part files in the order of line_no), templates.jsonl (with a truth: dataset, line_no, cluster_id, template; an
     entry on each line) and manifest.json for each dataset, as corpus() and ground_truth() read them; the names.
 
+    whole_truth: templates.json, an object with the list of all entries, in place of templates.jsonl, for readers that want this form; a dataset's truth is
+    then one value, as its manifest's checksum has its lines in one.
+
     A fixed number of jobs for any number of datasets: each file is written for all of them at once, cut into ranges of dataset and line_no, and
     its folders are then named. Names of datasets are folder names.
     """
     about = manifest(lines, truth)
     names = _by_dataset(lines, root, "raw.log", "text", "line_no", ["line"])
     _by_dataset(about.withColumn("dataset", F.col("name")), root, "manifest.json", "json", "name", about.columns)
-    if truth is not None:
+    if truth is not None and whole_truth:
+        entries = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "cluster_id", "template"))), lambda x: F.struct(x["cluster_id"].alias("cluster_id"), x["template"].alias("template")))
+        _by_dataset(truth.groupBy("dataset").agg(F.to_json(F.struct(entries.alias("entries"))).alias("value")), root, "templates.json", "text", "value", ["value"])
+    elif truth is not None:
         _by_dataset(truth, root, "templates.jsonl", "json", "line_no", ["cluster_id", "template"])
     return names
 
