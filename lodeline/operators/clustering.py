@@ -306,7 +306,8 @@ class Miner:
         with tables.scratch(self._spark) as own:
             keyed = tables.keep(bucketed(lines.select("dataset", "line_no", "line"), self.masks, self.depth), "batch")
             buckets = tables.keep(self._met(keyed), "buckets")
-            fast, slow = buckets.where("fast").select(*OWN_BUCKET), buckets.where("NOT fast").select(*OWN_BUCKET)
+            fast = buckets.where("fast").select(*OWN_BUCKET)
+            slow = tables.keep(buckets.where("NOT fast").select(*OWN_BUCKET), "slow")  # a table of its own, so that its size is known and few are broadcast
             passed = tables.keep(self._passed(keyed.join(slow, OWN_BUCKET, "left_semi"), self.state.join(slow, OWN_BUCKET, "left_semi")), "passed")
             clusters = self.state.join(buckets.select(*OWN_BUCKET), OWN_BUCKET, "left_anti").select(*_STATE_COLUMNS)
             clusters = clusters.unionByName(buckets.where("fast").select(*_STATE_COLUMNS)).unionByName(passed.where("typed IS NOT NULL").select(*_STATE_COLUMNS))
@@ -314,9 +315,10 @@ class Miner:
             fresh = numbered(clusters.where("cluster_id IS NULL").drop("cluster_id").withColumn("dataset", F.lit(""))).withColumn("cluster_id", F.col("cluster_id") + before)
             state = tables.keep(clusters.where("cluster_id IS NOT NULL").unionByName(fresh.drop("dataset")), "state")
             self._next, self._lines = state.count(), max(self._lines, (keyed.agg(F.max("line_no")).first()[0] or 0) + 1)
-            columns = [*OWN_BUCKET, "at", "dataset", "line_no", "line"]
-            placed = keyed.join(fast, OWN_BUCKET, "left_semi").withColumn("at", F.lit(0)).select(*columns).unionByName(passed.where("typed IS NULL").select(*columns))
-            found = placed.join(state.select(*OWN_BUCKET, "at", "cluster_id", "typed"), [*OWN_BUCKET, "at"])
+            columns = ["dataset", "line_no", "line", "cluster_id", "typed"]
+            only = state.join(fast, OWN_BUCKET, "left_semi").select(*OWN_BUCKET, "cluster_id", "typed")  # one for each fast bucket
+            of_slow = passed.where("typed IS NULL").select(*OWN_BUCKET, "at", "dataset", "line_no", "line").join(state.select(*OWN_BUCKET, "at", "cluster_id", "typed"), [*OWN_BUCKET, "at"])
+            found = keyed.select(*OWN_BUCKET, "dataset", "line_no", "line").join(only, OWN_BUCKET).select(*columns).unionByName(of_slow.select(*columns))
             parsed = own.result(found.select("dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("typed")).alias("template"), F.col("typed").alias("template_typed")), "parsed")
             self._commit(state)
         return parsed
