@@ -106,6 +106,16 @@ def test_many_datasets_in_few_jobs(spark, tmp_path):
     assert jobs(2) == jobs(300)
 
 
+def test_truth_as_one_value(spark, tmp_path):
+    """Entries in the order of lines, with quotes, line breaks and nulls in templates."""
+    rows = [(d, i, i % 3, None if i == 4 else f'{d} "{i}"\n<*>') for d in ("a b", "é") for i in range(7)]
+    truth = spark.createDataFrame(rows, "dataset string, line_no long, cluster_id long, template string").repartition(3)
+    sinks.write_datasets(truth.selectExpr("dataset", "line_no", "'x' AS line"), str(tmp_path), truth, whole_truth=True)
+    assert len(list((tmp_path / "é/templates.json").glob("part-*"))) == 1 and not (tmp_path / "é/templates.jsonl").exists()
+    back = sources.ground_truth(spark, str(tmp_path)).select("dataset", "line_no", "cluster_id", "template").collect()
+    assert sorted(map(tuple, back), key=lambda r: r[:2]) == rows
+
+
 def test_counts_are_taken_while_writing(spark, tmp_path):
     scans = spark.sparkContext.accumulator(0)
     rows = spark.createDataFrame([(i,) for i in range(50)], "a long").rdd.map(lambda r: (scans.add(1), r)[1]).toDF("a long")
