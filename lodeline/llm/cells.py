@@ -181,3 +181,17 @@ def passing(rows: DataFrame, column: str, sent: bytes) -> DataFrame:
                 yield batch.filter(pa.array(found))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def parted(rows: DataFrame, column: str, sent: bytes) -> tuple[DataFrame, DataFrame]:
+    """rows whose long key is in the filter (and a few others), and the rest; only the key goes through Python."""
+    data = rows.sparkSession.sparkContext.broadcast(sent)
+
+    @F.arrow_udf("boolean")
+    def held(keys: pa.Array) -> pa.Array:
+        bits, found = np.frombuffer(data.value, np.uint8), np.ones(len(keys), bool)
+        for probe in _probes(keys.to_numpy(zero_copy_only=False).view(np.uint64), 8 * len(bits)):
+            found &= (bits[probe >> 3] >> (7 - (probe & 7)).astype(np.uint8)) & 1 == 1
+        return pa.array(found)
+
+    return rows.where(held(column)), rows.where(~held(column))

@@ -11,7 +11,8 @@ Segment subsets. A set that can differ from its partners in h shingles indexes o
 depends on a segment's content alone, small ones last: of two sets that share m - h segments, the first h + 1 of each hold a common one.
 
 Verification. Sets that share a segment meet in its bucket. Linked sets share a bucket, so they lie in one component of the sets and buckets,
-a canopy; a bucket gives its members' edges to one of them, not its pairs. A canopy is parted into cells of similar size: a set lies in one,
+a canopy; a bucket gives its members' edges to one of them, not its pairs. Index rows are shuffled once: a task sends one row of each segment in
+a run of its rows, and what it has joined already as a bucket of its own, so no bucket has more rows than there are runs. A canopy is parted into cells of similar size: a set lies in one,
 and also in the next one up if it can be linked with sets there. A cell is dealt into blocks of bounded members and bytes, mostly one, and
 a task counts the intersections of a block exactly, as products of 0/1 matrices of the shingles that its tiles share.
 
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cells import GROUP, MEMBERS, PIVOTS, block_links, cell_links, components, key_filter, passing, placed, tile_components
@@ -35,6 +37,7 @@ from .words import Prefix, grams, mix, split_words
 
 _SEEN_MOST = 1 << 20
 _COLUMNS = 2048
+_RUN = 1 << 21
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,6 +134,23 @@ def segment_keys(text: np.ndarray, value: np.ndarray, n_texts: int, bands: Bands
     return part_text[np.concatenate([slot_part[written], part[less]])], keys
 
 
+def joined_runs(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index rows (key, c) with the same components and each key once, that of its least c, in the given order. Each other c of a key is joined
+    with that one: both are rows of a key that only such pairs have."""
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])[: len(key)])
+    if len(start) == len(key):
+        return key, c
+    run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+    least = np.minimum.reduceat(c[order], start)
+    first = np.sort(order[start])
+    p = np.empty(len(key), c.dtype)
+    p[order] = least[run]
+    pairs = np.unique(np.column_stack([c, p])[c != p], axis=0)
+    own = mix(mix(pairs[:, 0].view(np.uint64)) ^ pairs[:, 1].view(np.uint64))
+    return np.concatenate([key[first], own, own]), np.concatenate([p[first], pairs[:, 0], pairs[:, 1]])
+
+
 def _classes(text: np.ndarray, value: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of each text, and two hashes of its set."""
     size = np.bincount(text, minlength=n_texts)
@@ -240,6 +260,13 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def index(batches):
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            key, c = joined_runs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c)], names=["seg", "c"])
+
         for batch in batches:
             for _, n, data, offsets in text_runs(batch.column("text")):
                 text, value = shingles(data, offsets, size)
@@ -253,13 +280,17 @@ def row_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     seen.clear()
                 own = new[text]
                 row, key = segment_keys(text[own], value[own], n, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c[row])], names=["seg", "c"])
+                held.append((key, c[row]))
+                if sum(len(x) for x, _ in held) >= _RUN:
+                    yield sent()
+        if held:
+            yield sent()
 
     sets = keep(rows.mapInArrow(describe, "k long, th long, n long, c long, c2 long, bytes long"), "sets")
     classes = keep(sets.where("n > 0").groupBy("n", "c", "c2").agg(F.min(F.struct("k", "th", "bytes")).alias("rep")), "classes")
     keys = rows.mapInArrow(index, "seg long, c long")
-    shared = keys.groupBy("seg").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("seg", "p")
-    meet = keys.join(own_exchange(shared, "seg"), "seg").where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
+    least = keys.withColumn("p", F.min("c").over(W.partitionBy("seg")))
+    meet = least.where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
     canopy = components(meet).withColumnRenamed("label", "canopy")
     links = set_links(docs, classes, canopy, id_col, text_col, size, percent, members, group, pivots)
     discard(canopy)

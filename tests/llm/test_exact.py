@@ -205,6 +205,27 @@ def test_shared_ids_are_rows_of_their_own(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_runs_of_index_rows_keep_their_components():
+    rng = np.random.default_rng(6)
+
+    def parts(key, c):
+        label = {("c", x): ("c", x) for x in c.tolist()}
+        root = lambda x: x if label.setdefault(x, x) == x else root(label[x])
+        for k, x in zip(key.tolist(), c.tolist(), strict=True):
+            label[root(("k", k))] = root(("c", x))
+        groups = {}
+        for x in set(c.tolist()):
+            groups.setdefault(root(("c", x)), set()).add(x)
+        return sorted(map(sorted, groups.values()))
+
+    for n, keys in ((0, 1), (1, 1), (50, 1), (60, 500), (3000, 2500), (3000, 40)):
+        key, c = rng.integers(0, keys, n).astype(np.uint64), rng.integers(-(2**62), 2**62, max(1, n // 3))[rng.integers(0, max(1, n // 3), n)]
+        of, got = ngram_join.joined_runs(key, c)
+        own = of < keys  # other keys are those of joined pairs
+        assert parts(key, c) == parts(of, got)
+        assert sorted(of[own].tolist()) == sorted(set(key.tolist())) or (n and len(of) == n)
+
+
 @pytest.mark.parametrize("percent", [60, 80, 90])
 def test_linked_sets_share_a_segment(percent):
     rng, bands = np.random.default_rng(percent), ngram_join.Bands(percent)
