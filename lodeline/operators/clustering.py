@@ -36,6 +36,15 @@ CELL = 1 << 20  # clusters that are numbered in one task
 BUCKET = ["dataset", "n_tokens", "key"]
 
 
+def dealt(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """rows with all those of a key in one partition, by a hash of it.
+
+    A repartition by the key itself is dropped from the plan after a join or aggregate by the same key, and what is left of it may then be read mapper by
+    mapper (a join that becomes a broadcast) or in parts (a skewed one); a function that no group by stands above would see keys torn apart.
+    """
+    return rows.repartition(F.xxhash64(*key))
+
+
 def bucketed(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH) -> DataFrame:
     """lines with masked (tokens joined by a space), n_tokens and key. A blank line is one empty token."""
     found = text.tokens(text.apply_masks(F.col("line"), masks))
@@ -139,7 +148,7 @@ def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) ->
     """Two kinds of rows for the buckets that are not fast. Of each line: dataset, line_no, h (hash of the masked line), and the first line of its
     cluster. Of each cluster: dataset, first_line, size, template_typed."""
     rows = keyed.join(buckets.where(~F.col("fast")).select(*BUCKET), BUCKET, "left_semi").select(*BUCKET, "line_no", "masked", F.xxhash64("masked").alias("h"))
-    ordered = rows.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "line_no")
+    ordered = dealt(rows, BUCKET).sortWithinPartitions(*BUCKET, "line_no")
 
     def run(batches):
         names, types = ["dataset", "line_no", "h", "first_line", "size", "template_typed"], [pa.string(), *[pa.int64()] * 4, pa.string()]
@@ -352,7 +361,7 @@ class Miner:
         threshold, most = self.threshold, self.most
         known = state.select(*_STATE_COLUMNS).withColumns({"dataset": F.lit(None).cast("string"), "line_no": F.lit(None).cast("long"), "line": F.lit(None).cast("string"), "masked": F.lit(None).cast("string")})
         new = keyed.select(*OWN_BUCKET, "dataset", "line_no", "line", "masked")
-        rows = known.unionByName(new, allowMissingColumns=True).repartition(*OWN_BUCKET).sortWithinPartitions(*OWN_BUCKET, F.col("at").asc_nulls_last(), "line_no")
+        rows = dealt(known.unionByName(new, allowMissingColumns=True), OWN_BUCKET).sortWithinPartitions(*OWN_BUCKET, F.col("at").asc_nulls_last(), "line_no")
         names = [*_STATE_COLUMNS, "dataset", "line_no", "line"]
         types = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
 
