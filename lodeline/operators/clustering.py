@@ -145,27 +145,29 @@ def _runs(batch: pa.RecordBatch, columns: Sequence[str]):
 
 
 def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) -> DataFrame:
-    """Two kinds of rows for the buckets that are not fast. Of each line: dataset, line_no, h (hash of the masked line), and the first line of its
-    cluster. Of each cluster: dataset, first_line, size, template_typed."""
-    rows = keyed.join(buckets.where(~F.col("fast")).select(*BUCKET), BUCKET, "left_semi").select(*BUCKET, "line_no", "masked", F.xxhash64("masked").alias("h"))
-    ordered = dealt(rows, BUCKET).sortWithinPartitions(*BUCKET, "line_no")
+    """Two kinds of rows for the buckets that are not fast, with their bucket and the number of the cluster in it. Of each line: line_no and line. Of each
+    cluster: first_line, size, template_typed. Line numbers may repeat; lines of one number are taken by their masked text."""
+    rows = keyed.join(buckets.where(~F.col("fast")).select(*BUCKET), BUCKET, "left_semi").select(*BUCKET, "line_no", "line", "masked")
+    ordered = dealt(rows, BUCKET).sortWithinPartitions(*BUCKET, "line_no", "masked")
 
     def run(batches):
-        names, types = ["dataset", "line_no", "h", "first_line", "size", "template_typed"], [pa.string(), *[pa.int64()] * 4, pa.string()]
+        names = [*BUCKET, "number", "line_no", "line", "first_line", "size", "template_typed"]
+        types = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
         at, bucket, first, size = None, None, [], []
 
-        def table(*columns):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        def table(n, columns):
+            given = {c: [v] * n for c, v in zip(BUCKET, at, strict=True)} | columns
+            return pa.RecordBatch.from_arrays([pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names=names)
 
-        def clusters_of(dataset):
+        def clusters():
             n = len(first)
-            return table([dataset] * n, [None] * n, [None] * n, first, size, [bucket.template(i) for i in range(n)])
+            return table(n, {"number": range(n), "first_line": first, "size": size, "template_typed": [bucket.template(i) for i in range(n)]})
 
         for batch in batches:
             for start, end, key in _runs(batch, BUCKET):
                 if key != at:
                     if bucket:
-                        yield clusters_of(at[0])
+                        yield clusters()
                     at, bucket, first, size = key, Bucket(threshold, most), [], []
                 line_no, out = batch.column("line_no").slice(start, end - start), []
                 for n, masked in zip(line_no.to_pylist(), batch.column("masked").slice(start, end - start), strict=True):
@@ -174,17 +176,17 @@ def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) ->
                         first.append(n)
                         size.append(0)
                     size[number] += 1
-                    out.append(first[number])
-                m = end - start
-                yield table([key[0]] * m, line_no, batch.column("h").slice(start, m), out, [None] * m, [None] * m)
+                    out.append(number)
+                yield table(end - start, {"number": out, "line_no": line_no, "line": batch.column("line").slice(start, end - start)})
         if bucket:
-            yield clusters_of(at[0])
+            yield clusters()
 
-    return ordered.mapInArrow(run, "dataset string, line_no long, h long, first_line long, size long, template_typed string")
+    return ordered.mapInArrow(run, "dataset string, n_tokens int, key string, number long, line_no long, line string, first_line long, size long, template_typed string")
 
 
 def numbered(clusters: DataFrame, most: int = CELL) -> DataFrame:
-    """clusters (dataset, first_line, ...) with cluster_id: dense, from 0, by first line.
+    """clusters (dataset, first_line, ...) with cluster_id: dense, from 0, by first line, and where several have the same one by their bucket and number or
+    their hash, so that ids are the same whenever the plan runs.
 
     The first lines are cut into cells of about `most` at quantiles; ids are numbered in each cell and start after those of the cells before it,
     so no task sorts a whole dataset.
@@ -195,18 +197,20 @@ def numbered(clusters: DataFrame, most: int = CELL) -> DataFrame:
     cut = clusters.join(clusters.groupBy("dataset").agg(cuts.alias("cuts")), "dataset").withColumn("cell", F.size(F.filter("cuts", lambda c: c < F.col("first_line")))).drop("cuts")
     cells = cut.groupBy("dataset", "cell").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("dataset").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rank = F.row_number().over(W.partitionBy("dataset", "cell").orderBy("first_line"))
+    ties = [c for c in ("n_tokens", "key", "number", "at", "cluster") if c in clusters.columns]
+    rank = F.row_number().over(W.partitionBy("dataset", "cell").orderBy("first_line", *ties))
     return cut.withColumn("rank", rank).join(cells.select("dataset", "cell", before.alias("before")), ["dataset", "cell"]).withColumn("cluster_id", F.col("before") + F.col("rank") - 1).drop("cell", "rank", "before")
 
 
 def _mined(lines: DataFrame, masks: Sequence[Mask], depth: int, threshold: float, most: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Keyed lines, rows of slow buckets (None without any), and numbered clusters with their bucket (null for slow ones). Lines are masked once."""
+    """Keyed lines, rows of slow buckets (None without any), and numbered clusters with their bucket and number in it (null for fast ones). Lines are masked once."""
     keyed = keep(bucketed(lines.select("dataset", "line_no", "line"), masks, depth), "keyed")
     buckets = keep(_buckets(keyed, threshold), "buckets")
-    both, slow = buckets.where("fast").select(*BUCKET, "first_line", "size", "template_typed"), None
+    columns = [*BUCKET, "number", "first_line", "size", "template_typed"]
+    both, slow = buckets.where("fast").withColumn("number", F.lit(None).cast("long")).select(*columns), None
     if buckets.where("NOT fast").limit(1).count():
         slow = keep(_slow(keyed, buckets, threshold, most), "slow")
-        both = both.unionByName(slow.where("line_no IS NULL").drop("line_no", "h"), allowMissingColumns=True)
+        both = both.unionByName(slow.where("template_typed IS NOT NULL").select(*columns))
     return keyed, slow, numbered(both)
 
 
@@ -219,15 +223,15 @@ def clusters(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, thresh
 def parse(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
     """dataset, line_no, line, cluster_id, template, template_typed for each line, with the templates as they are in the end.
 
-    Lines are joined to clusters by bucket; those of slow buckets by the number of their cluster's first line.
+    Lines are joined to clusters by bucket; those of slow buckets by bucket and number.
     """
     keyed, slow, found = _mined(lines, masks, depth, threshold, most)
     columns = ["dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("template_typed")).alias("template"), "template_typed"]
-    out = keyed.select(*BUCKET, "line_no", "line").join(found.where("key IS NOT NULL").select(*BUCKET, "cluster_id", "template_typed"), BUCKET).select(*columns)
+    out = keyed.select(*BUCKET, "line_no", "line").join(found.where("number IS NULL").select(*BUCKET, "cluster_id", "template_typed"), BUCKET).select(*columns)
     if slow is not None:
-        ids = found.where("key IS NULL").select("dataset", "first_line", "cluster_id", "template_typed")
-        own = slow.where("line_no IS NOT NULL").select("dataset", "line_no", "h", "first_line").distinct().join(ids, ["dataset", "first_line"])
-        out = out.unionByName(keyed.withColumn("h", F.xxhash64("masked")).join(own, ["dataset", "line_no", "h"]).select(*columns))
+        ids = found.where("number IS NOT NULL").select(*BUCKET, "number", "cluster_id", "template_typed")
+        own = slow.where("template_typed IS NULL").select(*BUCKET, "number", "line_no", "line").join(ids, [*BUCKET, "number"])
+        out = out.unionByName(own.select(*columns))
     return out
 
 
