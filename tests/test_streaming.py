@@ -1,12 +1,14 @@
 import random
 
 import pytest
+from lodeline import queries
 from lodeline.functions.patterns import canonical_masks
 from lodeline.operators import clustering, online
 from lodeline.sources import lines as sources
 from lodeline.sources import sinks
 from lodeline.sources.lines import demo_lines
 from lodeline.streaming import templates
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(params=[10_000, 40])
@@ -79,6 +81,14 @@ def test_online_stream(spark, tmp_path, chunks):
     assert got == expected and len(got) == 1200
 
 
+def test_micro_batches_follow_the_line_numbers(spark):
+    """Also where the file of the first ones takes longest to write."""
+    rows = spark.range(200).selectExpr("id AS line_no", "if(id < 100, repeat(uuid(), 50000), 'x') AS line")
+    found = queries._streamed(spark, rows, "order", lambda s: s.select("line_no", F.current_timestamp().alias("at")), 2)
+    times = [r.line_no for r in found.orderBy("at", "line_no").select("line_no").collect()]
+    assert times == list(range(200)) and found.select("at").distinct().count() == 2
+
+
 def test_records_of_a_growing_tree(spark, tmp_path):
     root, before = tmp_path / "in", spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
