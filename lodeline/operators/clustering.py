@@ -22,29 +22,19 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import tables, text
 from ..functions.patterns import WILDCARD, Mask, usable
-from ..functions.tables import keep
+from ..functions.tables import dealt, keep, runs
 
 DEPTH, THRESHOLD, MOST = 5, 0.4, 100
 CELL = 1 << 20  # clusters that are numbered in one task
 BUCKET = ["dataset", "n_tokens", "key"]
 
 
-def dealt(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """rows with all those of a key in one partition, by a hash of it.
-
-    A repartition by the key itself is dropped from the plan after a join or aggregate by the same key, and what is left of it may then be read mapper by
-    mapper (a join that becomes a broadcast) or in parts (a skewed one); a function that no group by stands above would see keys torn apart.
-    """
-    return rows.repartition(F.xxhash64(*key))
-
-
 def bucketed(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH) -> DataFrame:
     """lines with masked (tokens joined by a space), n_tokens and key. A blank line is one empty token."""
     found = text.tokens(text.apply_masks(F.col("line"), masks))
@@ -131,19 +121,6 @@ def _buckets(keyed: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _runs(batch: pa.RecordBatch, columns: Sequence[str]):
-    """First and last row (not included) of each run of rows with equal values in columns, and these values."""
-    table = pa.Table.from_batches([batch.select(columns)])
-    new = np.zeros(batch.num_rows, bool)
-    new[:1] = True
-    for c in columns:
-        x = table.column(c).combine_chunks()
-        new[1:] |= pc.fill_null(pc.not_equal(x[1:], x[:-1]), True).to_numpy(zero_copy_only=False)
-    edges = np.flatnonzero(new).tolist()
-    for first, last in zip(edges, [*edges[1:], batch.num_rows], strict=True):
-        yield first, last, tuple(table.column(c)[first].as_py() for c in columns)
-
-
 def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) -> DataFrame:
     """Two kinds of rows for the buckets that are not fast, with their bucket and the number of the cluster in it. Of each line: line_no and line. Of each
     cluster: first_line, size, template_typed. Line numbers may repeat; lines of one number are taken by their masked text."""
@@ -164,7 +141,7 @@ def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) ->
             return table(n, {"number": range(n), "first_line": first, "size": size, "template_typed": [bucket.template(i) for i in range(n)]})
 
         for batch in batches:
-            for start, end, key in _runs(batch, BUCKET):
+            for start, end, key in runs(batch, BUCKET):
                 if key != at:
                     if bucket:
                         yield clusters()
@@ -381,7 +358,7 @@ class Miner:
                 return table(made.n, {"at": list(range(made.n)), "cluster_id": [*ids, *[None] * (made.n - len(ids))], "first_line": first, "typed": [made.template(i) for i in range(made.n)]})
 
             for batch in batches:
-                for start, end, key in _runs(batch, OWN_BUCKET):
+                for start, end, key in runs(batch, OWN_BUCKET):
                     if key != at:
                         if at:
                             yield clusters()

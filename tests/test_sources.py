@@ -1,3 +1,4 @@
+import hashlib
 import json
 import logging
 
@@ -168,3 +169,16 @@ def test_shared_folder(spark):
     assert shared_dir(Session(**{"spark.checkpoint.dir": "hdfs://x/c/", "spark.master": "yarn"})) == "hdfs://x/c"
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Session(**{"spark.master": "yarn"}))
+
+
+def test_no_value_holds_a_dataset(spark, tmp_path):
+    """Neither a dataset's lines nor its truth are one value on the way to its files; the checksum and the file are those of such a value."""
+    rows = [(d, i, None if i == 7 else f"{d} ü {i * 7 % 50}", i % 3, f"t {i % 3}") for d in "xy" for i in range(50)]
+    frame = spark.createDataFrame(rows, "dataset string, line_no long, line string, cluster_id long, template string").repartition(5)
+    about = sources.manifest(frame)
+    assert "collect_list" not in about._jdf.queryExecution().toString()
+    wanted = {d: hashlib.sha256("\n".join(r[2] for r in rows if r[0] == d and r[2]).encode()).hexdigest() for d in "xy"}
+    assert {r.name: (r.logs, r.checksum) for r in about.collect()} == {d: (50, h) for d, h in wanted.items()}
+    sinks.write_datasets(frame.select("dataset", "line_no", "line").where("line IS NOT NULL"), str(tmp_path), frame.select("dataset", "line_no", "cluster_id", "template"), whole_truth=True)
+    written = (next((tmp_path / "x/templates.json").glob("part-*"))).read_text()
+    assert json.loads(written) == {"entries": [{"cluster_id": i % 3, "template": f"t {i % 3}"} for i in range(50)]} and max(map(len, written.splitlines())) < 60
