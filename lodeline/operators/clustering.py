@@ -102,29 +102,30 @@ class Bucket:
 
 
 def _buckets(keyed: DataFrame, threshold: float) -> DataFrame:
-    """A row for each bucket: first_line, size, typed template of the fast path, and whether that holds (fast)."""
-    texts = keyed.groupBy(*BUCKET, "masked").agg(F.min("line_no").alias("first_line"), F.count("*").alias("size"))
-    whole = texts.groupBy(*BUCKET).agg(F.min("first_line").alias("first_line"), F.sum("size").alias("size"), F.min("masked").alias("least"), F.max("masked").alias("greatest"))
-    several = whole.where("least <> greatest").select(*BUCKET)
-    at = texts.join(several, BUCKET, "left_semi").select(*BUCKET, F.posexplode(F.split("masked", " ")).alias("pos", "token"))
+    """A row for each bucket: first_line, size, whether the fast path holds (fast), and its typed template there; null where all lines have one masked text,
+    which then is the template. Texts of a bucket are told apart by 64-bit hashes; only those of buckets with several are dealt."""
+    h = F.xxhash64("masked")
+    whole = keep(keyed.groupBy(*BUCKET).agg(F.min("line_no").alias("first_line"), F.count("*").alias("size"), (F.min(h) == F.max(h)).alias("single")), "whole")
+    several = keep(whole.where("NOT single").select(*BUCKET), "several")  # a table of its own, so that its size is known and few are broadcast
+    texts = keyed.select(*BUCKET, "masked").join(several, BUCKET, "left_semi").distinct()
+    at = texts.select(*BUCKET, F.posexplode(F.split("masked", " ")).alias("pos", "token"))
     common = at.groupBy(*BUCKET, "pos").agg(F.min("token").alias("a"), F.max("token").alias("b"))
     part = F.struct("pos", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(WILDCARD).alias("t"))
     merged = common.groupBy(*BUCKET).agg(F.sum((F.col("a") == F.col("b")).cast("int")).alias("same"), F.array_sort(F.collect_list(part)).alias("parts"))
-    joined = whole.join(merged, BUCKET, "left")
-    single = F.col("least") == F.col("greatest")
-    return joined.select(
+    return whole.join(merged, BUCKET, "left").select(
         *BUCKET,
         "first_line",
         "size",
-        F.when(single, F.col("least")).otherwise(F.array_join(F.col("parts.t"), " ")).alias("template_typed"),
-        (single | (F.col("same") / F.col("n_tokens") >= F.lit(float(threshold)))).alias("fast"),
+        F.array_join(F.col("parts.t"), " ").alias("template_typed"),
+        (F.col("single") | (F.col("same") / F.col("n_tokens") >= F.lit(float(threshold)))).alias("fast"),
     )
 
 
 def _slow(keyed: DataFrame, buckets: DataFrame, threshold: float, most: int) -> DataFrame:
     """Two kinds of rows for the buckets that are not fast, with their bucket and the number of the cluster in it. Of each line: line_no and line. Of each
     cluster: first_line, size, template_typed. Line numbers may repeat; lines of one number are taken by their masked text."""
-    rows = keyed.join(buckets.where(~F.col("fast")).select(*BUCKET), BUCKET, "left_semi").select(*BUCKET, "line_no", "line", "masked")
+    few = keep(buckets.where(~F.col("fast")).select(*BUCKET), "few")
+    rows = keyed.select(*BUCKET, "line_no", "line", "masked").join(few, BUCKET, "left_semi")
     ordered = dealt(rows, BUCKET).sortWithinPartitions(*BUCKET, "line_no", "masked")
 
     def run(batches):
@@ -179,22 +180,30 @@ def numbered(clusters: DataFrame, most: int = CELL) -> DataFrame:
     return cut.withColumn("rank", rank).join(cells.select("dataset", "cell", before.alias("before")), ["dataset", "cell"]).withColumn("cluster_id", F.col("before") + F.col("rank") - 1).drop("cell", "rank", "before")
 
 
-def _mined(lines: DataFrame, masks: Sequence[Mask], depth: int, threshold: float, most: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Keyed lines, rows of slow buckets (None without any), and numbered clusters with their bucket and number in it (null for fast ones). Lines are masked once."""
-    keyed = keep(bucketed(lines.select("dataset", "line_no", "line"), masks, depth), "keyed")
+def _mined(lines: DataFrame, masks: Sequence[Mask], depth: int, threshold: float, most: int) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """Keyed lines, buckets, rows of slow buckets (None without any), and the number of each cluster: bucket, number in it (null for fast ones) and cluster_id.
+    Lines are masked once; a masked text is kept where it isn't the line itself. Templates take no part in the numbering."""
+    own = bucketed(lines.select("dataset", "line_no", "line"), masks, depth)
+    keyed = keep(own.withColumn("masked", F.when(F.col("masked") != F.col("line"), F.col("masked"))), "keyed").withColumn("masked", F.coalesce("masked", "line"))
     buckets = keep(_buckets(keyed, threshold), "buckets")
-    columns = [*BUCKET, "number", "first_line", "size", "template_typed"]
+    columns = [*BUCKET, "number", "first_line"]
     both, slow = buckets.where("fast").withColumn("number", F.lit(None).cast("long")).select(*columns), None
     if buckets.where("NOT fast").limit(1).count():
         slow = keep(_slow(keyed, buckets, threshold, most), "slow")
         both = both.unionByName(slow.where("template_typed IS NOT NULL").select(*columns))
-    return keyed, slow, numbered(both)
+    return keyed, buckets, slow, keep(numbered(both).select(*columns, "cluster_id"), "ids")
 
 
 def clusters(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
     """dataset, cluster_id, first_line, size, template, template_typed."""
-    found = _mined(lines, masks, depth, threshold, most)[2]
-    return found.select("dataset", "cluster_id", "first_line", "size", text.wildcards(F.col("template_typed")).alias("template"), "template_typed")
+    keyed, buckets, slow, ids = _mined(lines, masks, depth, threshold, most)
+    single = keyed.join(buckets.where("fast AND template_typed IS NULL").select(*BUCKET), BUCKET, "left_semi").groupBy(*BUCKET).agg(F.min("masked").alias("text"))
+    found = ids.where("number IS NULL").join(buckets.select(*BUCKET, "size", "template_typed"), BUCKET).join(single, BUCKET, "left")
+    out = found.select("dataset", "cluster_id", "first_line", "size", F.coalesce("template_typed", "text").alias("template_typed"))
+    if slow is not None:
+        made = slow.where("template_typed IS NOT NULL").select(*BUCKET, "number", "size", "template_typed")
+        out = out.unionByName(ids.where("number IS NOT NULL").join(made, [*BUCKET, "number"]).select(*out.columns))
+    return out.select("dataset", "cluster_id", "first_line", "size", text.wildcards(F.col("template_typed")).alias("template"), "template_typed")
 
 
 def parse(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, threshold: float = THRESHOLD, most: int = MOST) -> DataFrame:
@@ -202,12 +211,15 @@ def parse(lines: DataFrame, masks: Sequence[Mask], depth: int = DEPTH, threshold
 
     Lines are joined to clusters by bucket; those of slow buckets by bucket and number.
     """
-    keyed, slow, found = _mined(lines, masks, depth, threshold, most)
+    keyed, buckets, slow, ids = _mined(lines, masks, depth, threshold, most)
     columns = ["dataset", "line_no", "line", "cluster_id", text.wildcards(F.col("template_typed")).alias("template"), "template_typed"]
-    out = keyed.select(*BUCKET, "line_no", "line").join(found.where("number IS NULL").select(*BUCKET, "cluster_id", "template_typed"), BUCKET).select(*columns)
+    made = ids.where("number IS NULL").select(*BUCKET, "cluster_id").join(buckets.select(*BUCKET, F.col("template_typed").alias("common")), BUCKET)
+    fast = keyed.select(*BUCKET, "line_no", "line", "masked").join(made, BUCKET)
+    out = fast.withColumn("template_typed", F.coalesce("common", "masked")).select(*columns)
     if slow is not None:
-        ids = found.where("number IS NOT NULL").select(*BUCKET, "number", "cluster_id", "template_typed")
-        own = slow.where("template_typed IS NULL").select(*BUCKET, "number", "line_no", "line").join(ids, [*BUCKET, "number"])
+        which = ids.where("number IS NOT NULL").select(*BUCKET, "number", "cluster_id")
+        which = which.join(slow.where("template_typed IS NOT NULL").select(*BUCKET, "number", "template_typed"), [*BUCKET, "number"])
+        own = slow.where("template_typed IS NULL").select(*BUCKET, "number", "line_no", "line").join(which, [*BUCKET, "number"])
         out = out.unionByName(own.select(*columns))
     return out
 
