@@ -5,7 +5,7 @@ variable tokens as wildcards; clusters never cross buckets, so buckets are parse
 
 Fast path, in Catalyst expressions. Let c be the number of positions where all lines of a bucket have one token. Every line agrees with every
 template of the bucket there, so if c / n_tokens reaches the threshold the bucket is one cluster, whatever the order, and its template has
-the common tokens and wildcards elsewhere. Lines are first reduced to distinct masked texts, and only buckets with several are exploded.
+the common tokens and wildcards elsewhere. Only buckets with several masked texts, told apart by 64-bit hashes, are exploded.
 
 Slow path. The other buckets are parsed line by line in the order of line_no: a line joins the cluster with the highest similarity (the first
 of equals) if that reaches the threshold; else it starts a cluster, or, when the bucket has `most` of them, joins the first. This is
